@@ -1,18 +1,19 @@
 """Byte-level BPE by a distinct-word table.
 
-Encoding never runs the merges over a running text. The corpus is split into words (the pre-tokenizer's rule), every
-distinct word is counted, and each is encoded once into a word table (word, n, ids). Ids then come back by position:
+Encoding never runs the merges over a running text. The corpus is split into words (the pre-tokenizer's rule), and each
+distinct word is encoded once. The table of distinct words has two parts:
 
-* words of the head -- the most frequent ones, cut by count so that at most HEAD_WORDS words and HEAD_BYTES bytes
-  remain -- through a broadcast table, whose size is thus bounded whatever the corpus holds;
-* all other words through a shuffle join on the word, keyed by document and by the word's place among the document's
-  own rare words.
+* the head, the words that are most frequent in a sample of SAMPLE_DOCS documents, cut by count so that at most
+  HEAD_WORDS words and HEAD_BYTES bytes remain. It is broadcast; its size is bounded whatever the corpus holds, and
+  which words it has changes no result, only how much is left for the second part;
+* the rest, every other distinct word of the corpus, kept in a distributed table. Its ids come back by a shuffle join
+  on the word and then by position: keyed by document and by the word's place among the document's own rare words.
 
-Decoding is a lookup of every id in the id-to-piece table (as many rows as the vocabulary).
+Texts are shuffled once, compressed, and only their rare words besides. Decoding takes every id from the id-to-piece
+table (as many rows as the vocabulary).
 
 Edge cases: null text counts as empty (no ids); a special token's string in a text becomes its id, as in the
-tokenizers library; repeated rows each give a row; columns besides the id and the text pass through untouched by
-``encode_documents`` callers that name them.
+tokenizers library; repeated rows each give a row; null ids are kept; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ import hashlib
 import json
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
 
-HEAD_WORDS = 1 << 19
+SAMPLE_DOCS = 50_000
+HEAD_WORDS = 300_000
 HEAD_BYTES = 16 << 20
 #: Distinct words a task holds before it hands its counts on.
 FLUSH_WORDS = 300_000
@@ -157,8 +161,8 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFram
     return docs.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """(word, n, ids): each distinct word of the corpus, encoded once; ids are little-endian unsigned 32-bit."""
+def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
+    """(word, ids) of distinct words (column word), each encoded once; ids are little-endian unsigned 32-bit."""
 
     def encode(batches):
         from tokenizers import Tokenizer
@@ -168,12 +172,12 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
         t.no_padding()
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                words = part.column(0).to_pylist()
-                ids = [_ids_bytes([special[w]] if w in special else e.ids) for w, e in zip(words, t.encode_batch_fast(words, add_special_tokens=False))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+                column = batch.column(0).slice(i, 4096)
+                part = column.to_pylist()
+                ids = [_ids_bytes([special[w]] if w in special else e.ids) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False))]
+                yield pa.RecordBatch.from_arrays([column, pa.array(ids, pa.binary())], ["word", "ids"])
 
-    return materialize(word_counts(docs, tokenizer, text).mapInArrow(encode, "word string, n long, ids binary"), "bpe-words")
+    return words.select("word").mapInArrow(encode, "word string, ids binary")
 
 
 def head_count(words: DataFrame, most_words: int, most_bytes: int) -> int:
@@ -183,7 +187,7 @@ def head_count(words: DataFrame, most_words: int, most_bytes: int) -> int:
     """
     rows = (
         words.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("b"))
-        .agg(F.count("*").alias("k"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("bytes"))
+        .agg(F.count("*").alias("k"), F.sum(F.octet_length("word")).alias("bytes"))
         .collect()
     )
     k = size = 0
@@ -196,65 +200,84 @@ def head_count(words: DataFrame, most_words: int, most_bytes: int) -> int:
     return least
 
 
+class _Head(dict):
+    """word -> ids of the head; for other words, the current document's own."""
+
+    rest: dict[str, bytes]
+
+    def __missing__(self, word):
+        return self.rest[word]
+
+
+_heads: dict[str, _Head] = {}
+
+
+def _head(name: str, packed) -> _Head:
+    """The head in this worker, unpacked once."""
+    if name not in _heads:
+        _heads.clear()
+        table = pa.ipc.open_stream(packed.value).read_all()
+        _heads[name] = _Head(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+    return _heads[name]
+
+
+def head_words(docs: DataFrame, tokenizer: str, text: str = "text") -> bytes:
+    """The head, (word, ids), as an Arrow stream."""
+    n = docs.count()
+    sample = docs.select(text).sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=7)
+    counts = materialize(word_counts(sample, tokenizer, text).filter("n > 1"), "bpe-sample")
+    table = encode_words(counts.filter(F.col("n") >= head_count(counts, HEAD_WORDS, HEAD_BYTES)), tokenizer).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes every text through the distinct-word table and hands (doc_id, ids as bytes) to ``finish``.
+    """Encodes every text through the distinct-word table; ``finish`` makes the columns of ``schema``.
 
-    finish(ids: list of bytes per document) -> list of Arrow arrays, the columns of ``schema`` after the id.
+    finish(texts' ids: list of bytes, one for each document) -> list of Arrow arrays.
     """
-    import zstandard
-
     spark = docs.sparkSession
-    words = word_table(docs, tokenizer, text)
-    least = head_count(words, HEAD_WORDS, HEAD_BYTES)
-    head = spark.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in words.filter(F.col("n") >= least).select("word", "ids").toLocalIterator()})
+    packed_head = spark.sparkContext.broadcast(head_words(docs, tokenizer, text))
+    name = uuid.uuid4().hex
     keyed = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(doc_id, text).alias("key"))
 
     def rare(batches):
-        split, known = vocabulary(tokenizer).splitter, head.value
+        split, known = vocabulary(tokenizer).splitter, _head(name, packed_head)
         for batch in batches:
-            keys, at, out = [], [], []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = list(dict.fromkeys(w for words in split.runs(t) for w in words if w not in known))
-                keys += [key] * len(own)
-                at += range(len(own))
-                out += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(out, pa.string())], ["key", "at", "word"])
-
-    tail = (
-        keyed.select("key", "text")
-        .mapInArrow(rare, "key long, at int, word string")
-        .join(words.filter(F.col("n") < least).select("word", "ids"), "word")
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("at", "ids")).alias("tail"))
-    )
+            own = [sorted(set().union(*map(set, split.runs(t))).difference(known)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["key", "words"])
+
+    rows = materialize(keyed.select("key", "text").mapInArrow(rare, "key long, words array<string>").filter("size(words) > 0"), "bpe-rare")
+    placed = rows.select("key", F.posexplode("words").alias("at", "word"))
+    rest = encode_words(placed.select("word").distinct(), tokenizer)
+    tail = placed.join(rest, "word").groupBy("key").agg(F.collect_set(F.struct("at", "ids")).alias("tail"))
 
     def pack(batches):
-        z = zstandard.ZstdCompressor(level=3)
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed = pa.array([z.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2)], ["id", "packed", "key"])
 
-    id_type = dict(docs.dtypes)[doc_id]
-
     def join(batches):
-        split, known, z = vocabulary(tokenizer).splitter, head.value, zstandard.ZstdDecompressor()
+        import zstandard
+
+        split, known, z = vocabulary(tokenizer).splitter, _head(name, packed_head), zstandard.ZstdDecompressor()
         get = known.__getitem__
         for batch in batches:
             ids = []
             for packed, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = {x["at"]: x["ids"] for x in tail or ()}
-                text, rest, parts = z.decompress(packed).decode(), {}, []
-                for words in split.runs(text):
-                    if own:
-                        for w in words:
-                            if w not in known and w not in rest:
-                                rest[w] = own[len(rest)]
-                        parts.append(b"".join([known[w] if w in known else rest[w] for w in words]))
-                    else:
-                        parts.append(b"".join(map(get, words)))
-                ids.append(b"".join(parts))
+                words = [w for run in split.runs(z.decompress(packed).decode()) for w in run]
+                if tail:
+                    own = {x["at"]: x["ids"] for x in tail}
+                    known.rest = {w: own[i] for i, w in enumerate(sorted(set(words).difference(known)))}
+                ids.append(b"".join(map(get, words)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *finish(ids)], names)
 
+    id_type = dict(docs.dtypes)[doc_id]
     names = [doc_id, *(x.strip().split()[0] for x in schema.split(","))]
     return (
         keyed.mapInArrow(pack, f"id {id_type}, packed binary, key long")
@@ -264,12 +287,18 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
     )
 
 
-def decode_ids(ids: bytes, pieces: list[bytes]) -> bytes:
-    """The pieces of the ids, joined; bytes that are no UTF-8 become replacement characters, as in the library."""
-    import numpy as np
+def decode(ids: list[bytes], pieces: pa.Array) -> list[bytes]:
+    """Each list of ids as the UTF-8 of its text: pieces taken from the id-to-piece table, then joined.
 
-    raw = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-    return raw.decode("utf-8", "replace").encode()
+    Bytes that are no UTF-8 become replacement characters, as in the library.
+    """
+    if not ids:
+        return []
+    taken = pieces.take(pa.Array.from_buffers(pa.uint32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))]))
+    ends = np.frombuffer(taken.buffers()[1], np.int64)
+    raw = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
+    at = ends[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])].tolist() if len(taken) else [0] * (len(ids) + 1)
+    return [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(at, at[1:])]
 
 
 def op9_bpe(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -277,22 +306,21 @@ def op9_bpe(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     tokenizer = tokenizer or default_tokenizer()
 
     def finish(ids):
-        pieces = _pieces(tokenizer)
         return [
             pa.array([len(x) // 4 for x in ids], pa.int64()),
             pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-            pa.array([hashlib.sha256(decode_ids(x, pieces)).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in decode(ids, _pieces(tokenizer))], pa.string()),
         ]
 
     return encode_documents(documents(spark, sf_dir), tokenizer, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-_tables: dict[str, list[bytes]] = {}
+_tables: dict[str, pa.Array] = {}
 
 
-def _pieces(tokenizer: str) -> list[bytes]:
+def _pieces(tokenizer: str) -> pa.Array:
     if tokenizer not in _tables:
-        _tables[tokenizer] = vocabulary(tokenizer).pieces()
+        _tables[tokenizer] = pa.array(vocabulary(tokenizer).pieces(), pa.large_binary())
     return _tables[tokenizer]
 
 
