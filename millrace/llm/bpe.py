@@ -200,24 +200,15 @@ def head_count(words: DataFrame, most_words: int, most_bytes: int) -> int:
     return least
 
 
-class _Head(dict):
-    """word -> ids of the head; for other words, the current document's own."""
+_heads: dict[str, dict[str, bytes]] = {}
 
-    rest: dict[str, bytes]
 
-    def __missing__(self, word):
-        return self.rest[word]
-
-
-_heads: dict[str, _Head] = {}
-
-
-def _head(name: str, packed) -> _Head:
-    """The head in this worker, unpacked once."""
+def _head(name: str, packed) -> dict[str, bytes]:
+    """The head in this worker, unpacked once. A plain dict: a set's difference() looks words up in nothing else."""
     if name not in _heads:
         _heads.clear()
         table = pa.ipc.open_stream(packed.value).read_all()
-        _heads[name] = _Head(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+        _heads[name] = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
     return _heads[name]
 
 
@@ -271,10 +262,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
             ids = []
             for packed, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = [w for run in split.runs(z.decompress(packed).decode()) for w in run]
-                if tail:
-                    own = {x["at"]: x["ids"] for x in tail}
-                    known.rest = {w: own[i] for i, w in enumerate(sorted(set(words).difference(known)))}
+                own = {x["at"]: x["ids"] for x in tail or ()}
+                rest = {w: own[i] for i, w in enumerate(sorted(set(words).difference(known)))} if own else {}
+                known.update(rest)
                 ids.append(b"".join(map(get, words)))
+                for w in rest:
+                    del known[w]
             yield pa.RecordBatch.from_arrays([batch.column(0), *finish(ids)], names)
 
     id_type = dict(docs.dtypes)[doc_id]
