@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, small
 
 SAMPLE_DOCS = 50_000
-HEAD_WORDS = 300_000
+HEAD_WORDS = 400_000
 HEAD_BYTES = 16 << 20
 #: Distinct words a task holds before it hands its counts on.
 FLUSH_WORDS = 300_000
@@ -162,7 +162,11 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFram
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids) of distinct words (column word), each encoded once; ids are little-endian unsigned 32-bit."""
+    """The columns of words besides ``word``, and ids: little-endian unsigned 32-bit.
+
+    Rows of a word must follow each other in one partition; each distinct word is then encoded once.
+    """
+    names = [c for c in words.columns if c != "word"]
 
     def encode(batches):
         from tokenizers import Tokenizer
@@ -170,14 +174,20 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
         t, special = Tokenizer.from_file(tokenizer), vocabulary(tokenizer).special
         t.no_truncation()
         t.no_padding()
+        last: dict[str, bytes] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
-                column = batch.column(0).slice(i, 4096)
-                part = column.to_pylist()
-                ids = [_ids_bytes([special[w]] if w in special else e.ids) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False))]
-                yield pa.RecordBatch.from_arrays([column, pa.array(ids, pa.binary())], ["word", "ids"])
+                part = batch.slice(i, 4096)
+                coded = part.column("word").dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                new = [w for w in distinct if w not in last]
+                last |= {w: _ids_bytes([special[w]] if w in special else e.ids) for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False))}
+                ids = pa.array([last[w] for w in distinct], pa.binary()).take(coded.indices)
+                last = {distinct[-1]: last[distinct[-1]]}
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], [*names, "ids"])
 
-    return words.select("word").mapInArrow(encode, "word string, ids binary")
+    kinds = dict(words.dtypes)
+    return words.mapInArrow(encode, ", ".join([*(f"{c} {kinds[c]}" for c in names), "ids binary"]))
 
 
 def head_count(words: DataFrame, most_words: int, most_bytes: int) -> int:
@@ -217,7 +227,8 @@ def head_words(docs: DataFrame, tokenizer: str, text: str = "text") -> bytes:
     n = docs.count()
     sample = docs.select(text).sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=7)
     counts = materialize(word_counts(sample, tokenizer, text).filter("n > 1"), "bpe-sample")
-    table = encode_words(counts.filter(F.col("n") >= head_count(counts, HEAD_WORDS, HEAD_BYTES)), tokenizer).toArrow()
+    top = counts.filter(F.col("n") >= head_count(counts, HEAD_WORDS, HEAD_BYTES))
+    table = encode_words(top.select("word", F.col("word").alias("head")), tokenizer).toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -236,20 +247,19 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
 
     def rare(batches):
         split, known = vocabulary(tokenizer).splitter, _head(name, packed_head)
-        for batch in batches:
+        for batch in small(batches):
             own = [sorted(set().union(*map(set, split.runs(t))).difference(known)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["key", "words"])
 
-    rows = materialize(keyed.select("key", "text").mapInArrow(rare, "key long, words array<string>").filter("size(words) > 0"), "bpe-rare")
-    placed = rows.select("key", F.posexplode("words").alias("at", "word"))
-    rest = encode_words(placed.select("word").distinct(), tokenizer)
-    tail = placed.join(rest, "word").groupBy("key").agg(F.collect_set(F.struct("at", "ids")).alias("tail"))
+    placed = keyed.select("key", "text").mapInArrow(rare, "key long, words array<string>").select("key", F.posexplode("words").alias("at", "word"))
+    # No word of the rest is frequent (frequent ones are in the head), so dealing by the word is even.
+    tail = encode_words(placed.repartition("word").sortWithinPartitions("word"), tokenizer).groupBy("key").agg(F.collect_set(F.struct("at", "ids")).alias("tail"))
 
     def pack(batches):
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in small(batches):
             packed = pa.array([z.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2)], ["id", "packed", "key"])
 
@@ -258,7 +268,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
 
         split, known, z = vocabulary(tokenizer).splitter, _head(name, packed_head), zstandard.ZstdDecompressor()
         get = known.__getitem__
-        for batch in batches:
+        for batch in small(batches):
             ids = []
             for packed, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = [w for run in split.runs(z.decompress(packed).decode()) for w in run]
