@@ -252,8 +252,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["key", "words"])
 
     placed = keyed.select("key", "text").mapInArrow(rare, "key long, words array<string>").select("key", F.posexplode("words").alias("at", "word"))
+    def fold(batches):
+        width = "<u2" if len(_pieces(tokenizer)) <= 1 << 16 else "<u4"
+        for batch in batches:
+            at = np.asarray(batch.column(1)).astype("<u4")
+            place = [at[i].tobytes() + np.frombuffer(x, "<u4").astype(width).tobytes() for i, x in enumerate(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place, pa.binary())], ["key", "place"])
+
     # No word of the rest is frequent (frequent ones are in the head), so dealing by the word is even.
-    tail = encode_words(placed.repartition("word").sortWithinPartitions("word"), tokenizer).groupBy("key").agg(F.collect_set(F.struct("at", "ids")).alias("tail"))
+    dealt = encode_words(placed.repartition("word").sortWithinPartitions("word"), tokenizer)
+    # Narrow rows: a word's place and its ids, in 16 bits where the vocabulary allows, as one value.
+    tail = dealt.mapInArrow(fold, "key long, place binary").groupBy("key").agg(F.collect_set("place").alias("tail"))
 
     def pack(batches):
         import zstandard
@@ -267,12 +276,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
         import zstandard
 
         split, known, z = vocabulary(tokenizer).splitter, _head(name, packed_head), zstandard.ZstdDecompressor()
-        get = known.__getitem__
+        get, width = known.__getitem__, "<u2" if len(_pieces(tokenizer)) <= 1 << 16 else "<u4"
         for batch in small(batches):
             ids = []
             for packed, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = [w for run in split.runs(z.decompress(packed).decode()) for w in run]
-                own = {x["at"]: x["ids"] for x in tail or ()}
+                own = {int.from_bytes(x[:4], "little"): np.frombuffer(x, width, offset=4).astype("<u4").tobytes() for x in tail or ()}
                 rest = {w: own[i] for i, w in enumerate(sorted(set(words).difference(known)))} if own else {}
                 known.update(rest)
                 ids.append(b"".join(map(get, words)))
