@@ -161,12 +161,15 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFram
     return docs.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
+def encode_words(words: DataFrame, tokenizer: str, placed: bool = False) -> DataFrame:
     """The columns of words besides ``word``, and ids: little-endian unsigned 32-bit.
 
-    Rows of a word must follow each other in one partition; each distinct word is then encoded once.
+    Rows of a word must follow each other in one partition; each distinct word is then encoded once. With ``placed``,
+    the columns key and at become key and place: at in 4 bytes, then the ids, in 16 bits each where the vocabulary
+    allows it, as one narrow value.
     """
-    names = [c for c in words.columns if c != "word"]
+    names = ["key"] if placed else [c for c in words.columns if c != "word"]
+    to = "place" if placed else "ids"
 
     def encode(batches):
         from tokenizers import Tokenizer
@@ -175,6 +178,8 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
         t.no_truncation()
         t.no_padding()
         last: dict[str, bytes] = {}
+        width = "<u2" if len(_pieces(tokenizer)) <= 1 << 16 else "<u4"
+        _heads.clear()  # one large table at a time in a worker
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
@@ -184,10 +189,13 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
                 last |= {w: _ids_bytes([special[w]] if w in special else e.ids) for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False))}
                 ids = pa.array([last[w] for w in distinct], pa.binary()).take(coded.indices)
                 last = {distinct[-1]: last[distinct[-1]]}
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], [*names, "ids"])
+                if placed:
+                    at = np.asarray(part.column("at")).astype("<u4")
+                    ids = pa.array([at[k].tobytes() + np.frombuffer(x, "<u4").astype(width).tobytes() for k, x in enumerate(ids.to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], [*names, to])
 
     kinds = dict(words.dtypes)
-    return words.mapInArrow(encode, ", ".join([*(f"{c} {kinds[c]}" for c in names), "ids binary"]))
+    return words.mapInArrow(encode, ", ".join([*(f"{c} {kinds[c]}" for c in names), f"{to} binary"]))
 
 
 def head_count(words: DataFrame, most_words: int, most_bytes: int) -> int:
@@ -252,17 +260,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["key", "words"])
 
     placed = keyed.select("key", "text").mapInArrow(rare, "key long, words array<string>").select("key", F.posexplode("words").alias("at", "word"))
-    def fold(batches):
-        width = "<u2" if len(_pieces(tokenizer)) <= 1 << 16 else "<u4"
-        for batch in batches:
-            at = np.asarray(batch.column(1)).astype("<u4")
-            place = [at[i].tobytes() + np.frombuffer(x, "<u4").astype(width).tobytes() for i, x in enumerate(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place, pa.binary())], ["key", "place"])
-
     # No word of the rest is frequent (frequent ones are in the head), so dealing by the word is even.
-    dealt = encode_words(placed.repartition("word").sortWithinPartitions("word"), tokenizer)
-    # Narrow rows: a word's place and its ids, in 16 bits where the vocabulary allows, as one value.
-    tail = dealt.mapInArrow(fold, "key long, place binary").groupBy("key").agg(F.collect_set("place").alias("tail"))
+    dealt = encode_words(placed.repartition("word").sortWithinPartitions("word"), tokenizer, placed=True)
+    tail = dealt.groupBy("key").agg(F.collect_set("place").alias("tail"))
 
     def pack(batches):
         import zstandard
