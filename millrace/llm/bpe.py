@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
 import re
 import uuid
 from collections import Counter
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, small
+from .common import documents, materialize, release, small
 
 SAMPLE_DOCS = 50_000
 HEAD_WORDS = 400_000
@@ -154,6 +155,8 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFram
                     yield flush(seen)
                     seen = Counter()
         yield flush(seen)
+        del seen
+        release()
 
     def flush(seen):
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
@@ -172,6 +175,7 @@ def encode_words(words: DataFrame, tokenizer: str, placed: bool = False) -> Data
     to = "place" if placed else "ids"
 
     def encode(batches):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         t, special = Tokenizer.from_file(tokenizer), vocabulary(tokenizer).special
@@ -193,6 +197,8 @@ def encode_words(words: DataFrame, tokenizer: str, placed: bool = False) -> Data
                     at = np.asarray(part.column("at")).astype("<u4")
                     ids = pa.array([at[k].tobytes() + np.frombuffer(x, "<u4").astype(width).tobytes() for k, x in enumerate(ids.to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], [*names, to])
+        del t, last
+        release()
 
     kinds = dict(words.dtypes)
     return words.mapInArrow(encode, ", ".join([*(f"{c} {kinds[c]}" for c in names), f"{to} binary"]))
@@ -258,6 +264,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
         for batch in small(batches):
             own = [sorted(set().union(*map(set, split.runs(t))).difference(known)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["key", "words"])
+        release()
 
     placed = keyed.select("key", "text").mapInArrow(rare, "key long, words array<string>").select("key", F.posexplode("words").alias("at", "word"))
     # No word of the rest is frequent (frequent ones are in the head), so dealing by the word is even.
@@ -271,6 +278,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
         for batch in small(batches):
             packed = pa.array([z.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2)], ["id", "packed", "key"])
+        release()
 
     def join(batches):
         import zstandard
@@ -288,6 +296,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
                 for w in rest:
                     del known[w]
             yield pa.RecordBatch.from_arrays([batch.column(0), *finish(ids)], names)
+        release()
 
     id_type = dict(docs.dtypes)[doc_id]
     names = [doc_id, *(x.strip().split()[0] for x in schema.split(","))]
