@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .langid import op2_language
+from .media import op4_media
 from .packing import op3_packing
 from .simhash import op6_simhash
 from .topk import op8_topk
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op4_media": op4_media,
     "op6_simhash": op6_simhash,
     "op8_topk": op8_topk,
     "op9_bpe": op9_bpe,
@@ -17,9 +21,9 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op8_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS w
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w)
