@@ -6,6 +6,7 @@ from .bpe import op9_bpe
 from .langid import op2_language
 from .media import op4_media
 from .packing import op3_packing
+from .passages import op10_passages
 from .simhash import op6_simhash
 from .topk import op8_topk
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op8_topk": op8_topk,
     "op9_bpe": op9_bpe,
+    "op10_passages": op10_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
