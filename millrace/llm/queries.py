@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .langid import op2_language
+from .licenses import op1_licenses
 from .media import op4_media
 from .packing import op3_packing
 from .passages import op10_passages
+from .pii import op7_pii
 from .simhash import op6_simhash
 from .topk import op8_topk
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_topk": op8_topk,
     "op9_bpe": op9_bpe,
     "op10_passages": op10_passages,
