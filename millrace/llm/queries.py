@@ -9,6 +9,7 @@ from .media import op4_media
 from .packing import op3_packing
 from .passages import op10_passages
 from .pii import op7_pii
+from .secrets import op5_secrets
 from .simhash import op6_simhash
 from .topk import op8_topk
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
     "op8_topk": op8_topk,

@@ -1,0 +1,59 @@
+import random
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from millrace.llm import secrets
+from millrace.llm.common import documents, materialize
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_forest_on_unseen_findings(spark):
+    model = secrets.train(spark)
+    unseen = secrets.labelled_findings(600, seed=99)
+    df = spark.createDataFrame([(i, b + v + a, p) for i, (b, v, a, p, _) in enumerate(unseen)], "doc_id long, text string, source string")
+    flagged = {r["id"] for r in secrets.scan(df, model).filter("is_secret").collect()}
+    right = sum((i in flagged) == bool(x[4]) for i, x in enumerate(unseen))
+    assert right >= 0.93 * len(unseen)
+
+
+def test_scan_and_redact(spark):
+    model = secrets.train(spark)
+    key = "AKIA" + "Q7PLM2ZX9TRW4VNB"
+    rows = [
+        (1, f"the words {key} go on", "src1"), (2, 'a token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" b', "src1"), (3, "nothing of note", None), (4, None, None), (5, "", "x"),
+        (6, "x" * 50000, "src"), (6, f"{key} {key}", "src"), (None, f"é😀 password=b7db7aa4a5fcc78305 enes", "s"), (7, "thatonheandthereinginthewordsarelong andmore", "src"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit(1)).withColumn("probability", F.lit("x"))
+    found = materialize(secrets.scan(df, model), "found")
+    got = {(r["id"], r["start"], r["end"]) for r in found.filter("is_secret").collect()}
+    assert got == {(1, 10, 30), (2, 11, 51), (6, 0, 20), (6, 21, 41), (None, 12, 30)}
+    clean = {(r["doc_id"], r["text"]) for r in secrets.redact(df, found).collect()}
+    assert (1, "the words [SECRET] go on") in clean and (6, "[SECRET] [SECRET]") in clean and (None, "é😀 password=[SECRET] enes") in clean and (4, None) in clean
+    assert secrets.scan(df.limit(0), model).count() == 0
+
+
+def test_pipeline(spark):
+    docs = documents(spark, SF)
+    columns = docs.columns
+    seen = {"in": docs.count()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+        seen[name] = docs.count()
+    assert seen["in"] >= seen["language_id"] >= seen["simhash_dedup"] >= seen["substring_dedup"] == seen["secret_scan"]
+    rows = docs.collect()
+    assert len({r["text"] for r in rows}) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in rows)
+    assert not any("AKIA" in r["text"] for r in rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in rows}
+
+
+def test_near_dedup_stage(spark):
+    r = random.Random(1)
+    text = " ".join("".join(r.choices("abcdefg", k=5)) for _ in range(400))
+    rows = [(5, text), (3, text), (3, text), (9, text.upper()), (None, text), (None, "own words of its own"), (None, "own words of its own"), (11, None), (12, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
+    got = sorted((x["doc_id"] or 0, x["text"] or "") for x in corpus_pipeline.near_dedup(spark, df, SF).collect())
+    assert got == [(0, "own words of its own"), (3, text), (11, "")]
