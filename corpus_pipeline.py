@@ -1,7 +1,73 @@
-"""The corpus pipeline: stages run in order, each on the table the one before has written."""
+"""The corpus pipeline: each stage applies one operator to the table that the stage before it has written.
 
-STAGES = []
+Rows with a null id are handled like others; their place among ids is taken by a hash of their text.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import langid, packing, passages, secrets, simhash
+from millrace.llm.common import materialize
+
+#: A document's language is rejected below this share of its words.
+LEAST_SCORE = 0.3
+#: A document of which less than this share is left after repeated passages are cut is a copy.
+LEAST_LEFT = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language; fills in a language that is null."""
+    field = langid.fit(langid.training_rows(docs))
+    got = langid.identify(docs, field).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group that fingerprints link; of repeated rows, one."""
+    place = F.coalesce("doc_id", F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**60)))
+    marked = docs.withColumn("_id", place)
+    keep = simhash.near_duplicates(marked, "_id").filter(F.col("_id") == F.col("component_id")).select("_id").distinct()
+    return marked.join(keep, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages but for their first occurrence; drops documents that held little else."""
+    size = F.col("n_chars")
+    held = docs.withColumn("n_chars", F.length("text").cast("long"))
+    cut = passages.without(held, passages.repeated(docs))
+    left = F.length("text").cast("long")
+    return cut.filter((left > 0) & (left >= LEAST_LEFT * size)).withColumn("n_chars", left).select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of each secret."""
+    clean = secrets.redact(docs, secrets.scan(docs, secrets.train(spark)))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_dedup", near_dedup),
+    ("substring_dedup", passage_dedup),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
+
+#: The stages' models and hashes have no SQL form; tests hold them against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{name}")
+    return docs
