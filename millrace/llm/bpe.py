@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release, small
+from .common import documents, materialize, release, ship, small
 
 SAMPLE_DOCS = 50_000
 HEAD_WORDS = 400_000
@@ -161,7 +161,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFram
     def flush(seen):
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    return docs.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return ship(docs).select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, tokenizer: str, placed: bool = False) -> DataFrame:
@@ -201,7 +201,7 @@ def encode_words(words: DataFrame, tokenizer: str, placed: bool = False) -> Data
         release()
 
     kinds = dict(words.dtypes)
-    return words.mapInArrow(encode, ", ".join([*(f"{c} {kinds[c]}" for c in names), f"{to} binary"]))
+    return ship(words).mapInArrow(encode, ", ".join([*(f"{c} {kinds[c]}" for c in names), f"{to} binary"]))
 
 
 def head_count(words: DataFrame, most_words: int, most_bytes: int) -> int:
@@ -266,7 +266,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["key", "words"])
         release()
 
-    placed = keyed.select("key", "text").mapInArrow(rare, "key long, words array<string>").select("key", F.posexplode("words").alias("at", "word"))
+    placed = ship(keyed).select("key", "text").mapInArrow(rare, "key long, words array<string>").select("key", F.posexplode("words").alias("at", "word"))
     # No word of the rest is frequent (frequent ones are in the head), so dealing by the word is even.
     dealt = encode_words(placed.repartition("word").sortWithinPartitions("word"), tokenizer, placed=True)
     tail = dealt.groupBy("key").agg(F.collect_set("place").alias("tail"))
@@ -301,7 +301,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
     id_type = dict(docs.dtypes)[doc_id]
     names = [doc_id, *(x.strip().split()[0] for x in schema.split(","))]
     return (
-        keyed.mapInArrow(pack, f"id {id_type}, packed binary, key long")
+        ship(keyed).mapInArrow(pack, f"id {id_type}, packed binary, key long")
         .join(tail, "key", "left")
         .select("id", "packed", "tail")
         .mapInArrow(join, f"{doc_id} {id_type}, {schema}")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, release, small
+from .common import documents, release, ship, small
 
 PER_LANGUAGE = 600
 TRAIN_WORDS = 200_000
@@ -254,7 +254,7 @@ def identify(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text:
         release()
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "lang_pred string", "score double"]))
+    return ship(docs).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "lang_pred string", "score double"]))
 
 
 def segments(text: str, field: Field) -> list[tuple[int, int, str, float]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, release, small
+from .common import documents, release, ship, small
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -197,7 +197,7 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [doc_id, "n_bytes", "media"])
         release()
 
-    return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} {kind}, n_bytes long, media binary")
+    return ship(docs).select(doc_id, text).mapInArrow(run, f"{doc_id} {kind}, n_bytes long, media binary")
 
 
 CLIP = "array<struct<clip: int, first_frame: int, end_frame: int, start_s: double, end_s: double>>"
@@ -221,7 +221,7 @@ def read(media: DataFrame) -> DataFrame:
         release()
 
     kinds = dict(media.dtypes)
-    return media.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in names), "payload binary", f"clips {CLIP}"]))
+    return ship(media).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in names), "payload binary", f"clips {CLIP}"]))
 
 
 def clip_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

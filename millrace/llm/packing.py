@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _ids_bytes, default_tokenizer, vocabulary
-from .common import documents, materialize
+from .common import documents, materialize, ship
 
 SEQUENCE = 2048
 END_ID = 1
@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
 
     names = [doc_id, "start", "length", "ids_crc32", "doc_tokens"]
-    return docs.select(doc_id, text).mapInArrow(cut, f"{doc_id} {dict(docs.dtypes)[doc_id]}, start long, length long, ids_crc32 long, doc_tokens long")
+    return ship(docs).select(doc_id, text).mapInArrow(cut, f"{doc_id} {dict(docs.dtypes)[doc_id]}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:

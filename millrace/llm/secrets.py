@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release, small
+from .common import documents, release, ship, small
 
 LABELLED = 3000
 TREES, DEPTH = 30, 8
@@ -173,7 +173,7 @@ def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", pat
         release()
 
     keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path"))
-    found = keyed.mapInArrow(run, f"key long, id {kind_of_id}, kind string, start long, end long, value_sha256 string, f array<double>")
+    found = ship(keyed).mapInArrow(run, f"key long, id {kind_of_id}, kind string, start long, end long, value_sha256 string, f array<double>")
     scored = model.transform(found.withColumn("features", array_to_vector("f")))
     p = F.get(vector_to_array("probability"), 1)
     return scored.select("key", "id", "kind", "start", "end", "value_sha256", p.alias("probability")).withColumn("is_secret", F.col("probability") >= THRESHOLD)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release, small
+from .common import documents, materialize, release, ship, small
 from .components import components
 
 SHINGLE = 3
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [doc_id, "fp"])
         release()
 
-    return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} {kind}, fp long")
+    return ship(docs).select(doc_id, text).mapInArrow(run, f"{doc_id} {kind}, fp long")
 
 
 def _balls(batches):
@@ -165,12 +165,12 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST_ROWS) -> DataFr
     """(a, b): a spanning forest of the links among distinct fingerprints (column fp), at most ``radius`` = 3 bits apart."""
     if radius > 3:
         raise ValueError("two segments with balls of radius 1 find at most 3 differing bits")
-    rows = fps.select("fp").mapInArrow(_balls, "k long, fp long, in_table boolean")
+    rows = ship(fps).select("fp").mapInArrow(_balls, "k long, fp long, in_table boolean")
     found = materialize(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_linker(radius, most), "a long, b long, again long"), "links")
     again = found.filter("again is not null")
     if again.isEmpty():
         return found.select("a", "b")
-    dealt = again.select("a", "again").mapInArrow(_masks, "k long, fp long, in_table boolean").repartition("k").sortWithinPartitions("k")
+    dealt = ship(again).select("a", "again").mapInArrow(_masks, "k long, fp long, in_table boolean").repartition("k").sortWithinPartitions("k")
     more = dealt.mapInArrow(_linker(radius, None), "a long, b long, again long")
     return found.filter("again is null").select("a", "b").union(more.select("a", "b"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
 
 K = 5
 SCALE = 256
@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
         for n in np.unique(sizes):
             part = own.filter(pa.array(sizes == n)).combine_chunks()
             by_size[int(n)] = (np.asarray(part.column("vec_id")), _matrix(part.column("v").combine_chunks(), scale)[0])
-        parts.append(vectors.mapInArrow(_searcher(spark.sparkContext.broadcast(by_size), k, scale, TILE), "node int, query_id long, best array<struct<s: long, id: long>>"))
+        parts.append(ship(vectors).mapInArrow(_searcher(spark.sparkContext.broadcast(by_size), k, scale, TILE), "node int, query_id long, best array<struct<s: long, id: long>>"))
     lists = parts[0]
     for p in parts[1:]:
         lists = lists.union(p)
