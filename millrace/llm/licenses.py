@@ -57,42 +57,47 @@ SENTENCES = [
     ("CopyrightLine", r"^(portions )?copyright (c )?([0-9]{4}|by )"),
 ]
 
-# Ordered rules over the sequence of identifiers, each followed by a comma.
+# Ordered rules over the sequence of identifiers, each in angle brackets.
 RULES = [
-    ("Apache-2.0", r"(?:Apache2,)(?:Apache2Limit,)?(?:Apache2Copy,)?(?:Apache2AsIs,)?"),
-    ("Apache-2.0", r"(?:Apache2Limit,)(?:Apache2Copy,)?(?:Apache2AsIs,)?"),
-    ("MIT", r"MITperm,(?:MITnotice,)?(?:AsIs,)?(?:NoLiability,)?"),
-    ("MIT", r"MITref,"),
-    ("BSD-3-Clause", r"BSDredist,BSDsource,BSDbinary,(?:[A-Za-z]*,)?BSDendorse,(?:AsIs,)?(?:NoLiability,)?"),
-    ("BSD-2-Clause", r"BSDredist,BSDsource,BSDbinary,(?:AsIs,)?(?:NoLiability,)?"),
-    ("BSD", r"BSDref,"),
-    ("AGPL-3.0", r"AGPL3,(?:WarrantyGPL,)?"),
-    ("LGPL-3.0", r"LGPL3,(?:WarrantyGPL,)?"),
-    ("LGPL-2.1", r"LGPL2\.1,(?:WarrantyGPL,)?"),
-    ("LGPL", r"LGPL,(?:WarrantyGPL,)?"),
-    ("GPL-3.0-or-later", r"GPL3\+,(?:WarrantyGPL,)?(?:GPL,)?"),
-    ("GPL-2.0-or-later", r"GPL2\+,(?:WarrantyGPL,)?(?:GPL,)?"),
-    ("GPL-3.0", r"GPL3,(?:WarrantyGPL,)?(?:GPL,)?"),
-    ("GPL-2.0", r"GPL2,(?:WarrantyGPL,)?(?:GPL,)?"),
-    ("GPL", r"GPL,(?:WarrantyGPL,)?"),
-    ("MPL-2.0", r"MPL2,"),
-    ("EPL", r"EPL,"),
-    ("ISC", r"ISC,(?:AsIs,)?(?:NoLiability,)?"),
-    ("CC0-1.0", r"CC0,"),
-    ("CC-BY-SA", r"CCBYSA,"),
-    ("CC-BY", r"CCBY,"),
-    ("PublicDomain", r"PublicDomain,"),
-    ("AllRightsReserved", r"AllRights,"),
+    ("Apache-2.0", r"(?:<Apache2>)(?:<Apache2Limit>)?(?:<Apache2Copy>)?(?:<Apache2AsIs>)?"),
+    ("Apache-2.0", r"(?:<Apache2Limit>)(?:<Apache2Copy>)?(?:<Apache2AsIs>)?"),
+    ("MIT", r"<MITperm>(?:<MITnotice>)?(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("MIT", r"<MITref>"),
+    ("BSD-3-Clause", r"<BSDredist><BSDsource><BSDbinary>(?:<[A-Za-z]*>)?<BSDendorse>(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("BSD-2-Clause", r"<BSDredist><BSDsource><BSDbinary>(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("BSD", r"<BSDref>"),
+    ("AGPL-3.0", r"<AGPL3>(?:<WarrantyGPL>)?"),
+    ("LGPL-3.0", r"<LGPL3>(?:<WarrantyGPL>)?"),
+    ("LGPL-2.1", r"<LGPL2\.1>(?:<WarrantyGPL>)?"),
+    ("LGPL", r"<LGPL>(?:<WarrantyGPL>)?"),
+    ("GPL-3.0-or-later", r"<GPL3\+>(?:<WarrantyGPL>)?(?:<GPL>)?"),
+    ("GPL-2.0-or-later", r"<GPL2\+>(?:<WarrantyGPL>)?(?:<GPL>)?"),
+    ("GPL-3.0", r"<GPL3>(?:<WarrantyGPL>)?(?:<GPL>)?"),
+    ("GPL-2.0", r"<GPL2>(?:<WarrantyGPL>)?(?:<GPL>)?"),
+    ("GPL", r"<GPL>(?:<WarrantyGPL>)?"),
+    ("MPL-2.0", r"<MPL2>"),
+    ("EPL", r"<EPL>"),
+    ("ISC", r"<ISC>(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("CC0-1.0", r"<CC0>"),
+    ("CC-BY-SA", r"<CCBYSA>"),
+    ("CC-BY", r"<CCBY>"),
+    ("PublicDomain", r"<PublicDomain>"),
+    ("AllRightsReserved", r"<AllRights>"),
 ]
 #: Identifiers that name no licence by themselves.
 NEUTRAL = ("CopyrightLine", "AsIs", "NoLiability", "WarrantyGPL")
 UNKNOWN = "?"
 
 
+#: What a known sentence may hold instead of a cue, in sentences and in whole texts.
+OTHER_CUES = r"may not use this file|as is|endorse or promote|copy of the license|creative commons|cc0|\bgpl|\bagpl|cc by"
+TEXT_CUES = "as is|creative commons|cc0|gpl|mit license|cc.by|may not use|endorse or promote"
+
+
 def _identify(sentence: Column) -> Column:
     """The identifier of a sentence, UNKNOWN if it has a cue only, else null."""
     norm = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    chain = F.when(~norm.rlike(CUES + "|may not use this file|as is|endorse or promote|copy of the license|creative commons|cc0|\\bgpl|\\bagpl|cc by"), None)
+    chain = F.when(~norm.rlike(CUES + "|" + OTHER_CUES), None)
     for name, pattern in SENTENCES:
         chain = chain.when(norm.rlike(pattern), name)
     return chain.when(norm.rlike(CUES), UNKNOWN)
@@ -106,18 +111,18 @@ def _ids(text: Column) -> Column:
 def recognise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, licenses (names in order of the rules, joined), sentence_ids, n_sentences, n_unknown."""
     known = lambda ids: F.size(F.filter(ids, lambda x: x != UNKNOWN))
-    cued = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(F.lower("_t").rlike(CUES + "|as is|creative commons|cc0|gpl|mit license"))
+    cued = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(F.lower("_t").rlike(CUES + "|" + TEXT_CUES))
     read = cued.select("doc_id", _ids(F.col("_t")).alias("a"), _ids(F.regexp_replace("_t", "[ \\t]*\n[ \\t]*", " ")).alias("b"))
     read = read.select("doc_id", F.when(known(F.col("b")) > known(F.col("a")), F.col("b")).otherwise(F.col("a")).alias("all"))
     read = read.select("doc_id", "all", F.filter("all", lambda x: x != UNKNOWN).alias("ids")).filter(F.size("ids") > 0)
-    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit("(^|(?<=,))" + p).alias("rule")) for n, p in RULES))
-    start = F.struct(F.concat(F.array_join("ids", ","), F.lit(",")).alias("left"), F.array().cast("array<string>").alias("found"))
+    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("rule")) for n, p in RULES))
+    start = F.struct(F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("left"), F.array().cast("array<string>").alias("found"))
     step = lambda s, r: F.struct(
         F.regexp_replace(s["left"], r["rule"], F.lit("")).alias("left"),
         F.when(F.regexp_like(s["left"], r["rule"]), F.array_union(s["found"], F.array(r["name"]))).otherwise(s["found"]).alias("found"),
     )
     read = read.withColumn("m", F.aggregate(rules, start, step))
-    rest = F.filter(F.split("m.left", ","), lambda x: (x != "") & ~x.isin(*NEUTRAL))
+    rest = F.filter(F.split("m.left", "[<>]+"), lambda x: (x != "") & ~x.isin(*NEUTRAL))
     names = F.when(F.size(rest) > 0, F.array_union("m.found", F.array(F.lit("UnmatchedSentence")))).otherwise(F.col("m.found"))
     return read.select(
         "doc_id",
@@ -130,3 +135,31 @@ def recognise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
     return recognise(documents(spark, sf_dir))
+
+
+def oracle_sql() -> str:
+    """The same recognition in DuckDB's SQL."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    norm = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+    chain = f"CASE WHEN NOT regexp_matches(n, {q(CUES + '|' + OTHER_CUES)}) THEN NULL " + " ".join(f"WHEN regexp_matches(n, {q(p)}) THEN {q(k)}" for k, p in SENTENCES) + f" WHEN regexp_matches(n, {q(CUES)}) THEN '{UNKNOWN}' END"
+
+    def read(text):
+        parts = f"string_split(regexp_replace({text}, '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
+        return f"list_filter(list_transform(list_transform({parts}, lambda s: {norm}), lambda n: {chain}), lambda x: x IS NOT NULL)"
+
+    known = lambda c: f"len(list_filter({c}, lambda x: x <> '{UNKNOWN}'))"
+    out = f"WITH c AS (SELECT row_number() OVER () AS i, doc_id, text FROM documents WHERE regexp_matches(lower(text), {q(CUES + '|' + TEXT_CUES)})), "
+    joined = "regexp_replace(text, '[ \\t]*' || chr(10) || '[ \\t]*', ' ', 'g')"
+    out += f"r AS (SELECT i, doc_id, {read('text')} AS a, {read(joined)} AS b FROM c), "
+    out += f"x AS (SELECT i, doc_id, CASE WHEN {known('b')} > {known('a')} THEN b ELSE a END AS every FROM r), "
+    out += f"y AS (SELECT *, list_filter(every, lambda x: x <> '{UNKNOWN}') AS ids FROM x), "
+    out += "m0 AS (SELECT *, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM y WHERE len(ids) > 0)"
+    for k, (name, rule) in enumerate(RULES):
+        add = f"CASE WHEN regexp_matches(rest, {q(rule)}) AND NOT list_contains(found, {q(name)}) THEN list_append(found, {q(name)}) ELSE found END"
+        out += f", m{k + 1} AS (SELECT i, doc_id, every, ids, regexp_replace(rest, {q(rule)}, '', 'g') AS rest, {add} AS found FROM m{k})"
+    neutral = ", ".join(map(q, ("", *NEUTRAL)))
+    left = f"len(list_filter(string_split(replace(rest, '<', ''), '>'), lambda x: x NOT IN ({neutral})))"
+    return out + (
+        f" SELECT doc_id, array_to_string(CASE WHEN {left} > 0 THEN list_append(found, 'UnmatchedSentence') ELSE found END, ',') AS licenses, array_to_string(ids, ',') AS sentence_ids, "
+        f"CAST(len(ids) AS BIGINT) AS n_sentences, CAST(len(every) - len(ids) AS BIGINT) AS n_unknown FROM m{len(RULES)}"
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .langid import op2_language
 from .licenses import op1_licenses
+from .licenses import oracle_sql as licenses_sql
 from .media import op4_media
 from .packing import op3_packing
 from .passages import op10_passages
@@ -27,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses_sql(),
     "op8_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
