@@ -37,6 +37,7 @@ from .common import documents, materialize, release, ship, small
 SAMPLE_DOCS = 50_000
 HEAD_WORDS = 400_000
 HEAD_BYTES = 16 << 20
+DICTIONARY_WORDS, DICTIONARY_BYTES = 20_000, 200_000
 #: Distinct words a task holds before it hands its counts on.
 FLUSH_WORDS = 300_000
 #: Texts longer than this are split in runs of about this length, at places that are word ends anyway.
@@ -231,22 +232,35 @@ def _head(name: str, packed) -> dict[str, bytes]:
     """The head in this worker, unpacked once. A plain dict: a set's difference() looks words up in nothing else."""
     if name not in _heads:
         _heads.clear()
-        table = pa.ipc.open_stream(packed.value).read_all()
+        table = pa.ipc.open_stream(packed.value[0]).read_all()
         _heads[name] = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
     return _heads[name]
 
 
-def head_words(docs: DataFrame, tokenizer: str, text: str = "text") -> bytes:
-    """The head, (word, ids), as an Arrow stream."""
+def head_words(docs: DataFrame, tokenizer: str, text: str = "text") -> tuple[bytes, bytes]:
+    """The head, (word, ids), as an Arrow stream; and its most frequent words, in which texts are compressed better."""
     n = docs.count()
     sample = docs.select(text).sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=7)
     counts = materialize(word_counts(sample, tokenizer, text).filter("n > 1"), "bpe-sample")
     top = counts.filter(F.col("n") >= head_count(counts, HEAD_WORDS, HEAD_BYTES))
-    table = encode_words(top.select("word", F.col("word").alias("head")), tokenizer).toArrow()
+    table = encode_words(top.select("word", F.col("word").alias("head"), "n"), tokenizer).toArrow().sort_by([("n", "descending"), ("head", "ascending")])
+    frequent = "".join(reversed(table.column("head").slice(0, DICTIONARY_WORDS).to_pylist())).encode()[-DICTIONARY_BYTES:]
+    table = table.drop_columns("n")
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return sink.getvalue().to_pybytes()
+    return sink.getvalue().to_pybytes(), frequent
+
+
+def _zstd(packed, level: int = 6):
+    """(compress, decompress) of texts, with the head's most frequent words as a dictionary."""
+    import zstandard
+
+    if not packed.value[1]:
+        return zstandard.ZstdCompressor(level=level).compress, zstandard.ZstdDecompressor().decompress
+    words = zstandard.ZstdCompressionDict(packed.value[1], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level)
+    return zstandard.ZstdCompressor(level=level, dict_data=words).compress, zstandard.ZstdDecompressor(dict_data=words).decompress
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,23 +286,19 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
     tail = dealt.groupBy("key").agg(F.collect_set("place").alias("tail"))
 
     def pack(batches):
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=1)
+        compress, _ = _zstd(packed_head)
         for batch in small(batches):
-            packed = pa.array([z.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())
+            packed = pa.array([compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2)], ["id", "packed", "key"])
         release()
 
     def join(batches):
-        import zstandard
-
-        split, known, z = vocabulary(tokenizer).splitter, _head(name, packed_head), zstandard.ZstdDecompressor()
+        split, known, (_, decompress) = vocabulary(tokenizer).splitter, _head(name, packed_head), _zstd(packed_head)
         get, width = known.__getitem__, "<u2" if len(_pieces(tokenizer)) <= 1 << 16 else "<u4"
         for batch in small(batches):
             ids = []
             for packed, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = [w for run in split.runs(z.decompress(packed).decode()) for w in run]
+                words = [w for run in split.runs(decompress(packed).decode()) for w in run]
                 own = {int.from_bytes(x[:4], "little"): np.frombuffer(x, width, offset=4).astype("<u4").tobytes() for x in tail or ()}
                 rest = {w: own[i] for i, w in enumerate(sorted(set(words).difference(known)))} if own else {}
                 known.update(rest)
