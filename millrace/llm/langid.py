@@ -232,15 +232,16 @@ class _Model:
         return self.broadcast.value
 
 
-def identify(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of docs, lang_pred and score."""
-    names, model = docs.columns, _Model(docs.sparkSession, field)
+def identify(docs: DataFrame, field: Field | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns of docs and two more, named by the last parameters; columns of docs of these names are replaced."""
+    docs = docs.drop(lang_pred, score)
+    names, model, added = docs.columns, _Model(docs.sparkSession, field), [lang_pred, score]
 
     def run(batches):
         at = names.index(text)
         for batch in small(batches):
             docs_words = [words_of(t) for t in batch.column(at).to_pylist()]
-            best, score = ["und"] * len(docs_words), [0.0] * len(docs_words)
+            best, share = ["und"] * len(docs_words), [0.0] * len(docs_words)
             if model.value is not None:
                 label = _labeller(model)
                 p, mask, doc = label(docs_words)
@@ -249,12 +250,12 @@ def identify(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text:
                 for i, w in enumerate(docs_words):
                     if w:
                         k = int(total[i].argmax())
-                        best[i], score[i] = label.field.labels[k], min(1.0, float(total[i, k] / total[i].sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(score)], [*names, "lang_pred", "score"])
+                        best[i], share[i] = label.field.labels[k], min(1.0, float(total[i, k] / total[i].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(share, pa.float64())], [*names, *added])
         release()
 
     kinds = dict(docs.dtypes)
-    return ship(docs).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "lang_pred string", "score double"]))
+    return ship(docs).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{lang_pred}` string", f"`{score}` double"]))
 
 
 def segments(text: str, field: Field) -> list[tuple[int, int, str, float]]:

@@ -181,14 +181,14 @@ def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", pat
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every secret of ``found`` replaced by the mark."""
-    spans = found.filter("is_secret").groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.withColumn("_key", F.xxhash64(doc_id, text)).join(spans, "_key", "left")
+    spans = found.filter("is_secret").groupBy(F.col("key").alias("_millrace_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_millrace_spans"))
+    joined = docs.withColumn("_millrace_key", F.xxhash64(doc_id, text)).join(spans, "_millrace_key", "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda s, x: F.struct(
         x["end"].alias("at"), F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out")
     )
     end = lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text)))
-    cut = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", start, step, end)).otherwise(F.col(text))
+    cut = F.when(F.col("_millrace_spans").isNotNull(), F.aggregate("_millrace_spans", start, step, end)).otherwise(F.col(text))
     return joined.withColumn(text, cut).select(*docs.columns)
 
 

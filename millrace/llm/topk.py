@@ -126,6 +126,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     lists = parts[0]
     for p in parts[1:]:
         lists = lists.union(p)
+    tasks *= len(parts)  # a union numbers its tasks on through all passes
     while tasks > 1:
         tasks = -(-tasks // FAN)
         merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k)

@@ -50,6 +50,18 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in rows}
 
 
+def test_stages_keep_clashing_columns(spark):
+    rows = [(1, "the cat and the dog " * 20, "en", "s", 1, 0.5, "k"), (2, None, "en", "s", 1, 0.5, "k"), (3, "le chat et le chien noir " * 30, "fr", "s", 1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, key string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = materialize(stage(spark, df, SF), "clash")
+    assert df.columns[-2:] == ["score", "key"] and sorted(r["doc_id"] for r in df.collect()) == [1, 3]
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = materialize(stage(spark, empty, SF), "empty")
+    assert empty.count() == 0
+
+
 def test_near_dedup_stage(spark):
     r = random.Random(1)
     text = " ".join("".join(r.choices("abcdefg", k=5)) for _ in range(400))

@@ -111,3 +111,6 @@ def test_topk(spark, monkeypatch):
     got = sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 50 = 0")).collect()))
     assert got == slow_top(odd)
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    many = topk.sound_vectors(spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(400)], "vec_id long, embedding array<double>").repartition(10))
+    got = sorted(map(tuple, topk.top_k(many, many.filter("vec_id % 50 = 0")).collect()))
+    assert got == slow_top([(i, [float(i % 7), float(i % 11)]) for i in range(400)])
