@@ -20,25 +20,25 @@ LEAST_LEFT = 0.2
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language; fills in a language that is null."""
     field = langid.fit(langid.training_rows(docs))
-    got = langid.identify(docs, field).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    got = langid.identify(docs, field, lang_pred="_millrace_lang", score="_millrace_score")
+    got = got.filter((F.col("_millrace_lang") != "und") & (F.col("_millrace_score") >= LEAST_SCORE))
+    return got.withColumn("lang", F.coalesce("lang", "_millrace_lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group that fingerprints link; of repeated rows, one."""
     place = F.coalesce("doc_id", F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**60)))
-    marked = docs.withColumn("_id", place)
-    keep = simhash.near_duplicates(marked, "_id").filter(F.col("_id") == F.col("component_id")).select("_id").distinct()
-    return marked.join(keep, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    marked = docs.withColumn("_millrace_id", place)
+    keep = simhash.near_duplicates(marked, "_millrace_id").filter(F.col("_millrace_id") == F.col("component_id")).select("_millrace_id").distinct()
+    return marked.join(keep, "_millrace_id", "left_semi").dropDuplicates(["_millrace_id"]).select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages but for their first occurrence; drops documents that held little else."""
-    size = F.col("n_chars")
-    held = docs.withColumn("n_chars", F.length("text").cast("long"))
+    held = docs.withColumn("_millrace_n", F.length("text").cast("long"))
     cut = passages.without(held, passages.repeated(docs))
     left = F.length("text").cast("long")
-    return cut.filter((left > 0) & (left >= LEAST_LEFT * size)).withColumn("n_chars", left).select(*docs.columns)
+    return cut.filter((left > 0) & (left >= LEAST_LEFT * F.col("_millrace_n"))).withColumn("n_chars", left).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
