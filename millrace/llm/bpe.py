@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release, ship, small
+from .common import documents, materialize, release, ship, small, use_cache
 
 SAMPLE_DOCS = 50_000
 HEAD_WORDS = 400_000
@@ -184,7 +184,6 @@ def encode_words(words: DataFrame, tokenizer: str, placed: bool = False) -> Data
         t.no_padding()
         last: dict[str, bytes] = {}
         width = "<u2" if len(_pieces(tokenizer)) <= 1 << 16 else "<u4"
-        _heads.clear()  # one large table at a time in a worker
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
@@ -230,6 +229,7 @@ _heads: dict[str, dict[str, bytes]] = {}
 
 def _head(name: str, packed) -> dict[str, bytes]:
     """The head in this worker, unpacked once. A plain dict: a set's difference() looks words up in nothing else."""
+    use_cache("bpe", _heads.clear)
     if name not in _heads:
         _heads.clear()
         table = pa.ipc.open_stream(packed.value[0]).read_all()

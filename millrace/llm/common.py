@@ -62,6 +62,16 @@ def small(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+_cache_in_use: list = []
+
+
+def use_cache(name: str, clear) -> None:
+    """Called where a task begins to use a worker's cache: a cache of another name, left by an earlier stage, is cleared."""
+    if _cache_in_use and _cache_in_use[0] != name:
+        _cache_in_use[1]()
+    _cache_in_use[:] = [name, clear]
+
+
 def release() -> None:
     """Gives memory that a Python worker has freed back to the system; idle workers would keep it."""
     pa.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, release, ship, small
+from .common import documents, release, ship, small, use_cache
 
 PER_LANGUAGE = 600
 TRAIN_WORDS = 200_000
@@ -221,6 +221,11 @@ def _labeller(model) -> Labeller:
     return _labellers[model.id]
 
 
+def _begin() -> None:
+    """For task functions, which must not name the cache themselves: they would carry a copy of it."""
+    use_cache("langid", _labellers.clear)
+
+
 class _Model:
     def __init__(self, spark, field):
         import uuid
@@ -239,6 +244,7 @@ def identify(docs: DataFrame, field: Field | None, text: str = "text", lang_pred
 
     def run(batches):
         at = names.index(text)
+        _begin()
         for batch in small(batches):
             docs_words = [words_of(t) for t in batch.column(at).to_pylist()]
             best, share = ["und"] * len(docs_words), [0.0] * len(docs_words)

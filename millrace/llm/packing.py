@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _ids_bytes, default_tokenizer, vocabulary
-from .common import documents, materialize, ship
+from .common import documents, materialize, ship, use_cache
 
 SEQUENCE = 2048
 END_ID = 1
@@ -57,11 +57,17 @@ def encoder(tokenizer: str):
     return encode
 
 
+def _begin() -> None:
+    """For task functions, which must not name the cache themselves: they would carry a copy of it."""
+    use_cache("packing", _cache.clear)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: every text's ids and the end id, cut every ``length`` ids."""
     end = _ids_bytes([end_id])
 
     def cut(batches):
+        _begin()
         encode = encoder(tokenizer)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
