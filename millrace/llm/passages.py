@@ -17,7 +17,9 @@ the same id and text count as one document; null ids are documents of their own
 
 from __future__ import annotations
 
+import pickle
 import re
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ SHINGLE = 5
 BANDS, ROWS = 3, 2
 SIMILARITY = 0.8
 RUN_WORDS = 20
-#: Distinct paragraphs under one band that are compared at a time; representatives go on to the next lot.
+#: Distinct paragraphs under one band that are held at a time; every lot is compared with all before it.
 LOT = 4096
 CACHE_WORDS = 400_000
 #: Rows of one class that go to one task in the join with classes, on average.
@@ -199,31 +201,76 @@ def _linked(ids: list[int], sets: list[np.ndarray], similarity: float) -> tuple[
     return a, b, reps
 
 
+def _across(ids: list[int], sets: list[np.ndarray], more: list[int], others: list[np.ndarray], root, join, similarity: float) -> tuple[list, list]:
+    """Links between two lots of paragraphs that join trees which no link has joined so far; every pair counts."""
+    a, b = [], []
+    sizes = np.array([len(s) for s in others])
+    whole = np.concatenate(others)
+    order = np.argsort(whole, kind="stable")
+    values, owner = whole[order], np.repeat(np.arange(len(others)), sizes)[order]
+    trees = {root(i) for i in more}
+    for i, s in zip(ids, sets):
+        if trees == {root(i)}:
+            continue
+        lo, n = np.searchsorted(values, s), np.searchsorted(values, s, "right")
+        n -= lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(others))
+        for j in np.flatnonzero(both >= similarity * (sizes + len(s) - both) - 1e-9):
+            if join(i, more[j]):
+                a.append(i)
+                b.append(more[j])
+                trees = {root(t) for t in trees}
+    return a, b
+
+
 def _verify(batches):
-    """Rows (band, h, set), sorted by band -> links (a, b)."""
-    band, ids, sets = None, [], []
-
-    def emit(last: bool):
-        nonlocal ids, sets
-        a, b, reps = _linked(ids, sets, SIMILARITY)
-        ids, sets = ([], []) if last else ([ids[i] for i in reps], [sets[i] for i in reps])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    full = LOT
-    for batch in batches:
-        for k, h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if k != band and ids:
-                if len(ids) > 1:
-                    yield emit(True)
-                ids, sets, full = [], [], LOT
-            band = k
-            ids.append(h)
-            sets.append(np.asarray(s.values))
-            if len(ids) >= full:
-                yield emit(False)
-                full = len(ids) + LOT
-    if len(ids) > 1:
-        yield emit(True)
+    """Rows (band, h, set), sorted by band -> links (a, b). Full lots of a band wait in a file for its later lots."""
+    band, ids, sets, lots, parent = None, [], [], 0, {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def join(x, y):
+        x, y = root(x), root(y)
+        parent[x] = y
+        return x != y
+
+    with tempfile.TemporaryFile() as kept:
+
+        def emit():
+            a, b, _ = _linked(ids, sets, SIMILARITY)
+            if lots or len(ids) >= LOT:
+                for x, y in zip(a, b):
+                    join(x, y)
+                kept.seek(0)
+                for _ in range(lots):
+                    x, y = _across(*pickle.load(kept), ids, sets, root, join, SIMILARITY)
+                    a, b = a + x, b + y
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for k, h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if k != band:
+                    if len(ids) > 1 or lots and ids:
+                        yield emit()
+                    ids, sets = [], []
+                    if lots:
+                        kept.seek(0)
+                        kept.truncate()
+                    lots, parent = 0, {}
+                band = k
+                ids.append(h)
+                sets.append(np.array(s.values))
+                if len(ids) >= LOT:
+                    yield emit()
+                    kept.seek(0, 2)
+                    pickle.dump((ids, sets), kept)
+                    ids, sets, lots = [], [], lots + 1
+        if len(ids) > 1 or lots and ids:
+            yield emit()
     release()
 
 

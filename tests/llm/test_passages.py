@@ -85,3 +85,14 @@ def test_dealt_classes_give_the_same_rows(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(passages, "DEALT", 3)
     assert whole and rows() == whole
+
+
+def test_lots_lose_no_link(monkeypatch):
+    import pyarrow as pa
+
+    # 1 and 2 are alike, 3 is alike to 2 but not to 1, and comes in a later lot.
+    sets = [list(range(0, 40)), list(range(4, 44)), list(range(8, 48)), list(range(900, 940)), list(range(904, 944))]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 5), pa.array([1, 2, 3, 4, 5]), pa.array(sets, pa.list_(pa.int64()))], ["band", "h", "set"])
+    monkeypatch.setattr(passages, "LOT", 2)
+    got = [tuple(sorted(x)) for out in passages._verify(iter([batch])) for x in zip(*(c.to_pylist() for c in out.columns))]
+    assert sorted(got) == [(1, 2), (2, 3), (4, 5)]
