@@ -1,15 +1,15 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines; a line of more than LINE_WORDS words is cut where the hash of a word pair is least among its
-neighbours, so that a passage is cut alike wherever it stands, with some 9 words a paragraph. Words count without case
-and punctuation. Equal paragraphs meet by hash. Those of at least BANDED_WORDS words (shorter ones cannot differ and
-still be 0.8 alike in five-word shingles) also get BANDS bands of ROWS minhashes: two at Jaccard 0.8 share a band with
-probability 0.95, and a passage mostly has several paragraphs. Colliding distinct paragraphs are joined with their
-shingles, verified by exact Jaccard and linked as a spanning forest; links give classes by connected components.
+Paragraphs are lines, whole, and pieces: a line of more than LINE_WORDS words is also cut where the hash of a word pair
+is least among its neighbours, with some 9 words a piece. Words count without case and punctuation. Equal paragraphs of
+a level meet by hash. All that have a shingle of five words also get BANDS bands of ROWS minhashes: two at Jaccard 0.8
+share a band with probability 0.95. Colliding distinct paragraphs are joined with their shingles, verified by exact
+Jaccard and linked as a spanning forest; links give classes by connected components.
 
 A paragraph is repeated if two documents hold one of its class and the repeated paragraphs that follow each other around
 it come to at least RUN_WORDS words. Of each class the occurrence in the smallest (doc_id, start) stays; the others are
-removals.
+removals. A piece within a removed line goes with it: it has no row and cannot be the one that stays. A piece within a
+line that stays has a row only if it is itself removed.
 
 Edge cases: null or empty text has no paragraphs; paragraphs under LEAST_WORDS words are not compared; rows repeated with
 the same id and text count as one document; null ids are documents of their own by text and come first in order.
@@ -32,8 +32,8 @@ from .components import components
 LINE_WORDS = 50
 REACH = 4
 LEAST_WORDS = 5
-BANDED_WORDS = 13
 SHINGLE = 5
+PIECE, LINE = 0, 1
 BANDS, ROWS = 3, 2
 SIMILARITY = 0.8
 RUN_WORDS = 20
@@ -80,40 +80,67 @@ def _shingles(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return s
 
 
-def paragraphs(text: str | None):
-    """(start, end, number of words, hashes of words) of each paragraph of a text; the offsets are code points."""
+def _words(text: str | None):
+    """(starts, ends, hashes, numbers of lines) of the words of a text; the offsets are code points."""
     words = (text or "").encode().split()
     if not words:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    h = _word_hashes(words)
-    line = np.cumsum(codes == 10)[starts]
-    first = np.concatenate([[True], line[1:] != line[:-1]])
-    size = np.diff(np.append(np.flatnonzero(first), len(h)))
-    cut = first.copy()
-    if size.max() > LINE_WORDS:
-        g = _mix(np.concatenate([[np.uint64(0)], h[:-1]]) * np.uint64(3) + h)
-        top = np.uint64(2**64 - 1)
-        pad = np.concatenate([np.full(REACH, top), g, np.full(REACH, top)])
-        view = np.lib.stride_tricks.sliding_window_view(pad, REACH)
-        least = (g < view[: len(g)].min(1)) & (g <= view[REACH + 1 : REACH + 1 + len(g)].min(1))
-        cut |= least & np.repeat(size > LINE_WORDS, size)
-    at = np.flatnonzero(cut)
+    return starts, ends, _word_hashes(words), np.cumsum(codes == 10)[starts]
+
+
+def _lines(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The first words of the lines."""
+    return np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(h) else np.zeros(0, int)
+
+
+def _pieces(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The first words of the pieces: lines, and of long ones the cuts by content."""
+    if not len(h):
+        return np.zeros(0, int)
+    first = _lines(h, line)
+    size = np.diff(np.append(first, len(h)))
+    g = _mix(np.concatenate([[np.uint64(0)], h[:-1]]) * np.uint64(3) + h)
+    top = np.uint64(2**64 - 1)
+    pad = np.concatenate([np.full(REACH, top), g, np.full(REACH, top)])
+    view = np.lib.stride_tricks.sliding_window_view(pad, REACH)
+    cut = (g < view[: len(g)].min(1)) & (g <= view[REACH + 1 : REACH + 1 + len(g)].min(1))
+    cut &= np.repeat(size > LINE_WORDS, size)
+    cut[first] = True
+    return np.flatnonzero(cut)
+
+
+def paragraphs(text: str | None):
+    """(start, end, number of words, hashes of words, first word) of each piece of a text; together they cover it."""
+    starts, ends, h, line = _words(text)
+    at = _pieces(h, line)
     n = np.diff(np.append(at, len(h)))
     return starts[at], ends[at + n - 1], n, h, at
 
 
-def _bands(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> list:
-    """The band keys of the paragraphs at ``at`` of ``n`` >= BANDED_WORDS words."""
+def _levels(h: np.ndarray, line: np.ndarray):
+    """(level, first words, numbers of words) of the paragraphs that are compared: LINE for whole lines, PIECE."""
+    for level, at in ((LINE, _lines(h, line)), (PIECE, _pieces(h, line))):
+        n = np.diff(np.append(at, len(h)))
+        own = n >= LEAST_WORDS
+        if level == PIECE and len(n):
+            # A piece that is a whole line is there as a line.
+            size = np.bincount(line)[line[at]]
+            own &= n < size
+        yield level, at[own], n[own]
+
+
+def _bands(h: np.ndarray, at: np.ndarray, n: np.ndarray, level: int) -> list:
+    """The band keys of the paragraphs of a level at ``at`` of ``n`` >= SHINGLE words."""
     s = _shingles(h)
     s = np.append(s, np.uint64(0))
     cuts = np.stack([at, at + n - SHINGLE + 1], 1).ravel()
     keys = np.zeros((len(at), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(at), b + 1, np.uint64)
+        key = np.full(len(at), b + 1 + BANDS * level, np.uint64)
         for r in range(ROWS):
             salt = np.uint64((0xA0761D6478BD642F * (b * ROWS + r + 1)) % 2**64)
             key = _mix(key ^ np.minimum.reduceat(_mix(s ^ salt), np.minimum(cuts, len(s) - 1))[::2])
@@ -122,7 +149,7 @@ def _bands(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> list:
 
 
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (of the document), id, start, end, n, h and bands of every paragraph that is compared."""
+    """key (of the document), id, start, end, n, word, level, h and bands of every paragraph that is compared."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches):
@@ -131,33 +158,34 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         _begin()
         digest = xxhash.xxh3_64_intdigest
         for batch in small(batches):
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             bands: list = []
             for i, t in enumerate(batch.column(2).to_pylist()):
-                start, end, n, h, at = paragraphs(t)
-                own = np.flatnonzero(n >= LEAST_WORDS)
+                start, end, h, line = _words(t)
                 raw = h.tobytes()
-                rows[0] += [i] * len(own)
-                rows[1] += start[own].tolist()
-                rows[2] += end[own].tolist()
-                rows[3] += n[own].tolist()
-                rows[4] += [digest(raw[8 * a : 8 * b]) for a, b in zip(at[own].tolist(), (at + n)[own].tolist())]
-                long = np.flatnonzero(n[own] >= BANDED_WORDS)
-                mine: list = [None] * len(own)
-                if len(long):
-                    for k, x in zip(long.tolist(), _bands(h, at[own][long], n[own][long])):
-                        mine[k] = x
-                bands += mine
-                rows[5] += np.cumsum(np.concatenate([[0], n[:-1]]))[own].tolist() if len(n) else []
+                for level, at, n in _levels(h, line):
+                    rows[0] += [i] * len(at)
+                    rows[1] += start[at].tolist()
+                    rows[2] += end[at + n - 1].tolist()
+                    rows[3] += n.tolist()
+                    rows[4] += [digest(raw[8 * a : 8 * b], level) for a, b in zip(at.tolist(), (at + n).tolist())]
+                    rows[5] += at.tolist()
+                    rows[6] += [level] * len(at)
+                    banded = np.flatnonzero(n >= SHINGLE)
+                    mine: list = [None] * len(at)
+                    if len(banded):
+                        for k, x in zip(banded.tolist(), _bands(h, at[banded], n[banded], level)):
+                            mine[k] = x
+                    bands += mine
             of = pa.array(rows[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(rows[k], pa.int64()) for k in (1, 2, 3, 5)), pa.array(np.array(rows[4], np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
-                ["key", "id", "start", "end", "n", "word", "h", "bands"],
+                [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(rows[k], pa.int64()) for k in (1, 2, 3, 5)), pa.array(rows[6], pa.int32()), pa.array(np.array(rows[4], np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                ["key", "id", "start", "end", "n", "word", "level", "h", "bands"],
             )
         release()
 
     keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return ship(keyed).mapInArrow(run, f"key long, id {kind}, start long, end long, n long, word long, h long, bands array<long>")
+    return ship(keyed).mapInArrow(run, f"key long, id {kind}, start long, end long, n long, word long, level int, h long, bands array<long>")
 
 
 def _sets(wanted_text: DataFrame) -> DataFrame:
@@ -170,12 +198,13 @@ def _sets(wanted_text: DataFrame) -> DataFrame:
         for batch in small(batches):
             hs, sets = [], []
             for t in batch.column(0).to_pylist():
-                _, _, n, h, at = paragraphs(t)
-                raw = h.tobytes()
-                for a, k in zip(at.tolist(), n.tolist()):
-                    if k >= BANDED_WORDS:
-                        hs.append(xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (a + k)]))
-                        sets.append(np.unique(_shingles(h[a : a + k])).view(np.int64))
+                _, _, h, line = _words(t)
+                raw, shingles = h.tobytes(), _shingles(h)
+                for level, at, n in _levels(h, line):
+                    for a, k in zip(at.tolist(), n.tolist()):
+                        if k >= SHINGLE:
+                            hs.append(xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (a + k)], level))
+                            sets.append(np.unique(shingles[a : a + k - SHINGLE + 1]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["h", "set"])
         release()
 
@@ -302,14 +331,25 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # A passage that a large part of the corpus shares is dealt to as many tasks as its rows need, each with its class.
     per_share = per_class.join(shares, "class_id").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), "shares"))).drop("shares")
     own = F.pmod(F.xxhash64("key", "start"), F.col("shares") + 1)
-    found = held.withColumn("share", own).drop("shares").join(per_share, ["class_id", "share"]).drop("share")
-    in_doc = Window.partitionBy("key", "id").orderBy("start", "end")
-    follows = F.lag(F.col("word") + F.col("n")).over(in_doc)
-    run = F.sum(F.when(follows == F.col("word"), 0).otherwise(1)).over(in_doc)
-    found = found.dropDuplicates(["key", "id", "start"]).withColumn("_run", run)
-    total = F.sum("n").over(Window.partitionBy("key", "id", "_run"))
-    kept = (F.col("first.start") == F.col("start")) & (F.col("first.key") == F.col("key"))
-    return found.withColumn("_total", total).filter(F.col("_total") >= RUN_WORDS).select("key", "id", "start", "end", "n", "class_id", "n_docs", (~kept).alias("removed"))
+    found = held.withColumn("share", own).drop("shares").join(per_share, ["class_id", "share"])
+    found = found.dropDuplicates(["key", "id", "start", "level"]).withColumn("_kept", (F.col("first.start") == F.col("start")) & (F.col("first.key") == F.col("key")))
+    in_doc = Window.partitionBy("key", "id").orderBy("word", F.desc("n"), F.desc("level"))
+    before, last = in_doc.rowsBetween(Window.unboundedPreceding, -1), F.col("word") + F.col("n")
+    found = found.withColumn("_run", F.when(F.col("word") <= F.max(last).over(before), 0).otherwise(1)).withColumn("_run", F.sum("_run").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    of_run = Window.partitionBy("key", "id", "_run")
+    found = found.withColumn("_long", F.max(last).over(of_run) - F.min("word").over(of_run) >= RUN_WORDS)
+    line, piece = (F.col("level") == LINE) & F.col("_long"), F.col("level") == PIECE
+    held_by = lambda which: piece & F.coalesce(F.max(F.when(which, last)).over(before) >= last, F.lit(False))
+    found = found.withColumns({"_in_line": held_by(line), "_gone": held_by(line & ~F.col("_kept"))})
+    found = materialize(found.drop("first", "word", "_run"), "found")
+    # Where the piece to stay goes with its line, the first of the others stays.
+    moved = found.filter("_gone and _kept").select("class_id").distinct()
+    others = found.filter("not _gone").join(moved, "class_id", "left_semi").groupBy("class_id").agg(F.min(F.struct("id", "start", "key")).alias("next"), F.max("share").alias("shares"))
+    others = others.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), "shares"))).drop("shares")
+    found = found.join(others, ["class_id", "share"], "left")
+    kept = F.coalesce((F.col("next.start") == F.col("start")) & (F.col("next.key") == F.col("key")), "_kept")
+    out = found.withColumn("removed", ~kept).filter(F.col("_long") & ~F.col("_gone") & (~F.col("_in_line") | F.col("removed")))
+    return out.select("key", "id", "start", "end", "n", "class_id", "n_docs", "removed")
 
 
 def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -326,7 +366,7 @@ def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
                     parts, last = [], 0
                     for c in cut:
                         parts.append(t[last : c["start"]].rstrip(" ") if last or c["start"] else "")
-                        last = c["end"]
+                        last = max(last, c["end"])
                     t = " ".join(p.strip(" ") for p in [*parts, t[last:]] if p.strip(" "))
                     t = re.sub(r"[ \t]*\n[ \t\n]*", "\n", t).strip("\n")
                 out.append(t)

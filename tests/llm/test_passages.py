@@ -96,3 +96,22 @@ def test_lots_lose_no_link(monkeypatch):
     monkeypatch.setattr(passages, "LOT", 2)
     got = [tuple(sorted(x)) for out in passages._verify(iter([batch])) for x in zip(*(c.to_pylist() for c in out.columns))]
     assert sorted(got) == [(1, 2), (2, 3), (4, 5)]
+
+
+def test_short_and_long_paragraphs_link_when_near(spark):
+    short, long = words(21, 9), words(22, 52)
+    changed = long.split()
+    changed[26] = "other"
+    lead = words(23, 19)
+    rows = [(1, lead + "\n" + short), (2, lead + "\n" + short + " more"), (3, long), (4, " ".join(changed)), (5, words(24, 60))]
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {(r["id"], r["n"]) for r in got if r["removed"]}
+    assert removed == {(2, 19), (2, 10), (4, 52)}
+
+
+def test_piece_stays_when_its_first_goes_with_a_line(spark):
+    line, tail = words(31, 150), words(32, 60)
+    rows = [(1, line), (2, line + " " + words(33, 20)), (3, words(34, 80) + " " + tail), (4, tail)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = " ".join(r["text"] for r in passages.without(df, passages.repeated(df)).collect())
+    assert all(w in left.split() for text in (line, tail) for w in text.split())
