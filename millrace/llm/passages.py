@@ -1,15 +1,15 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines, whole, and pieces: a line of more than LINE_WORDS words is also cut where the hash of a word pair
-is least among its neighbours, with some 9 words a piece. Words count without case and punctuation. Equal paragraphs of
-a level meet by hash. All that have a shingle of five words also get BANDS bands of ROWS minhashes: two at Jaccard 0.8
+Paragraphs are lines, whole, and pieces: the text is also cut, whatever its lines, where the hash of a word pair is least
+among its neighbours, so that a passage is cut alike wherever it stands and however it is wrapped, with some 9 words a
+piece. Words count without case and punctuation. Equal paragraphs of a level meet by hash. All that have a shingle of five words also get BANDS bands of ROWS minhashes: two at Jaccard 0.8
 share a band with probability 0.95. Colliding distinct paragraphs are joined with their shingles, verified by exact
 Jaccard and linked as a spanning forest; links give classes by connected components.
 
 A paragraph is repeated if two documents hold one of its class and the repeated paragraphs that follow each other around
 it come to at least RUN_WORDS words. Of each class the occurrence in the smallest (doc_id, start) stays; the others are
-removals. A piece within a removed line goes with it: it has no row and cannot be the one that stays. A piece within a
-line that stays has a row only if it is itself removed.
+removals. A piece within a removed line goes with it and has no row; one that shares words with such a line is not the one
+that stays, if another is not so. A piece within a line that stays has a row only if it is itself removed.
 
 Edge cases: null or empty text has no paragraphs; paragraphs under LEAST_WORDS words are not compared; rows repeated with
 the same id and text count as one document; null ids are documents of their own by text and come first in order.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, release, ship, small, use_cache
 from .components import components
 
-LINE_WORDS = 50
 REACH = 4
 LEAST_WORDS = 5
 SHINGLE = 5
@@ -97,39 +96,32 @@ def _lines(h: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(h) else np.zeros(0, int)
 
 
-def _pieces(h: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """The first words of the pieces: lines, and of long ones the cuts by content."""
+def _pieces(h: np.ndarray) -> np.ndarray:
+    """The first words of the pieces, which content alone cuts."""
     if not len(h):
         return np.zeros(0, int)
-    first = _lines(h, line)
-    size = np.diff(np.append(first, len(h)))
     g = _mix(np.concatenate([[np.uint64(0)], h[:-1]]) * np.uint64(3) + h)
     top = np.uint64(2**64 - 1)
     pad = np.concatenate([np.full(REACH, top), g, np.full(REACH, top)])
     view = np.lib.stride_tricks.sliding_window_view(pad, REACH)
     cut = (g < view[: len(g)].min(1)) & (g <= view[REACH + 1 : REACH + 1 + len(g)].min(1))
-    cut &= np.repeat(size > LINE_WORDS, size)
-    cut[first] = True
+    cut[0] = True
     return np.flatnonzero(cut)
 
 
 def paragraphs(text: str | None):
     """(start, end, number of words, hashes of words, first word) of each piece of a text; together they cover it."""
-    starts, ends, h, line = _words(text)
-    at = _pieces(h, line)
+    starts, ends, h, _ = _words(text)
+    at = _pieces(h)
     n = np.diff(np.append(at, len(h)))
     return starts[at], ends[at + n - 1], n, h, at
 
 
 def _levels(h: np.ndarray, line: np.ndarray):
     """(level, first words, numbers of words) of the paragraphs that are compared: LINE for whole lines, PIECE."""
-    for level, at in ((LINE, _lines(h, line)), (PIECE, _pieces(h, line))):
+    for level, at in ((LINE, _lines(h, line)), (PIECE, _pieces(h))):
         n = np.diff(np.append(at, len(h)))
         own = n >= LEAST_WORDS
-        if level == PIECE and len(n):
-            # A piece that is a whole line is there as a line.
-            size = np.bincount(line)[line[at]]
-            own &= n < size
         yield level, at[own], n[own]
 
 
@@ -340,11 +332,14 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = found.withColumn("_long", F.max(last).over(of_run) - F.min("word").over(of_run) >= RUN_WORDS)
     line, piece = (F.col("level") == LINE) & F.col("_long"), F.col("level") == PIECE
     held_by = lambda which: piece & F.coalesce(F.max(F.when(which, last)).over(before) >= last, F.lit(False))
-    found = found.withColumns({"_in_line": held_by(line), "_gone": held_by(line & ~F.col("_kept"))})
+    off = line & ~F.col("_kept")
+    after = Window.partitionBy("key", "id").orderBy(F.desc("word"), "n", "level").rowsBetween(Window.unboundedPreceding, -1)
+    meets = (F.max(F.when(off, last)).over(before) > F.col("word")) | (F.min(F.when(off, F.col("word"))).over(after) < last)
+    found = found.withColumns({"_in_line": held_by(line), "_gone": held_by(off), "_cut": piece & F.coalesce(meets, F.lit(False))})
     found = materialize(found.drop("first", "word", "_run"), "found")
-    # Where the piece to stay goes with its line, the first of the others stays.
-    moved = found.filter("_gone and _kept").select("class_id").distinct()
-    others = found.filter("not _gone").join(moved, "class_id", "left_semi").groupBy("class_id").agg(F.min(F.struct("id", "start", "key")).alias("next"), F.max("share").alias("shares"))
+    # Where a removed line takes in some of the piece to stay, the first of those that none takes in stays.
+    moved = found.filter("_cut and _kept").select("class_id").distinct()
+    others = found.filter("not _cut").join(moved, "class_id", "left_semi").groupBy("class_id").agg(F.min(F.struct("id", "start", "key")).alias("next"), F.max("share").alias("shares"))
     others = others.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), "shares"))).drop("shares")
     found = found.join(others, ["class_id", "share"], "left")
     kept = F.coalesce((F.col("next.start") == F.col("start")) & (F.col("next.key") == F.col("key")), "_kept")
