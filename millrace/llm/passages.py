@@ -11,7 +11,8 @@ it come to at least RUN_WORDS words. Of each class the occurrence in the smalles
 removals. A piece within a removed line goes with it and has no row; one that shares words with such a line is not the one
 that stays, if another is not so. A piece within a line that stays has a row only if it is itself removed.
 
-Edge cases: null or empty text has no paragraphs; paragraphs under LEAST_WORDS words are not compared; rows repeated with
+Edge cases: null or empty text has no paragraphs; lines under five words are compared only within
+pieces, which join them to their neighbours; rows repeated with
 the same id and text count as one document; null ids are documents of their own by text and come first in order.
 """
 
@@ -30,7 +31,6 @@ from .common import documents, materialize, release, ship, small, use_cache
 from .components import components
 
 REACH = 4
-LEAST_WORDS = 5
 SHINGLE = 5
 PIECE, LINE = 0, 1
 BANDS, ROWS = 3, 2
@@ -121,7 +121,7 @@ def _levels(h: np.ndarray, line: np.ndarray):
     """(level, first words, numbers of words) of the paragraphs that are compared: LINE for whole lines, PIECE."""
     for level, at in ((LINE, _lines(h, line)), (PIECE, _pieces(h))):
         n = np.diff(np.append(at, len(h)))
-        own = n >= LEAST_WORDS
+        own = n >= (SHINGLE if level == LINE else 1)
         yield level, at[own], n[own]
 
 

@@ -123,3 +123,17 @@ def test_passage_is_found_however_it_is_wrapped(spark):
     rows = [(1, words(42, 30) + " " + " ".join(p)), (2, wrapped), (3, words(43, 50)), (4, words(43, 50) + " more")]
     got = [r for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["removed"]]
     assert sum(r["n"] for r in got if r["id"] == 2) >= 60 and {r["id"] for r in got} == {2, 4}
+
+
+def test_passage_of_short_lines_is_found(spark):
+    p = words(51, 120).split()
+    verse = "\n".join(" ".join(p[i : i + 3]) for i in range(0, 120, 3))
+    p = words(52, 130).split()
+    turns = "\n".join(" ".join(p[i : i + 10]) + "\n" + " ".join(p[i + 10 : i + 13]) for i in range(0, 130, 13))
+    rows = [(i, words(60 + i, 30) + "\n" + (verse if i < 2 else turns) + "\n" + words(70 + i, 30)) for i in range(4)]
+    rows += [(9, words(80, 40) + "\nthe end"), (10, words(81, 40) + "\nthe end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated(df)
+    assert {r["id"] for r in found.filter("removed").collect()} == {1, 3}
+    left = {r["doc_id"]: len(r["text"].split()) for r in passages.without(df, found).collect()}
+    assert left[0] == 180 and left[2] == 190 and left[1] <= 90 and left[3] <= 90 and left[10] == 42
