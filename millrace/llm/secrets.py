@@ -19,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ FORMATS = {
     "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
-    "assigned": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<assigned_value>[^\s\"',;]{8,200})",
+    "assigned": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<assigned_value>[^\s\"',;]{8,})",
     "generic": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}",
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
@@ -73,12 +74,12 @@ def _coverage(value: str) -> float:
 
 
 def features(kind: str, value: str, before: str, after: str, path: str) -> list[float]:
-    n, v = max(1, len(value)), value[:400]
-    counts = [v.count(c) for c in set(v)]
+    v = value
+    counts = list(Counter(v).values())
     cls = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in v]
     short = max(1, len(v))
     return [
-        float(min(n, 400)), -sum(c / short * math.log2(c / short) for c in counts), len(counts) / short,
+        float(short), -sum(c / short * math.log2(c / short) for c in counts), len(counts) / short,
         cls.count("d") / short, cls.count("u") / short, cls.count("s") / short,
         sum(a != b for a, b in zip(cls, cls[1:])) / short, sum(a == b for a, b in zip(v, v[1:])) / short,
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", v))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", v))),

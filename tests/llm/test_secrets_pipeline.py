@@ -69,3 +69,14 @@ def test_near_dedup_stage(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
     got = sorted((x["doc_id"] or 0, x["text"] or "") for x in corpus_pipeline.near_dedup(spark, df, SF).collect())
     assert got == [(0, "own words of its own"), (3, text), (11, "")]
+
+
+def test_long_values_are_whole(spark):
+    r = random.Random(5)
+    value = "".join(r.choices("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%", k=700))
+    text = f"call with token={value} and go on"
+    assert secrets.candidates(text) == [("assigned", 16, 716)]
+    other = value[:-300] + "x" * 300
+    assert secrets.features("assigned", other, "", "", "") != secrets.features("assigned", value[:-300] + "7" * 300, "", "", "")
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    assert secrets.redact(df, secrets.scan(df, secrets.train(spark))).first()["text"] == "call with token=[SECRET] and go on"
