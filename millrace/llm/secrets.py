@@ -9,8 +9,8 @@ Labelled findings come as a table (before, value, after, path, label); where a c
 makes LABELLED of them, half secrets of the usual formats and half look-alikes: digests and ids, placeholders,
 identifiers, file names, numbers.
 
-Edge cases: null or empty text has no candidates; a null path counts as empty; overlapping candidates become the longest
-of them; repeated rows each give their findings. Findings carry a digest of the value, never the value.
+Edge cases: null or empty text has no candidates; a null path counts as empty; overlapping candidates become one,
+specific formats and assigned values before other strings; repeated rows each give their findings. Findings carry a digest of the value, never the value.
 """
 
 from __future__ import annotations
@@ -40,10 +40,11 @@ FORMATS = {
     "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
-    "assigned": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<assigned_value>[^\s\"',;]{8,})",
+    "assigned": r"(?i:password|passwd|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<assigned_value>[^\s\"',;]{8,})",
     "generic": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}",
 }
-PATTERN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
+PATTERNS = {k: re.compile(v) for k, v in FORMATS.items()}
+LEAST_RUN = 20
 # Words that speak for and against a secret, and a small dictionary.
 FOR = re.compile(r"(?i)passw|pwd|secret|token|api.?key|access.?key|credential|bearer|auth|private")
 AGAINST = re.compile(r"(?i)sha\d*|md5|commit|checksum|hash|uuid|guid|digest|etag|integrity|version|build|revision|id\b")
@@ -90,16 +91,40 @@ def features(kind: str, value: str, before: str, after: str, path: str) -> list[
 
 
 def candidates(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of each candidate; where two overlap, the first pattern's, which takes in the assigned value."""
-    out = []
-    for m in PATTERN.finditer(text or ""):
-        kind = m.lastgroup if m.lastgroup != "assigned_value" else "assigned"
-        a, b = m.span("assigned_value") if kind == "assigned" else m.span()
-        v = m.string[a:b]
-        if kind == "generic" and not (any(c.isdigit() for c in v) and any(c.isalpha() for c in v)):
-            continue
-        out.append((kind, a, b))
-    return out
+    """(kind, start, end) of each candidate, in order and apart.
+
+    Each format is searched over the whole text. Assigned values grow over the specific formats that overlap them, and take
+    the kind of the first; of a generic run, what names and values of the others leave over is a candidate of its own.
+    """
+    text = text or ""
+    spans = [(m.start(), m.end(), k) for k, p in PATTERNS.items() if k not in ("assigned", "generic") for m in p.finditer(text)]
+    values = [(*m.span("assigned_value"), "assigned") for m in PATTERNS["assigned"].finditer(text)]
+    out: list[list] = []
+    for a, b, kind in sorted(spans + values):
+        if out and a < out[-1][2]:
+            last = out[-1]
+            last[2] = max(last[2], b)
+            last[0] = kind if last[0] == "assigned" else last[0]
+        else:
+            out.append([kind, a, b])
+    taken = sorted([(a, b) for _, a, b in out] + [m.span() for m in PATTERNS["assigned"].finditer(text)])
+    i = 0
+    for m in PATTERNS["generic"].finditer(text):
+        at, end = m.span()
+        rest = []
+        while i < len(taken) and taken[i][0] < end:
+            if taken[i][0] > at:
+                rest.append((at, taken[i][0]))
+            at = max(at, taken[i][1])
+            if taken[i][1] > end:
+                break
+            i += 1
+        rest.append((at, end))
+        for a, b in rest:
+            v = text[a:b]
+            if b - a >= LEAST_RUN and any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
+                out.append(["generic", a, b])
+    return sorted(map(tuple, out), key=lambda c: c[1])
 
 
 def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:

@@ -80,3 +80,14 @@ def test_long_values_are_whole(spark):
     assert secrets.features("assigned", other, "", "", "") != secrets.features("assigned", value[:-300] + "7" * 300, "", "", "")
     df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
     assert secrets.redact(df, secrets.scan(df, secrets.train(spark))).first()["text"] == "call with token=[SECRET] and go on"
+
+
+def test_names_do_not_hide_values():
+    of = lambda t: [(k, t[a:b]) for k, a, b in secrets.candidates(t)]
+    assert of("DB_PASSWORD=correcthorsebatterystaple") == [("assigned", "correcthorsebatterystaple")]
+    assert of("MY_SECRET_KEY=abcdefghijklmnop x") == [("assigned", "abcdefghijklmnop")]
+    token, key = "ghp_" + "aB3" * 12, "AKIA" + "Q7PLM2ZX9TRW4VNB"
+    assert of(f"GITHUB_TOKEN={token} b") == [("github_token", token)] and of(f"a AWS_ACCESS_KEY_ID={key}") == [("aws_key", key)]
+    assert of(f"{key}/wJalrXUtnFEMIK7MDENGbPxRfiCY") == [("aws_key", key), ("generic", "/wJalrXUtnFEMIK7MDENGbPxRfiCY")]
+    assert of(f"token={token}.more!") == [("github_token", f"{token}.more!")]
+    assert of("1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae " * 2) == [("generic", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae")] * 2
