@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS = 3
+LEFT = 80
 SUPPORT = 5
 CONFIDENCE = 0.5
 
@@ -33,9 +33,10 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # Strings that look like an identifier: an address written out or without a domain's dot; a long number with separators
-# or without a plus; a card number's digits whatever their check digit.
+# or without a plus; a card number's digits whatever their check digit; an IPv4 address with its dots in brackets.
 LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)*+",
+    "ip": r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\x20?[\[(](?:dot|\.)[\])]\x20?)[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++",
     "phone": r"(?<![0-9+(])[(]?[0-9](?:[().\x20-]{0,2}[0-9])++",
 }
@@ -55,6 +56,8 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, m: Column, loose: bool = False) -> Column:
     n = F.length(_digits(m))
+    if kind == "ip" and loose:
+        return F.forall(F.split(m, "[^0-9]+"), lambda p: F.coalesce(p.try_cast("int"), F.lit(256)) <= 255)
     if kind == "ip":
         part = lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3
         return F.forall(F.split(m, "\\."), lambda p: part(p) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
@@ -65,7 +68,7 @@ def _valid(kind: str, m: Column, loose: bool = False) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<start:bigint,`end`:bigint,kind:int,value:string,word:string>>"
+SPAN = "array<struct<start:bigint,`end`:bigint,kind:int,value:string,word:string,glued:boolean>>"
 
 
 def _spans(found: Column, pieces: Column, kind: str, loose: bool = False) -> Column:
@@ -76,8 +79,9 @@ def _spans(found: Column, pieces: Column, kind: str, loose: bool = False) -> Col
         m, before = F.get(found, i), F.get(pieces, i)
         a = acc["at"] + F.length(before)
         b = a + F.length(m)
-        word = F.lower(F.regexp_extract(F.right(before, F.lit(80)), r"(\S+)\s*$", 1))
-        span = F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"), F.lit(KINDS.index(kind)).alias("kind"), m.alias("value"), word.alias("word"))
+        word = F.lower(F.regexp_extract(F.right(before, F.lit(LEFT)), r"(\S+)\s*$", 1))
+        glued = before.rlike(r"\S$")
+        span = F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"), F.lit(KINDS.index(kind)).alias("kind"), m.alias("value"), word.alias("word"), glued.alias("glued"))
         keep = F.when(_valid(kind, m, loose), F.array(span)).otherwise(F.array().cast(SPAN))
         return F.struct(b.cast("bigint").alias("at"), F.concat(acc["out"], keep).alias("out"))
 
@@ -89,7 +93,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     df = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     digits = F.col("t").rlike("[0-9]")
     need = {"email": F.contains("t", F.lit("@")), "ip": digits, "card": digits, "phone": F.contains("t", F.lit("+"))}
-    near = {"email": F.contains("t", F.lit("@")) | F.contains("t", F.lit("at]")) | F.contains("t", F.lit("at)")), "card": digits, "phone": digits}
+    near = {"email": F.contains("t", F.lit("@")) | F.contains("t", F.lit("at]")) | F.contains("t", F.lit("at)")), "ip": digits & (F.contains("t", F.lit("]")) | F.contains("t", F.lit(")"))), "card": digits, "phone": digits}
     none = F.array().cast("array<string>")
     gates = {f"b_{k}": (p, need[k]) for k, p in BASE.items()} | {f"l_{k}": (p, near[k]) for k, p in LOOSE.items()}
     df = df.select("*", *(F.when(gate, F.regexp_extract_all("t", F.lit(p), 0)).otherwise(none).alias(c) for c, (p, gate) in gates.items()))
@@ -102,31 +106,53 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return df.select("key", "doc_id", "base", apart.alias("loose"))
 
 
-def bootstrap(spans: DataFrame, docs: DataFrame, text: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """kind and value of the identifiers that contexts discover; spans is the written table of ``scan``."""
-    occurrences = lambda c: spans.select(F.explode(c).alias("s")).select("s.kind", "s.value", "s.word")
-    loose = materialize(occurrences("loose").filter("word <> ''").groupBy("kind", "value", "word").agg(F.count("*").alias("n")), "pii-loose")
+def _contexts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """word and all: how often each wanted word stands as a left context, before a blank or, if it does so anywhere, before
+    a string that follows it without a blank. A word that ends in a letter or digit is such a context only before a number."""
+    tokens = docs.select(F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("word"))
+    whole = tokens.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("all"))
+    glued = wanted.filter("glued").select("word").distinct()
+    lengths = [r[0] for r in glued.select(F.length("word").alias("n")).distinct().collect()]  # LEFT values at most
+    if lengths:
+        longest = max(lengths) + 1
+        heads = tokens.filter(F.length("word") > min(lengths)).groupBy(F.substring("word", 1, longest).alias("token")).agg(F.count("*").alias("all"))
+        cut = heads.withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths))))).filter(F.col("n") < F.length("token"))
+        cut = cut.select(F.substring("token", F.lit(1), F.col("n")).alias("word"), F.substring("token", F.col("n") + 1, F.lit(1)).alias("next"), "all")
+        cut = cut.filter(~F.col("word").rlike(r"[\p{L}\p{N}]$") | F.col("next").rlike(r"[0-9+(]"))
+        whole = whole.unionByName(cut.join(glued, "word", "left_semi").select("word", "all"))
+    return whole.groupBy("word").agg(F.sum("all").alias("all"))
+
+
+def bootstrap(spans: DataFrame, docs: DataFrame, text: str = "text", rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """kind and value of the identifiers that contexts discover; spans is the written table of ``scan``.
+
+    Rounds go on until one discovers nothing, or to the number given.
+    """
+    occurrences = lambda c: spans.select(F.explode(c).alias("s")).select("s.kind", "s.value", "s.word", "s.glued").filter("word <> ''").groupBy("kind", "value", "word").agg(F.count("*").alias("n"), F.max("glued").alias("glued"))
+    loose = materialize(occurrences("loose"), "pii-loose")
     if loose.isEmpty():
         return loose.select("kind", "value")
-    seeds = occurrences("base").filter("word <> ''").groupBy("kind", "value", "word").agg(F.count("*").alias("n"))
     # Only words beside an unknown string can discover anything.
     wanted = loose.select("kind", "word").distinct()
-    seeds = materialize(seeds.join(wanted, ["kind", "word"], "left_semi"), "pii-seeds")
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
-    words = materialize(words.groupBy("word").agg(F.count("*").alias("all")), "pii-words")
-    known = seeds.select("kind", "value").limit(0)
-    for _ in range(rounds):
+    seeds = materialize(occurrences("base").join(wanted, ["kind", "word"], "left_semi"), "pii-seeds")
+    sides = seeds.unionByName(loose).groupBy("kind", "word").agg(F.sum("n").alias("least"), F.max("glued").alias("glued"))
+    sides = materialize(sides, "pii-sides")
+    # A context after another identifier, or longer than LEFT, is no token's head: what the spans show of it is its floor.
+    words = sides.join(_contexts(docs, sides, text), "word", "left").select("kind", "word", F.greatest("least", F.coalesce("all", F.lit(0))).alias("all"))
+    words = materialize(words, "pii-words")
+    known, size, done = seeds.select("kind", "value").limit(0), 0, 0
+    while rounds is None or done < rounds:
         learned = loose.join(known, ["kind", "value"], "left_semi")
         patterns = (
             seeds.unionByName(learned).groupBy("kind", "word").agg(F.sum("n").alias("hits"), F.count_distinct("value").alias("values"))
-            .join(words, "word").withColumn("p", F.least(F.col("hits") / F.col("all"), F.lit(0.999)))
+            .join(words, ["kind", "word"]).withColumn("p", F.least(F.col("hits") / F.col("all"), F.lit(0.999)))
             .filter((F.col("values") >= support) & (F.col("p") >= confidence))
         )
         scored = loose.join(patterns.select("kind", "word", "p"), ["kind", "word"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("score"))
-        now = materialize(scored.filter(F.col("score") >= confidence).select("kind", "value").unionByName(known).distinct(), "pii-known")
-        if now.count() == known.count():
+        known = materialize(scored.filter(F.col("score") >= confidence).select("kind", "value").unionByName(known).distinct(), "pii-known")
+        last, size, done = size, known.count(), done + 1
+        if size == last:
             break
-        known = now
     return known
 
 

@@ -84,3 +84,20 @@ def test_discovery(spark):
     more = {r["doc_id"]: [s["value"] for s in r["more"]] for r in pii.find(df).collect() if r["more"]}
     assert more == {100: ["652-555-9999"], None: ["652-555-9999"]}
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_discovery_beside_labels_and_to_the_end(spark):
+    rows = [(i, f"some words tel:+49 301 234 {1000 + i} and tel:+49 301 235 {1000 + i} on") for i in range(6)]
+    rows += [(20, "call tel:0301234567 now"), (21, "tel:none of these")]
+    rows += [(30 + i, f"ip 10.0.0.{i} on") for i in range(8)] + [(40, "ip 10[.]0[.]7[.]9 on")]
+    # Each word is learned from the numbers that the word before it has made known.
+    names = "abcdefg"
+    rows += [(100 + i, f"wa +1 555 010 20{i:02}") for i in range(12)]
+    for k in range(6):
+        for i in range(6):
+            number = f"652-5{k}5-10{i:02}"
+            rows += [(1000 + 100 * k + i, f"w{names[k]} {number}"), (2000 + 100 * k + i, f"w{names[k + 1]} {number}"), (3000 + 100 * k + i, f"w{names[k + 1]} {number}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    more = {r["doc_id"]: [s["value"] for s in r["more"]] for r in pii.find(df).collect() if r["more"]}
+    assert more[20] == ["0301234567"] and more[40] == ["10[.]0[.]7[.]9"] and 21 not in more
+    assert more[1505] == more[2505] == ["652-555-1005"]
