@@ -1,19 +1,25 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines, whole, and pieces: the text is also cut, whatever its lines, where the hash of a word pair is least
-among its neighbours, so that a passage is cut alike wherever it stands and however it is wrapped, with some 9 words a
-piece. Words count without case and punctuation. Equal paragraphs of a level meet by hash. All that have a shingle of five words also get BANDS bands of ROWS minhashes: two at Jaccard 0.8
-share a band with probability 0.95. Colliding distinct paragraphs are joined with their shingles, verified by exact
-Jaccard and linked as a spanning forest; links give classes by connected components.
-
-A paragraph is repeated if two documents hold one of its class and the repeated paragraphs that follow each other around
-it come to at least RUN_WORDS words. Of each class the occurrence in the smallest (doc_id, start) stays; the others are
-removals. A piece within a removed line goes with it and has no row; one that shares words with such a line is not the one
-that stays, if another is not so. A piece within a line that stays has a row only if it is itself removed.
-
-Edge cases: null or empty text has no paragraphs; lines under five words are compared only within
-pieces, which join them to their neighbours; rows repeated with
-the same id and text count as one document; null ids are documents of their own by text and come first in order.
+Paragraphs are lines, whole. All of them with a shingle of five words get BANDS bands of ROWS minhashes: two at Jaccard 0.8
+share a band with probability 0.98. Distinct paragraphs that collide are joined with their shingles, verified by exact
+Jaccard and linked as a spanning forest; links give classes by connected components. Besides, to find passages however
+they are wrapped, the text is cut, whatever its lines, where the hash of a word pair is least among its neighbours, in
+pieces of some 9 words, and equal pieces meet by hash. Words count without case and punctuation; a paragraph or piece is
+known by 96 bits of hash, a line among its near ones by 64 of these.
+
+A paragraph or piece is repeated if two documents hold one of its class where the repeated ones that follow each other
+come to at least RUN_WORDS words. Of each class of lines the occurrence in the smallest (doc_id, start) stays;
+the others are removals. Pieces that a removed line takes in or overlaps go with it or stay with what is left, and have
+no row; of the rest, the first of each class stays. A piece within a line that stays has a row only if it is removed.
+
+No paragraph is left out because a band is full: bands of more than DEALT_LINES distinct lines are dealt to several tasks,
+each with the band's first line; where that leaves more than one tree in a band, its lines are compared once more, lot by
+lot, each lot with all lots before it, across trees only.
+
+Edge cases: null or empty text has no paragraphs; lines under five words are compared only within pieces, which join them
+to their neighbours; a long line is one paragraph whatever its length; rows repeated with the same id and text count as one
+document; null ids are documents of their own by text and come first in order; of equal candidates to stay the first in
+(id, start, key) does; an empty table gives no rows; other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,45 +30,33 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release, ship, small, use_cache
+from .common import documents, materialize, release, ship
 from .components import components
 
 REACH = 4
 SHINGLE = 5
 PIECE, LINE = 0, 1
-BANDS, ROWS = 3, 2
+BANDS, ROWS = 4, 2
+BAND_NAMES = [f"band{i}" for i in range(BANDS)]
 SIMILARITY = 0.8
 RUN_WORDS = 20
-#: Distinct paragraphs under one band that are held at a time; every lot is compared with all before it.
-LOT = 4096
-CACHE_WORDS = 400_000
+#: Distinct lines under one band that one task compares.
+DEALT_LINES = 256
+#: Lines, and shingles of theirs, that are held at a time where a band is compared lot by lot.
+LOT, LOT_SHINGLES = 4096, 1 << 21
 #: Rows of one class that go to one task in the join with classes, on average.
 DEALT = 1000
+#: Characters whose words are found at a time, and at most about which texts are taken together.
+CHUNK, GROUP = 1 << 18, 1 << 20
+#: Bits of the filter of wanted lines: its size is the same whatever the corpus holds.
+FILTER_BITS = 1 << 26
 
-_known: dict[bytes, int] = {}
-_letters = re.compile(r"[\W_]+")
-
-
-def _begin() -> None:
-    """For task functions, which must not name the cache themselves: they would carry a copy of it."""
-    use_cache("passages", _known.clear)
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of the words without case and punctuation; a worker remembers them."""
-    import xxhash
-
-    new = set(words).difference(_known)
-    if len(_known) + len(new) > CACHE_WORDS:
-        _known.clear()
-        new = set(words)
-    for w in new:
-        t = w.decode("utf-8", "replace").lower()
-        _known[w] = xxhash.xxh3_64_intdigest((_letters.sub("", t) or t).encode())
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+_blank = re.compile(r"[ \t-\r]")
+_tables: dict[str, np.ndarray] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,293 +64,424 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _shingles(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """A hash of each run of ``width`` words."""
-    n = max(0, len(h) - width + 1)
-    s = np.zeros(n, np.uint64)
-    for i in range(width):
-        s = _mix(s + h[i : i + n])
-    return s
-
-
-def _words(text: str | None):
-    """(starts, ends, hashes, numbers of lines) of the words of a text; the offsets are code points."""
-    words = (text or "").encode().split()
-    if not words:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int)
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    return starts, ends, _word_hashes(words), np.cumsum(codes == 10)[starts]
+def _characters() -> np.ndarray:
+    """For each character of the basic plane a value that is the same for both cases; 0 if it is no letter or digit."""
+    if "characters" not in _tables:
+        low = [(ord(x) if len(x := c.lower()) == 1 else ord(c)) + 1 if c.isalnum() else 0 for c in map(chr, range(1 << 16))]
+        codes = np.array(low, np.uint64)
+        _tables["characters"] = np.where(codes > 0, _mix(_mix(codes * np.uint64(0xD6E8FEB86659FD93)) + codes), np.uint64(0))
+    return _tables["characters"]
 
 
-def _lines(h: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """The first words of the lines."""
-    return np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(h) else np.zeros(0, int)
+def _powers(n: int, base: int) -> np.ndarray:
+    """The powers of an odd number, n of them at least."""
+    name = f"powers-{base}"
+    if len(_tables.get(name, ())) < n:
+        size = max(1024, 1 << (n - 1).bit_length())
+        _tables[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
+    return _tables[name]
 
 
-def _pieces(h: np.ndarray) -> np.ndarray:
-    """The first words of the pieces, which content alone cuts."""
+def _chunk_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(starts, ends, hashes, newlines before) of the words of a text, and its number of newlines; offsets are code points."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    blank = np.concatenate([[True], (codes == 32) | (codes - np.uint32(9) <= 4), [True]])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    newlines = np.cumsum(codes == 10, dtype=np.int32)
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64), starts, int(newlines[-1]) if len(codes) else 0
+    value = _characters()[np.minimum(codes, np.uint32(65535))]
+    if codes.max() > 65535:
+        value = np.where(codes > 65535, _mix(codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), value)
+    kept = np.flatnonzero(value)
+    first = np.searchsorted(kept, starts)
+    n = np.diff(np.append(first, len(kept)))
+    place = np.arange(len(kept)) - np.repeat(first, n)
+    h = np.zeros(len(starts), np.uint64)
+    if len(kept):
+        h[n > 0] = np.add.reduceat(value[kept] * _powers(int(n.max()), 0xA24BAED4963EE407)[place], first[n > 0])
+    return starts, ends, _mix(_mix(h) + n.astype(np.uint64)), newlines[starts], int(newlines[-1])
+
+
+def _cut(text: str) -> list[tuple[int, str]]:
+    """(offset, part) of a text, in parts of about CHUNK characters that end at blanks."""
+    out, at = [], 0
+    while len(text) - at > CHUNK and (m := _blank.search(text, at + CHUNK)):
+        out.append((at, text[at : m.end()]))
+        at = m.end()
+    return [*out, (at, text[at:])]
+
+
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end, hash, line) of all words of the texts; lines are numbered through, a text begins a new one."""
+    parts: list[tuple] = []
+    line, of, held, size = 0, [], [], 0
+
+    def flush():
+        nonlocal line, held, of, size
+        starts, ends, h, before, newlines = _chunk_words("\n".join(held))
+        at = np.cumsum([0, *(len(t) + 1 for t in held[:-1])])
+        k = np.searchsorted(at, starts, "right") - 1
+        shift = np.array([x for _, x in of], np.int64) - at
+        parts.append((np.array([i for i, _ in of], np.int64)[k], starts + shift[k], ends + shift[k], h, before + line))
+        line += newlines
+        held, of, size = [], [], 0
+
+    for i, text in enumerate(texts):
+        line += 1  # of the newline between two texts, whether or not they share a chunk
+        for at, part in _cut(text or ""):
+            if size + len(part) > CHUNK and held:
+                flush()
+            held.append(part)
+            of.append((i, at))
+            size += len(part)
+            if at or len(part) >= CHUNK:
+                flush()
+    if held:
+        flush()
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal values."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _pieces(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The first words of the pieces, which content alone cuts, within the texts ``of`` which the words are."""
     if not len(h):
-        return np.zeros(0, int)
-    g = _mix(np.concatenate([[np.uint64(0)], h[:-1]]) * np.uint64(3) + h)
-    top = np.uint64(2**64 - 1)
-    pad = np.concatenate([np.full(REACH, top), g, np.full(REACH, top)])
-    view = np.lib.stride_tricks.sliding_window_view(pad, REACH)
-    cut = (g < view[: len(g)].min(1)) & (g <= view[REACH + 1 : REACH + 1 + len(g)].min(1))
-    cut[0] = True
-    return np.flatnonzero(cut)
+        return np.zeros(0, np.int64)
+    first = np.zeros(len(h), bool)
+    first[_firsts(of)] = True
+    g = _mix(np.where(first, np.uint64(0), np.roll(h, 1)) * np.uint64(3) + h)
+    # Texts lie REACH apart, so that no word is measured against those of another text.
+    at = np.arange(len(h)) + np.cumsum(first) * REACH
+    apart = np.full(at[-1] + 1 + REACH, 2**64 - 1, np.uint64)
+    apart[at] = g
+    left, right = apart[at - 1], apart[at + 1]
+    for i in range(2, REACH + 1):
+        left, right = np.minimum(left, apart[at - i]), np.minimum(right, apart[at + i])
+    return np.flatnonzero(first | (g < left) & (g <= right))
 
 
 def paragraphs(text: str | None):
     """(start, end, number of words, hashes of words, first word) of each piece of a text; together they cover it."""
-    starts, ends, h, _ = _words(text)
-    at = _pieces(h)
+    of, starts, ends, h, _ = _words([text])
+    at = _pieces(h, of)
     n = np.diff(np.append(at, len(h)))
     return starts[at], ends[at + n - 1], n, h, at
 
 
-def _levels(h: np.ndarray, line: np.ndarray):
-    """(level, first words, numbers of words) of the paragraphs that are compared: LINE for whole lines, PIECE."""
-    for level, at in ((LINE, _lines(h, line)), (PIECE, _pieces(h))):
+def _levels(of: np.ndarray, h: np.ndarray, line: np.ndarray):
+    """(level, first words, numbers of words) of what is compared: LINE for whole lines, PIECE."""
+    for level, at in ((LINE, _firsts(line)), (PIECE, _pieces(h, of))):
         n = np.diff(np.append(at, len(h)))
         own = n >= (SHINGLE if level == LINE else 1)
         yield level, at[own], n[own]
 
 
-def _bands(h: np.ndarray, at: np.ndarray, n: np.ndarray, level: int) -> list:
-    """The band keys of the paragraphs of a level at ``at`` of ``n`` >= SHINGLE words."""
-    s = _shingles(h)
+def _names(h: np.ndarray, at: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of hash of the runs of ``n`` words at ``at``."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    inside = np.repeat(at, n)
+    place = np.arange(len(inside)) - np.repeat(np.cumsum(n) - n, n)
+    words, firsts = h[inside + place], np.cumsum(n) - n
+    salt = n.astype(np.uint64) * np.uint64(2) + np.uint64(level)
+    a = _mix(_mix(np.add.reduceat(words * _powers(int(n.max()), 0x9FB21C651E98DF25)[place], firsts)) + salt)
+    b = _mix(np.add.reduceat(_mix(words) * _powers(int(n.max()), 0xD1342543DE82EF95)[place], firsts) + salt)
+    return a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _shingles(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """A hash of each run of ``width`` words."""
+    n = max(0, len(h) - width + 1)
+    s = np.zeros(n, np.uint64)
+    for i in range(width):
+        s = _mix(s + h[i : i + n])
+    return s
+
+
+def _bands(s: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The band keys of the lines at ``at`` of ``n`` >= SHINGLE words, s being the shingles of all words."""
+    if not len(at):
+        return np.zeros((0, BANDS), np.int64)
     s = np.append(s, np.uint64(0))
-    cuts = np.stack([at, at + n - SHINGLE + 1], 1).ravel()
+    cuts = np.minimum(np.stack([at, at + n - SHINGLE + 1], 1).ravel(), len(s) - 1)
     keys = np.zeros((len(at), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(at), b + 1 + BANDS * level, np.uint64)
+        key = np.full(len(at), b + 1, np.uint64)
         for r in range(ROWS):
             salt = np.uint64((0xA0761D6478BD642F * (b * ROWS + r + 1)) % 2**64)
-            key = _mix(key ^ np.minimum.reduceat(_mix(s ^ salt), np.minimum(cuts, len(s) - 1))[::2])
+            key = _mix(key ^ np.minimum.reduceat(_mix(s ^ salt), cuts)[::2])
         keys[:, b] = key
-    return keys.view(np.int64).tolist()
+    return keys.view(np.int64)
+
+
+def _grouped(batches, text: int):
+    """Slices of Arrow batches, and their texts, of about GROUP characters (a longer text stands alone)."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP, "right")))
+            part = batch.slice(at, stop - at)
+            yield part, part.column(text).to_pylist()
+            at = stop
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
 
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (of the document), id, start, end, n, word, level, h and bands of every paragraph that is compared."""
+    """key (of the document), id, h and g (the name), at, of and, for lines, the bands of all that is compared.
+
+    at is start and end, of is first word and twice the number of words plus the level, each 32 bits of a long.
+    """
     kind = dict(docs.dtypes)[doc_id]
+    names = ["key", "id", "h", "g", "at", "of", *BAND_NAMES]
 
     def run(batches):
-        import xxhash
-
-        _begin()
-        digest = xxhash.xxh3_64_intdigest
-        for batch in small(batches):
-            rows: list[list] = [[], [], [], [], [], [], []]
-            bands: list = []
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                start, end, h, line = _words(t)
-                raw = h.tobytes()
-                for level, at, n in _levels(h, line):
-                    rows[0] += [i] * len(at)
-                    rows[1] += start[at].tolist()
-                    rows[2] += end[at + n - 1].tolist()
-                    rows[3] += n.tolist()
-                    rows[4] += [digest(raw[8 * a : 8 * b], level) for a, b in zip(at.tolist(), (at + n).tolist())]
-                    rows[5] += at.tolist()
-                    rows[6] += [level] * len(at)
-                    banded = np.flatnonzero(n >= SHINGLE)
-                    mine: list = [None] * len(at)
-                    if len(banded):
-                        for k, x in zip(banded.tolist(), _bands(h, at[banded], n[banded], level)):
-                            mine[k] = x
-                    bands += mine
-            of = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(rows[k], pa.int64()) for k in (1, 2, 3, 5)), pa.array(rows[6], pa.int32()), pa.array(np.array(rows[4], np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
-                ["key", "id", "start", "end", "n", "word", "level", "h", "bands"],
-            )
+        for batch, texts in _grouped(batches, 2):
+            of, start, end, h, line = _words(texts)
+            first = _firsts(of)
+            number = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+            shingles = _shingles(h)
+            for level, at, n in _levels(of, h, line):
+                name, more = _names(h, at, n, level)
+                rows = pa.array(of[at])
+                places = pa.array(start[at] << 32 | end[at + n - 1]), pa.array(number[at] << 32 | n << 1 | level)
+                bands = list(map(pa.array, _bands(shingles, at, n).T)) if level == LINE else [pa.nulls(len(at), pa.int64())] * BANDS
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(name), pa.array(more), *places, *bands], names)
         release()
 
-    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return ship(keyed).mapInArrow(run, f"key long, id {kind}, start long, end long, n long, word long, level int, h long, bands array<long>")
+    return ship(_keyed(docs, doc_id, text)).mapInArrow(run, f"key long, id {kind}, h long, g int, at long, of long, " + ", ".join(f"{b} long" for b in BAND_NAMES))
+
+
+def _filter_of(wanted: DataFrame) -> bytes:
+    """FILTER_BITS bits, of which those are set that the longs of the only column name. It lets rows through, never keeps one."""
+    bit = F.pmod(wanted.columns[0], F.lit(FILTER_BITS)) + 1
+    words = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    bits = bytearray(FILTER_BITS // 8)
+    for r in words.toLocalIterator():  # FILTER_BITS / 32768 rows at most
+        at = (r["bucket"] - 1) * 4096
+        bits[at : at + len(r["bits"])] = r["bits"]
+    return bytes(bits)
 
 
-def _sets(wanted_text: DataFrame) -> DataFrame:
-    """h and set (distinct shingles) of the paragraphs of the given (key, text)."""
+def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """h and set (distinct shingles) of the lines whose h is among ``wanted``."""
+    sieve = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches):
-        import xxhash
-
-        _begin()
-        for batch in small(batches):
-            hs, sets = [], []
-            for t in batch.column(0).to_pylist():
-                _, _, h, line = _words(t)
-                raw, shingles = h.tobytes(), _shingles(h)
-                for level, at, n in _levels(h, line):
-                    for a, k in zip(at.tolist(), n.tolist()):
-                        if k >= SHINGLE:
-                            hs.append(xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (a + k)], level))
-                            sets.append(np.unique(shingles[a : a + k - SHINGLE + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["h", "set"])
+        bits = np.frombuffer(sieve.value, np.uint8)
+        for _, texts in _grouped(batches, 0):
+            of, _, _, h, line = _words(texts)
+            level, at, n = next(_levels(of, h, line))
+            name, _ = _names(h, at, n, level)
+            bit = name % FILTER_BITS
+            own = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            own = own[np.unique(name[own], return_index=True)[1]]
+            shingles = _shingles(h)
+            sets = [np.unique(shingles[a : a + k - SHINGLE + 1]) for a, k in zip(at[own].tolist(), n[own].tolist())]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name[own]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["h", "set"])
         release()
 
-    return ship(wanted_text).mapInArrow(run, "h long, set array<long>")
+    found = ship(docs.select(text)).mapInArrow(run, "h long, set array<long>")
+    return found.join(wanted, "h", "left_semi").dropDuplicates(["h"])
 
 
-def _linked(ids: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list, list, list[int]]:
-    """A spanning forest of the pairs at least this alike, and one member of each tree."""
-    a, b, reps, left = [], [], [], np.arange(len(ids))
-    sizes = np.array([len(s) for s in sets])
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        reps.append(int(queue[0]))
-        while queue and len(left):
-            x = queue.pop()
-            inside = np.isin(np.concatenate([sets[i] for i in left]), sets[x])
-            both = np.add.reduceat(inside.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[left])[:-1]]))
-            near = both >= similarity * (sizes[left] + sizes[x] - both) - 1e-9
-            a += [ids[x]] * int(near.sum())
-            b += [ids[i] for i in left[near]]
-            queue += left[near].tolist()
-            left = left[~near]
-    return a, b, reps
-
-
-def _across(ids: list[int], sets: list[np.ndarray], more: list[int], others: list[np.ndarray], root, join, similarity: float) -> tuple[list, list]:
-    """Links between two lots of paragraphs that join trees which no link has joined so far; every pair counts."""
+def _root(parent: dict, x):
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _link(ids: list, sets: list[np.ndarray], more: list, others: list[np.ndarray], parent: dict, similarity: float) -> tuple[list, list]:
+    """Links between two lots of lines that join trees which no link has joined so far; every pair counts."""
     a, b = [], []
     sizes = np.array([len(s) for s in others])
     whole = np.concatenate(others)
     order = np.argsort(whole, kind="stable")
     values, owner = whole[order], np.repeat(np.arange(len(others)), sizes)[order]
-    trees = {root(i) for i in more}
+    trees = {_root(parent, i) for i in more}
     for i, s in zip(ids, sets):
-        if trees == {root(i)}:
+        if trees == {_root(parent, i)}:
             continue
         lo, n = np.searchsorted(values, s), np.searchsorted(values, s, "right")
         n -= lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         both = np.bincount(owner[at], minlength=len(others))
-        for j in np.flatnonzero(both >= similarity * (sizes + len(s) - both) - 1e-9):
-            if join(i, more[j]):
+        joined = False
+        for j in np.flatnonzero(both >= similarity * (sizes + len(s) - both) - 1e-9).tolist():
+            x, y = _root(parent, i), _root(parent, more[j])
+            if x != y:
+                parent[x], joined = y, True
                 a.append(i)
                 b.append(more[j])
-                trees = {root(t) for t in trees}
+        if joined:
+            trees = {_root(parent, t) for t in trees}
     return a, b
 
 
-def _verify(batches):
-    """Rows (band, h, set), sorted by band -> links (a, b). Full lots of a band wait in a file for its later lots."""
-    band, ids, sets, lots, parent = None, [], [], 0, {}
+def _linked(ids: list, sets: list[np.ndarray], similarity: float) -> tuple[list, list, list]:
+    """A spanning forest of the pairs at least this alike, and one member of each tree."""
+    parent: dict = {}
+    a, b = _link(ids, sets, ids, sets, parent, similarity)
+    return a, b, list({_root(parent, i): i for i in ids}.values())
 
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
 
-    def join(x, y):
-        x, y = root(x), root(y)
-        parent[x] = y
-        return x != y
+def _verify(batches):
+    """Rows (band, h, set) or (band, h, set, tree), rows of a band together -> links (a, b) between trees of lines.
+
+    Full lots of a band wait in a file of the task for the band's later lots.
+    """
+    band, ids, sets, lots, size, parent = None, [], [], 0, 0, {}
 
     with tempfile.TemporaryFile() as kept:
 
         def emit():
-            a, b, _ = _linked(ids, sets, SIMILARITY)
-            if lots or len(ids) >= LOT:
-                for x, y in zip(a, b):
-                    join(x, y)
-                kept.seek(0)
-                for _ in range(lots):
-                    x, y = _across(*pickle.load(kept), ids, sets, root, join, SIMILARITY)
-                    a, b = a + x, b + y
+            a, b = _link(ids, sets, ids, sets, parent, SIMILARITY) if len(ids) > 1 else ([], [])
+            kept.seek(0)
+            for _ in range(lots):
+                x, y = _link(*pickle.load(kept), ids, sets, parent, SIMILARITY)
+                a, b = a + x, b + y
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for k, h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            trees = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for k, h, s, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), trees):
                 if k != band:
-                    if len(ids) > 1 or lots and ids:
+                    if ids and (lots or len(ids) > 1):
                         yield emit()
-                    ids, sets = [], []
                     if lots:
                         kept.seek(0)
                         kept.truncate()
-                    lots, parent = 0, {}
+                    ids, sets, lots, size, parent = [], [], 0, 0, {}
                 band = k
+                if tree is not None:
+                    parent[h] = tree
                 ids.append(h)
                 sets.append(np.array(s.values))
-                if len(ids) >= LOT:
+                size += len(sets[-1])
+                if len(ids) >= LOT or size >= LOT_SHINGLES:
                     yield emit()
                     kept.seek(0, 2)
                     pickle.dump((ids, sets), kept)
-                    ids, sets, lots = [], [], lots + 1
-        if len(ids) > 1 or lots and ids:
+                    ids, sets, lots, size = [], [], lots + 1, 0
+        if ids and (lots or len(ids) > 1):
             yield emit()
     release()
 
 
-def classes(parts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """node, component: paragraph hashes that near-equal ones link; parts is the written table of ``units``."""
-    banded = parts.filter("bands is not null").select("h", "key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("band")
-    members = materialize(banded.join(shared, "band").groupBy("band", "h").agg(F.min("key").alias("key")), "members")
-    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text"))
-    wanted = keyed.join(members.select("key").distinct(), "key", "left_semi").select("text")
-    sets = _sets(wanted).join(members.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("set").alias("set"))
-    rows = members.select("band", "h").join(sets, "h").select("band", "h", "set").repartition("band").sortWithinPartitions("band", "h")
-    return components(ship(rows).mapInArrow(_verify, "a long, b long"))
+def classes(parts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """h, g, component: the names of lines that are near-equal to others, and their class; parts is the written table of ``units``."""
+    # Each distinct line once: copies of a line, however many, are one row of its bands.
+    lines = parts.filter(F.col(BAND_NAMES[0]).isNotNull()).groupBy("h", "g").agg(*(F.first(b).alias(b) for b in BAND_NAMES))
+    banded = materialize(lines.select("h", "g", F.explode(F.array(*BAND_NAMES)).alias("band")), "bands")
+    groups = banded.groupBy("band").agg(F.count("*").alias("lines"), F.min("h").alias("first"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("all"))
+    # Of bands that hold the same lines, one will do.
+    groups = groups.filter("lines > 1").groupBy("lines", "first", "all").agg(F.min("band").alias("band"))
+    members = materialize(banded.join(groups.select("band", "lines", "first"), "band"), "members")
+    wanted = members.select("h").distinct()
+    sets = materialize(_sets(docs, wanted, text), "sets")
+    shares = F.ceil(F.col("lines") / DEALT_LINES)
+    own = F.array(F.pmod(F.xxhash64("h"), shares))
+    dealt = F.when(shares == 1, F.array(F.lit(0).cast("long"))).when(F.col("h") == F.col("first"), F.sequence(F.lit(0).cast("long"), shares - 1)).otherwise(own)
+    rows = members.select("band", "h", F.explode(dealt).alias("share")).join(sets, "h")
+    rows = rows.select(F.xxhash64("band", "share").alias("group"), "h", "set").repartition("group").sortWithinPartitions("group")
+    links = materialize(ship(rows).mapInArrow(_verify, "a long, b long"), "links")
+    trees = components(links)
+    names = members.select(F.col("h").alias("node"), "g").distinct()
+    named = lambda t: t.join(names, "node").select(F.col("node").alias("h"), "g", "component")
+    if members.filter(F.col("lines") > DEALT_LINES).isEmpty():
+        return named(trees)
+    # Of bands that were dealt, those that hold lines of several trees once more, whole; only pairs across trees count.
+    trees = materialize(trees, "trees")
+    full = members.filter(F.col("lines") > DEALT_LINES).join(trees, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("component", "h").alias("tree"))
+    full = materialize(full, "full")
+    open_ = full.groupBy("band").agg(F.min("tree").alias("lo"), F.max("tree").alias("hi")).filter("lo <> hi").select("band")
+    again = full.join(open_, "band", "left_semi").join(sets, "h").select("band", "h", "set", "tree").repartition("band").sortWithinPartitions("band")
+    more = materialize(ship(again).mapInArrow(_verify, "a long, b long"), "links")
+    return named(trees if more.isEmpty() else components(links.union(more)))
+
+
+def _dealt_join(rows: DataFrame, per_class: DataFrame) -> DataFrame:
+    """rows with the columns of their class; a class of many rows (column rows) is dealt to as many tasks as these need."""
+    shares = F.floor(F.col("rows") / DEALT)
+    per_share = per_class.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares))).drop("rows")
+    own = F.pmod(F.xxhash64("key", "at"), shares + 1)
+    return rows.withColumn("share", own).drop("rows").join(per_share, ["class_id", "class_g", "share"]).drop("share")
+
+
+def _with_first(rows: DataFrame) -> DataFrame:
+    """rows of the classes that two documents hold, with n_docs and removed; the first row not ``cut`` of a class stays."""
+    # One row for each class and document first, so that a passage of many documents is summed up where it is read.
+    may_stay = F.when(~F.col("cut"), F.col("at"))
+    per_doc = rows.groupBy("class_id", "class_g", "key", "id").agg(F.min(may_stay).alias("at"), F.max("rows").alias("rows"))
+    first = F.min(F.when(F.col("at").isNotNull(), F.struct("id", "at", "key"))).alias("first")
+    per_class = per_doc.groupBy("class_id", "class_g").agg(F.count("*").alias("n_docs"), first, F.max("rows").alias("rows")).filter("n_docs > 1 and first is not null")
+    stays = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.at") == F.col("at")) & (F.col("first.key") == F.col("key"))
+    return _dealt_join(rows, per_class).withColumn("removed", ~stays).drop("first")
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """key, id, start, end, n, class_id, n_docs and removed of every repeated paragraph."""
     parts = materialize(units(docs, doc_id, text), "paragraphs")
-    near = materialize(classes(parts, docs, doc_id, text), "classes")
+    near = materialize(classes(parts, docs, text), "classes")
     # Two documents must hold a paragraph or one linked to it: a narrow aggregate finds these, and only their rows go on.
-    spread = parts.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows"))
-    labelled = spread.join(near, spread["h"] == near["node"], "left").filter("lo <> hi or component is not null")
-    labelled = materialize(labelled.select("h", F.coalesce("component", "h").alias("class_id"), "rows"), "repeated")
-    shares = labelled.groupBy("class_id").agg(F.floor(F.sum("rows") / DEALT).alias("shares"))
-    held = materialize(parts.drop("bands").join(labelled.drop("rows").join(shares, "class_id"), "h"), "occurrences")
-    # One row for each paragraph and document first, so that a passage of many documents is summed up where it is read.
-    per_doc = held.groupBy("class_id", "h", "key").agg(F.min(F.struct("id", "start", "key")).alias("at"))
-    per_class = per_doc.groupBy("class_id").agg(F.count("*").alias("n_docs"), F.min("at").alias("first"))
-    # A passage that a large part of the corpus shares is dealt to as many tasks as its rows need, each with its class.
-    per_share = per_class.join(shares, "class_id").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), "shares"))).drop("shares")
-    own = F.pmod(F.xxhash64("key", "start"), F.col("shares") + 1)
-    found = held.withColumn("share", own).drop("shares").join(per_share, ["class_id", "share"])
-    found = found.dropDuplicates(["key", "id", "start", "level"]).withColumn("_kept", (F.col("first.start") == F.col("start")) & (F.col("first.key") == F.col("key")))
+    spread = parts.groupBy("h", "g").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows"))
+    spread = spread.join(near, ["h", "g"], "left").filter("lo <> hi or component is not null")
+    own_g = F.when(F.col("component").isNull(), F.col("g")).otherwise(0)
+    spread = materialize(spread.select("h", "g", "lo", "hi", "rows", F.coalesce("component", "h").alias("class_id"), own_g.alias("class_g")), "spread")
+    of_class = spread.groupBy("class_id", "class_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows")).filter("lo <> hi")
+    labelled = spread.select("h", "g", "class_id", "class_g").join(of_class.select("class_id", "class_g", "rows"), ["class_id", "class_g"])
+    held = parts.drop(*BAND_NAMES).join(materialize(labelled, "repeated"), ["h", "g"])
+    size = F.col("of").bitwiseAND(F.lit(2**32 - 1))
+    columns = F.shiftrightunsigned("of", 32).alias("word"), F.shiftrightunsigned(size, 1).alias("n"), size.bitwiseAND(F.lit(1)).cast("int").alias("level")
+    held = held.select("key", "id", "at", "class_id", "class_g", "rows", *columns)
+    # Runs of what follows each other in a document; a row that is there twice (of repeated rows of the table) counts once.
     in_doc = Window.partitionBy("key", "id").orderBy("word", F.desc("n"), F.desc("level"))
     before, last = in_doc.rowsBetween(Window.unboundedPreceding, -1), F.col("word") + F.col("n")
-    found = found.withColumn("_run", F.when(F.col("word") <= F.max(last).over(before), 0).otherwise(1)).withColumn("_run", F.sum("_run").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    again = (F.lag("at").over(in_doc) == F.col("at")) & (F.lag("level").over(in_doc) == F.col("level"))
+    held = held.withColumn("_again", F.coalesce(again, F.lit(False))).filter("not _again")
+    held = held.withColumn("_run", F.when(F.col("word") <= F.max(last).over(before), 0).otherwise(1))
+    held = held.withColumn("_run", F.sum("_run").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
     of_run = Window.partitionBy("key", "id", "_run")
-    found = found.withColumn("_long", F.max(last).over(of_run) - F.min("word").over(of_run) >= RUN_WORDS)
-    line, piece = (F.col("level") == LINE) & F.col("_long"), F.col("level") == PIECE
-    held_by = lambda which: piece & F.coalesce(F.max(F.when(which, last)).over(before) >= last, F.lit(False))
-    off = line & ~F.col("_kept")
+    held = held.withColumn("_long", F.max(last).over(of_run) - F.min("word").over(of_run) >= RUN_WORDS).filter("_long")
+    held = materialize(held.drop("_again", "_run", "_long"), "occurrences")
+    lines = _with_first(held.filter(F.col("level") == LINE).withColumn("cut", F.lit(False)))
+    lines = materialize(lines.drop("cut"), "lines")
+    # Pieces within a removed line go with it; those that overlap one may go, but do not stay for others.
+    off = F.when((F.col("level") == LINE) & F.col("removed"), last)
+    on = F.when((F.col("level") == LINE) & ~F.col("removed"), last)
     after = Window.partitionBy("key", "id").orderBy(F.desc("word"), "n", "level").rowsBetween(Window.unboundedPreceding, -1)
-    meets = (F.max(F.when(off, last)).over(before) > F.col("word")) | (F.min(F.when(off, F.col("word"))).over(after) < last)
-    found = found.withColumns({"_in_line": held_by(line), "_gone": held_by(off), "_cut": piece & F.coalesce(meets, F.lit(False))})
-    found = materialize(found.drop("first", "word", "_run"), "found")
-    # Where a removed line takes in some of the piece to stay, the first of those that none takes in stays.
-    moved = found.filter("_cut and _kept").select("class_id").distinct()
-    others = found.filter("not _cut").join(moved, "class_id", "left_semi").groupBy("class_id").agg(F.min(F.struct("id", "start", "key")).alias("next"), F.max("share").alias("shares"))
-    others = others.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), "shares"))).drop("shares")
-    found = found.join(others, ["class_id", "share"], "left")
-    kept = F.coalesce((F.col("next.start") == F.col("start")) & (F.col("next.key") == F.col("key")), "_kept")
-    out = found.withColumn("removed", ~kept).filter(F.col("_long") & ~F.col("_gone") & (~F.col("_in_line") | F.col("removed")))
-    return out.select("key", "id", "start", "end", "n", "class_id", "n_docs", "removed")
+    pieces = held.filter(F.col("level") == PIECE).unionByName(lines.select("key", "id", "at", "class_id", "class_g", "word", "n", "level", "removed"), allowMissingColumns=True)
+    off_word = F.when(off.isNotNull(), F.col("word"))
+    pieces = pieces.withColumns({"_off": F.max(off).over(before), "_on": F.max(on).over(before)}).withColumn("_next", F.min(off_word).over(after))
+    pieces = pieces.filter((F.col("level") == PIECE) & ~F.coalesce(F.col("_off") >= last, F.lit(False)))
+    pieces = pieces.withColumn("cut", F.coalesce(F.col("_off") > F.col("word"), F.lit(False)) | F.coalesce(F.col("_next") < last, F.lit(False)))
+    pieces = materialize(pieces.withColumn("_inside", F.coalesce(F.col("_on") >= last, F.lit(False))).drop("_off", "_on", "_next", "removed"), "pieces")
+    pieces = _with_first(pieces).filter("removed or not _inside")
+    names = ["key", "id", "at", "n", "class_id", "n_docs", "removed"]
+    out = lines.select(*names).unionByName(pieces.select(*names))
+    return out.select("key", "id", F.shiftrightunsigned("at", 32).alias("start"), F.col("at").bitwiseAND(F.lit(2**32 - 1)).alias("end"), "n", "class_id", "n_docs", "removed")
 
 
 def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the removals of ``found`` cut out of their texts; texts without any stay as they are."""
-    cuts = found.filter("removed").groupBy(F.col("key").alias("_millrace_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_millrace_cuts"))
+    cuts = found.filter("removed").groupBy(F.col("key").alias("_millrace_key"), F.col("id").alias("_millrace_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_millrace_cuts"))
     names = docs.columns
 
     def run(batches):
         at = names.index(text)
-        for batch in small(batches):
+        for batch, texts in _grouped(batches, at):
             out = []
-            for t, cut in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+            for t, cut in zip(texts, batch.column(len(names)).to_pylist()):
                 if cut:
                     parts, last = [], 0
                     for c in cut:
@@ -370,7 +495,9 @@ def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(columns, names)
         release()
 
-    keyed = docs.withColumn("_millrace_key", F.xxhash64(doc_id, text)).join(cuts, "_millrace_key", "left").select(*names, "_millrace_cuts")
+    keyed = docs.withColumn("_millrace_key", F.xxhash64(doc_id, text)).alias("d")
+    own = (F.col("d._millrace_key") == F.col("c._millrace_key")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("c._millrace_id"))
+    keyed = keyed.join(cuts.alias("c"), own, "left").select(*(f"d.`{c}`" for c in names), "_millrace_cuts")
     return ship(keyed).mapInArrow(run, docs.schema)
 
 
