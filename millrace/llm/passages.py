@@ -364,7 +364,7 @@ def _verify(batches):
                     ids, sets, lots, size, parent = [], [], 0, 0, {}
                 band = k
                 if tree is not None:
-                    parent[h] = tree
+                    parent[h] = parent.setdefault(tree, tree)
                 ids.append(h)
                 sets.append(np.array(s.values))
                 size += len(sets[-1])

@@ -137,3 +137,101 @@ def test_passage_of_short_lines_is_found(spark):
     assert {r["id"] for r in found.filter("removed").collect()} == {1, 3}
     left = {r["doc_id"]: len(r["text"].split()) for r in passages.without(df, found).collect()}
     assert left[0] == 180 and left[2] == 190 and left[1] <= 90 and left[3] <= 90 and left[10] == 42
+
+
+def _variants(seed, n, length=40):
+    """n variants of one line, each with one or two words of its own, so that some are near to others only through a third."""
+    r, base = random.Random(seed), words(seed, length).split()
+    for i in range(n):
+        own = list(base)
+        for k in r.sample(range(length), r.randint(1, 2)):
+            own[k] = f"w{seed}x{i}"
+        yield " ".join(own)
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def _groups(nodes, near):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if near(a, b):
+                root[find(a)] = find(b)
+    out = {}
+    for x in nodes:
+        out.setdefault(find(x), set()).add(x)
+    return {frozenset(v) for v in out.values() if len(v) > 1}
+
+
+def test_whole_query_against_brute_force(spark):
+    lines = [t for seed, n in ((301, 30), (302, 12), (303, 2)) for t in _variants(seed, n)]
+    twelve = words(310, 24)
+    lines += [twelve, twelve + " more", words(311, 25), words(312, 60), words(313, 30)]
+    rows = [(i, t) for i, t in enumerate(lines)]
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).filter("n >= 24").collect()
+    have = {}
+    for r in got:
+        have.setdefault(r["class_id"], set()).add(r["id"])
+    want = _groups(list(range(len(lines))), lambda i, j: _jaccard(lines[i], lines[j]) >= 0.8 - 1e-9)
+    assert {frozenset(v) for v in have.values() if len(v) > 1} == want
+    # Every class keeps its first line, and counts its documents.
+    for r in got:
+        assert r["removed"] == (r["id"] != min(have[r["class_id"]])) and r["n_docs"] == len(have[r["class_id"]])
+
+
+def test_dealt_bands_lose_no_link(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(t for seed in range(401, 405) for t in _variants(seed, 40))]
+    # One line of each pair starts alike: a band of lines that are not near to each other.
+    rows += [(1000 + i, "the same five words begin " + words(500 + i, 12)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda: sorted((r["id"], r["start"], r["n"], r["n_docs"], r["removed"]) for r in passages.repeated(df).collect())
+    whole = of()
+    monkeypatch.setattr(passages, "DEALT_LINES", 4)
+    assert whole and of() == whole
+
+
+def test_near_lines_with_twelve_words_link(spark):
+    lead, short = words(601, 19), words(602, 12)
+    df = spark.createDataFrame([(1, lead + "\n" + short), (2, lead + "\n" + short + " more")], "doc_id long, text string")
+    got = [r for r in passages.repeated(df).collect() if r["n"] in (12, 13)]
+    assert {(r["id"], r["n"], r["removed"]) for r in got} >= {(1, 12, False), (2, 13, True)} and {r["n_docs"] for r in got} == {2}
+
+
+def test_like_lines_of_one_document_stay(spark):
+    line = words(611, 30)
+    df = spark.createDataFrame([(1, line + "\n" + words(612, 30) + "\n" + line + " more"), (2, words(613, 40))], "doc_id long, text string")
+    assert passages.repeated(df).count() == 0
+
+
+def test_words_are_the_same_however_texts_are_cut(monkeypatch):
+    texts = [None, "", words(621, 3000) + "\n x", " ", "\n\n", "ÄÖ ü😀x it's, _under_ " + "long" * 4000, words(622, 50)]
+    whole = passages._words(texts)
+    monkeypatch.setattr(passages, "CHUNK", 300)
+    cut = passages._words(texts)
+    assert all((a == b).all() for a, b in zip(whole[:4], cut[:4])) and (passages._firsts(whole[4]) == passages._firsts(cut[4])).all()
+    of, start, end, h, _ = whole
+    for i, t in enumerate(texts):
+        assert [t[a:b] for a, b in zip(start[of == i], end[of == i])] == (t or "").split()
+    same = passages._words(["It's HERE, now.", "its here now"])[3]
+    assert (same[:3] == same[3:]).all() and len(set(same[:3].tolist())) == 3
+
+
+def test_edges(spark):
+    line = words(631, 40)
+    rows = [(None, line), (2, line), (2, line), (3, None), (4, ""), (5, line + " " + "😀 " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "h": F.lit("x"), "class_id": F.lit(None).cast("string")})
+    got = passages.repeated(df)
+    assert {(r["id"], r["removed"]) for r in got.filter("n = 40").collect()} == {(None, False), (2, True)}
+    left = passages.without(df, got)
+    assert left.columns == df.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 2, 2, 3, 4, 5]
+    empty = df.limit(0)
+    assert passages.without(empty, passages.repeated(empty)).count() == 0
