@@ -1,6 +1,9 @@
 """The corpus pipeline: each stage applies one operator to the table that the stage before it has written.
 
-Rows with a null id are handled like others; their place among ids is taken by a hash of their text.
+Rows with a null id are handled like others and come last where ids decide; rows of one id with different texts are
+documents of their own; rows of equal id and text count as one. A text that is null or empty has no language and goes. An
+empty table passes through as an empty one; of ties the smallest id stays; the length of texts has no bound; columns
+besides those of documents, whatever their names, are handed on by all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,11 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group that fingerprints link; of repeated rows, one."""
-    place = F.coalesce("doc_id", F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**60)))
-    marked = docs.withColumn("_millrace_id", place)
-    keep = simhash.near_duplicates(marked, "_millrace_id").filter(F.col("_millrace_id") == F.col("component_id")).select("_millrace_id").distinct()
-    return marked.join(keep, "_millrace_id", "left_semi").dropDuplicates(["_millrace_id"]).select(*docs.columns)
+    """Keeps the document of the smallest id of each group at Jaccard 0.8 or more in five-word shingles; of repeated rows, one."""
+    return simhash.one_of_each(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

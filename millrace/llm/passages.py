@@ -12,9 +12,7 @@ come to at least RUN_WORDS words. Of each class of lines the occurrence in the s
 the others are removals. Pieces that a removed line takes in or overlaps go with it or stay with what is left, and have
 no row; of the rest, the first of each class stays. A piece within a line that stays has a row only if it is removed.
 
-No paragraph is left out because a band is full: bands of more than DEALT_LINES distinct lines are dealt to several tasks,
-each with the band's first line; where that leaves more than one tree in a band, its lines are compared once more, lot by
-lot, each lot with all lots before it, across trees only.
+No line is left out because its band is full: such bands are dealt to several tasks (``near.exact_components``).
 
 Edge cases: null or empty text has no paragraphs; lines under five words are compared only within pieces, which join them
 to their neighbours; a long line is one paragraph whatever its length; rows repeated with the same id and text count as one
@@ -24,128 +22,23 @@ document; null ids are documents of their own by text and come first in order; o
 
 from __future__ import annotations
 
-import pickle
 import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, release, ship
-from .components import components
+from .near import SHINGLE, exact_components, filter_of, firsts, grouped, mix, names_of, set_column, shingles_of, through, words_of
 
 REACH = 4
-SHINGLE = 5
 PIECE, LINE = 0, 1
 BANDS, ROWS = 4, 2
 BAND_NAMES = [f"band{i}" for i in range(BANDS)]
-SIMILARITY = 0.8
 RUN_WORDS = 20
-#: Distinct lines under one band that one task compares.
-DEALT_LINES = 256
-#: Lines, and shingles of theirs, that are held at a time where a band is compared lot by lot.
-LOT, LOT_SHINGLES = 4096, 1 << 21
 #: Rows of one class that go to one task in the join with classes, on average.
 DEALT = 1000
-#: Characters whose words are found at a time, and at most about which texts are taken together.
-CHUNK, GROUP = 1 << 18, 1 << 20
-#: Bits of the filter of wanted lines: its size is the same whatever the corpus holds.
-FILTER_BITS = 1 << 26
-
-_blank = re.compile(r"[ \t-\r]")
-_tables: dict[str, np.ndarray] = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def _characters() -> np.ndarray:
-    """For each character of the basic plane a value that is the same for both cases; 0 if it is no letter or digit."""
-    if "characters" not in _tables:
-        low = [(ord(x) if len(x := c.lower()) == 1 else ord(c)) + 1 if c.isalnum() else 0 for c in map(chr, range(1 << 16))]
-        codes = np.array(low, np.uint64)
-        _tables["characters"] = np.where(codes > 0, _mix(_mix(codes * np.uint64(0xD6E8FEB86659FD93)) + codes), np.uint64(0))
-    return _tables["characters"]
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    """The powers of an odd number, n of them at least."""
-    name = f"powers-{base}"
-    if len(_tables.get(name, ())) < n:
-        size = max(1024, 1 << (n - 1).bit_length())
-        _tables[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
-    return _tables[name]
-
-
-def _chunk_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(starts, ends, hashes, newlines before) of the words of a text, and its number of newlines; offsets are code points."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    blank = np.concatenate([[True], (codes == 32) | (codes - np.uint32(9) <= 4), [True]])
-    edge = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    newlines = np.cumsum(codes == 10, dtype=np.int32)
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64), starts, int(newlines[-1]) if len(codes) else 0
-    value = _characters()[np.minimum(codes, np.uint32(65535))]
-    if codes.max() > 65535:
-        value = np.where(codes > 65535, _mix(codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), value)
-    kept = np.flatnonzero(value)
-    first = np.searchsorted(kept, starts)
-    n = np.diff(np.append(first, len(kept)))
-    place = np.arange(len(kept)) - np.repeat(first, n)
-    h = np.zeros(len(starts), np.uint64)
-    if len(kept):
-        h[n > 0] = np.add.reduceat(value[kept] * _powers(int(n.max()), 0xA24BAED4963EE407)[place], first[n > 0])
-    return starts, ends, _mix(_mix(h) + n.astype(np.uint64)), newlines[starts], int(newlines[-1])
-
-
-def _cut(text: str) -> list[tuple[int, str]]:
-    """(offset, part) of a text, in parts of about CHUNK characters that end at blanks."""
-    out, at = [], 0
-    while len(text) - at > CHUNK and (m := _blank.search(text, at + CHUNK)):
-        out.append((at, text[at : m.end()]))
-        at = m.end()
-    return [*out, (at, text[at:])]
-
-
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end, hash, line) of all words of the texts; lines are numbered through, a text begins a new one."""
-    parts: list[tuple] = []
-    line, of, held, size = 0, [], [], 0
-
-    def flush():
-        nonlocal line, held, of, size
-        starts, ends, h, before, newlines = _chunk_words("\n".join(held))
-        at = np.cumsum([0, *(len(t) + 1 for t in held[:-1])])
-        k = np.searchsorted(at, starts, "right") - 1
-        shift = np.array([x for _, x in of], np.int64) - at
-        parts.append((np.array([i for i, _ in of], np.int64)[k], starts + shift[k], ends + shift[k], h, before + line))
-        line += newlines
-        held, of, size = [], [], 0
-
-    for i, text in enumerate(texts):
-        line += 1  # of the newline between two texts, whether or not they share a chunk
-        for at, part in _cut(text or ""):
-            if size + len(part) > CHUNK and held:
-                flush()
-            held.append(part)
-            of.append((i, at))
-            size += len(part)
-            if at or len(part) >= CHUNK:
-                flush()
-    if held:
-        flush()
-    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _firsts(x: np.ndarray) -> np.ndarray:
-    """The first place of each run of equal values."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
 def _pieces(h: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -153,8 +46,8 @@ def _pieces(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     if not len(h):
         return np.zeros(0, np.int64)
     first = np.zeros(len(h), bool)
-    first[_firsts(of)] = True
-    g = _mix(np.where(first, np.uint64(0), np.roll(h, 1)) * np.uint64(3) + h)
+    first[firsts(of)] = True
+    g = mix(np.where(first, np.uint64(0), np.roll(h, 1)) * np.uint64(3) + h)
     # Texts lie REACH apart, so that no word is measured against those of another text.
     at = np.arange(len(h)) + np.cumsum(first) * REACH
     apart = np.full(at[-1] + 1 + REACH, 2**64 - 1, np.uint64)
@@ -167,7 +60,7 @@ def _pieces(h: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def paragraphs(text: str | None):
     """(start, end, number of words, hashes of words, first word) of each piece of a text; together they cover it."""
-    of, starts, ends, h, _ = _words([text])
+    of, starts, ends, h, _ = words_of([text])
     at = _pieces(h, of)
     n = np.diff(np.append(at, len(h)))
     return starts[at], ends[at + n - 1], n, h, at
@@ -175,34 +68,12 @@ def paragraphs(text: str | None):
 
 def _levels(of: np.ndarray, h: np.ndarray, line: np.ndarray):
     """(level, first words, numbers of words) of what is compared: LINE for whole lines, PIECE."""
-    for level, at in ((LINE, _firsts(line)), (PIECE, _pieces(h, of))):
+    for level, at in ((LINE, firsts(line)), (PIECE, _pieces(h, of))):
         n = np.diff(np.append(at, len(h)))
         own = n >= (SHINGLE if level == LINE else 1)
         yield level, at[own], n[own]
 
 
-def _names(h: np.ndarray, at: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of hash of the runs of ``n`` words at ``at``."""
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    inside = np.repeat(at, n)
-    place = np.arange(len(inside)) - np.repeat(np.cumsum(n) - n, n)
-    words, firsts = h[inside + place], np.cumsum(n) - n
-    salt = n.astype(np.uint64) * np.uint64(2) + np.uint64(level)
-    a = _mix(_mix(np.add.reduceat(words * _powers(int(n.max()), 0x9FB21C651E98DF25)[place], firsts)) + salt)
-    b = _mix(np.add.reduceat(_mix(words) * _powers(int(n.max()), 0xD1342543DE82EF95)[place], firsts) + salt)
-    return a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def _shingles(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """A hash of each run of ``width`` words."""
-    n = max(0, len(h) - width + 1)
-    s = np.zeros(n, np.uint64)
-    for i in range(width):
-        s = _mix(s + h[i : i + n])
-    return s
-
-
 def _bands(s: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The band keys of the lines at ``at`` of ``n`` >= SHINGLE words, s being the shingles of all words."""
     if not len(at):
@@ -214,23 +85,11 @@ def _bands(s: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         key = np.full(len(at), b + 1, np.uint64)
         for r in range(ROWS):
             salt = np.uint64((0xA0761D6478BD642F * (b * ROWS + r + 1)) % 2**64)
-            key = _mix(key ^ np.minimum.reduceat(_mix(s ^ salt), cuts)[::2])
+            key = mix(key ^ np.minimum.reduceat(mix(s ^ salt), cuts)[::2])
         keys[:, b] = key
     return keys.view(np.int64)
 
 
-def _grouped(batches, text: int):
-    """Slices of Arrow batches, and their texts, of about GROUP characters (a longer text stands alone)."""
-    for batch in batches:
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP, "right")))
-            part = batch.slice(at, stop - at)
-            yield part, part.column(text).to_pylist()
-            at = stop
-
-
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
@@ -244,13 +103,13 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     names = ["key", "id", "h", "g", "at", "of", *BAND_NAMES]
 
     def run(batches):
-        for batch, texts in _grouped(batches, 2):
-            of, start, end, h, line = _words(texts)
-            first = _firsts(of)
+        for batch, texts in grouped(batches, 2):
+            of, start, end, h, line = words_of(texts)
+            first = firsts(of)
             number = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-            shingles = _shingles(h)
+            shingles = shingles_of(h)
             for level, at, n in _levels(of, h, line):
-                name, more = _names(h, at, n, level)
+                name, more = names_of(h, at, n, level)
                 rows = pa.array(of[at])
                 places = pa.array(start[at] << 32 | end[at + n - 1]), pa.array(number[at] << 32 | n << 1 | level)
                 bands = list(map(pa.array, _bands(shingles, at, n).T)) if level == LINE else [pa.nulls(len(at), pa.int64())] * BANDS
@@ -260,122 +119,22 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return ship(_keyed(docs, doc_id, text)).mapInArrow(run, f"key long, id {kind}, h long, g int, at long, of long, " + ", ".join(f"{b} long" for b in BAND_NAMES))
 
 
-def _filter_of(wanted: DataFrame) -> bytes:
-    """FILTER_BITS bits, of which those are set that the longs of the only column name. It lets rows through, never keeps one."""
-    bit = F.pmod(wanted.columns[0], F.lit(FILTER_BITS)) + 1
-    words = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    bits = bytearray(FILTER_BITS // 8)
-    for r in words.toLocalIterator():  # FILTER_BITS / 32768 rows at most
-        at = (r["bucket"] - 1) * 4096
-        bits[at : at + len(r["bits"])] = r["bits"]
-    return bytes(bits)
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """h and set (distinct shingles) of the lines whose h is among ``wanted``."""
-    sieve = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    """node and set (distinct shingles) of the lines whose h is a ``wanted`` node."""
+    sieve = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
 
     def run(batches):
-        bits = np.frombuffer(sieve.value, np.uint8)
-        for _, texts in _grouped(batches, 0):
-            of, _, _, h, line = _words(texts)
+        for _, texts in grouped(batches, 0):
+            of, _, _, h, line = words_of(texts)
             level, at, n = next(_levels(of, h, line))
-            name, _ = _names(h, at, n, level)
-            bit = name % FILTER_BITS
-            own = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-            own = own[np.unique(name[own], return_index=True)[1]]
-            shingles = _shingles(h)
+            name, _ = names_of(h, at, n, level)
+            own, shingles = through(sieve, name), shingles_of(h)
             sets = [np.unique(shingles[a : a + k - SHINGLE + 1]) for a, k in zip(at[own].tolist(), n[own].tolist())]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name[own]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["h", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[own]), set_column(sets)], ["node", "set"])
         release()
 
-    found = ship(docs.select(text)).mapInArrow(run, "h long, set array<long>")
-    return found.join(wanted, "h", "left_semi").dropDuplicates(["h"])
-
-
-def _root(parent: dict, x):
-    while parent.setdefault(x, x) != x:
-        parent[x] = x = parent[parent[x]]
-    return x
-
-
-def _link(ids: list, sets: list[np.ndarray], more: list, others: list[np.ndarray], parent: dict, similarity: float) -> tuple[list, list]:
-    """Links between two lots of lines that join trees which no link has joined so far; every pair counts."""
-    a, b = [], []
-    sizes = np.array([len(s) for s in others])
-    whole = np.concatenate(others)
-    order = np.argsort(whole, kind="stable")
-    values, owner = whole[order], np.repeat(np.arange(len(others)), sizes)[order]
-    trees = {_root(parent, i) for i in more}
-    for i, s in zip(ids, sets):
-        if trees == {_root(parent, i)}:
-            continue
-        lo, n = np.searchsorted(values, s), np.searchsorted(values, s, "right")
-        n -= lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(others))
-        joined = False
-        for j in np.flatnonzero(both >= similarity * (sizes + len(s) - both) - 1e-9).tolist():
-            x, y = _root(parent, i), _root(parent, more[j])
-            if x != y:
-                parent[x], joined = y, True
-                a.append(i)
-                b.append(more[j])
-        if joined:
-            trees = {_root(parent, t) for t in trees}
-    return a, b
-
-
-def _linked(ids: list, sets: list[np.ndarray], similarity: float) -> tuple[list, list, list]:
-    """A spanning forest of the pairs at least this alike, and one member of each tree."""
-    parent: dict = {}
-    a, b = _link(ids, sets, ids, sets, parent, similarity)
-    return a, b, list({_root(parent, i): i for i in ids}.values())
-
-
-def _verify(batches):
-    """Rows (band, h, set) or (band, h, set, tree), rows of a band together -> links (a, b) between trees of lines.
-
-    Full lots of a band wait in a file of the task for the band's later lots.
-    """
-    band, ids, sets, lots, size, parent = None, [], [], 0, 0, {}
-
-    with tempfile.TemporaryFile() as kept:
-
-        def emit():
-            a, b = _link(ids, sets, ids, sets, parent, SIMILARITY) if len(ids) > 1 else ([], [])
-            kept.seek(0)
-            for _ in range(lots):
-                x, y = _link(*pickle.load(kept), ids, sets, parent, SIMILARITY)
-                a, b = a + x, b + y
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            trees = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for k, h, s, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), trees):
-                if k != band:
-                    if ids and (lots or len(ids) > 1):
-                        yield emit()
-                    if lots:
-                        kept.seek(0)
-                        kept.truncate()
-                    ids, sets, lots, size, parent = [], [], 0, 0, {}
-                band = k
-                if tree is not None:
-                    parent[h] = parent.setdefault(tree, tree)
-                ids.append(h)
-                sets.append(np.array(s.values))
-                size += len(sets[-1])
-                if len(ids) >= LOT or size >= LOT_SHINGLES:
-                    yield emit()
-                    kept.seek(0, 2)
-                    pickle.dump((ids, sets), kept)
-                    ids, sets, lots, size = [], [], lots + 1, 0
-        if ids and (lots or len(ids) > 1):
-            yield emit()
-    release()
+    found = ship(docs.select(text)).mapInArrow(run, "node long, set array<long>")
+    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def classes(parts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -383,31 +142,13 @@ def classes(parts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     # Each distinct line once: copies of a line, however many, are one row of its bands.
     lines = parts.filter(F.col(BAND_NAMES[0]).isNotNull()).groupBy("h", "g").agg(*(F.first(b).alias(b) for b in BAND_NAMES))
     banded = materialize(lines.select("h", "g", F.explode(F.array(*BAND_NAMES)).alias("band")), "bands")
-    groups = banded.groupBy("band").agg(F.count("*").alias("lines"), F.min("h").alias("first"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("all"))
+    groups = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("h").alias("first"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("all"))
     # Of bands that hold the same lines, one will do.
-    groups = groups.filter("lines > 1").groupBy("lines", "first", "all").agg(F.min("band").alias("band"))
-    members = materialize(banded.join(groups.select("band", "lines", "first"), "band"), "members")
-    wanted = members.select("h").distinct()
-    sets = materialize(_sets(docs, wanted, text), "sets")
-    shares = F.ceil(F.col("lines") / DEALT_LINES)
-    own = F.array(F.pmod(F.xxhash64("h"), shares))
-    dealt = F.when(shares == 1, F.array(F.lit(0).cast("long"))).when(F.col("h") == F.col("first"), F.sequence(F.lit(0).cast("long"), shares - 1)).otherwise(own)
-    rows = members.select("band", "h", F.explode(dealt).alias("share")).join(sets, "h")
-    rows = rows.select(F.xxhash64("band", "share").alias("group"), "h", "set").repartition("group").sortWithinPartitions("group")
-    links = materialize(ship(rows).mapInArrow(_verify, "a long, b long"), "links")
-    trees = components(links)
-    names = members.select(F.col("h").alias("node"), "g").distinct()
-    named = lambda t: t.join(names, "node").select(F.col("node").alias("h"), "g", "component")
-    if members.filter(F.col("lines") > DEALT_LINES).isEmpty():
-        return named(trees)
-    # Of bands that were dealt, those that hold lines of several trees once more, whole; only pairs across trees count.
-    trees = materialize(trees, "trees")
-    full = members.filter(F.col("lines") > DEALT_LINES).join(trees, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("component", "h").alias("tree"))
-    full = materialize(full, "full")
-    open_ = full.groupBy("band").agg(F.min("tree").alias("lo"), F.max("tree").alias("hi")).filter("lo <> hi").select("band")
-    again = full.join(open_, "band", "left_semi").join(sets, "h").select("band", "h", "set", "tree").repartition("band").sortWithinPartitions("band")
-    more = materialize(ship(again).mapInArrow(_verify, "a long, b long"), "links")
-    return named(trees if more.isEmpty() else components(links.union(more)))
+    groups = groups.filter("size > 1").groupBy("size", "first", "all").agg(F.min("band").alias("band"))
+    members = materialize(banded.withColumnRenamed("h", "node").join(groups.select("band", "size", "first"), "band"), "members")
+    sets = materialize(_sets(docs, members.select("node").distinct(), text), "sets")
+    names = members.select("node", "g").distinct()
+    return exact_components(members, sets).join(names, "node").select(F.col("node").alias("h"), "g", "component")
 
 
 def _dealt_join(rows: DataFrame, per_class: DataFrame) -> DataFrame:
@@ -479,7 +220,7 @@ def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(batches):
         at = names.index(text)
-        for batch, texts in _grouped(batches, at):
+        for batch, texts in grouped(batches, at):
             out = []
             for t, cut in zip(texts, batch.column(len(names)).to_pylist()):
                 if cut:

@@ -8,8 +8,16 @@ complete distance, and yield only a spanning forest of their links, never all pa
 MOST_ROWS fingerprints share is not held in memory: its fingerprints are dealt again by what remains of their other
 segment once any 3 of its bits are cleared, which finds the same links in groups of at most some hundred.
 
+``similar`` does the same for a similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. At that similarity fingerprints of five-word shingles differ in 15 % of their bits, too many for small balls, but
+those of the sets of single words in 5 %. So its index holds 256 bits of the latter, as 8 segments of 32 with balls of
+radius 1, verifies 64 bits, and what it links is then compared by exact Jaccard, each linked group in itself.
+
 Edge cases: null, empty or blank text has fingerprint zero, which links like any other; repeated rows and null ids each
-give a row; component_id is the smallest id that is not null, and null where a component has none.
+give a row; component_id is the smallest id that is not null, and null where a component has none; an empty table gives no
+rows; a text's length has no bound but a worker's memory for that text; other columns of the input are not looked at.
+For ``similar`` words count without case and punctuation, texts of fewer than five words are alike if their words are the
+same, and null ids come last in the order by which a document stays.
 """
 
 from __future__ import annotations
@@ -23,12 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, release, ship, small
 from .components import components
+from .near import SHINGLE as FIVE
+from .near import exact_components, filter_of, firsts, grouped, mix, names_of, set_column, shingles_of, through, words_of
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 #: Fingerprints under one segment value that are compared in memory; with more, they are dealt again.
 MOST_ROWS = 16_384
+#: Segments of 32 bits, and differing bits allowed in the first two of them, of the index for similar documents.
+SEGMENTS, LOOSE_RADIUS = 8, 10
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -186,6 +198,148 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(label, "fp").select(doc_id, "fp", "component_id")
 
 
+def _word_prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """key (of id and text), id, t and g (the name of the words) and w0 to w3, 256 bits of the set of words, of each document."""
+    kind = dict(docs.dtypes)[doc_id]
+    salts = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(SEGMENTS // 2)]
+
+    def run(batches):
+        for batch, texts in grouped(batches, 2):
+            of, _, _, h, _ = words_of(texts)
+            at = firsts(of)
+            n = np.diff(np.append(at, len(h)))
+            t, g = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32)
+            t[of[at]], g[of[at]] = names_of(h, at, n, 0)
+            bits = np.zeros((len(texts), len(salts)), np.int64)
+            for a, k in zip(at.tolist(), n.tolist()):
+                words = np.unique(h[a : a + k])
+                for i, salt in enumerate(salts):
+                    x, ones = mix(mix(words ^ salt) + words), np.zeros(64, np.int64)
+                    for lo in range(0, len(x), 65536):
+                        ones += np.unpackbits(x[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    bits[of[a], i] = np.packbits(2 * ones > len(x), bitorder="little").view(np.int64)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t), pa.array(g), *map(pa.array, bits.T.copy())], names)
+        release()
+
+    names = ["key", "id", "t", "g", *(f"w{i}" for i in range(len(salts)))]
+    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return ship(keyed).mapInArrow(run, f"key long, id {kind}, t long, g int, " + ", ".join(f"{n} long" for n in names[4:]))
+
+
+def _word_balls(batches):
+    """Rows (t, w0, w1, ...) -> for each segment the table's row, and a row for each ball member below it: k, w0, t, in_table."""
+    for batch in small(batches, 10_000):
+        t, words = np.asarray(batch.column(0)), [np.asarray(batch.column(i)).astype(np.int64) for i in range(1, batch.num_columns)]
+        for s in range(SEGMENTS):
+            half = (words[s // 2].view(np.uint64) >> np.uint64(32 * (s % 2)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            for bit in range(-1, 32):
+                own = slice(None) if bit < 0 else np.flatnonzero(half >> bit & 1)
+                k = half[own] & ~(1 << bit if bit >= 0 else 0) | s << 32
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(words[0][own]), pa.array(t[own]), pa.array(np.full(len(k), bit < 0))], ["k", "w", "t", "in_table"])
+
+
+def _loosely(most: int):
+    """From rows (k, w, t, in_table) sorted by k to links (a, b) of texts t whose w are near under one k.
+
+    What is linked too much is parted again by the exact comparison: under a k of more than ``most`` rows all are linked.
+    """
+
+    def link(batches):
+        held, large = None, None
+
+        def emit(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        def near(w, t, table):
+            if not table.any() or len(t) < 2:
+                return [], []
+            t, one = np.unique(t, return_index=True)
+            left, w, a, b = np.arange(len(t)), w[one].view(np.uint64), [], []
+            while len(left) > 1:
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    x = queue.pop()
+                    close = np.bitwise_count(w[left] ^ w[x]) <= LOOSE_RADIUS
+                    found = left[close]
+                    a += [int(t[x])] * len(found)
+                    b += t[found].tolist()
+                    queue += found.tolist()
+                    left = left[~close]
+            return a, b
+
+        for batch in batches:
+            new = [np.asarray(batch.column(i)) for i in range(3)] + [batch.column(3).to_numpy(zero_copy_only=False)]
+            k, w, t, table = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if large is not None and len(k):
+                cut = int(np.searchsorted(k, large[0], "right"))
+                yield emit([large[1]] * cut, t[:cut])
+                k, w, t, table = k[cut:], w[cut:], t[cut:], table[cut:]
+                large = None if len(k) else large
+            if not len(k):
+                held = None
+                continue
+            starts = firsts(k)
+            ends = np.append(starts[1:], len(k))
+            several = np.flatnonzero((ends - starts > 1)[:-1] & np.logical_or.reduceat(table, starts)[:-1])
+            pairs = [near(w[i:j], t[i:j], table[i:j]) for i, j in zip(starts[several].tolist(), ends[several].tolist())]
+            if pairs:
+                yield emit([x for a, _ in pairs for x in a], [x for _, b in pairs for x in b])
+            held = [x[starts[-1] :] for x in (k, w, t, table)]
+            if len(held[0]) > most:
+                large = (held[0][0], int(held[2][0]))
+                yield emit([large[1]] * len(held[2]), held[2])
+                held = None
+        if held is not None:
+            yield emit(*near(*held[1:]))
+        release()
+
+    return link
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """node and set (distinct five-word shingles) of the texts whose name is a ``wanted`` node."""
+    sieve = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
+
+    def run(batches):
+        for _, texts in grouped(batches, 0):
+            of, _, _, h, _ = words_of(texts)
+            at = firsts(of)
+            n = np.diff(np.append(at, len(h)))
+            name, _ = names_of(h, at, n, 0)
+            own = through(sieve, name)
+            sets = [np.unique(shingles_of(h[at[i] : at[i] + n[i]])) if n[i] >= FIVE else name[i : i + 1].view(np.uint64) for i in own.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(name[own]), set_column(sets)], ["node", "set"])
+        release()
+
+    found = ship(docs.select(text)).mapInArrow(run, "node long, set array<long>")
+    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_ROWS) -> DataFrame:
+    """key, id, group and group_g of each document: documents of equal group and group_g are linked by similarity."""
+    prints = materialize(_word_prints(docs, doc_id, text), "word-prints")
+    words = [c for c in prints.columns if c[0] == "w"]
+    distinct = prints.groupBy("t").agg(*(F.min(w).alias(w) for w in words))
+    rows = ship(distinct).mapInArrow(_word_balls, "k long, w long, t long, in_table boolean").repartition("k").sortWithinPartitions("k")
+    loose = materialize(components(materialize(rows.mapInArrow(_loosely(most), "a long, b long"), "links")), "loose")
+    sizes = loose.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("first"))
+    members = materialize(loose.join(sizes, "component").withColumnRenamed("component", "band"), "members")
+    sets = materialize(_shingle_sets(docs, members.select("node").distinct(), text), "sets")
+    of = exact_components(members, sets)
+    label = F.coalesce("component", "t").alias("group"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("group_g")
+    return prints.join(of, F.col("t") == F.col("node"), "left").select("key", "id", *label)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group of ``similar`` ones: that of the smallest id, of repeated rows one."""
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")
+    stay = similar(docs, doc_id, text).groupBy("group", "group_g").agg(first).select(F.col("first.key").alias("_millrace_key"), F.col("first.id").alias("_millrace_id"))
+    keyed = docs.withColumn("_millrace_key", F.xxhash64(doc_id, text)).alias("d")
+    own = (F.col("d._millrace_key") == F.col("s._millrace_key")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s._millrace_id"))
+    kept = keyed.join(stay.alias("s"), own, "left_semi")
+    return kept.dropDuplicates(["_millrace_key", doc_id]).select(*docs.columns)
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import passages
+from millrace.llm import near, passages
 from millrace.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
@@ -59,7 +59,7 @@ def test_near_paragraphs_link(spark):
 def test_forest_is_exact():
     r = np.random.default_rng(4)
     sets = [np.unique(np.concatenate([np.arange(40)[r.random(40) > 0.08], r.integers(1000, 1400, 3)])) for _ in range(60)]
-    a, b, reps = passages._linked(list(range(60)), sets, 0.8)
+    a, b, reps = near.linked(list(range(60)), sets, 0.8)
     root = list(range(60))
 
     def find(x):
@@ -93,8 +93,8 @@ def test_lots_lose_no_link(monkeypatch):
     # 1 and 2 are alike, 3 is alike to 2 but not to 1, and comes in a later lot.
     sets = [list(range(0, 40)), list(range(4, 44)), list(range(8, 48)), list(range(900, 940)), list(range(904, 944))]
     batch = pa.RecordBatch.from_arrays([pa.array([7] * 5), pa.array([1, 2, 3, 4, 5]), pa.array(sets, pa.list_(pa.int64()))], ["band", "h", "set"])
-    monkeypatch.setattr(passages, "LOT", 2)
-    got = [tuple(sorted(x)) for out in passages._verify(iter([batch])) for x in zip(*(c.to_pylist() for c in out.columns))]
+    monkeypatch.setattr(near, "LOT", 2)
+    got = [tuple(sorted(x)) for out in near.verify(iter([batch])) for x in zip(*(c.to_pylist() for c in out.columns))]
     assert sorted(got) == [(1, 2), (2, 3), (4, 5)]
 
 
@@ -195,7 +195,7 @@ def test_dealt_bands_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     of = lambda: sorted((r["id"], r["start"], r["n"], r["n_docs"], r["removed"]) for r in passages.repeated(df).collect())
     whole = of()
-    monkeypatch.setattr(passages, "DEALT_LINES", 4)
+    monkeypatch.setattr(near, "DEALT_MEMBERS", 4)
     assert whole and of() == whole
 
 
@@ -214,14 +214,14 @@ def test_like_lines_of_one_document_stay(spark):
 
 def test_words_are_the_same_however_texts_are_cut(monkeypatch):
     texts = [None, "", words(621, 3000) + "\n x", " ", "\n\n", "ÄÖ ü😀x it's, _under_ " + "long" * 4000, words(622, 50)]
-    whole = passages._words(texts)
-    monkeypatch.setattr(passages, "CHUNK", 300)
-    cut = passages._words(texts)
-    assert all((a == b).all() for a, b in zip(whole[:4], cut[:4])) and (passages._firsts(whole[4]) == passages._firsts(cut[4])).all()
+    whole = near.words_of(texts)
+    monkeypatch.setattr(near, "CHUNK", 300)
+    cut = near.words_of(texts)
+    assert all((a == b).all() for a, b in zip(whole[:4], cut[:4])) and (near.firsts(whole[4]) == near.firsts(cut[4])).all()
     of, start, end, h, _ = whole
     for i, t in enumerate(texts):
         assert [t[a:b] for a, b in zip(start[of == i], end[of == i])] == (t or "").split()
-    same = passages._words(["It's HERE, now.", "its here now"])[3]
+    same = near.words_of(["It's HERE, now.", "its here now"])[3]
     assert (same[:3] == same[3:]).all() and len(set(same[:3].tolist())) == 3
 
 

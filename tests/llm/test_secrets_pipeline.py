@@ -71,6 +71,17 @@ def test_near_dedup_stage(spark):
     assert got == [(0, "own words of its own"), (3, text), (11, "")]
 
 
+def test_near_dedup_keeps_other_texts_of_an_id(spark):
+    r = random.Random(2)
+    a, b = (" ".join("".join(r.choices("abcdefg", k=5)) for _ in range(200)) for _ in range(2))
+    near = a.split()
+    near[100] = "other"
+    rows = [(7, a), (7, b), (7, a), (8, " ".join(near)), (9, b + " one more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
+    got = sorted((x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, df, SF).collect())
+    assert got == sorted([(7, a), (7, b)])
+
+
 def test_long_values_are_whole(spark):
     r = random.Random(5)
     value = "".join(r.choices("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%", k=700))

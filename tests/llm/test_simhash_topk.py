@@ -114,3 +114,39 @@ def test_topk(spark, monkeypatch):
     many = topk.sound_vectors(spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(400)], "vec_id long, embedding array<double>").repartition(10))
     got = sorted(map(tuple, topk.top_k(many, many.filter("vec_id % 50 = 0")).collect()))
     assert got == slow_top([(i, [float(i % 7), float(i % 11)]) for i in range(400)])
+
+
+def test_similar_documents_against_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=6))
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    docs = []
+    for _ in range(12):
+        base = [word() for _ in range(r.randint(90, 300))]
+        for _ in range(8):
+            own = list(base)
+            for k in r.sample(range(len(own)), r.randint(1, 6)):
+                own[k] = word()
+            docs.append(own)
+    docs += [[word() for _ in range(100)] for _ in range(30)] + [["a", "b"], ["b", "a"], ["a", "b"]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {x["id"]: (x["group"], x["group_g"]) for x in simhash.similar(df).collect()}
+    sets, pairs, found = [shingles(t) for t in docs], 0, 0
+    for i in range(len(docs)):
+        for j in range(i):
+            alike = docs[i] == docs[j] or bool(sets[i] and sets[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+            pairs, found = pairs + alike, found + (alike and got[i] == got[j])
+            assert docs[i] != docs[j] or got[i] == got[j]
+            assert i < 96 and i // 8 == j // 8 or got[i] != got[j] or docs[i] == docs[j]
+    assert pairs > 60 and found >= 0.95 * pairs
+
+
+def test_crowded_segments_link_all_the_same(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[: 3 * i], f"x{i}", *base[3 * i + 1 :]])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = lambda **k: simhash.similar(df, **k).select("group").distinct().count()
+    assert groups() == 1 and groups(most=5) == 1
+    assert simhash.similar(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
