@@ -4,10 +4,13 @@ A text is cut into sentences, twice: line by line, and with lines joined (for wr
 normalised (lower case, words only) and mapped to the identifier of a known licence sentence. The identifiers of a text,
 in order, are then matched against ordered rules; each rule that matches names a licence and uses its identifiers up.
 Of the two readings the one with more identifiers counts, the line-wise one if equal. All of it happens within the row:
-no shuffle.
+no shuffle, and memory in proportion to one text. Texts that hold no cue, with any blanks or marks between its words, are
+not cut up; as every known sentence holds one, none is lost (the query's SQL does without this).
 
-Edge cases: a text that is null, or has no known sentence, has no row; a sentence with a cue that is not known counts as
-unknown; identifiers that no rule takes stand alone as ``UnmatchedSentence``; repeated rows each give a row.
+Edge cases: a text that is null or empty, or has no known sentence, has no row; a sentence with a cue that is not known
+counts as unknown; identifiers that no rule takes stand alone as ``UnmatchedSentence``; of sentences that fit several
+patterns the first counts; repeated rows and null ids each give a row; texts of any length are read whole; an empty table
+gives an empty result; other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -17,71 +20,154 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Every known sentence holds one of these; texts without any are not cut up.
+# Words one of which every known sentence holds. A sentence with one of the first is unknown if no pattern fits.
 CUES = "licen[cs]e|copyright|permission|warrant|redistribut|rights reserved|public domain|liable|copyleft"
+OTHER_CUES = r"may not use this file|as is|endorse or promote|copy of the license|creative commons|cc0|\bgpl|\bagpl|\blgpl|\bmpl|cc by|public license|\bwtfpl|do what the f|unencumbered|copies or substantial|origin of this software|altered source|confidential|noncommercial|non commercial|commercial use|all copies"
 
 # Known licence sentences as patterns on the normalised sentence, the first match counts.
 SENTENCES = [
-    ("GPL3+", r"gnu general public licen[cs]e.*version 3.*(any|or) later"),
-    ("GPL2+", r"gnu general public licen[cs]e.*version 2.*(any|or) later"),
-    ("AGPL3", r"gnu affero general public licen[cs]e.*version 3|\bagplv?3\b"),
-    ("LGPL3", r"gnu (lesser|library) general public licen[cs]e.*version 3"),
-    ("LGPL2.1", r"gnu (lesser|library) general public licen[cs]e.*version 2 1"),
-    ("LGPL", r"gnu (lesser|library) general public licen[cs]e"),
-    ("GPL3", r"gnu general public licen[cs]e.*version 3|licensed under (the )?gplv?3\b"),
-    ("GPL2", r"gnu general public licen[cs]e.*version 2|licensed under (the )?gplv?2\b"),
+    ("AGPL3", r"gnu affero general public licen[cs]e.*version 3|\bagpl ?v?3"),
+    ("AGPL", r"gnu affero general public licen[cs]e"),
+    ("GPL3+", r"gnu general public licen[cs]e.*version 3.*(any|or) later|identifier gpl 3 0 or later"),
+    ("GPL2+", r"gnu general public licen[cs]e.*version 2.*(any|or) later|identifier gpl 2 0 or later"),
+    ("LGPL3", r"gnu (lesser|library) general public licen[cs]e.*version 3|\blgpl ?v?3"),
+    ("LGPL2.1", r"gnu (lesser|library) general public licen[cs]e.*version 2 1|\blgpl ?v?2 1"),
+    ("LGPL", r"gnu (lesser|library) general public licen[cs]e|\blgpl\b"),
+    ("GFDL", r"gnu free documentation licen[cs]e|identifier gfdl"),
+    ("GPL3", r"gnu general public licen[cs]e.*version 3|licensed under (the )?gpl ?v?3\b|identifier gpl 3 0"),
+    ("GPL2", r"gnu general public licen[cs]e.*version 2|licensed under (the )?gpl ?v?2\b|identifier gpl 2 0"),
     ("GPL", r"gnu general public licen[cs]e|licensed under (the )?gpl\b"),
-    ("Apache2", r"apache licen[cs]e version 2( 0)?|apache licen[cs]e 2 0"),
+    ("Apache1.1", r"apache (software )?licen[cs]e version 1 1|identifier apache 1 1"),
+    ("Apache2", r"apache licen[cs]e version 2( 0)?|apache licen[cs]e 2 0|identifier apache 2 0|licen[cs]ed? (under )?(the )?apache 2( 0)?\b"),
     ("Apache2Limit", r"you may not use this file except in compliance with the licen[cs]e"),
     ("Apache2Copy", r"you may obtain a copy of the licen[cs]e at"),
     ("Apache2AsIs", r"distributed under the licen[cs]e is distributed on an as is basis"),
     ("MITperm", r"^permission is hereby granted free of charge to any person obtaining a copy"),
     ("MITnotice", r"the above copyright notice and this permission notice shall be included"),
-    ("MITref", r"(licensed|released|distributed|available) under (the )?(terms of the )?mit licen[cs]e|^(the )?mit licen[cs]e$"),
+    ("MITref", r"(licensed|released|distributed|available) under (the )?(terms of the )?mit( licen[cs]e)?\b|^(the )?mit licen[cs]e$|^licen[cs]e mit$|identifier mit\b"),
+    ("Zlibuse", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("Zliborigin", r"the origin of this software must not be misrepresented"),
+    ("Zlibaltered", r"altered source versions must be plainly marked"),
+    ("Zlibnotice", r"this notice may not be removed or altered from any source distribution"),
+    ("Zlibref", r"(licensed|released|distributed|available) under (the )?(terms of the )?zlib licen[cs]e|identifier zlib\b"),
     ("BSDredist", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("BSDsource", r"redistributions of source code must retain the above copyright notice"),
     ("BSDbinary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("BSDadvert", r"all advertising materials mentioning features or use of this software must display"),
     ("BSDendorse", r"may be used to endorse or promote products derived"),
-    ("BSDref", r"(licensed|released|distributed|available) under (the )?(terms of the )?([a-z0-9]+ )?bsd( [a-z0-9]+)? licen[cs]e"),
-    ("MPL2", r"mozilla public licen[cs]e.*(v|version) ?2"),
+    ("BSD3ref", r"bsd 3 clause|3 clause bsd|new bsd licen[cs]e|revised bsd licen[cs]e"),
+    ("BSD2ref", r"bsd 2 clause|2 clause bsd|simplified bsd licen[cs]e|freebsd licen[cs]e"),
+    ("BSDref", r"(licensed|released|distributed|available) under (the )?(terms of the )?([a-z0-9]+ )?bsd( [a-z0-9]+)? licen[cs]e|^(the )?bsd licen[cs]e$"),
+    ("MPL1.1", r"mozilla public licen[cs]e (v|version) ?1 1|identifier mpl 1 1"),
+    ("MPL2", r"mozilla public licen[cs]e.*(v|version) ?2|identifier mpl 2 0"),
+    ("EPL2", r"eclipse public licen[cs]e (v|version )? ?2|identifier epl 2 0"),
+    ("EPL1", r"eclipse public licen[cs]e (v|version )? ?1|identifier epl 1 0"),
     ("EPL", r"eclipse public licen[cs]e"),
-    ("ISC", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("CC0", r"creative commons (zero|cc0)|cc0 1 0"),
+    ("EUPL", r"european union public licen[cs]e|identifier eupl"),
+    ("CDDL", r"common development and distribution licen[cs]e|identifier cddl"),
+    ("OSL", r"open software licen[cs]e|identifier osl"),
+    ("AFL", r"academic free licen[cs]e|identifier afl"),
+    ("MSPL", r"microsoft public licen[cs]e|identifier ms pl"),
+    ("MSRL", r"microsoft reciprocal licen[cs]e|identifier ms rl"),
+    ("ISC", r"permission to use copy modify and or distribute this software for any purpose|(licensed|released|distributed|available) under (the )?(terms of the )?isc licen[cs]e|identifier isc\b"),
+    ("Boostperm", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("Boostref", r"boost software licen[cs]e|identifier bsl 1 0"),
+    ("Artistic2", r"artistic licen[cs]e 2 0|artistic licen[cs]e version 2|identifier artistic 2 0"),
+    ("Artistic", r"artistic licen[cs]e"),
+    ("OFL", r"(sil )?open font licen[cs]e|identifier ofl"),
+    ("ODbL", r"open database licen[cs]e|identifier odbl"),
+    ("ODCBY", r"open data commons attribution licen[cs]e|identifier odc by"),
+    ("PDDL", r"public domain dedication and licen[cs]e|identifier pddl"),
+    ("PSF", r"python software foundation licen[cs]e|psf licen[cs]e agreement|identifier psf|identifier python 2"),
+    ("PostgreSQL", r"postgresql licen[cs]e|identifier postgresql"),
+    ("NCSA", r"university of illinois ncsa open source licen[cs]e|identifier ncsa"),
+    ("PHP", r"php licen[cs]e|identifier php"),
+    ("Ruby", r"ruby licen[cs]e|identifier ruby"),
+    ("WTFPL", r"do what the f[a-z]* you want to public licen[cs]e|\bwtfpl"),
+    ("Unlicense", r"free and unencumbered software released into the public domain|\bunlicense\b"),
+    ("CC0", r"creative commons (zero|cc0)|cc0 1 0|^licensed under cc0|cc0 public domain"),
+    ("CCBYNCSA", r"creative commons attribution non ?commercial share ?alike|cc by nc sa"),
+    ("CCBYNCND", r"creative commons attribution non ?commercial no ?deriv|cc by nc nd"),
+    ("CCBYNC", r"creative commons attribution non ?commercial|cc by nc"),
     ("CCBYSA", r"creative commons attribution share ?alike|cc by sa"),
+    ("CCBYND", r"creative commons attribution no ?deriv|cc by nd"),
     ("CCBY", r"creative commons attribution|cc by\b"),
+    ("CC", r"creative commons licen[cs]e"),
     ("PublicDomain", r"(in|into|to) the public domain"),
+    ("NonCommercial", r"for non ?commercial (use|purposes)( only)?|no commercial use"),
+    ("Proprietary", r"proprietary and confidential|confidential and proprietary|unauthori[sz]ed (copying|use|distribution).*prohibited"),
     ("AsIs", r"provided (by .*)?as is (and|without)|is provided as is"),
-    ("NoLiability", r"in no event shall .*be liable"),
+    ("NoLiability", r"in no event (shall|will) .*be (held )?liable"),
     ("WarrantyGPL", r"without any warranty without even the implied warranty"),
+    ("GPLcopy", r"you should have received a copy of the gnu .*licen[cs]e"),
     ("AllRights", r"^(copyright .*)?all rights reserved( .*)?$"),
     ("CopyrightLine", r"^(portions )?copyright (c )?([0-9]{4}|by )"),
 ]
 
 # Ordered rules over the sequence of identifiers, each in angle brackets.
 RULES = [
-    ("Apache-2.0", r"(?:<Apache2>)(?:<Apache2Limit>)?(?:<Apache2Copy>)?(?:<Apache2AsIs>)?"),
-    ("Apache-2.0", r"(?:<Apache2Limit>)(?:<Apache2Copy>)?(?:<Apache2AsIs>)?"),
-    ("MIT", r"<MITperm>(?:<MITnotice>)?(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("Apache-2.0", r"<Apache2>(?:<Apache2Limit>)?(?:<Apache2Copy>)?(?:<Apache2AsIs>)?"),
+    ("Apache-2.0", r"<Apache2Limit>(?:<Apache2Copy>)?(?:<Apache2AsIs>)?"),
+    ("Apache-1.1", r"<Apache1\.1>"),
+    ("MIT", r"(?:<MITref>)?<MITperm>(?:<MITnotice>)?(?:<AsIs>)?(?:<NoLiability>)?"),
     ("MIT", r"<MITref>"),
-    ("BSD-3-Clause", r"<BSDredist><BSDsource><BSDbinary>(?:<[A-Za-z]*>)?<BSDendorse>(?:<AsIs>)?(?:<NoLiability>)?"),
-    ("BSD-2-Clause", r"<BSDredist><BSDsource><BSDbinary>(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("BSL-1.0", r"(?:<Boostref>)?<Boostperm>(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("BSL-1.0", r"<Boostref>"),
+    ("Zlib", r"(?:<AsIs>)?(?:<NoLiability>)?<Zlibuse>(?:<Zliborigin>)?(?:<Zlibaltered>)?(?:<Zlibnotice>)?"),
+    ("Zlib", r"<Zlibref>"),
+    ("BSD-4-Clause", r"<BSDredist><BSDsource><BSDbinary><BSDadvert>(?:<BSDendorse>)?(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("BSD-3-Clause", r"(?:<BSD3ref>)?<BSDredist><BSDsource><BSDbinary>(?:<[A-Za-z]*>)?<BSDendorse>(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("BSD-2-Clause", r"(?:<BSD2ref>)?<BSDredist><BSDsource><BSDbinary>(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("BSD-3-Clause", r"<BSD3ref>"),
+    ("BSD-2-Clause", r"<BSD2ref>"),
     ("BSD", r"<BSDref>"),
-    ("AGPL-3.0", r"<AGPL3>(?:<WarrantyGPL>)?"),
-    ("LGPL-3.0", r"<LGPL3>(?:<WarrantyGPL>)?"),
-    ("LGPL-2.1", r"<LGPL2\.1>(?:<WarrantyGPL>)?"),
-    ("LGPL", r"<LGPL>(?:<WarrantyGPL>)?"),
-    ("GPL-3.0-or-later", r"<GPL3\+>(?:<WarrantyGPL>)?(?:<GPL>)?"),
-    ("GPL-2.0-or-later", r"<GPL2\+>(?:<WarrantyGPL>)?(?:<GPL>)?"),
-    ("GPL-3.0", r"<GPL3>(?:<WarrantyGPL>)?(?:<GPL>)?"),
-    ("GPL-2.0", r"<GPL2>(?:<WarrantyGPL>)?(?:<GPL>)?"),
-    ("GPL", r"<GPL>(?:<WarrantyGPL>)?"),
+    ("AGPL-3.0", r"<AGPL3>(?:<WarrantyGPL>)?(?:<GPLcopy>)?"),
+    ("AGPL", r"<AGPL>(?:<WarrantyGPL>)?(?:<GPLcopy>)?"),
+    ("LGPL-3.0", r"<LGPL3>(?:<WarrantyGPL>)?(?:<GPLcopy>)?"),
+    ("LGPL-2.1", r"<LGPL2\.1>(?:<WarrantyGPL>)?(?:<GPLcopy>)?"),
+    ("LGPL", r"<LGPL>(?:<WarrantyGPL>)?(?:<GPLcopy>)?"),
+    ("GPL-3.0-or-later", r"<GPL3\+>(?:<WarrantyGPL>)?(?:<GPL>)?(?:<GPLcopy>)?"),
+    ("GPL-2.0-or-later", r"<GPL2\+>(?:<WarrantyGPL>)?(?:<GPL>)?(?:<GPLcopy>)?"),
+    ("GPL-3.0", r"<GPL3>(?:<WarrantyGPL>)?(?:<GPL>)?(?:<GPLcopy>)?"),
+    ("GPL-2.0", r"<GPL2>(?:<WarrantyGPL>)?(?:<GPL>)?(?:<GPLcopy>)?"),
+    ("GPL", r"<GPL>(?:<WarrantyGPL>)?(?:<GPLcopy>)?"),
+    ("GFDL", r"<GFDL>"),
+    ("MPL-1.1", r"<MPL1\.1>"),
     ("MPL-2.0", r"<MPL2>"),
+    ("EPL-1.0", r"<EPL1>"),
+    ("EPL-2.0", r"<EPL2>"),
     ("EPL", r"<EPL>"),
+    ("EUPL", r"<EUPL>"),
+    ("CDDL", r"<CDDL>"),
+    ("OSL", r"<OSL>"),
+    ("AFL", r"<AFL>"),
+    ("MS-PL", r"<MSPL>"),
+    ("MS-RL", r"<MSRL>"),
     ("ISC", r"<ISC>(?:<AsIs>)?(?:<NoLiability>)?"),
+    ("Artistic-2.0", r"<Artistic2>"),
+    ("Artistic", r"<Artistic>"),
+    ("OFL", r"<OFL>"),
+    ("ODbL", r"<ODbL>"),
+    ("ODC-By", r"<ODCBY>"),
+    ("PDDL", r"<PDDL>"),
+    ("PSF", r"<PSF>"),
+    ("PostgreSQL", r"<PostgreSQL>"),
+    ("NCSA", r"<NCSA>"),
+    ("PHP", r"<PHP>"),
+    ("Ruby", r"<Ruby>"),
+    ("WTFPL", r"<WTFPL>"),
+    ("Unlicense", r"<Unlicense>"),
     ("CC0-1.0", r"<CC0>"),
+    ("CC-BY-NC-SA", r"<CCBYNCSA>"),
+    ("CC-BY-NC-ND", r"<CCBYNCND>"),
+    ("CC-BY-NC", r"<CCBYNC>"),
     ("CC-BY-SA", r"<CCBYSA>"),
+    ("CC-BY-ND", r"<CCBYND>"),
     ("CC-BY", r"<CCBY>"),
+    ("CC", r"<CC>"),
     ("PublicDomain", r"<PublicDomain>"),
+    ("NonCommercial", r"<NonCommercial>"),
+    ("Proprietary", r"<Proprietary>"),
     ("AllRightsReserved", r"<AllRights>"),
 ]
 #: Identifiers that name no licence by themselves.
@@ -89,9 +175,9 @@ NEUTRAL = ("CopyrightLine", "AsIs", "NoLiability", "WarrantyGPL")
 UNKNOWN = "?"
 
 
-#: What a known sentence may hold instead of a cue, in sentences and in whole texts.
-OTHER_CUES = r"may not use this file|as is|endorse or promote|copy of the license|creative commons|cc0|\bgpl|\bagpl|cc by"
-TEXT_CUES = "as is|creative commons|cc0|gpl|mit license|cc.by|may not use|endorse or promote"
+def _gate() -> str:
+    """The cues as they may stand in a text: any blanks and marks between words."""
+    return (CUES + "|" + OTHER_CUES).replace(r"\b", "(?:^|[^a-z0-9])").replace(" ", "[^a-z0-9]+")
 
 
 def _identify(sentence: Column) -> Column:
@@ -104,14 +190,15 @@ def _identify(sentence: Column) -> Column:
 
 
 def _ids(text: Column) -> Column:
-    sentences = F.split(F.regexp_replace(text, "([.!?:;])[ \\t]+", "$1\n"), "\n+")
+    named = F.regexp_replace(text, "([Ii]dentifier|[Ll]icen[cs]e)[ \\t]*:[ \\t]*", "$1 ")
+    sentences = F.split(F.regexp_replace(named, "([.!?:;])[ \\t]+", "$1\n"), "\n+")
     return F.filter(F.transform(sentences, _identify), lambda x: x.isNotNull())
 
 
 def recognise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, licenses (names in order of the rules, joined), sentence_ids, n_sentences, n_unknown."""
     known = lambda ids: F.size(F.filter(ids, lambda x: x != UNKNOWN))
-    cued = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(F.lower("_t").rlike(CUES + "|" + TEXT_CUES))
+    cued = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(F.lower("_t").rlike(_gate()))
     read = cued.select("doc_id", _ids(F.col("_t")).alias("a"), _ids(F.regexp_replace("_t", "[ \\t]*\n[ \\t]*", " ")).alias("b"))
     read = read.select("doc_id", F.when(known(F.col("b")) > known(F.col("a")), F.col("b")).otherwise(F.col("a")).alias("all"))
     read = read.select("doc_id", "all", F.filter("all", lambda x: x != UNKNOWN).alias("ids")).filter(F.size("ids") > 0)
@@ -144,11 +231,12 @@ def oracle_sql() -> str:
     chain = f"CASE WHEN NOT regexp_matches(n, {q(CUES + '|' + OTHER_CUES)}) THEN NULL " + " ".join(f"WHEN regexp_matches(n, {q(p)}) THEN {q(k)}" for k, p in SENTENCES) + f" WHEN regexp_matches(n, {q(CUES)}) THEN '{UNKNOWN}' END"
 
     def read(text):
-        parts = f"string_split(regexp_replace({text}, '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
+        named = f"regexp_replace({text}, '([Ii]dentifier|[Ll]icen[cs]e)[ \\t]*:[ \\t]*', '\\1 ', 'g')"
+        parts = f"string_split(regexp_replace({named}, '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
         return f"list_filter(list_transform(list_transform({parts}, lambda s: {norm}), lambda n: {chain}), lambda x: x IS NOT NULL)"
 
     known = lambda c: f"len(list_filter({c}, lambda x: x <> '{UNKNOWN}'))"
-    out = f"WITH c AS (SELECT row_number() OVER () AS i, doc_id, text FROM documents WHERE regexp_matches(lower(text), {q(CUES + '|' + TEXT_CUES)})), "
+    out = f"WITH c AS (SELECT row_number() OVER () AS i, doc_id, text FROM documents), "
     joined = "regexp_replace(text, '[ \\t]*' || chr(10) || '[ \\t]*', ' ', 'g')"
     out += f"r AS (SELECT i, doc_id, {read('text')} AS a, {read(joined)} AS b FROM c), "
     out += f"x AS (SELECT i, doc_id, CASE WHEN {known('b')} > {known('a')} THEN b ELSE a END AS every FROM r), "

@@ -35,6 +35,47 @@ def test_recognise(spark):
     assert licenses.recognise(df.limit(0)).count() == 0
 
 
+# One sentence for each identifier.
+EXAMPLES = {
+    "AGPL3": "GNU Affero General Public License, version 3.", "AGPL": "the GNU Affero General Public License.", "GPL3+": "GNU General Public License version 3, or any later version", "GPL2+": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "LGPL3": "GNU Lesser General Public License, Version 3", "LGPL2.1": "under LGPL v2.1", "LGPL": "GNU Library General Public License", "GFDL": "GNU Free Documentation License", "GPL3": "Licensed under the GPLv3", "GPL2": "SPDX-License-Identifier: GPL-2.0", "GPL": "the GNU General Public License",
+    "Apache1.1": "Apache Software License, Version 1.1", "Apache2": "License: Apache 2.0", "Apache2Limit": "you may not use this file except in compliance with the License", "Apache2Copy": "You may obtain a copy of the License at", "Apache2AsIs": "software distributed under the License is distributed on an \"AS IS\" BASIS",
+    "MITperm": "Permission is hereby granted, free of charge, to any person obtaining a copy", "MITnotice": "The above copyright notice and this permission notice shall be included in all copies", "MITref": "License: MIT", "Zlibuse": "Permission is granted to anyone to use this software for any purpose, including commercial applications",
+    "Zliborigin": "The origin of this software must not be misrepresented", "Zlibaltered": "Altered source versions must be plainly marked as such", "Zlibnotice": "This notice may not be removed or altered from any source distribution, license", "Zlibref": "Available under the zlib license",
+    "BSDredist": "Redistribution and use in source and binary forms, with or without modification, are permitted", "BSDsource": "Redistributions of source code must retain the above copyright notice", "BSDbinary": "Redistributions in binary form must reproduce the above copyright notice",
+    "BSDadvert": "All advertising materials mentioning features or use of this software must display the copyright", "BSDendorse": "may be used to endorse or promote products derived", "BSD3ref": "License: BSD-3-Clause", "BSD2ref": "the Simplified BSD License", "BSDref": "Released under the BSD license",
+    "MPL1.1": "Mozilla Public License Version 1.1", "MPL2": "Mozilla Public License, v. 2.0".replace("v. ", "v"), "EPL2": "Eclipse Public License v2.0", "EPL1": "Eclipse Public License version 1.0", "EPL": "the Eclipse Public License", "EUPL": "European Union Public Licence", "CDDL": "Common Development and Distribution License",
+    "OSL": "Open Software License", "AFL": "Academic Free License", "MSPL": "Microsoft Public License", "MSRL": "Microsoft Reciprocal License", "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose",
+    "Boostperm": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy", "Boostref": "Boost Software License", "Artistic2": "Artistic License 2.0", "Artistic": "the Artistic License", "OFL": "SIL Open Font License", "ODbL": "Open Database License", "ODCBY": "Open Data Commons Attribution License",
+    "PDDL": "Public Domain Dedication and License", "PSF": "Python Software Foundation License", "PostgreSQL": "PostgreSQL License", "NCSA": "University of Illinois/NCSA Open Source License", "PHP": "PHP License", "Ruby": "the Ruby license", "WTFPL": "WTFPL", "Unlicense": "This is free and unencumbered software released into the public domain",
+    "CC0": "CC0 1.0 Universal", "CCBYNCSA": "CC BY-NC-SA 4.0", "CCBYNCND": "Creative Commons Attribution-NonCommercial-NoDerivs", "CCBYNC": "Licensed under CC BY-NC 4.0", "CCBYSA": "CC-BY-SA", "CCBYND": "CC BY-ND", "CCBY": "Creative Commons Attribution", "CC": "a Creative Commons license", "PublicDomain": "dedicated to the public domain",
+    "NonCommercial": "For non-commercial use only", "Proprietary": "Proprietary and confidential", "AsIs": "THIS SOFTWARE IS PROVIDED \"AS IS\"", "NoLiability": "in no event shall the authors be liable", "WarrantyGPL": "WITHOUT ANY WARRANTY, without even the implied warranty",
+    "GPLcopy": "You should have received a copy of the GNU license", "AllRights": "All rights reserved", "CopyrightLine": "Copyright (c) 2020 someone",
+}
+
+
+def test_every_sentence_passes_the_gate_however_it_is_broken(spark):
+    assert list(EXAMPLES) == [k for k, _ in licenses.SENTENCES]
+    rows = [(i, t) for i, t in enumerate(EXAMPLES.values())] + [(1000 + i, t.replace(" ", "\n")) for i, t in enumerate(EXAMPLES.values()) if " " in t]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (k, t) in enumerate(EXAMPLES.items()):
+        assert got.get(i) == k, (k, t, got.get(i))
+        if " " in t and ":" not in t:
+            assert got.get(1000 + i), (k, t)  # a single line may hold a less precise sentence, which then counts
+
+
+def test_wrapped_notices_and_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, "given to the public\ndomain"), (2, "All rights\nreserved"), (3, "Creative\nCommons Attribution"), (4, "x\nSPDX-License-Identifier: MIT\ny"), (5, "licence of ours"), (6, None), (7, "Licensed under CC\nBY-NC 4.0.")]
+    rows += [(100 + i, t) for i, t in enumerate(EXAMPLES.values())]
+    got = sorted(tuple(r) for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [x[1] for x in got[:5]] == ["PublicDomain", "AllRightsReserved", "CC-BY", "MIT", "CC-BY-NC"]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    assert sorted(duckdb.sql(licenses.oracle_sql()).fetchall()) == got
+
+
 def base(text):
     out = []
     luhn = lambda d: sum((x * 2 - 9 * (x > 4)) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
