@@ -8,8 +8,12 @@ vote for the unknown ones in their place, whose scores combine as independent ev
 become known, and so may lift further patterns. The graph has a row only where an identifier-like string stands, so it
 is small beside the texts; every step is an aggregate with partial sums before its shuffle.
 
-Edge cases: null text is empty, and has no spans; repeated rows each give a row; a text without blanks is one word.
-Positions are code points, the end exclusive.
+Rounds go on until one discovers nothing: as known identifiers only grow, that is a fixed point.
+
+Edge cases: null text is empty, and has no spans; repeated rows and null ids each give a row; a text without blanks is one
+word, however long; words before a string are taken whole; of spans that start alike kinds count in the order of KINDS; an
+empty table gives an empty result; other columns of the input, whatever their names, are not looked at. Positions are code
+points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 KINDS = ["email", "ip", "card", "phone"]
-LEFT = 80
 SUPPORT = 5
+#: Matches of a text that are put together in one fold; the folds of a text with more are then joined.
+FOLD = 256
 CONFIDENCE = 0.5
 
 # Base patterns. A run is tried where it begins or where the last match ended, and quantifiers are possessive where
@@ -73,19 +78,30 @@ SPAN = "array<struct<start:bigint,`end`:bigint,kind:int,value:string,word:string
 
 def _spans(found: Column, pieces: Column, kind: str, loose: bool = False) -> Column:
     """Spans of the matches ``found``, between which ``pieces`` lie, that pass the kind's check."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    # A fold copies what it has gathered with each match, so a text's matches are folded FOLD at a time.
+    last = F.size(found) - 1
+    folds = F.sequence(F.lit(0), F.floor(last / FOLD).cast("int"))
+    size = lambda f: F.aggregate(F.slice(F.transform(found, F.length), f * FOLD + 1, F.lit(FOLD)), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(F.transform(pieces, F.length), f * FOLD + 1, F.lit(FOLD)), F.lit(0), lambda a, n: a + n)
 
     def step(acc, i):
         m, before = F.get(found, i), F.get(pieces, i)
         a = acc["at"] + F.length(before)
         b = a + F.length(m)
-        word = F.lower(F.regexp_extract(F.right(before, F.lit(LEFT)), r"(\S+)\s*$", 1))
+        parts = F.split(before, r"\s+")
+        word = F.lower(F.coalesce(F.when(F.element_at(parts, -1) != "", F.element_at(parts, -1)).otherwise(F.get(parts, F.size(parts) - 2)), F.lit("")))
         glued = before.rlike(r"\S$")
         span = F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"), F.lit(KINDS.index(kind)).alias("kind"), m.alias("value"), word.alias("word"), glued.alias("glued"))
         keep = F.when(_valid(kind, m, loose), F.array(span)).otherwise(F.array().cast(SPAN))
         return F.struct(b.cast("bigint").alias("at"), F.concat(acc["out"], keep).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+    def fold(s):
+        start = F.struct(s["at"].cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(F.sequence(s["fold"] * FOLD, F.least(s["fold"] * FOLD + FOLD - 1, last)), start, step, lambda acc: acc["out"])
+
+    none = F.array().cast("array<struct<fold:int,at:int>>")
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    at = F.aggregate(folds, first, lambda acc, f: F.struct((acc["at"] + size(f)).alias("at"), F.concat(acc["out"], F.array(F.struct(f.alias("fold"), acc["at"].alias("at")))).alias("out")), lambda acc: acc["out"])
+    return F.flatten(F.transform(at, fold))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -102,7 +118,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     df = df.select("key", "doc_id", *out.values())
     base = F.array_sort(F.concat(*(f"b_{k}" for k in BASE)))
     df = df.select("key", "doc_id", base.alias("base"), F.concat(*(f"l_{k}" for k in LOOSE)).alias("loose"))
-    apart = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    # Base spans in lots with their least start and greatest end, so that a loose span is held to the lots near it only.
+    lot = lambda i: F.slice("base", i * FOLD + 1, F.lit(FOLD))
+    bounds = lambda i: F.struct(F.array_min(F.transform(lot(i), lambda b: b["start"])).alias("lo"), F.array_max(F.transform(lot(i), lambda b: b["end"])).alias("hi"), lot(i).alias("spans"))
+    lots = F.when((F.size("base") > 0) & (F.size("loose") > 0), F.transform(F.sequence(F.lit(0), F.floor((F.size("base") - 1) / FOLD).cast("int")), bounds))
+    df = df.withColumn("lots", lots)
+    meets = lambda c: F.exists("lots", lambda x: (x["lo"] < c["end"]) & (c["start"] < x["hi"]) & F.exists(x["spans"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    apart = F.when(F.col("lots").isNull(), F.col("loose")).otherwise(F.filter("loose", lambda c: ~meets(c)))
     return df.select("key", "doc_id", "base", apart.alias("loose"))
 
 
@@ -112,7 +134,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     tokens = docs.select(F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("word"))
     whole = tokens.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("all"))
     glued = wanted.filter("glued").select("word").distinct()
-    lengths = [r[0] for r in glued.select(F.length("word").alias("n")).distinct().collect()]  # LEFT values at most
+    lengths = [r[0] for r in glued.select(F.length("word").alias("n")).distinct().collect()]  # one row for each length
     if lengths:
         longest = max(lengths) + 1
         heads = tokens.filter(F.length("word") > min(lengths)).groupBy(F.substring("word", 1, longest).alias("token")).agg(F.count("*").alias("all"))
@@ -135,9 +157,10 @@ def bootstrap(spans: DataFrame, docs: DataFrame, text: str = "text", rounds: int
     # Only words beside an unknown string can discover anything.
     wanted = loose.select("kind", "word").distinct()
     seeds = materialize(occurrences("base").join(wanted, ["kind", "word"], "left_semi"), "pii-seeds")
-    sides = seeds.unionByName(loose).groupBy("kind", "word").agg(F.sum("n").alias("least"), F.max("glued").alias("glued"))
-    sides = materialize(sides, "pii-sides")
-    # A context after another identifier, or longer than LEFT, is no token's head: what the spans show of it is its floor.
+    sides = seeds.unionByName(loose).groupBy("kind", "word").agg(F.sum("n").alias("least"), F.max("glued").alias("glued"), F.count_distinct("value").alias("values"))
+    # A word beside fewer values than a pattern needs never becomes one.
+    sides = materialize(sides.filter(F.col("values") >= support).drop("values"), "pii-sides")
+    # A context after another identifier is no token's head: what the spans show of it is its floor.
     words = sides.join(_contexts(docs, sides, text), "word", "left").select("kind", "word", F.greatest("least", F.coalesce("all", F.lit(0))).alias("all"))
     words = materialize(words, "pii-words")
     known, size, done = seeds.select("kind", "value").limit(0), 0, 0
@@ -171,9 +194,10 @@ def _text(spans: Column) -> Column:
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_found, the number of all spans."""
     got = find(documents(spark, sf_dir))
     order = F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     base = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     of = lambda i: F.filter("base", lambda s: s["kind"] == i)
     count = [F.size(of(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return got.select("doc_id", *count, F.sha2(_text(base), 256).alias("base_sha256"), _text(order).alias("spans"))
+    return got.select("doc_id", *count, F.sha2(_text(base), 256).alias("base_sha256"), _text(order).alias("spans"), F.size(order).cast("long").alias("n_found"))

@@ -10,7 +10,10 @@ makes LABELLED of them, half secrets of the usual formats and half look-alikes:
 identifiers, file names, numbers.
 
 Edge cases: null or empty text has no candidates; a null path counts as empty; overlapping candidates become one,
-specific formats and assigned values before other strings; repeated rows each give their findings. Findings carry a digest of the value, never the value.
+specific formats and assigned values before other strings; a private key without its end mark reaches over the encoded
+lines that follow its begin mark; values and texts of any length are read whole; repeated rows and null ids each give their
+findings; an empty table gives none; other columns of the input, whatever their names, are not looked at. Findings carry a
+digest of the value, never the value.
 """
 
 from __future__ import annotations
@@ -39,11 +42,13 @@ FORMATS = {
     "github_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s+[A-Za-z0-9+/=]{16,})*(?:\s+[A-Za-z0-9+/]{1,15}={0,2}(?=\s*-----END ))?",
     "assigned": r"(?i:password|passwd|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<assigned_value>[^\s\"',;]{8,})",
     "generic": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}",
 }
+KEY_END = r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
 PATTERNS = {k: re.compile(v) for k, v in FORMATS.items()}
+_KEY_END = re.compile(KEY_END)
 LEAST_RUN = 20
 # Words that speak for and against a secret, and a small dictionary.
 FOR = re.compile(r"(?i)passw|pwd|secret|token|api.?key|access.?key|credential|bearer|auth|private")
@@ -90,6 +95,17 @@ def features(kind: str, value: str, before: str, after: str, path: str) -> list[
     ]
 
 
+def _private_keys(text: str) -> list[tuple[int, int, str]]:
+    """From each begin mark to the end mark before the next, or else over the encoded lines that follow; in one pass."""
+    begins, ends, out, k = list(PATTERNS["private_key"].finditer(text)), list(_KEY_END.finditer(text)), [], 0
+    for m, limit in zip(begins, [*(m.start() for m in begins[1:]), len(text)]):
+        while k < len(ends) and ends[k].start() < m.start():
+            k += 1
+        closed = k < len(ends) and ends[k].start() < limit
+        out.append((m.start(), ends[k].end() if closed else m.end(), "private_key"))
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each candidate, in order and apart.
 
@@ -97,7 +113,8 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
     the kind of the first; of a generic run, what names and values of the others leave over is a candidate of its own.
     """
     text = text or ""
-    spans = [(m.start(), m.end(), k) for k, p in PATTERNS.items() if k not in ("assigned", "generic") for m in p.finditer(text)]
+    spans = [(m.start(), m.end(), k) for k, p in PATTERNS.items() if k not in ("assigned", "generic", "private_key") for m in p.finditer(text)]
+    spans += _private_keys(text)
     values = [(*m.span("assigned_value"), "assigned") for m in PATTERNS["assigned"].finditer(text)]
     out: list[list] = []
     for a, b, kind in sorted(spans + values):
@@ -207,8 +224,9 @@ def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", pat
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every secret of ``found`` replaced by the mark."""
-    spans = found.filter("is_secret").groupBy(F.col("key").alias("_millrace_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_millrace_spans"))
-    joined = docs.withColumn("_millrace_key", F.xxhash64(doc_id, text)).join(spans, "_millrace_key", "left")
+    spans = found.filter("is_secret").groupBy(F.col("key").alias("_millrace_key"), F.col("id").alias("_millrace_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_millrace_spans"))
+    own = (F.col("d._millrace_key") == F.col("s._millrace_key")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s._millrace_id"))
+    joined = docs.withColumn("_millrace_key", F.xxhash64(doc_id, text)).alias("d").join(spans.alias("s"), own, "left").select(*(f"d.`{c}`" for c in docs.columns), "_millrace_spans")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda s, x: F.struct(
         x["end"].alias("at"), F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out")

@@ -142,3 +142,54 @@ def test_discovery_beside_labels_and_to_the_end(spark):
     more = {r["doc_id"]: [s["value"] for s in r["more"]] for r in pii.find(df).collect() if r["more"]}
     assert more[20] == ["0301234567"] and more[40] == ["10[.]0[.]7[.]9"] and 21 not in more
     assert more[1505] == more[2505] == ["652-555-1005"]
+
+
+def test_many_matches_of_one_text_and_long_words(spark, monkeypatch):
+    label = "q" * 200 + "tel:"
+    many = " ".join(f"a{i}@b.co {label}+49 301 234 {1000 + i}" for i in range(40))
+    rows = [(1, many), (2, f"x {label}0301234567 y"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda: sorted((r["doc_id"], [tuple(s) for s in r["base"]], sorted(tuple(s) for s in r["loose"])) for r in pii.scan(df).collect())
+    whole = spans()
+    monkeypatch.setattr(pii, "FOLD", 7)
+    assert spans() == whole
+    assert [(s[0], s[2], s[1]) for s in whole[0][1]] == base(many)
+    more = {r["doc_id"]: [s["value"] for s in r["more"]] for r in pii.find(df).collect() if r["more"]}
+    assert more == {2: ["0301234567"]}
+
+
+def test_bootstrap_against_brute_force(spark):
+    """The patterns and values that plain loops over the spans find, round by round."""
+    import random
+
+    r = random.Random(3)
+    labels = ["tel:", "fax", "no.", "call", "id"]
+    rows = []
+    for i in range(120):
+        word = r.choice(labels)
+        number = r.choice([f"+49 301 23{r.randint(1000, 1040)}", f"0301 23{r.randint(1000, 1040)}", f"{r.randint(10**9, 10**9 + 30)}", "none"])
+        rows.append((i, f"some {word} {number} and other {r.choice(labels)} words"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = [x.asDict() for x in pii.scan(df).collect()]
+    base_of = [(s["kind"], s["value"], s["word"]) for x in spans for s in x["base"] if s["word"]]
+    loose_of = [(s["kind"], s["value"], s["word"]) for x in spans for s in x["loose"] if s["word"]]
+    tokens = [t for _, text in rows for t in text.lower().split()]
+    known = set()
+    while True:
+        hits = base_of + [x for x in loose_of if x[:2] in known]
+        score = {}
+        for kind, word in {(k, w) for k, _, w in loose_of}:
+            own = [v for k, v, w in hits if (k, w) == (kind, word)]
+            least = sum((k, w) == (kind, word) for k, _, w in base_of + loose_of)
+            p = min(len(own) / max(least, tokens.count(word)), 0.999)
+            if len(set(own)) >= pii.SUPPORT and p >= pii.CONFIDENCE:
+                for v in {v for k, v, w in loose_of if (k, w) == (kind, word)}:
+                    score[kind, v] = 1 - (1 - score.get((kind, v), 0)) * (1 - p)
+        more = known | {x for x, s in score.items() if s >= pii.CONFIDENCE}
+        if more == known:
+            break
+        known = more
+    from millrace.llm.common import materialize
+
+    got = {tuple(x) for x in pii.bootstrap(materialize(pii.scan(df), "spans"), df, confidence=pii.CONFIDENCE).collect()}
+    assert got == known
