@@ -15,6 +15,9 @@ gives an empty result; other columns of the input, whatever their names, are not
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,9 @@ from .common import documents
 
 # Words one of which every known sentence holds. A sentence with one of the first is unknown if no pattern fits.
 CUES = "licen[cs]e|copyright|permission|warrant|redistribut|rights reserved|public domain|liable|copyleft"
-OTHER_CUES = r"may not use this file|as is|endorse or promote|copy of the license|creative commons|cc0|\bgpl|\bagpl|\blgpl|\bmpl|cc by|public license|\bwtfpl|do what the f|unencumbered|copies or substantial|origin of this software|altered source|confidential|noncommercial|non commercial|commercial use|all copies"
+OTHER_CUES = r"may not use this file|as is|endorse or promote|copy of the license|creative commons|cc0|gpl|cc by|wtfpl|unencumbered|misrepresented|altered source|confidential|commercial use|commercial purposes"
+# Parts of words, one of which every text with such a sentence holds.
+PARTS = ["licen", "copyright", "permission", "warrant", "redistribut", "reserved", "domain", "liable", "copyleft", "provided", "endorse", "commons", "cc", "gpl", "wtfpl", "unencumbered", "misrepresented", "altered", "confidential", "commercial"]
 
 # Known licence sentences as patterns on the normalised sentence, the first match counts.
 SENTENCES = [
@@ -180,6 +185,12 @@ def _gate() -> str:
     return (CUES + "|" + OTHER_CUES).replace(r"\b", "(?:^|[^a-z0-9])").replace(" ", "[^a-z0-9]+")
 
 
+def _may_hold(text: Column) -> Column:
+    """Whether a text may hold a cue: a cheap test for parts of words, and for texts that pass it the cues themselves."""
+    held = lambda t: reduce(or_, (F.contains(t, F.lit(x)) for x in PARTS)) & t.rlike(_gate())
+    return F.exists(F.array(F.lower(text)), held)
+
+
 def _identify(sentence: Column) -> Column:
     """The identifier of a sentence, UNKNOWN if it has a cue only, else null."""
     norm = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
@@ -198,7 +209,7 @@ def _ids(text: Column) -> Column:
 def recognise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, licenses (names in order of the rules, joined), sentence_ids, n_sentences, n_unknown."""
     known = lambda ids: F.size(F.filter(ids, lambda x: x != UNKNOWN))
-    cued = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(F.lower("_t").rlike(_gate()))
+    cued = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(_may_hold(F.col("_t")))
     read = cued.select("doc_id", _ids(F.col("_t")).alias("a"), _ids(F.regexp_replace("_t", "[ \\t]*\n[ \\t]*", " ")).alias("b"))
     read = read.select("doc_id", F.when(known(F.col("b")) > known(F.col("a")), F.col("b")).otherwise(F.col("a")).alias("all"))
     read = read.select("doc_id", "all", F.filter("all", lambda x: x != UNKNOWN).alias("ids")).filter(F.size("ids") > 0)
