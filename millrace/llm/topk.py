@@ -2,28 +2,33 @@
 
 Queries are cut into blocks of at most BLOCK rows, broadcast one block a pass (BLOCK rows of a fixed dimension: a bounded
 size). In a pass every task multiplies the block with one tile of vectors after another, keeps k candidates a query from
-each tile by partial selection, and hands on one list a query. Lists are then merged in a tree, FAN tasks at a time.
+each tile by partial selection, and writes one list a query; the next block is fetched when a pass has ended. Lists of all
+passes are then merged in a tree, FAN tasks at a time.
 
 Edge cases: a vector that is null or holds null or non-finite components takes no part; vectors meet those of equal
 length only; a vec_id that is null takes no part; repeated rows count once, and of several vectors under one queried
-vec_id the least is the query; a row of the query's own vec_id is no candidate. Scores are exact: in doubles while they
+vec_id the least is the query; a row of the query's own vec_id is no candidate; ties go to the smaller id; an empty table, or
+one without queries, gives no rows; other columns of the input are not looked at. Scores are exact: in doubles while they
 stay below 2**53, else in Python's integers, then held to the range of a long.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, shared_dir, ship
 
 K = 5
 SCALE = 256
 BLOCK = 4096
 TILE = 4096
 FAN = 16
+LISTS = "node int, query_id long, best array<struct<s: long, id: long>>"
 
 
 def sound_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -114,19 +119,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     q = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")).repartitionByRange("vec_id").sortWithinPartitions("vec_id"), "queries")
     blocks = max(1, -(-q.count() // BLOCK))
     cut = [None] if blocks == 1 else [None, *q.approxQuantile("vec_id", [i / blocks for i in range(1, blocks)], 0.0)]
-    tasks, parts = vectors.rdd.getNumPartitions(), []
-    for lo, hi in zip(cut, [*cut[1:], None]):
+    tasks, path = vectors.rdd.getNumPartitions(), f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+    for n, (lo, hi) in enumerate(zip(cut, [*cut[1:], None])):
         own = q.filter((F.lit(True) if lo is None else F.col("vec_id") >= F.lit(int(lo))) & (F.lit(True) if hi is None else F.col("vec_id") < F.lit(int(hi)))).toArrow()
         sizes = np.asarray(own.column("v").combine_chunks().value_lengths()) if own.num_rows else np.zeros(0, int)
         by_size = {}
-        for n in np.unique(sizes):
-            part = own.filter(pa.array(sizes == n)).combine_chunks()
-            by_size[int(n)] = (np.asarray(part.column("vec_id")), _matrix(part.column("v").combine_chunks(), scale)[0])
-        parts.append(ship(vectors).mapInArrow(_searcher(spark.sparkContext.broadcast(by_size), k, scale, TILE), "node int, query_id long, best array<struct<s: long, id: long>>"))
-    lists = parts[0]
-    for p in parts[1:]:
-        lists = lists.union(p)
-    tasks *= len(parts)  # a union numbers its tasks on through all passes
+        for size in np.unique(sizes):
+            part = own.filter(pa.array(sizes == size)).combine_chunks()
+            by_size[int(size)] = (np.asarray(part.column("vec_id")), _matrix(part.column("v").combine_chunks(), scale)[0])
+        # Each pass writes its lists; only then is the next block fetched, and the driver and the executors let go of this one.
+        block = spark.sparkContext.broadcast(by_size)
+        ship(vectors).mapInArrow(_searcher(block, k, scale, TILE), LISTS).write.parquet(f"{path}/block={n}")
+        block.destroy()
+    lists = spark.read.schema(LISTS).parquet(path)
     while tasks > 1:
         tasks = -(-tasks // FAN)
         merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k)

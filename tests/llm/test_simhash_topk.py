@@ -150,3 +150,12 @@ def test_crowded_segments_link_all_the_same(spark):
     groups = lambda **k: simhash.similar(df, **k).select("group").distinct().count()
     assert groups() == 1 and groups(most=5) == 1
     assert simhash.similar(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_blocks_give_the_same_lists(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(r.normal(size=(120, 6)))]
+    v = topk.sound_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 3 = 0")).collect()))
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    assert len(whole) == 200 and sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 3 = 0")).collect())) == whole
