@@ -7,13 +7,16 @@ distinct word is encoded once. The table of distinct words has two parts:
   HEAD_WORDS words and HEAD_BYTES bytes remain. It is broadcast; its size is bounded whatever the corpus holds, and
   which words it has changes no result, only how much is left for the second part;
 * the rest, every other distinct word of the corpus, kept in a distributed table. Its ids come back by a shuffle join
-  on the word and then by position: keyed by document and by the word's place among the document's own rare words.
+  on the word and then by position: keyed by document (its id and a hash of its text) and by the word's place among the
+  document's own rare words.
 
 Texts are shuffled once, compressed, and only their rare words besides. Decoding takes every id from the id-to-piece
 table (as many rows as the vocabulary).
 
 Edge cases: null text counts as empty (no ids); a special token's string in a text becomes its id, as in the
-tokenizers library; repeated rows each give a row; null ids are kept; other columns of the input are not looked at.
+tokenizers library; repeated rows each give a row; null ids are kept; words that are as frequent as others at the head's
+border go by count together; very long texts are split run by run; an empty table gives an empty result; other columns of
+the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -169,10 +172,10 @@ def encode_words(words: DataFrame, tokenizer: str, placed: bool = False) -> Data
     """The columns of words besides ``word``, and ids: little-endian unsigned 32-bit.
 
     Rows of a word must follow each other in one partition; each distinct word is then encoded once. With ``placed``,
-    the columns key and at become key and place: at in 4 bytes, then the ids, in 16 bits each where the vocabulary
+    the columns id, key and at become id, key and place: at in 4 bytes, then the ids, in 16 bits each where the vocabulary
     allows it, as one narrow value.
     """
-    names = ["key"] if placed else [c for c in words.columns if c != "word"]
+    names = ["id", "key"] if placed else [c for c in words.columns if c != "word"]
     to = "place" if placed else "ids"
 
     def encode(batches):
@@ -271,19 +274,20 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
     spark = docs.sparkSession
     packed_head = spark.sparkContext.broadcast(head_words(docs, tokenizer, text))
     name = uuid.uuid4().hex
-    keyed = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(doc_id, text).alias("key"))
+    keyed = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.hash(text).alias("key"))
 
     def rare(batches):
         split, known = vocabulary(tokenizer).splitter, _head(name, packed_head)
         for batch in small(batches):
             own = [sorted(set().union(*map(set, split.runs(t))).difference(known)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["key", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.string()))], ["id", "key", "words"])
         release()
 
-    placed = ship(keyed).select("key", "text").mapInArrow(rare, "key long, words array<string>").select("key", F.posexplode("words").alias("at", "word"))
+    id_type = dict(docs.dtypes)[doc_id]
+    placed = ship(keyed).mapInArrow(rare, f"id {id_type}, key int, words array<string>").select("id", "key", F.posexplode("words").alias("at", "word"))
     # No word of the rest is frequent (frequent ones are in the head), so dealing by the word is even.
     dealt = encode_words(placed.repartition("word").sortWithinPartitions("word"), tokenizer, placed=True)
-    tail = dealt.groupBy("key").agg(F.collect_set("place").alias("tail"))
+    tail = dealt.groupBy("id", "key").agg(F.collect_set("place").alias("tail"))
 
     def pack(batches):
         compress, _ = _zstd(packed_head)
@@ -308,12 +312,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), *finish(ids)], names)
         release()
 
-    id_type = dict(docs.dtypes)[doc_id]
     names = [doc_id, *(x.strip().split()[0] for x in schema.split(","))]
     return (
-        ship(keyed).mapInArrow(pack, f"id {id_type}, packed binary, key long")
-        .join(tail, "key", "left")
-        .select("id", "packed", "tail")
+        ship(keyed).mapInArrow(pack, f"id {id_type}, packed binary, key int").alias("d")
+        .join(tail.alias("t"), F.col("d.id").eqNullSafe(F.col("t.id")) & (F.col("d.key") == F.col("t.key")), "left")
+        .select("d.id", "packed", "tail")
         .mapInArrow(join, f"{doc_id} {id_type}, {schema}")
     )
 
