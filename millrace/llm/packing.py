@@ -6,8 +6,9 @@ room, as counts of packing patterns. Patterns go back to the pieces by rank: the
 whose run of ranks holds r. Ranks need no window over all pieces of a length: pieces are ranked within (length, bucket)
 and the buckets' sizes, summed beforehand, give each bucket its first rank.
 
-Edge cases: null or empty text is the end token alone; repeated rows are packed each on their own; an empty table gives
-an empty result.
+Edge cases: null or empty text is the end token alone; repeated rows and rows of null id are packed each on their own; of
+pieces of one length any may take a slot, which is settled by a number drawn once and written down; a long text is as many
+pieces as it needs; an empty table gives an empty result; other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _ids_bytes, default_tokenizer, vocabulary
-from .common import documents, materialize, ship, use_cache
+from .common import documents, materialize, release, ship, small, use_cache
 
 SEQUENCE = 2048
 END_ID = 1
 #: Words of which a Python worker remembers the ids.
 CACHE_WORDS = 300_000
-BUCKETS = 512
+BUCKETS, BUCKET_ROWS = 512, 1_000_000
 
 _cache: dict[str, tuple[dict[str, bytes], object]] = {}
 
@@ -69,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int
     def cut(batches):
         _begin()
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             cols: list[list] = [[], [], [], [], []]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(t or "") + end
@@ -78,6 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int
                     for col, x in zip(cols, (d, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
+        release()
 
     names = [doc_id, "start", "length", "ids_crc32", "doc_tokens"]
     return ship(docs).select(doc_id, text).mapInArrow(cut, f"{doc_id} {dict(docs.dtypes)[doc_id]}, start long, length long, ids_crc32 long, doc_tokens long")
@@ -120,31 +122,37 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, i
 
 
 def pack(parts: DataFrame, length: int = SEQUENCE) -> DataFrame:
-    """Adds sequence_id and offset to pieces (columns length and any others); pieces are read twice, so pass a written table."""
+    """Adds sequence_id and offset to pieces (columns length and any others); pieces are read twice, so pass a written table.
+
+    A column _lot, if there is one, deals pieces of one length to buckets, else the hash of all columns.
+    """
     spark = parts.sparkSession
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = slots(shortest_pack_first(histogram, length))
     where = spark.createDataFrame(table, "length long, lo long, hi long, first long, offset long")
-    bucketed = parts.withColumn("_b", F.pmod(F.xxhash64(*parts.columns), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, sum(histogram.values()) // BUCKET_ROWS)
+    names = [c for c in parts.columns if c != "_lot"]
+    bucketed = parts.withColumn("_b", F.pmod("_lot" if "_lot" in parts.columns else F.xxhash64(*parts.columns), F.lit(buckets)).cast("int")).select(*names, "_b")
     before = (
         bucketed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
         .withColumn("_from", F.sum("_n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
         .select("length", "_b", F.coalesce("_from", F.lit(0)).alias("_from"))
     )
-    ranked = bucketed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "start")) - 1)
+    ranked = bucketed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy(*names)) - 1)
     ranked = ranked.join(before, ["length", "_b"]).withColumn("_r", F.col("_r") + F.col("_from"))
     # The table of slots has a few rows for each pattern; the histogram bounds it, not the corpus.
     at = F.broadcast(where.withColumnRenamed("length", "_l"))
     return (
         ranked.join(at, (F.col("length") == F.col("_l")) & (F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi")))
         .withColumn("sequence_id", F.col("first") + F.col("_r") - F.col("lo"))
-        .select(*parts.columns, "sequence_id", "offset")
+        .select(*names, "sequence_id", "offset")
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE) -> DataFrame:
     """All documents' pieces with their sequence_id and offset."""
-    return pack(materialize(pieces(docs, tokenizer or default_tokenizer(), length), "pieces"), length)
+    cut = pieces(docs, tokenizer or default_tokenizer(), length)
+    return pack(materialize(cut.withColumn("_lot", F.floor(F.rand() * 2**40).cast("long")), "pieces"), length)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -108,3 +109,24 @@ def test_packing(spark):
 def test_empty(spark):
     docs = documents(spark, SF).limit(0)
     assert packing.pack_documents(docs).count() == 0
+
+
+def test_packing_takes_any_id_and_repeated_rows(spark):
+    rows = [("a", "one two three")] * 700 + [(None, None)] * 20 + [("b", "x " * 5000)]
+    df = spark.createDataFrame(rows, "name string, body string").withColumn("length", F.lit(1))
+    got = packing.pack(packing.pieces(df, PATH, doc_id="name", text="body"))
+    rows = got.collect()
+    assert sum(r["length"] for r in rows if r["name"] == "b") == next(r["doc_tokens"] for r in rows if r["name"] == "b")
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in by.values():
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at <= packing.SEQUENCE
+
+
+def test_bpe_empty_table(spark):
+    assert bpe.encode_documents(documents(spark, SF).limit(0), PATH, lambda ids: [pa.array([len(x) for x in ids], pa.int64())], "n long").count() == 0
