@@ -2,15 +2,19 @@
 
 A word's features are its character n-grams of 1 to 4 with both ends marked (so that its affixes are features of their
 own), hashed, and a lexicon flag for each language whose frequent words hold it. Transitions between the labels of
-neighbouring words are learned with them. Words are labelled by forward-backward in chains of CHAIN words; a document's
-language is the label with the greatest sum of word marginals, and its score that label's share.
+neighbouring words are learned with them, also those between languages, from chains spliced of two. Words are labelled by
+forward-backward in chains of CHAIN words, each read with the CONTEXT words before and after it, whose own labels the
+neighbouring chains give; a document's language is the label with the greatest sum of word marginals, and its score that
+label's share.
 
-The field is fitted on the driver, on at most PER_LANGUAGE labelled documents of each language and at most TRAIN_WORDS
-words, chosen by a hash of the id. Prediction sees every word of every text; a worker remembers the emissions of
+The field is fitted on the driver, on a bounded sample: the first TRAIN_CHARS characters of about PER_LANGUAGE labelled
+documents of each language, at most TRAIN_WORDS words in all, chosen by a hash of id and text. Prediction sees every word of every text; a worker remembers the emissions of
 CACHE_WORDS words.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0; so is every text if nothing is labelled;
-rows with a null id count as not held out; columns other than id, text and (for fitting) lang are not read.
+rows with a null id count as not held out; of languages with equal sums the first by name wins; repeated rows each give a
+row; a long text is read whole; an empty table gives an empty result; columns other than id, text and (for fitting) lang are
+not read, and those that clash with the result's are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +33,10 @@ PER_LANGUAGE = 600
 TRAIN_WORDS = 200_000
 LEXICON = 500
 BINS = 1 << 17
-CHAIN = 32
+TRAIN_CHARS = 20_000
+CHAIN, CONTEXT = 48, 8
+#: One chain in SPLICE is also learned from together with the end of one in another language.
+SPLICE = 4
 ROUNDS = 60
 CACHE_WORDS = 400_000
 
@@ -98,16 +105,19 @@ def marginals(e: np.ndarray, mask: np.ndarray, transitions: np.ndarray, pairs: b
     return (p, moved) if pairs else p
 
 
-def _chains(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each word in the flat list, mask, document) of the chains of documents of these lengths."""
+def _chains(lengths: list[int], context: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each word in the flat list, mask, document, mask of the chain's own words) of chains of documents of these lengths."""
     lengths = np.asarray(lengths, np.int64)
     per = -(-lengths // CHAIN)
     doc = np.repeat(np.arange(len(lengths)), per)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    first = (np.cumsum(lengths) - lengths)[doc] + nth * CHAIN
-    places = first[:, None] + np.arange(CHAIN)
-    mask = nth[:, None] * CHAIN + np.arange(CHAIN) < lengths[doc][:, None]
-    return np.where(mask, places, 0), mask, doc
+    lead = np.minimum(nth * CHAIN, context)  # a chain's first word is a document's word, so masks have no gap before it
+    start = nth * CHAIN - lead
+    at = start[:, None] + np.arange(CHAIN + 2 * context)
+    mask = (at < lengths[doc][:, None]) & (at < ((nth + 1) * CHAIN + context)[:, None])
+    own = mask & (at >= (nth * CHAIN)[:, None]) & (at < ((nth + 1) * CHAIN)[:, None])
+    places = (np.cumsum(lengths) - lengths)[doc][:, None] + at
+    return np.where(mask, places, 0), mask, doc, own
 
 
 def fit(rows: list[tuple[str, str]]) -> Field | None:
@@ -118,7 +128,7 @@ def fit(rows: list[tuple[str, str]]) -> Field | None:
     place = {x: i for i, x in enumerate(labels)}
     docs = [(w, place[lang]) for t, lang in rows if (w := WORD.findall((t or "").lower()))]
     chains = [(w[i : i + CHAIN], y) for w, y in docs for i in range(0, len(w), CHAIN)]
-    step = max(1, -(-sum(len(w) for w, _ in chains) // TRAIN_WORDS))
+    step = max(1, -(-sum(len(w) for w, _ in chains) // (TRAIN_WORDS - TRAIN_WORDS // SPLICE)))
     chains = chains[::step]
     if not chains:
         return Field(labels, np.zeros((BINS, len(labels)), np.float32), {}, 0.0, np.zeros((len(labels), len(labels)), np.float32))
@@ -131,9 +141,15 @@ def fit(rows: list[tuple[str, str]]) -> Field | None:
             if n > 1:
                 lexicon.setdefault(w, []).append(k)
     index: dict[str, int] = {}
-    flat = np.array([index.setdefault(w, len(index)) for ws, _ in chains for w in ws])
-    gold = np.repeat([y for _, y in chains], [len(w) for w, _ in chains])
-    places, mask, _ = _chains([len(w) for w, _ in chains])
+    parts = [[(w, y)] for w, y in chains]
+    far = len(chains) // 2  # rows are sorted by text, so the other half may begin with any language
+    for i in range(0, len(chains), SPLICE):
+        (a, y), (b, z) = chains[i], chains[(i + far) % len(chains)]
+        if y != z:
+            parts.append([(a[: CHAIN // 2], y), (b[: CHAIN // 2], z)])
+    flat = np.array([index.setdefault(w, len(index)) for p in parts for ws, _ in p for w in ws])
+    gold = np.array([y for p in parts for ws, y in p for _ in ws])
+    places, mask, _, _ = _chains([sum(len(ws) for ws, _ in p) for p in parts])
     words, k = list(index), len(labels)
     bins, starts = _ngrams(words)
     word_of = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(bins))))
@@ -143,8 +159,7 @@ def fit(rows: list[tuple[str, str]]) -> Field | None:
     want = np.bincount(flat * k + gold, minlength=len(words) * k).reshape(-1, k)
     within = mask[:, 1:].sum()
     want_moves = np.zeros((k, k))
-    for i in range(k):
-        want_moves[i, i] = mask[:, 1:][gold[places[:, 0]] == i].sum()
+    np.add.at(want_moves, (gold[places[:, :-1]][mask[:, 1:]], gold[places[:, 1:]][mask[:, 1:]]), 1)
     w, tr, lw = np.zeros((BINS, k), np.float32), np.zeros((k, k)), 0.0
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, tr, np.zeros(1))]
     for r in range(1, ROUNDS + 1):
@@ -174,7 +189,7 @@ class Labeller:
         self.field, self.known, self.rows = field, {}, np.empty((0, len(field.labels)), np.float32)
 
     def __call__(self, docs: list[list[str]]):
-        """(marginals, mask, document) of the chains of the documents' words."""
+        """(marginals, mask, document) of the chains of the documents' words; each word is in the mask of one chain."""
         new = set().union(*docs).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
@@ -183,10 +198,10 @@ class Labeller:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.rows = np.concatenate([self.rows, self.field.emissions(new).astype(np.float32)])
         flat = np.fromiter((i for d in docs for i in map(self.known.__getitem__, d)), np.int64)
-        places, mask, doc = _chains([len(d) for d in docs])
+        places, mask, doc, own = _chains([len(d) for d in docs], CONTEXT)
         if not len(flat):
-            return np.zeros((0, CHAIN, len(self.field.labels)), np.float32), mask, doc
-        return marginals(self.rows[flat[places]], mask, self.field.transitions), mask, doc
+            return np.zeros((0, own.shape[1], len(self.field.labels)), np.float32), own, doc
+        return marginals(self.rows[flat[places]], mask, self.field.transitions) * own[:, :, None], own, doc
 
 
 def words_of(text: str | None) -> list[str]:
@@ -197,13 +212,13 @@ def words_of(text: str | None) -> list[str]:
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """At most about PER_LANGUAGE labelled texts of each language, chosen by a hash of the id; never a held-out one."""
-    may = docs.filter(~held_out(doc_id) & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(doc_id, text, lang)
+    may = docs.filter(~held_out(doc_id) & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(doc_id, F.substring(text, 1, TRAIN_CHARS).alias(text), lang, F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 20)).alias("_place"))
     counts = {r[lang]: r["n"] for r in may.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / n)))])
-    chosen = may.filter(F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 20)) < F.element_at(share, F.col(lang)) * (1 << 20))
-    rows = chosen.select(text, lang).limit(2 * PER_LANGUAGE * len(counts)).toArrow().to_pylist()
+    chosen = may.filter(F.col("_place") < F.element_at(share, F.col(lang)) * (1 << 20))
+    rows = chosen.orderBy("_place", text, lang).select(text, lang).limit(2 * PER_LANGUAGE * len(counts)).toArrow().to_pylist()
     return sorted((r[text], r[lang]) for r in rows)
 
 

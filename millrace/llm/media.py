@@ -8,7 +8,10 @@ coded and decoded as arrays; the reader also takes SOF3 frames of other sizes wi
 Shots: 16-bin histograms of successive frames are compared; a cut is where the difference exceeds the mean and DEVIATIONS
 standard deviations of up to WINDOW differences before it, and LEAST of the frame's samples.
 
-Edge cases: null text is stored as empty, one frame of bytes 255; one frame is one clip; equal payloads give equal files.
+Edge cases: null or empty text is stored as empty, one frame of bytes 255; one frame is one clip; equal payloads give equal
+files; of equal histogram differences each is judged by those before it; a long text is one file of as many frames, held in
+memory as a whole; repeated rows and null ids each give a row; an empty table gives an empty result; other columns of the
+input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -80,3 +80,45 @@ def test_language_edges(spark):
     seg = langid.segments("the cat and the dog le chat et le chien", field)
     assert [s[2] for s in seg] == ["en", "fr"]
     assert langid.training_rows(documents(spark, SF).limit(0)) == []
+
+
+def _rows(spark):
+    return langid.training_rows(documents(spark, SF))
+
+
+def test_chains_do_not_part_a_text(spark, monkeypatch):
+    field = langid.fit(_rows(spark))
+    words = [langid.words_of(r["text"]) for r in documents(spark, SF).limit(20).collect()]
+
+    def of(label):
+        p, own, doc = label(words)
+        return [p[doc == d][own[doc == d]] for d in range(len(words))]
+
+    cut = of(langid.Labeller(field))
+    monkeypatch.setattr(langid, "CHAIN", 1 << 15)
+    whole = of(langid.Labeller(field))
+    assert all(len(a) == len(b) == len(w) and np.abs(a - b).max(initial=0) < 0.02 for a, b, w in zip(cut, whole, words))
+
+
+def test_fit_is_the_same_each_time_and_learns_moves(spark):
+    rows = _rows(spark)
+    assert rows == _rows(spark)
+    field = langid.fit(rows)
+    k = len(field.labels)
+    assert np.isfinite(field.transitions).all() and (np.diag(field.transitions) > field.transitions[~np.eye(k, dtype=bool)].max()).all()
+
+
+def test_query_against_forward_backward_of_each_text(spark, monkeypatch):
+    docs = documents(spark, SF).select("doc_id", "text", "lang")
+    field = langid.fit(langid.training_rows(docs))
+    got = {r["doc_id"]: r for r in langid.op2_language(spark, SF).collect()}
+    for r in docs.collect():
+        words = langid.words_of(r["text"])
+        if not words:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        e = field.emissions(words)[None].astype(np.float32)
+        total = langid.marginals(e, np.ones((1, len(words)), bool), field.transitions)[0].sum(0)
+        assert got[r["doc_id"]]["lang_pred"] == field.labels[int(total.argmax())] or np.sort(total)[-1] - np.sort(total)[-2] < 0.02 * len(words)
+        assert abs(got[r["doc_id"]]["score"] - total.max() / total.sum()) < 0.02
+    assert langid.identify(docs.limit(0), field).count() == 0
