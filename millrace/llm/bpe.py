@@ -7,13 +7,16 @@ distinct word is encoded once. The table of distinct words has two parts:
   HEAD_WORDS words and HEAD_BYTES bytes remain. It is broadcast; its size is bounded whatever the corpus holds, and
   which words it has changes no result, only how much is left for the second part;
 * the rest, every other distinct word of the corpus, kept in a distributed table. Its ids come back by a shuffle join
-  on the word and then by position: keyed by document and by the word's place among the document's own rare words.
+  on the word and then by position: keyed by a hash of the document's id and text and by the word's place among the
+  document's own rare words. Two documents of one hash get more places than they have such words; theirs are encoded anew.
 
 Texts are shuffled once, compressed, and only their rare words besides. Decoding takes every id from the id-to-piece
 table (as many rows as the vocabulary).
 
 Edge cases: null text counts as empty (no ids); a special token's string in a text becomes its id, as in the
-tokenizers library; repeated rows each give a row; null ids are kept; other columns of the input are not looked at.
+tokenizers library; repeated rows each give a row; null ids are kept; words that are as frequent as others at the head's
+border go by count together; very long texts are split run by run; an empty table gives an empty result; other columns of
+the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -293,14 +296,19 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish, schema: str, doc_i
         release()
 
     def join(batches):
+        merge, special = vocabulary(tokenizer).merger(), vocabulary(tokenizer).special
         split, known, (_, decompress) = vocabulary(tokenizer).splitter, _head(name, packed_head), _zstd(packed_head)
         get, width = known.__getitem__, "<u2" if len(_pieces(tokenizer)) <= 1 << 16 else "<u4"
         for batch in small(batches):
             ids = []
             for packed, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = [w for run in split.runs(decompress(packed).decode()) for w in run]
-                own = {int.from_bytes(x[:4], "little"): np.frombuffer(x, width, offset=4).astype("<u4").tobytes() for x in tail or ()}
-                rest = {w: own[i] for i, w in enumerate(sorted(set(words).difference(known)))} if own else {}
+                rare_words = sorted(set(words).difference(known))
+                if len(tail or ()) == len(rare_words):
+                    own = {int.from_bytes(x[:4], "little"): np.frombuffer(x, width, offset=4).astype("<u4").tobytes() for x in tail or ()}
+                    rest = {w: own[i] for i, w in enumerate(rare_words)}
+                else:
+                    rest = {w: _ids_bytes([special[w]] if w in special else merge(w.encode())) for w in rare_words}
                 known.update(rest)
                 ids.append(b"".join(map(get, words)))
                 for w in rest:

@@ -130,3 +130,11 @@ def test_packing_takes_any_id_and_repeated_rows(spark):
 
 def test_bpe_empty_table(spark):
     assert bpe.encode_documents(documents(spark, SF).limit(0), PATH, lambda ids: [pa.array([len(x) for x in ids], pa.int64())], "n long").count() == 0
+
+
+def test_documents_of_one_hash_are_encoded_all_the_same(spark, monkeypatch):
+    texts = ["alpha beta qqzx", "gamma wwyk rrtp", "qqzx only", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(bpe.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(df, PATH, lambda ids: [pa.array(ids, pa.binary())], "ids binary").collect()}
+    assert [np.frombuffer(got[i], "<u4").tolist() for i in range(5)] == [e for e, _ in reference([t or "" for t in texts])]
