@@ -35,6 +35,11 @@ def has(c, *tokens: str) -> Column:
     return out
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def points(condition: Column, n: int = 1) -> Column:
     return F.when(condition, F.lit(n)).otherwise(F.lit(0)).cast("long")
 

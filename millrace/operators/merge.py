@@ -17,29 +17,74 @@ def union_sources(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def first_of_each(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """The first row of each key: a partial aggregate finds its place, so that no hot key gathers its rows in one task."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    marked = df.withColumns({n: col(k) for n, k in zip(names, keys)} | {"_o": F.struct(*(col(o) for o in order))})
-    first = marked.groupBy(*names).agg(F.min_by(F.struct(*df.columns), "_o").alias("_row"))
+def _digest(keys: list) -> Column:
+    """A short key in place of long ones; a null part differs from every string."""
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), col(k).cast("string")), F.lit("")) for k in keys)))
+
+
+def first_of_each(df: DataFrame, keys: list, order: list, keep: list[str] | None = None) -> DataFrame:
+    """The first row of each key, its columns ``keep`` (all, if None).
+
+    A partial aggregate finds it, so that no hot key gathers its rows in one task; it holds a digest of the key and the
+    columns to keep, not the key itself.
+    """
+    marked = df.withColumns({"_k": _digest(keys), "_o": F.struct(*(col(o) for o in order))})
+    first = marked.groupBy("_k").agg(F.min_by(F.struct(*(keep or df.columns)), "_o").alias("_row"))
     return first.select("_row.*")
 
 
+def kept_of_sources(df: DataFrame, keys: list, source: str = "_source", rank: str = "_rank") -> DataFrame:
+    """Each source's rows (n) and how many keys it is the first source of (kept)."""
+    counts = df.groupBy(_digest(keys).alias("_k"), F.col(source).alias("s"), F.col(rank).alias("r")).agg(F.count("*").alias("n"))
+    kept = counts.groupBy("_k").agg(F.min_by("s", "r").alias("s")).groupBy("s").agg(F.count("*").alias("kept"))
+    total = counts.groupBy("s").agg(F.sum("n").alias("n"))
+    return total.join(kept, "s", "left").select(F.col("s").alias(source), "n", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
 def duplicate_flag(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """Adds is_duplicate: whether an earlier row has the key."""
-    window = Window.partitionBy(*map(col, keys)).orderBy(*map(col, order))
-    return df.withColumn("is_duplicate", F.row_number().over(window) > 1)
+    """Adds is_duplicate: whether an earlier row has the key. The order must tell rows apart."""
+    marked = df.withColumns({"_k": _digest(keys), "_o": F.struct(*(col(o) for o in order))})
+    first = marked.groupBy("_k").agg(F.min("_o").alias("_first"))
+    return marked.join(first, "_k").withColumn("is_duplicate", F.col("_o") > F.col("_first")).select(*df.columns, "is_duplicate")
+
+
+def reject_duplicates(df: DataFrame, keys: list, order: list, issue: str, passed: str = "passed", issues: str = "all_issues") -> DataFrame:
+    """Rows of which an earlier one has the key no longer pass, and say why."""
+    flagged = duplicate_flag(df, keys, order)
+    more = F.when(F.col("is_duplicate"), F.concat(issues, F.array(F.lit(issue)))).otherwise(F.col(issues))
+    return flagged.withColumns({issues: more, passed: F.col(passed) & ~F.col("is_duplicate")})
+
+
+def _ranked(df: DataFrame, digest: Column, key: str, groups: list[str]) -> DataFrame:
+    """Adds _r, the rank by the digest within the groups, and _n, their size.
+
+    No task sees a whole group: rows are ranked within slices of the digest's first two digits, and the slices before,
+    256 of a group at most, lift the ranks.
+    """
+    df = df.withColumn("_h", digest).withColumn("_s", F.substring("_h", 1, 2))
+    slices = df.groupBy(*(F.col(g).alias(f"_group{i}") for i, g in enumerate(groups)), F.col("_s").alias("_t")).agg(F.count("*").alias("_c"))
+    own = Window.partitionBy(*(f"_group{i}" for i in range(len(groups))))
+    before = F.sum("_c").over(own.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.withColumns({"_before": F.coalesce(before, F.lit(0)), "_n": F.sum("_c").over(own)})
+    within = df.withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_s").orderBy("_h", key)))
+    same = within["_s"] == slices["_t"]
+    for i, g in enumerate(groups):
+        same = same & within[g].eqNullSafe(slices[f"_group{i}"])
+    return within.join(slices, same).withColumn("_r", F.col("_r") + F.col("_before")).select(*df.drop("_h", "_s").columns, "_r", "_n")
 
 
 def composite_key(instruction, *parts) -> Column:
     return F.concat_ws("|||", normalized(instruction), *(F.coalesce(col(p), F.lit("")) for p in parts))
 
 
-def stratified_split(df: DataFrame, key: str, category: str, seed: str = "42", test: float = 0.05, val: float = 0.10) -> DataFrame:
-    """key, category and split: whole groups, per category in the order of a seeded digest."""
-    groups = df.groupBy(key).agg(F.min(category).alias(category)) if category != key else df.select(key).distinct()
-    w = Window.partitionBy(category)
-    groups = groups.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key))})
+def stratified_split(df: DataFrame, key: str, category: str, seed: str = "42", test: float = 0.05, val: float = 0.10, order: str | None = None) -> DataFrame:
+    """key, category and split: whole groups, per category in the order of a seeded digest.
+
+    A group's category is that of its first row by ``order``, or the least where no order is given.
+    """
+    first = F.min_by(category, order) if order else F.min(category)
+    groups = df.groupBy(key).agg(first.alias(category)) if category != key else df.select(key).distinct()
+    groups = _ranked(groups, F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key, [category])
     n = F.col("_n")
     n_test = F.when(n >= 3, F.greatest(F.lit(1), F.bround(n * test))).otherwise(0)
     n_val = F.when(n >= 2, F.greatest(F.lit(1), F.bround(n * val))).otherwise(0)
@@ -48,23 +93,19 @@ def stratified_split(df: DataFrame, key: str, category: str, seed: str = "42", t
 
 
 def isolated_split(df: DataFrame, category: str, key: str, held_out: list[str], train_only: list[str], seed: str = "42", share: float = 0.8) -> DataFrame:
-    """Adds split: held-out categories to val, train-only ones to train, of others the first share by a seeded digest.
-
-    The digest's rank needs no window over all rows: rows are ranked within slices of its first two digits.
-    """
-    df = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))))
+    """Adds split: held-out categories to val, train-only ones to train, of each other one the first share by a seeded digest."""
     other = ~F.col(category).isin(held_out + train_only) | F.col(category).isNull()
-    slices = df.filter(other).groupBy(F.substring("_h", 1, 2).alias("_s")).agg(F.count("*").alias("_c"))
-    slices = slices.withColumns({
-        "_before": F.coalesce(F.sum("_c").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_all": F.sum("_c").over(Window.partitionBy(F.lit(0))),
-    })
-    rest = df.filter(other).withColumn("_s", F.substring("_h", 1, 2)).withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_h", key)))
-    # At most 256 slices.
-    rest = rest.join(F.broadcast(slices), "_s").withColumn("split", F.when(F.col("_r") + F.col("_before") <= F.floor(F.col("_all") * share), "train").otherwise("val"))
+    rest = _ranked(df.filter(other), F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key, [category])
+    rest = rest.withColumn("split", F.when(F.col("_r") <= F.floor(F.col("_n") * share), "train").otherwise("val"))
     fixed = df.filter(~other).withColumn("split", F.when(F.col(category).isin(held_out), "val").otherwise("train"))
-    names = [c for c in df.columns if c != "_h"]
-    return fixed.select(*names, "split").unionByName(rest.select(*names, "split"))
+    return fixed.select(*df.columns, "split").unionByName(rest.select(*df.columns, "split"))
+
+
+def fan_out(seeds: DataFrame, variants: DataFrame, key: str, order: str, instruction: str = "instruction", place: str = "place") -> DataFrame:
+    """Every seed with its own instruction, then every variant with its seed's other columns; _part and ``place`` order them."""
+    first = seeds.withColumns({"_part": F.lit(0), place: F.lit(0)})
+    more = variants.select(key, F.col(instruction).alias("_i"), place).join(seeds, key).withColumns({instruction: F.col("_i"), "_part": F.lit(1)})
+    return first.unionByName(more.drop("_i")).select("_part", order, place, *(c for c in seeds.columns if c != order))
 
 
 def leakage(df: DataFrame, train: DataFrame, key: Column) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, has, strip
 
 # Marks of an exhausted account.
-BALANCE_MARKS = ["insufficient", "balance", "quota", "arrears", "billing", "payment required", "402", "余额", "欠费", "额度"]
+BALANCE_MARKS = ["insufficient balance", "insufficient_quota", "insufficient funds", "payment required", "balance not enough", "余额不足", " 402", "(402", "status 402", "status_code=402"]
+#: What is cut off around a variant.
+QUOTES = "“”\"' "
 
 
 def work_list(items: DataFrame, item_key: str, variants: list[str]) -> DataFrame:
@@ -25,6 +29,8 @@ def shard(work: DataFrame, order: str, shards: int, index: int) -> DataFrame:
     """Every shards-th row in order, from index on, numbered after what was done is left out."""
     # Numbers without one task for all rows: ranks within ranges of the order, each lifted by the rows before it.
     spark, parts = work.sparkSession, int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The work is gone over several times, so it is worked out once.
+    work = work.persist()
     if work.isEmpty():
         return work
     cuts = sorted(set(work.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
@@ -42,8 +48,8 @@ def shard(work: DataFrame, order: str, shards: int, index: int) -> DataFrame:
 
 def clean_variants(answer, most: int = 10) -> Column:
     """The distinct usable lines of an answer, without numbering, bullets and quotes, at most ``most``."""
-    lines = F.transform(F.split(col(answer), "\n"), strip)
-    bare = F.transform(lines, lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\d+[.)、]\s*", ""), r"^[-•]\s*", ""), "^[\"'“”]+|[\"'“”]+$", "")))
+    lines = F.transform(F.split(col(answer), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)
+    bare = F.transform(lines, lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"^\d+[.)、]\s*", ""), r"^[-•]\s*", ""), F.lit(QUOTES)))
     return F.slice(F.array_distinct(F.filter(bare, lambda x: F.length(x) >= 2)), 1, most)
 
 
@@ -54,11 +60,9 @@ def clean_evolved(answer, least: int = 5) -> Column:
 
 
 def render(template: str, **values) -> Column:
-    """The template with {name} replaced."""
-    out = F.lit(template)
-    for k, v in values.items():
-        out = F.replace(out, F.lit("{" + k + "}"), F.coalesce(col(v), F.lit("")))
-    return out
+    """The template with {name} replaced, in one pass: what a value holds is not filled in again."""
+    parts = re.split("(" + "|".join(re.escape("{" + k + "}") for k in values) + ")", template) if values else [template]
+    return F.concat(*(F.coalesce(col(values[p[1:-1]]), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
 
 
 def error_class(message) -> Column:
@@ -66,30 +70,32 @@ def error_class(message) -> Column:
     return F.when(has(low, *BALANCE_MARKS), "balance").when(has(low, "429", "rate limit"), "rate_limit").otherwise("other")
 
 
-def latency_summary(df: DataFrame, ok: Column, limited: Column, seconds) -> DataFrame:
-    """Counts, extremes, mean and a recommended number of parallel calls."""
-    out = df.agg(
+def latency_summary(df: DataFrame, ok: Column, limited: Column, seconds, groups: tuple = (), calls: int = 15) -> DataFrame:
+    """Counts, extremes, mean and a recommended number of parallel calls of each test of ``calls`` calls.
+
+    All if every call succeeded and none was limited, 10 from 12 successes on, else 5.
+    """
+    out = df.groupBy(*groups).agg(
         F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.count_if(limited).alias("limited"),
         F.avg(F.when(ok, col(seconds))).alias("avg_s"), F.min(F.when(ok, col(seconds))).alias("min_s"), F.max(F.when(ok, col(seconds))).alias("max_s"),
     )
-    share = F.col("ok") / F.greatest(F.col("ok") + F.col("failed"), F.lit(1)) * 15
-    return out.withColumn("advice", F.when(share >= 15, "full").when(share >= 12, "reduced").otherwise("serial"))
+    return out.withColumn("advice", F.when((F.col("ok") == calls) & (F.col("limited") == 0), calls).when(F.col("ok") >= 12, 10).otherwise(5).cast("long"))
 
 
 def lookup_template(instruction, templates: list[tuple[str, str]], existing: set[str]) -> Column:
-    """The target of the first keyword in the text whose target exists; then the text itself, if it exists; else null."""
+    """The target of the first keyword in the text, as it is or in lower case, whose target exists; then the text itself, if it exists; else null."""
     out = None
     for word, target in templates:
         if target in existing:
-            hit = has(instruction, word)
+            hit = has(instruction, word) | has(F.lower(col(instruction)), word)
             out = F.when(hit, target) if out is None else out.when(hit, target)
     exact = F.when(col(instruction).isin(sorted(existing)), col(instruction))
     return exact if out is None else F.coalesce(out, exact)
 
 
 def enhance(instruction, rules: list[tuple[str, str]], generic: str, long: int = 25, short: int = 15) -> Column:
-    """A short instruction with the suffix of the first rule that matches and whose suffix is not yet there."""
-    text = col(instruction)
+    """A short instruction, stripped, with the suffix of the first rule that matches and whose suffix is not yet there."""
+    text = strip(instruction)
     out = F.when(F.length(text) > long, text)
     for pattern, suffix in rules:
         out = out.when(text.rlike(pattern) & ~F.contains(text, F.lit(suffix[:5])), F.concat(text, F.lit(suffix)))

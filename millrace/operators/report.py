@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import col
 
 
+RANGES = 64
+
+
 def score_buckets(df: DataFrame, score) -> DataFrame:
     low = F.floor(col(score) / 10) * 10
     return df.groupBy(F.concat_ws("-", low, low + 9).alias("bucket")).agg(F.count("*").alias("n"))
@@ -23,11 +26,18 @@ def top_issues(df: DataFrame, issues: str, order: str, n: int = 15) -> DataFrame
 def order_statistics(df: DataFrame, value, quantiles: dict[str, float]) -> DataFrame:
     """name, value: the element at index int(n*q) of the sorted values.
 
-    Counts of each value are summed within slices first, so that a single task sees distinct values, not rows.
+    Counts of each value are summed within ranges of values, RANGES at most, which the ranges before lift: no task sees
+    more than one range's distinct values.
     """
     counts = df.filter(col(value).isNotNull()).groupBy(col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("hi", upto).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
+    cuts = sorted(set(counts.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []))
+    ranged = counts.withColumn("s", sum((F.when(F.col("v") > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    sizes = ranged.groupBy(F.col("s").alias("t")).agg(F.sum("c").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # RANGES rows.
+    sizes = sizes.withColumns({"before": before, "n": F.sum("own").over(Window.partitionBy(F.lit(0)))})
+    upto = F.sum("c").over(Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.withColumn("hi", upto).join(F.broadcast(sizes), F.col("s") == F.col("t")).withColumn("hi", F.col("hi") + F.col("before"))
     wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(q).alias("q")) for k, q in quantiles.items())))
     at = F.floor(F.col("n") * F.col("w.q"))
     return ranked.select("v", "c", "hi", "n", wanted.alias("w")).filter((at < F.col("hi")) & (at >= F.col("hi") - F.col("c"))).select("w.name", F.col("v").alias("value"))
@@ -80,3 +90,45 @@ def best_of_n(df: DataFrame, group: str, attempt: str, score: str, mode: str, st
     return best.join(greedy, group, "left").select(
         group, F.when(fall, F.col("_greedy.s")).otherwise(F.col("_best.s")).alias("score"), F.when(fall, -F.col("_greedy.a")).otherwise(-F.col("_best.a")).alias("attempt"), fall.alias("fallback")
     )
+
+
+# The dimensions of the ten-point scorer, as reports name them.
+DIMENSION_LABELS = {
+    "html_structure": "HTML完整",
+    "no_markdown_wrap": "无MD包裹",
+    "viewport_meta": "Viewport",
+    "pocketvibe_style": "风格匹配",
+    "js_functional": "JS功能",
+    "no_external_dep": "无外部CDN",
+    "code_efficiency": "长度合理",
+    "chinese_ui": "中文界面",
+}
+# The greatest score of each dimension of the detailed scorer.
+DIMENSION_MOST = {"J_js": 30, "I_instruction": 25, "F_feature": 20, "C_css": 15, "S_structure": 10}
+
+
+def dimension_label(name) -> Column:
+    """A dimension's label, or its name if it has none."""
+    labels = F.create_map(*(F.lit(x) for pair in DIMENSION_LABELS.items() for x in pair))
+    return F.coalesce(F.element_at(labels, col(name)), col(name))
+
+
+def radar(df: DataFrame, versions: tuple[str, ...], id: str = "id") -> DataFrame:
+    """id, version, scores and shares of the greatest score: a row of the radar matrix, in the order of DIMENSION_MOST.
+
+    The columns of a version are its name, an underscore and the dimension.
+    """
+    rows = [F.struct(F.lit(v).alias("version"), F.array(*(F.col(f"{v}_{d}").cast("double") for d in DIMENSION_MOST)).alias("scores")) for v in versions]
+    out = df.select(id, F.explode(F.array(*rows)).alias("x")).select(id, "x.*")
+    most = F.array(*(F.lit(float(m)) for m in DIMENSION_MOST.values()))
+    return out.withColumn("shares", F.zip_with("scores", most, lambda s, m: s / m))
+
+
+def length_summary(df: DataFrame, parts: dict[str, Column], over: tuple[int, ...] = (2000, 3000, 4000, 5000)) -> DataFrame:
+    """For each named length one row: rows, shortest, longest, mean (whole), and how many are over each bound."""
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), v.cast("long").alias("n")) for k, v in parts.items())))
+    out = df.select(rows.alias("x")).select("x.*").groupBy("part")
+    return out.agg(
+        F.count("*").alias("rows"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.floor(F.sum("n") / F.count("n")).alias("mean"),
+        *(F.count_if(F.col("n") > k).alias(f"over_{k}") for k in over),
+    )

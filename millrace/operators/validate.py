@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import SCRIPT, extract
-from ..functions.text import col, has, hits, issues, points, strip
+from ..functions.text import col, has, hits, issues, once, points, strip
 
 # What the gates look for, and what they say.
 GATE_CDN = [r"cdn\.", r"unpkg\.com", r"jsdelivr", r"googleapis", r"cloudflare", r"bootstrapcdn", r"cdnjs\."]
@@ -19,8 +19,10 @@ JS_FUNCTION = r"function\s+\w+|=>\s*\{|const\s+\w+\s*=\s*\("
 
 def gate(html="html") -> Column:
     """OK, or the reason of the first check that fails."""
-    code, n = col(html), F.length(col(html))
-    low = strip(F.lower(code))
+    return once(strip(F.lower(col(html))), lambda low: _gate(low, F.length(col(html))))
+
+
+def _gate(low: Column, n: Column) -> Column:
     out = (
         F.when(~low.rlike(r"^\s*<!doctype\s+html"), "不以<!DOCTYPE html>开头")
         .when(~low.rlike(r"</html>\s*$"), "缺少</html>闭合标签")
@@ -41,7 +43,10 @@ def gate_stats(df: DataFrame, verdict="reason", category="category") -> DataFram
 
 
 def structure_issues(html="html") -> Column:
-    low = F.lower(strip(html))
+    return once(F.lower(strip(html)), _structure_issues)
+
+
+def _structure_issues(low: Column) -> Column:
     banned = F.lit(False)
     for p in BANNED:
         banned = banned | low.rlike(p)

@@ -28,6 +28,12 @@ def _sources(t):
     return M.union_sources([(f"part{k}", d.filter(rank == k)) for k in range(3)])
 
 
+def _tagged(t):
+    """The same rows, marked in one scan of the table that holds all sources."""
+    rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2)
+    return t("documents").select("doc_id", "text", "lang", "source", rank.alias("_rank"), F.concat(F.lit("part"), rank.cast("string")).alias("_source"))
+
+
 @query(f"{SOURCES} SELECT 'part' || rank AS part, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY 1")
 def merge_sources(t):
     return _sources(t).groupBy(F.col("_source").alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -35,7 +41,7 @@ def merge_sources(t):
 
 @query(f"{SOURCES} SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY {STRIP.format('text')} ORDER BY rank, doc_id) = 1")
 def dedupe_exact(t):
-    return M.first_of_each(_sources(t), [T.strip("text")], ["_rank", "doc_id"]).select("doc_id", "lang")
+    return M.first_of_each(_tagged(t), [T.strip("text")], ["_rank", "doc_id"], keep=["doc_id", "lang"])
 
 
 @query(f"SELECT doc_id, md5({NORM}) AS norm_md5, md5({NORM} || '|||' || coalesce(lang, '') || '|||' || coalesce(source, '')) AS key_md5 FROM documents")
@@ -45,10 +51,7 @@ def dedupe_keys(t):
 
 @query(f"{SOURCES}, k AS (SELECT *, row_number() OVER (PARTITION BY {NORM}, coalesce(lang, ''), coalesce(source, '') ORDER BY rank, doc_id) AS r FROM s) SELECT 'part' || rank AS part, count(*) AS n, count(*) FILTER (r = 1) AS kept FROM k GROUP BY 1")
 def dedupe_composite_stats(t):
-    s = _sources(t)
-    kept = M.first_of_each(s, [M.composite_key("text", "lang", "source")], ["_rank", "doc_id"]).groupBy("_source").agg(F.count("*").alias("kept"))
-    total = s.groupBy("_source").agg(F.count("*").alias("n"))
-    return total.join(kept, "_source", "left").select(F.col("_source").alias("part"), "n", F.coalesce("kept", F.lit(0)).alias("kept"))
+    return M.kept_of_sources(_tagged(t), [M.composite_key("text", "lang", "source")]).withColumnRenamed("_source", "part")
 
 
 CATEGORY = f"CASE WHEN source <> '' AND source NOT IN ('src0', 'src1') THEN source ELSE {first_match(RULES, 'lower(text)', 'other')} END"
@@ -85,14 +88,14 @@ def group_by_code(t):
     return t("pages").groupBy(T.code_hash("html").alias("code")).agg(F.count("*").alias("n"), F.min_by("url", "page_id").alias("first_url"))
 
 
-SPLIT = """WITH g AS (SELECT md5(text) AS h, min(lang) AS lang FROM documents GROUP BY 1),
+SPLIT = """WITH g AS (SELECT md5(text) AS h, arg_min_null(lang, doc_id) AS lang FROM documents GROUP BY 1),
 r AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5(h || '42'), h) AS r FROM g),
 x AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, round_even(0.05 * n, 0)) ELSE 0 END AS t, CASE WHEN n >= 2 THEN greatest(1, round_even(0.1 * n, 0)) ELSE 0 END AS v FROM r),
 s AS (SELECT h, lang, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'val' ELSE 'train' END AS split FROM x)"""
 
 
 def _split(t):
-    return M.stratified_split(t("documents").select(T.instruction_hash("text").alias("h"), "lang"), "h", "lang")
+    return M.stratified_split(t("documents").select(T.instruction_hash("text").alias("h"), "lang", "doc_id"), "h", "lang", order="doc_id")
 
 
 @query(f"{SPLIT} SELECT * FROM s")
@@ -117,18 +120,126 @@ def benchmark_leakage(t):
     return M.leakage(t("documents").select("text"), t("benchmark").select("text"), T.instruction_hash("text")).agg(F.count("*").alias("leaked"))
 
 
-@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '42'), doc_id) AS r, count(*) OVER () AS n FROM documents WHERE lang NOT IN ('es', 'fr', 'de') OR lang IS NULL)
+ISOLATED = """WITH o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '42'), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source NOT IN ('src3', 'src5', 'src8') OR source IS NULL),
+s AS (SELECT doc_id, source, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM o UNION ALL SELECT doc_id, source, CASE WHEN source = 'src3' THEN 'val' ELSE 'train' END FROM documents WHERE source IN ('src3', 'src5', 'src8'))"""
+
+
+def _isolated(t):
+    return M.isolated_split(t("documents").select("doc_id", "source"), "source", "doc_id", ["src3"], ["src5", "src8"])
+
+
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '42'), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang NOT IN ('es', 'fr', 'de') OR lang IS NULL)
 SELECT doc_id, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM o UNION ALL SELECT doc_id, CASE WHEN lang = 'es' THEN 'val' ELSE 'train' END FROM documents WHERE lang IN ('es', 'fr', 'de')""")
 def split_isolated(t):
     return M.isolated_split(t("documents").select("doc_id", "lang"), "lang", "doc_id", HELD_OUT, TRAIN_ONLY).select("doc_id", "split")
 
 
-@query("""WITH s AS (SELECT lang, CASE WHEN lang = 'es' THEN 'val' ELSE 'train' END AS split FROM documents WHERE lang IN ('es', 'fr', 'de'))
-SELECT count(*) AS total, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, round_even(count(*) FILTER (split = 'train') / count(*), 3) AS share FROM s""")
+@query(f"{ISOLATED} SELECT count(*) AS total, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, round_even(count(*) FILTER (split = 'train') / count(*), 3) AS share, 'src3' AS held_out_categories, 'src5,src8' AS train_categories FROM s")
 def split_isolated_report(t):
-    s = M.isolated_split(t("documents").filter(F.col("lang").isin(HELD_OUT + TRAIN_ONLY)).select("doc_id", "lang"), "lang", "doc_id", HELD_OUT, TRAIN_ONLY)
     train = F.count_if(F.col("split") == "train")
-    return s.agg(F.count("*").alias("total"), train.alias("train"), F.count_if(F.col("split") == "val").alias("val"), F.bround(train / F.count("*"), 3).alias("share"))
+    fixed = F.lit("src3").alias("held_out_categories"), F.lit("src5,src8").alias("train_categories")
+    return _isolated(t).agg(F.count("*").alias("total"), train.alias("train"), F.count_if(F.col("split") == "val").alias("val"), F.bround(train / F.count("*"), 3).alias("share"), *fixed)
+
+
+@query(f"{ISOLATED} SELECT split, source, count(*) AS n FROM s GROUP BY ALL")
+def split_isolated_categories(t):
+    return _isolated(t).groupBy("split", "source").agg(F.count("*").alias("n"))
+
+
+SIZES = f"{SPLIT}, d AS (SELECT md5(text) AS h FROM documents), j AS (SELECT s.split, s.lang, d.h FROM d JOIN s USING (h))"
+
+
+@query(f"{SIZES} SELECT count(*) AS total, count(DISTINCT h) AS groups, " + ", ".join(f"count(*) FILTER (split = '{x}') AS {x}, count(DISTINCT h) FILTER (split = '{x}') AS {x}_groups, printf('%.1f%%', count(*) FILTER (split = '{x}') / count(*) * 100) AS {x}_ratio" for x in ("train", "val", "test")) + ", 42 AS seed FROM j")
+def split_sizes(t):
+    j = t("documents").select(T.instruction_hash("text").alias("h")).groupBy("h").agg(F.count("*").alias("n")).join(_split(t), "h")
+    rows = lambda x: F.coalesce(F.sum(F.when(F.col("split") == x, F.col("n"))), F.lit(0))
+    total = F.sum("n")
+    parts = [c for x in ("train", "val", "test") for c in (rows(x).alias(x), F.count_if(F.col("split") == x).alias(f"{x}_groups"), F.format_string("%.1f%%", rows(x) / total * 100).alias(f"{x}_ratio"))]
+    return j.agg(total.alias("total"), F.count("*").alias("groups"), *parts, F.lit(42).alias("seed"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) >= 200 THEN 0 ELSE 1 END + CASE WHEN d THEN 1 ELSE 0 END AS n_issues, length(text) >= 200 AND NOT d AS passed, CASE WHEN d THEN '指令重复' END AS last_issue FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS d FROM documents)")
+def duplicate_issues(t):
+    short = F.length("text") < 200
+    d = t("documents").select("doc_id", "text", (~short).alias("passed"), F.when(short, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")).alias("all_issues"))
+    d = M.reject_duplicates(d, [T.instruction_hash("text")], ["doc_id"], "指令重复")
+    return d.select("doc_id", F.size("all_issues").alias("n_issues"), "passed", F.when(F.array_contains("all_issues", "指令重复"), F.element_at("all_issues", -1)).alias("last_issue"))
+
+
+# Items made by hand, one for each branch of the rules, with the category they must get.
+ITEMS = [
+    ("own", "multi", None, "随便", "multi"), ("none", "seed_multi_impl", None, "帮我做个秒表", "timer"), ("cross", "cross_category", "tracker_health", "秒表", "tracker"), ("unknown cross", "", "new_type", "秒表", "cross_category"),
+    ("empty cross", None, "", "做一个BMI工具", "calculator"), ("c3", "", None, "单位换算", "converter"), ("c4", "", None, "猜一猜", "game"), ("c5", "", None, "待办事项", "tracker"), ("c6", "", None, "血压表", "health"), ("c7", "", None, "今天吃什么", "lifestyle"),
+    ("c8", "", None, "GPA 工具", "education"), ("c9", "", None, "塔罗", "entertainment"), ("c10", "", None, "画板", "creative"), ("c11", "", None, "红包", "social"), ("c12", "", None, "复利", "finance"), ("c13", "", None, "宝宝", "parenting"),
+    ("c14", "", None, "课程表", "planner"), ("c15", "", None, "Markdown 编辑", "utility"), ("other", None, None, "没有", "other"), ("no text", None, None, None, "other"),
+]
+LEVELLED = [
+    ("倒计时", "计时器/秒表", "L1_简单"), ("掷骰子", "随机/骰子", "L1_简单"), ("百分比", "计算器", "L1_简单"), ("汇率", "换算工具", "L1_简单"), ("投票", "记分/投票", "L1_简单"), ("贪吃蛇", "猜数/游戏", "L3_挑战"), ("番茄", "番茄钟", "L2_中等"), ("打包", "待办/清单", "L2_中等"),
+    ("预算", "记账/理财", "L2_中等"), ("孕周", "日历/日期", "L2_中等"), ("做个markdown", "画板/创意", "L2_中等"), ("喝水", "记录/日记", "L2_中等"), ("白噪音", "音频/节拍", "L3_挑战"), ("视力", "打字/测试", "L3_挑战"), ("gpa", "教育/学习", "L2_中等"), ("aa", "生活工具", "L2_中等"),
+    ("塔罗", "社交/娱乐", "L2_中等"), ("宝宝", "育儿", "L2_中等"), ("座位", "团建/分组", "L2_中等"), ("没有", "其他", "L1_简单"), ("TIMER", "计时器/秒表", "L1_简单"),
+]
+
+
+def _values(rows, names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else q(x) for x in r) + ")" for r in rows) + f") v({names})"
+
+
+def _relation(t, rows, names: list[str]):
+    """Rows given in the code as a frame."""
+    return t("region").sparkSession.createDataFrame(rows, ", ".join(f"{x} string" for x in names))
+
+
+@query(_values([(r[0], r[4]) for r in ITEMS], "name, category"))
+def item_categories(t):
+    from ..functions.rules import item_category
+
+    items = _relation(t, [r[:4] for r in ITEMS], ["name", "own", "cross_type", "instruction"])
+    return items.select("name", item_category("own", "cross_type", "instruction").alias("category"))
+
+
+@query(_values(LEVELLED, "instruction, category, level"))
+def instruction_levels(t):
+    from ..functions.rules import category_level, split_category
+
+    c = _relation(t, [r[:1] for r in LEVELLED], ["instruction"]).withColumn("category", split_category("instruction"))
+    return c.withColumn("level", category_level("category"))
+
+
+LABELS = [("html_structure", "HTML完整"), ("chinese_ui", "中文界面"), ("js_functional", "JS功能"), ("something", "something")]
+
+
+@query(_values(LABELS, "dimension, label"))
+def dimension_labels(t):
+    return _relation(t, [r[:1] for r in LABELS], ["dimension"]).withColumn("label", R.dimension_label("dimension"))
+
+
+@query("SELECT 0 AS part, page_id, 0 AS place, url AS instruction FROM pages UNION ALL SELECT 1, page_id, i, url || '?' || i FROM pages, (VALUES (1), (2)) v(i)")
+def plan_fan_out(t):
+    seeds = t("pages").select("page_id", F.col("url").alias("instruction"), "html")
+    more = t("pages").select("page_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("place"), "url")
+    more = more.select("page_id", "place", F.concat("url", F.lit("?"), F.col("place").cast("string")).alias("instruction"))
+    return M.fan_out(seeds, more, "page_id", "page_id").select(F.col("_part").alias("part"), "page_id", "place", "instruction")
+
+
+@query("""WITH c AS (SELECT conv_id, max(length(text)) FILTER (role = 'assistant' AND turn = last) AS reply, sum(length(text)) AS total FROM (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations) x GROUP BY 1),
+u AS (SELECT 'assistant' AS part, reply AS n FROM c UNION ALL SELECT 'total', total FROM c)
+SELECT part, count(*) AS rows, min(n)::BIGINT AS shortest, max(n)::BIGINT AS longest, CAST(sum(n) // count(n) AS BIGINT) AS mean, count(*) FILTER (n > 2000) AS over_2000, count(*) FILTER (n > 3000) AS over_3000, count(*) FILTER (n > 4000) AS over_4000, count(*) FILTER (n > 5000) AS over_5000 FROM u GROUP BY 1""")
+def conversation_lengths(t):
+    reply = F.max_by(F.when(F.col("role") == "assistant", F.length("text")), F.when(F.col("role") == "assistant", F.col("turn")))
+    c = t("conversations").groupBy("conv_id").agg(reply.alias("reply"), F.sum(F.length("text")).alias("total"))
+    return R.length_summary(c, {"assistant": F.col("reply"), "total": F.col("total")})
+
+
+@query(None)
+def token_length_filter(t):
+    """Conversations of at most 256 tokens; tested against the tokenizers library."""
+    from ..operators import tokens
+
+    import public_tokenizers
+
+    c = readers.conversations(t("conversations")).select("conv_id", readers.render_chat().alias("text"))
+    counted = tokens.token_lengths(c, "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.within(counted, 256).select("conv_id", "n_tokens")
 
 
 @query("SELECT min(length(text)) AS shortest, max(length(text)) AS longest, CAST(sum(length(text)) // count(*) AS BIGINT) AS mean, count(*) FILTER (length(text) > 2000) AS over_2000, count(*) FILTER (length(text) > 3000) AS over_3000, count(*) FILTER (length(text) > 5000) AS over_5000, count(*) FILTER ((length(text) + 250) / 2.5 > 1024) AS tokens_over_1024, CAST(count(*) FILTER ((length(text) + 250) / 2.5 > 1024) * 100 // count(*) AS BIGINT) AS percent_over_1024, count(*) FILTER ((length(text) + 250) / 2.5 > 2048) AS tokens_over_2048 FROM documents")
@@ -216,9 +327,10 @@ def round_summary(t):
     return d.groupBy("lang").pivot("version", ["v1", "v2"]).agg(F.avg("quality"))
 
 
-@query("SELECT count(*) FILTER (value >= 0) AS ok, count(*) FILTER (NOT value >= 0) AS failed, count(*) FILTER (event_type = 'click') AS limited, avg(value) FILTER (value >= 0) AS avg_s, min(value) FILTER (value >= 0) AS min_s, max(value) FILTER (value >= 0) AS max_s, CASE WHEN count(*) FILTER (value >= 0) / greatest(count(*) FILTER (value IS NOT NULL), 1) * 15 >= 15 THEN 'full' WHEN count(*) FILTER (value >= 0) / greatest(count(*) FILTER (value IS NOT NULL), 1) * 15 >= 12 THEN 'reduced' ELSE 'serial' END AS advice FROM events")
+@query("WITH e AS (SELECT event_id // 15 AS test, value >= 20 AS good, event_type = 'purchase' AND value < 30 AS capped, value FROM events), a AS (SELECT test, count(*) FILTER (good) AS ok, count(*) FILTER (NOT good) AS failed, count(*) FILTER (capped) AS limited, avg(value) FILTER (good) AS avg_s, min(value) FILTER (good) AS min_s, max(value) FILTER (good) AS max_s FROM e GROUP BY 1) SELECT *, CAST(CASE WHEN ok = 15 AND limited = 0 THEN 15 WHEN ok >= 12 THEN 10 ELSE 5 END AS BIGINT) AS advice FROM a")
 def latency_report(t):
-    return P.latency_summary(t("events"), F.col("value") >= 0, F.col("event_type") == "click", "value")
+    e = t("events").withColumn("test", F.floor(F.col("event_id") / 15))
+    return P.latency_summary(e, F.col("value") >= 20, (F.col("event_type") == "purchase") & (F.col("value") < 30), "value", ("test",))
 
 
 @query("SELECT event_type, count(*) AS n, count(*) / (date_diff('second', min(ts), max(ts)) + 1) AS rate FROM events GROUP BY 1".replace("date_diff('second', min(ts), max(ts))", "(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))))"))
@@ -247,7 +359,7 @@ def plan_shard(t):
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split({ANSWER}, chr(10))) AS x, generate_subscripts(string_split({ANSWER}, chr(10)), 1) AS i FROM documents),
-c AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^\d+[.)、]\s*', ''), '^[-•]\s*', ''), '^["''“”]+|["''“”]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS v FROM l),
+c AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^\d+[.)、]\s*', ''), '^[-•]\s*', ''), '“”"'' ') AS v FROM l),
 f AS (SELECT doc_id, v, min(i) AS i FROM c WHERE length(v) >= 2 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
 SELECT doc_id, count(*) AS n, md5(string_agg(v, '|' ORDER BY i)) AS digest FROM r WHERE r <= 10 GROUP BY 1""")
 def plan_variants(t):
@@ -256,7 +368,19 @@ def plan_variants(t):
     return got.select("doc_id", F.size("v").cast("long").alias("n"), F.md5(F.array_join("v", "|")).alias("digest"))
 
 
-@query("SELECT user_id, CASE WHEN regexp_matches(lower(props), 'insufficient|balance|quota|arrears|billing|payment required|402|余额|欠费|额度') THEN 'balance' WHEN regexp_matches(lower(props), '429|rate limit') THEN 'rate_limit' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+# Messages made by hand, one for each branch, with the class they must get.
+MESSAGES = [
+    ("Error: Insufficient Balance", "balance"), ("code insufficient_quota", "balance"), ("insufficient funds", "balance"), ("Payment Required", "balance"), ("balance not enough", "balance"), ("余额不足", "balance"), ("HTTP 402", "balance"), ("failed (402)", "balance"),
+    ("status 402", "balance"), ("status_code=402", "balance"), ("load balancer at port:4021 unavailable", "other"), ("port 4021", "balance"), ("your balance is fine", "other"), ("429 too many", "rate_limit"), ("Rate limit hit", "rate_limit"), ("timeout", "other"),
+]
+
+
+@query(_values(MESSAGES, "message, kind"))
+def error_messages(t):
+    return _relation(t, [m[:1] for m in MESSAGES], ["message"]).withColumn("kind", P.error_class("message"))
+
+
+@query("SELECT user_id, CASE WHEN regexp_matches(lower(props), 'insufficient balance|insufficient_quota|insufficient funds|payment required|balance not enough|余额不足| 402|\\(402|status 402|status_code=402') THEN 'balance' WHEN regexp_matches(lower(props), '429|rate limit') THEN 'rate_limit' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def error_classes(t):
     return t("events").groupBy("user_id", P.error_class(F.coalesce("props", F.lit(""))).alias("kind")).agg(F.count("*").alias("n"))
 
@@ -265,7 +389,7 @@ TEMPLATES = [("license", "licensed"), ("Apache", "missing"), ("the ", "english")
 SUFFIXES = [(r"[13579]$", ", without oddity"), (r"[0-4]", ", low digits")]
 
 
-@query(f"SELECT doc_id, CASE WHEN contains(text, 'license') THEN 'licensed' WHEN contains(text, 'the ') THEN 'english' WHEN contains(text, 'une ') THEN 'french' END AS template, CASE WHEN {any_of(['license', 'the ', 'une '], 'text')} THEN 'golden_template' ELSE 'model' END AS origin FROM documents")
+@query(f"SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'licensed' WHEN contains(lower(text), 'the ') THEN 'english' WHEN contains(lower(text), 'une ') THEN 'french' END AS template, CASE WHEN {any_of(['license', 'the ', 'une '], 'lower(text)')} THEN 'golden_template' ELSE 'model' END AS origin FROM documents")
 def serve_lookup(t):
     found = P.lookup_template("text", TEMPLATES, {"licensed", "english", "french"})
     return t("documents").select("doc_id", found.alias("template"), F.when(found.isNotNull(), "golden_template").otherwise("model").alias("origin"))

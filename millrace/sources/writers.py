@@ -11,12 +11,18 @@ def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def routed(df: DataFrame, passed: str, kept: str, rejected: str) -> None:
-    """Both outputs of a verdict in one pass over df: one write, partitioned by the verdict, read twice."""
-    staged = kept.rstrip("/") + "_routed"
-    df.write.mode("overwrite").partitionBy(passed).parquet(staged)
-    back = df.sparkSession.read.schema(df.schema).parquet(staged)
+    """Both outputs of a verdict in one pass over df: one write, partitioned by the verdict, read twice, then removed.
+
+    A null verdict is a rejection.
+    """
+    staged, spark = kept.rstrip("/") + "_routed", df.sparkSession
+    verdict = df.withColumn(passed, F.coalesce(passed, F.lit(False)))
+    verdict.write.mode("overwrite").partitionBy(passed).parquet(staged)
+    back = spark.read.schema(verdict.schema).parquet(staged)
     jsonl(back.filter(F.col(passed)).drop(passed), kept)
     jsonl(back.filter(~F.col(passed)).drop(passed), rejected)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def csv(df: DataFrame, path: str, bom: bool = True) -> None:

@@ -108,3 +108,48 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     gate.run_available(gate.gated(gate.first_seen(stream, "html", "ts")), str(tmp_path / "out"), str(tmp_path / "check"))
     assert sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["OK", "不以<!DOCTYPE html>开头"]
+
+
+def test_rules_of_the_reference_by_hand(spark):
+    assert one(spark, P.render("{x}-{y}", x="a", y="b"), a="{y}", b="v") == "{y}-v"
+    assert one(spark, P.clean_variants("a"), a="1. \"' one thing '”\r\n• two\x0bthree x") == ["one thing", "two", "three x"]
+    assert one(spark, P.lookup_template("a", [("bmi", "there")], {"there"}), a="做BMI") == "there" and one(spark, P.lookup_template("a", [("BMI", "there")], {"there"}), a="做bmi") is None
+    assert one(spark, P.enhance("a", [("b$", "+suffix")], "！"), a="  ab \n") == "ab+suffix" and one(spark, P.enhance("a", [], "！"), a=" " * 30 + "x") == "x！"
+    calls = lambda ok, limited: [(i, float(i < ok), i < limited) for i in range(15)]
+    for ok, limited, want in ((15, 0, 15), (15, 1, 10), (12, 0, 10), (11, 0, 5)):
+        df = spark.createDataFrame(calls(ok, limited), "i int, v double, l boolean")
+        assert P.latency_summary(df, F.col("v") > 0, F.col("l"), "v").first()["advice"] == want
+
+
+def test_split_by_first_item_and_each_unknown_category(spark):
+    df = spark.createDataFrame([("k", "b", 1), ("k", "a", 2), ("m", None, 1), ("m", "a", 2)], "k string, c string, o int")
+    assert {(r["k"], r["c"]) for r in M.stratified_split(df, "k", "c", order="o").collect()} == {("k", "b"), ("m", None)}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(["x"] * 10 + ["y"] * 7 + [None] * 5 + ["h"] * 3 + ["t"] * 2)], "i int, c string")
+    got = {(r["c"], r["split"]): r["count"] for r in M.isolated_split(df, "c", "i", ["h"], ["t"]).groupBy("c", "split").count().collect()}
+    assert got == {("x", "train"): 8, ("x", "val"): 2, ("y", "train"): 5, ("y", "val"): 2, (None, "train"): 4, (None, "val"): 1, ("h", "val"): 3, ("t", "train"): 2}
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("s", 15, 25, 10, 15, 5, 30, 0, 20, 3, 10)], "id string, " + ", ".join(f"{v}_{d} int" for v in ("v1", "v2") for d in R.DIMENSION_MOST))
+    got = R.radar(df, ("v1", "v2")).orderBy("version").collect()
+    assert got[0]["shares"] == [0.5, 1.0, 0.5, 1.0, 0.5] and got[1]["scores"] == [30, 0, 20, 3, 10]
+    flagged = M.reject_duplicates(spark.createDataFrame([(1, "a", True, []), (2, "a", True, ["x"]), (3, None, True, [])], "i int, t string, passed boolean, all_issues array<string>"), ["t"], ["i"], "dup")
+    assert [(r["passed"], r["all_issues"]) for r in flagged.orderBy("i").collect()] == [(True, []), (False, ["x", "dup"]), (True, [])]
+    wide = R.order_statistics(spark.range(5000).selectExpr("cast(id * 0.5 as double) v"), "v", {"a": 0.5, "b": 0.999})
+    assert {r["name"]: r["value"] for r in wide.collect()} == {"a": 1250.0, "b": 2497.5}
+
+
+def test_token_lengths(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.operators import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", None, "some words here", "<|im_start|>user\n变量 😀<|im_end|>", "x " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    t = Tokenizer.from_file(path)
+    want = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    counted = tokens.token_lengths(df, "text", path)
+    assert [r["n_tokens"] for r in counted.orderBy("i").collect()] == want
+    assert tokens.within(counted, 100).count() == sum(n <= 100 for n in want)

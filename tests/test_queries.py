@@ -24,7 +24,7 @@ def norm(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)

@@ -24,6 +24,9 @@ def test_readers(spark, tmp_path):
 
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "做", True), (2, "b", False)], "i int, t string, ok boolean")
+    unsure = df.withColumn("ok", F.when(F.col("i") == 1, F.lit(True)))
+    writers.routed(unsure, "ok", str(tmp_path / "sure"), str(tmp_path / "unsure"))
+    assert spark.read.json(str(tmp_path / "unsure")).count() == 1 and not (tmp_path / "sure_routed").exists()
     writers.routed(df, "ok", str(tmp_path / "kept"), str(tmp_path / "rejected"))
     assert [r["i"] for r in spark.read.json(str(tmp_path / "kept")).collect()] == [1] and [r["i"] for r in spark.read.json(str(tmp_path / "rejected")).collect()] == [2]
     writers.jsonl(df, str(tmp_path / "kept"), append=True)
