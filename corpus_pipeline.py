@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, packing, passages, secrets, simhash
-from millrace.llm.common import materialize
+from millrace.llm.common import hold_batches, materialize
 
 #: A document's language is rejected below this share of its words.
 LEAST_SCORE = 0.3
@@ -22,6 +22,7 @@ LEAST_LEFT = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language; fills in a language that is null."""
+    hold_batches(spark)
     field = langid.fit(langid.training_rows(docs))
     got = langid.identify(docs, field, lang_pred="_millrace_lang", score="_millrace_score")
     got = got.filter((F.col("_millrace_lang") != "und") & (F.col("_millrace_score") >= LEAST_SCORE))
@@ -30,11 +31,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group at Jaccard 0.8 or more in five-word shingles; of repeated rows, one."""
+    hold_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages but for their first occurrence; drops documents that held little else."""
+    hold_batches(spark)
     held = docs.withColumn("_millrace_n", F.length("text").cast("long"))
     cut = passages.without(held, passages.repeated(docs))
     left = F.length("text").cast("long")
@@ -43,12 +46,14 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of each secret."""
+    hold_batches(spark)
     clean = secrets.redact(docs, secrets.scan(docs, secrets.train(spark)))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences."""
+    hold_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -79,8 +79,16 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table documents. Texts can be long, so Arrow batches are held to 1000 rows from here on."""
+def hold_batches(spark: SparkSession) -> None:
+    """Texts can be long, so Arrow batches of this session are held to 1000 rows from here on.
+
+    The setting is read when a query runs, so it cannot be put back before; it changes no result.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents."""
+    hold_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

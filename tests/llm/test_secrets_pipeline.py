@@ -143,3 +143,77 @@ def test_scan_against_brute_force(spark):
             assert abs(model.predictProbability(Vectors.dense(f))[1] - x["probability"]) < 1e-9 and x["is_secret"] == (x["probability"] >= secrets.THRESHOLD)
             checked += 1
     assert checked == len(found) > 0
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on the rows that the stage before it kept, held against plain loops over them."""
+    import re
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from millrace.llm import bpe
+
+    r = random.Random(12)
+    base = documents(spark, "/root/testdata/sf0.01").filter("lang = 'en'").orderBy("doc_id").select("text").limit(40).collect()
+    vocabulary = sorted({w for x in base for w in re.findall(r"[a-z]+", x["text"].lower())})
+    line = lambda n: " ".join(r.choices(vocabulary, k=n))
+    texts = ["\n".join(line(r.randint(20, 60)) for _ in range(5)) for _ in range(30)]
+    passage, key = line(70), "AKIA" + "Q7PLM2ZX9TRW4VNB"
+    rows = list(enumerate(texts))
+    rows += [(100 + i, t) for i, t in enumerate(texts[:4])]  # exact copies
+    for i, t in enumerate(texts[4:10]):  # near copies
+        words = t.split(" ")
+        words[len(words) // 2] = "altogether"
+        rows.append((200 + i, " ".join(words)))
+    rows += [(300 + i, line(40) + "\n" + passage + "\n" + line(40)) for i in range(3)]
+    rows += [(400, line(50) + f" {key} " + line(30)), (500, "12 34 !"), (501, None), (502, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
+    stage = dict(corpus_pipeline.STAGES)
+    after = lambda name, docs: materialize(stage[name](spark, docs, SF), name)
+    texts_of = lambda docs: {x["doc_id"]: x["text"] for x in docs.collect()}
+
+    one = after("language_id", df)
+    assert texts_of(one) == {i: t for i, t in rows if i < 500}
+
+    two = after("simhash_dedup", one)
+    words = {i: re.sub(r"[^\w\s]|_", "", t.lower()).split() for i, t in texts_of(one).items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert texts_of(two) == {i: t for i, t in texts_of(one).items() if find(i) == i} and len(texts_of(two)) == 34
+
+    three = after("substring_dedup", two)
+    have, before = texts_of(three), texts_of(two)
+    assert {i for i in before if have[i] != before[i]} == {301, 302}
+    assert all(have[i] == before[i].replace(passage + "\n", "") for i in (301, 302)) and passage in have[300]
+
+    four = after("secret_scan", three)
+    assert texts_of(four) == {i: t.replace(key, "[SECRET]") for i, t in have.items()}
+
+    t = Tokenizer.from_file(bpe.default_tokenizer())
+    pieces, offsets = {}, {}
+    for x in stage["packing"](spark, four, SF).collect():
+        pieces.setdefault(x["doc_id"], []).append((x["start"], x["length"], x["ids_crc32"]))
+        offsets.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for i, text in texts_of(four).items():
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for start, n, crc in sorted(pieces[i]):
+            assert start == at and crc == zlib.crc32(ids[at : at + n].tobytes())
+            at += n
+        assert at == len(ids)
+    for spans in offsets.values():
+        ends = np.cumsum([n for _, n in sorted(spans)])
+        assert [a for a, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] <= 2048
