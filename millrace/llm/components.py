@@ -8,36 +8,34 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MOST_ROUNDS = 60
-#: A node that holds more than a HUBS-th of all edge ends is joined apart; among fewer than FEW_EDGES edges none is.
-HUBS, FEW_EDGES = 1000, 20_000
+#: A key that holds more than a HUBS-th of all rows is joined apart; among fewer than FEW_EDGES rows none is.
+HUBS, FEW_EDGES = 1000, 5000
 
 
-def _with_least(rows: DataFrame, least: DataFrame, key: str, hubs: DataFrame | None) -> DataFrame:
-    """rows with w and m of their key's row in ``least``; those of hubs by a broadcast of the hubs, HUBS rows at most."""
-    if hubs is None:
-        return rows.join(least, F.col(key) == F.col("w"))
+def joined_apart(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with their key's row in ``table``: w (the key), n (its rows) and others.
+
+    Rows of hubs, keys of more than a HUBS-th of all ``total`` rows, are joined by a broadcast of the hubs, which are HUBS
+    at most; so no task gathers a hub's rows. Of few rows in all none are set apart.
+    """
+    if total < FEW_EDGES:
+        return rows.join(table, F.col(key) == F.col("w"))
+    hubs = materialize(table.filter(F.col("n") > total / HUBS), "hubs")
     few = F.broadcast(hubs)
     rest = rows.join(F.broadcast(hubs.select(F.col("w").alias("hub"))), F.col(key) == F.col("hub"), "left_anti")
-    return rows.join(few, F.col(key) == F.col("w")).unionByName(rest.join(least, F.col(key) == F.col("w")))
-
-
-def _hubs(least: DataFrame, edges: int) -> DataFrame | None:
-    """The nodes with more than one edge end in HUBS, so HUBS of them at most; none are set apart among few edges."""
-    if edges < FEW_EDGES:
-        return None
-    return materialize(least.filter(F.col("n") > 2 * edges / HUBS).select("w", "m"), "hubs")
+    return rows.join(few, F.col(key) == F.col("w")).unionByName(rest.join(table, F.col(key) == F.col("w")))
 
 
 def _large_star(e: DataFrame, edges: int) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
-    linked = _with_least(both.filter("v > u"), least.select("w", "m"), "u", _hubs(least, edges))
+    linked = joined_apart(both.filter("v > u"), least, "u", 2 * edges)
     return linked.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
 
 
 def _small_star(e: DataFrame, edges: int) -> DataFrame:
     least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("w"), "m", "n")
-    linked = _with_least(e, least.select("w", "m"), "a", _hubs(least, edges))
+    linked = joined_apart(e, least, "a", edges)
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").union(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct()
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, ship
+from .common import materialize, release, ship, use_cache
 from .components import components
 
 SHINGLE = 5
@@ -27,7 +27,7 @@ DEALT_MEMBERS = 256
 #: Members, and shingles of theirs, that are held at a time where a group is compared lot by lot.
 LOT, LOT_SHINGLES = 4096, 1 << 21
 #: Characters whose words are found at a time, and at most about which texts are taken together.
-CHUNK, GROUP = 1 << 18, 1 << 20
+CHUNK, GROUP = 1 << 18, 1 << 19
 #: Bits of the filter of wanted names: its size is the same whatever the corpus holds.
 FILTER_BITS = 1 << 26
 
@@ -147,7 +147,11 @@ def names_of(h: np.ndarray, at: np.ndarray, n: np.ndarray, level: int) -> tuple[
 
 
 def grouped(batches, text: int):
-    """Slices of Arrow batches, and their texts, of about GROUP characters (a longer text stands alone)."""
+    """Slices of Arrow batches, and their texts, of about GROUP characters (a longer text stands alone).
+
+    Nothing is remembered from text to text; what an earlier stage's tasks left remembered in this worker is dropped.
+    """
+    use_cache("none", dict)
     for batch in batches:
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64))
         at = 0

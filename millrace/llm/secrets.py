@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release, ship, small
+from .common import documents, release, ship, small, use_cache
 
 LABELLED = 3000
 TREES, DEPTH = 30, 8
@@ -203,6 +203,7 @@ def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", pat
     kind_of_id = dict(docs.dtypes)[doc_id]
 
     def run(batches):
+        use_cache("none", dict)
         for batch in small(batches):
             at, rows = [], []
             for i, (t, p) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, release, ship, small
-from .components import components
+from .components import components, joined_apart
 from .near import SHINGLE as FIVE
 from .near import exact_components, filter_of, firsts, grouped, mix, names_of, set_column, shingles_of, through, words_of
 
@@ -322,8 +322,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: i
     distinct = prints.groupBy("t").agg(*(F.min(w).alias(w) for w in words))
     rows = ship(distinct).mapInArrow(_word_balls, "k long, w long, t long, in_table boolean").repartition("k").sortWithinPartitions("k")
     loose = materialize(components(materialize(rows.mapInArrow(_loosely(most), "a long, b long"), "links")), "loose")
-    sizes = loose.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-    members = materialize(loose.join(sizes, "component").withColumnRenamed("component", "band"), "members")
+    sizes = loose.groupBy(F.col("component").alias("w")).agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    members = joined_apart(loose, sizes, "component", loose.count())
+    members = materialize(members.select("node", F.col("w").alias("band"), F.col("n").alias("size"), "first"), "members")
     sets = materialize(_shingle_sets(docs, members.select("node").distinct(), text), "sets")
     of = exact_components(members, sets)
     label = F.coalesce("component", "t").alias("group"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("group_g")
