@@ -8,42 +8,24 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MOST_ROUNDS = 60
-#: A key that holds more than a HUBS-th of all rows is joined apart; among fewer than FEW_EDGES rows none is.
-HUBS, FEW_EDGES = 1000, 5000
 
 
-def joined_apart(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """rows with their key's row in ``table``: w (the key), n (its rows) and others.
-
-    Rows of hubs, keys of more than a HUBS-th of all ``total`` rows, are joined by a broadcast of the hubs, which are HUBS
-    at most; so no task gathers a hub's rows. Of few rows in all none are set apart.
-    """
-    if total < FEW_EDGES:
-        return rows.join(table, F.col(key) == F.col("w"))
-    hubs = materialize(table.filter(F.col("n") > total / HUBS), "hubs")
-    few = F.broadcast(hubs)
-    rest = rows.join(F.broadcast(hubs.select(F.col("w").alias("hub"))), F.col(key) == F.col("hub"), "left_anti")
-    return rows.join(few, F.col(key) == F.col("w")).unionByName(rest.join(table, F.col(key) == F.col("w")))
-
-
-def _large_star(e: DataFrame, edges: int) -> DataFrame:
+def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
-    linked = joined_apart(both.filter("v > u"), least, "u", 2 * edges)
-    return linked.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
 
 
-def _small_star(e: DataFrame, edges: int) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("w"), "m", "n")
-    linked = joined_apart(e, least, "a", edges)
+def _small_star(e: DataFrame) -> DataFrame:
+    least = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("w"), "m")
+    linked = e.join(least, F.col("a") == F.col("w"))
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").union(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge (columns a, b: long); component is its least node.
 
-    Nulls and self-links are dropped; nodes without edges have no row; an empty table gives an empty result. A node of very many
-    edges, such as the first of a large group of copies, does not gather them in one task. Every round is written to the shared folder;
+    Nulls and self-links are dropped; nodes without edges have no row; an empty table gives an empty result. Every round is written to the shared folder;
     rounds end when a round changes nothing, which for n nodes takes O(log² n) of them at most.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -53,8 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
-        stars = _large_star(e, state[0])
-        e = materialize(_small_star(materialize(stars, "stars") if state[0] >= FEW_EDGES else stars, state[0]), "edges")
+        e = materialize(_small_star(_large_star(e)), "edges")
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

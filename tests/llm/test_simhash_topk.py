@@ -159,18 +159,3 @@ def test_blocks_give_the_same_lists(spark, monkeypatch):
     whole = sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 3 = 0")).collect()))
     monkeypatch.setattr(topk, "BLOCK", 7)
     assert len(whole) == 200 and sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 3 = 0")).collect())) == whole
-
-
-def test_components_of_hubs(spark, monkeypatch):
-    import random
-
-    from millrace.llm import components as module
-
-    r = random.Random(4)
-    edges = [(0, i) for i in range(1, 400)] + [(5000, i) for i in range(300, 700)] + [(10_000 + i, 10_001 + i) for i in range(50)] + [(r.randint(20_000, 20_200), r.randint(20_000, 20_200)) for _ in range(150)]
-    df = spark.createDataFrame(edges, "a long, b long")
-    plain = sorted(map(tuple, components(df).collect()))
-    monkeypatch.setattr(module, "FEW_EDGES", 1)
-    monkeypatch.setattr(module, "HUBS", 20)
-    assert sorted(map(tuple, components(df).collect())) == plain
-    assert dict(plain)[5000] == 0 and dict(plain)[10_050] == 10_000
