@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+#: The setting by which a command's shuffle files go when it ends, not when the driver happens to collect garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(df: DataFrame) -> DataFrame:
@@ -48,10 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write are removed once the table stands, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import near, passages
-from millrace.llm.common import documents
+from millrace.llm.common import FILE_CLEANUP, documents, materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -235,3 +235,11 @@ def test_edges(spark):
     assert left.columns == df.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 2, 2, 3, 4, 5]
     empty = df.limit(0)
     assert passages.without(empty, passages.repeated(empty)).count() == 0
+
+
+def test_a_written_table_leaves_no_setting_and_can_be_written_from_again(spark):
+    before = spark.conf.get(FILE_CLEANUP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n"))
+    first, second = materialize(df, "t"), materialize(df.join(df.withColumnRenamed("n", "m"), "k"), "t")
+    assert first.count() == second.count() == df.count() == 10
+    assert spark.conf.get(FILE_CLEANUP, None) == before
