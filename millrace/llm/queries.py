@@ -13,6 +13,8 @@ from .pii import op7_pii
 from .secrets import op5_secrets
 from .simhash import op6_simhash
 from .topk import op8_topk
+from .vectorcodes import op11_vector_codes
+from .vectorcodes import oracle_sql as vector_codes_sql
 
 QUERIES = {
     "op1_licenses": op1_licenses,
@@ -25,10 +27,12 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_bpe": op9_bpe,
     "op10_passages": op10_passages,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses_sql(),
+    "op11_vector_codes": vector_codes_sql(),
     "op8_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
