@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .idstore import op12_id_store
 from .langid import op2_language
 from .licenses import op1_licenses
 from .licenses import oracle_sql as licenses_sql
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_passages": op10_passages,
     "op11_vector_codes": op11_vector_codes,
+    "op12_id_store": op12_id_store,
 }
 
 ORACLE_SQL: dict[str, str] = {
