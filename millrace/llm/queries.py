@@ -10,6 +10,8 @@ from .licenses import oracle_sql as licenses_sql
 from .media import op4_media
 from .packing import op3_packing
 from .passages import op10_passages
+from .phrases import op13_phrases
+from .phrases import oracle_sql as phrases_sql
 from .pii import op7_pii
 from .secrets import op5_secrets
 from .simhash import op6_simhash
@@ -30,11 +32,13 @@ QUERIES = {
     "op10_passages": op10_passages,
     "op11_vector_codes": op11_vector_codes,
     "op12_id_store": op12_id_store,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses_sql(),
     "op11_vector_codes": vector_codes_sql(),
+    "op13_phrases": phrases_sql(),
     "op8_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
