@@ -11,10 +11,11 @@ those of its own links are the right parts, and the largest node that links to a
 Counts fall along extensions, so a phrase lies in some longer one of a given share if and only if it does in one that is a
 single word longer.
 
-Most paths of a corpus are rare, and writing them would cost more than the corpus. A first pass therefore counts words and
-pairs of words by hash, in 2**BITS counters that stop at LEAST; what falls on a counter below LEAST occurs less often than
-that, whatever else falls there, and neither it nor a longer path over it is written. The counters come to the driver as
-bits: 2**BITS / 8 bytes, whatever the corpus holds. They change no result.
+Most paths of a corpus are rare, and writing them would cost more than the corpus. A first pass therefore counts paths of
+all lengths by hash, in counters that stop at LEAST; what falls on a counter below LEAST occurs less often than that,
+whatever else falls there, and neither it nor a longer path over it is written. There is a counter for about eight bytes of
+text, 2**MOST_BITS of them at most. They come to the driver as bits: at most 2**MOST_BITS / 8 bytes, whatever the corpus
+holds. They change no result, only how much is written.
 
 Edge cases: null text counts as empty; a text without words adds nothing; null lang is ``und``, together with a language of
 that name; repeated rows count each; ties go by count, then by the phrase's bytes; texts are taken whole, however long; an
@@ -40,7 +41,7 @@ TOP = 2000
 SHARE = 80
 SCALE = 2_000_000
 SHARD_BYTES = 6 << 20
-BITS = 26
+LEAST_BITS, MOST_BITS = 20, 28
 BLOCK = 1 << 16
 #: Tasks' first lists of a language, before they are merged.
 SLICES = 64
@@ -70,15 +71,19 @@ class Shard:
         self._hash = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         self._lang_hash = np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in langs], np.uint64)
 
-    def places(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each place's counter as a word, whether a pair begins there, and the pair's counter."""
+    def paths(self, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each depth, whether a path of so many words begins at each place, and its counter."""
+        size, shift = len(self.code), np.uint64(64 - bits)
+        words, out = self._hash[self.code], []
         with np.errstate(over="ignore"):
-            one = _mix(self._hash[self.code] ^ self._lang_hash[self.lang])
-            after = np.concatenate([self._hash[self.code[1:]], np.zeros(min(1, len(one)), np.uint64)])
-            two = _mix(one * np.uint64(0x9E3779B97F4A7C15) + after)
-        pair = self.is_word & np.concatenate([self.is_word[1:], np.zeros(min(1, len(one)), bool)])
-        shift = np.uint64(64 - bits)
-        return (one >> shift).astype(np.int64), pair, (two >> shift).astype(np.int64)
+            h, goes = _mix(words ^ self._lang_hash[self.lang]), self.is_word
+            for d in range(DEPTH):
+                if d:
+                    after = min(d, size)
+                    h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([words[d:], np.zeros(after, np.uint64)]))
+                    goes = goes & np.concatenate([self.is_word[d:], np.zeros(after, bool)])
+                out.append((goes, (h >> shift).astype(np.int64)))
+        return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,14 +113,19 @@ def _own(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return ship(docs).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
 
 
-def counters(docs: DataFrame, least: int = LEAST, bits: int = BITS, text: str = "text", lang: str = "lang") -> np.ndarray:
-    """A bit for each counter, set where words and pairs of words come to ``least`` or more (at most 255)."""
+def counter_bits(docs: DataFrame, text: str = "text") -> int:
+    """The number of bits of a counter's place that suits the texts."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (size // 8).bit_length()))
+
+
+def counters(docs: DataFrame, bits: int, least: int = LEAST, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """A bit for each of 2**bits counters, set where paths come to ``least`` or more (at most 255)."""
     blocks = max(1, (1 << bits) // BLOCK)
 
     def count(batches):
         for shard in _shards(batches):
-            one, pair, two = shard.places(bits)
-            at, n = np.unique(np.concatenate([one[shard.is_word], two[pair]]), return_counts=True)
+            at, n = np.unique(np.concatenate([at[goes] for goes, at in shard.paths(bits)]), return_counts=True)
             block, inside = at // BLOCK, (at % BLOCK).astype("<u2")
             n = np.minimum(n, least).astype(np.uint8)
             ends = np.searchsorted(block, np.arange(blocks + 1))
@@ -144,31 +154,28 @@ def counters(docs: DataFrame, least: int = LEAST, bits: int = BITS, text: str =
     if least > 255:
         raise ValueError("counters stop at 255")
     sums = _own(docs, text, lang).mapInArrow(count, "block int, at binary, n binary").repartition("block").sortWithinPartitions("block")
-    out = np.zeros(blocks * BLOCK, bool)
+    out = np.zeros(blocks * BLOCK // 8, np.uint8)
     for r in sums.mapInArrow(add, "block int, set binary").toLocalIterator():
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.unpackbits(np.frombuffer(r["set"], np.uint8)).astype(bool)
-    return np.packbits(out)
+        out[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["set"], np.uint8)
+    return out
 
 
-def tries(docs: DataFrame, bits_set: np.ndarray | None, bits: int = BITS, text: str = "text", lang: str = "lang") -> DataFrame:
+def tries(docs: DataFrame, counted: np.ndarray, bits: int, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, w1 to w4 (null below a node's depth), n: the nodes of every shard's trie, sorted; the root has no word."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits_set)
+    sent = docs.sparkSession.sparkContext.broadcast(counted)
     names = ["lang", *WORDS, "n"]
 
     def run(batches):
         for shard in _shards(batches):
-            one, pair, two = shard.places(bits)
             code, size = shard.code, len(shard.code)
-            word = shard.is_word
-            root, n = np.unique(shard.lang[word], return_counts=True)
+            root, n = np.unique(shard.lang[shard.is_word], return_counts=True)
             # Columns of nodes: language, words by number (-1 for none), count.
             nodes = [np.column_stack([root, *[np.full(len(root), -1)] * DEPTH, n])]
-            if sent.value is not None:
-                word, pair = (mask & (sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) for mask, at in ((word, one), (pair, two)))
-            # A pair's words are frequent if it is; a longer path goes over frequent pairs only.
-            goes = [word, pair]
-            for d in range(2, DEPTH):
-                goes.append(goes[-1] & np.concatenate([pair[d - 1 :], np.zeros(min(d - 1, size), bool)]))
+            # A path goes on where the shorter one, and the one a word later, are frequent too.
+            goes = []
+            for mask, at in shard.paths(bits):
+                mask = mask & (sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+                goes.append(mask & goes[-1] & np.concatenate([goes[-1][1:], np.zeros(min(1, size), bool)]) if goes else mask)
             node = np.full(size, -1, np.int64)
             for d, mask in enumerate(goes):
                 at = np.flatnonzero(mask & (node >= 0)) if d else np.flatnonzero(mask)
@@ -247,12 +254,13 @@ def _score(a: str, l: Column, r: Column) -> Column:  # noqa: E741
     return F.call_function("div", whole, l.cast("decimal(20,0)") + r.cast("decimal(20,0)"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int = BITS, text: str = "text", lang: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first phrases of two to DEPTH words.
 
     A phrase of which a longer one makes up SHARE hundredths or more is left out.
     """
-    runs = materialize(tries(docs, counters(docs, least, bits, text, lang), bits, text, lang), "tries")
+    bits = bits or counter_bits(docs, text)
+    runs = materialize(tries(docs, counters(docs, bits, least, text, lang), bits, text, lang), "tries")
     nodes = materialize(walk(merged(runs, least)), "trie")
     by = lambda m: nodes.filter(F.col("m") == m)
     suffix = F.expr("substring(phrase, instr(phrase, ' ') + 1)")

@@ -70,9 +70,9 @@ def test_empty(spark):
 def test_counters_never_lose(spark):
     rows = [("p q " * 40 + f"only{i}", "en") for i in range(3)]
     df = spark.createDataFrame(rows, "text string, lang string")
-    bits = P.counters(df, 30, 18)
+    bits = P.counters(df, 18)
     shard = P.Shard([(0, rows[0][0].encode())], ["en"])
-    one, pair, two = shard.places(18)
+    (_, one), (pair, two) = shard.paths(18)[:2]
     on = lambda at: bits[at >> 3] >> (7 - (at & 7)) & 1
     held = [w for w, c in zip(shard.words, range(len(shard.words))) if w[:1] != b"\xff" and on(one[shard.code == c][0])]
     assert held == [b"p", b"q"] and on(two[pair][0])
