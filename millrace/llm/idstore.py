@@ -1,6 +1,7 @@
 """Token ids as raw binary shards, with a minimal perfect hash index from document keys to places in them.
 
-``write`` encodes every text once and deals the ids to shards by ranges of the documents' ids; each task writes a shard's
+``write`` encodes every text once (words that a worker has seen are not merged again; the ids are those of the tokenizers
+library) and deals the ids to shards by ranges of the documents' ids; each task writes a shard's
 ids, little-endian and without gaps, into one file. ``index`` deals the keys to index parts by a hash, and each task writes
 one part's minimal perfect hash: levels of bits, where a key that is alone at its place stays and the others go on to the
 next level. A key's slot is the number of set bits before its own; there the part keeps a fingerprint (32 bits of a second
@@ -22,7 +23,6 @@ folder without shards and no rows; columns besides doc_id and text are not looke
 from __future__ import annotations
 
 import json
-import os
 import struct
 import uuid
 import zlib
@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _ids_bytes, default_tokenizer, vocabulary
-from .common import documents, materialize, release, shared_dir, ship, small, use_cache
+from .common import documents, materialize, release, shared_dir, ship, small
+from .packing import _begin, encoder
 
 END_ID = 0
 #: Documents of a shard and keys of an index part, about.
@@ -45,46 +46,9 @@ SHARD_DOCS, PART_KEYS = 1 << 20, 1 << 20
 #: Ids of a payload that one group of reads covers.
 REGION = 1 << 22
 GAMMA, LEVELS = 2.0, 64
-CACHE_WORDS = 300_000
 MAGIC = b"MPHIDX01"
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
-_cache: dict[str, tuple] = {}
-
-
-def _begin() -> None:
-    use_cache("idstore", _cache.clear)
-
-
-def encoder(tokenizer: str):
-    """text -> ids as 32-bit bytes, by the tokenizers library; a worker encodes a word that it remembers once only."""
-    if tokenizer not in _cache:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.no_truncation()
-        t.no_padding()
-        _cache[tokenizer] = ({k: _ids_bytes([i]) for k, i in vocabulary(tokenizer).special.items()}, t)
-    known, library = _cache[tokenizer]
-    split = vocabulary(tokenizer).splitter
-
-    def encode(text: str) -> bytes:
-        parts = []
-        for words in split.runs(text):
-            try:
-                parts.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                got = dict(zip(new, (_ids_bytes(e.ids) for e in library.encode_batch_fast(new, add_special_tokens=False))))
-                parts.append(b"".join([known.get(w) or got[w] for w in words]))
-                if len(known) + len(got) <= CACHE_WORDS:
-                    known.update(got)
-        return b"".join(parts)
-
-    return encode
-
-
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
