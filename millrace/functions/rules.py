@@ -64,6 +64,9 @@ SPLIT_CATEGORIES = [
     ("育儿", ["宝宝", "儿童", "小朋友", "故事计时"]),
     ("团建/分组", ["分组", "座位", "红包分配", "团建"]),
 ]
+# The categories that are held out for validation, and those that only train.
+HELD_OUT_CATEGORIES = ["creative", "social", "finance", "parenting", "planner", "utility", "other", "cross_category"]
+TRAIN_ONLY_CATEGORIES = ["timer", "calculator", "converter", "game", "tracker", "health", "lifestyle", "education", "entertainment"]
 # The levels; a category in neither list is of the middle one, no category is simple.
 SIMPLE, MIDDLE, HARD = "L1_简单", "L2_中等", "L3_挑战"
 SIMPLE_CATEGORIES = ["计时器/秒表", "随机/骰子", "计算器", "换算工具", "记分/投票"]

@@ -18,8 +18,8 @@ def union_sources(sources: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def _digest(keys: list) -> Column:
-    """A short key in place of long ones; a null part differs from every string."""
-    return F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), col(k).cast("string")), F.lit("")) for k in keys)))
+    """A short key in place of long ones. Each part is digested by itself, so no part runs into the next; null differs from every string."""
+    return F.md5(F.concat(*(F.coalesce(F.md5(col(k).cast("string")), F.lit("-")) for k in keys)))
 
 
 def first_of_each(df: DataFrame, keys: list, order: list, keep: list[str] | None = None) -> DataFrame:
@@ -55,13 +55,18 @@ def reject_duplicates(df: DataFrame, keys: list, order: list, issue: str, passed
     return flagged.withColumns({issues: more, passed: F.col(passed) & ~F.col("is_duplicate")})
 
 
-def _ranked(df: DataFrame, digest: Column, key: str, groups: list[str]) -> DataFrame:
-    """Adds _r, the rank by the digest within the groups, and _n, their size.
+def _seeded(key: str, seed: str) -> Column:
+    """A digest of a key and a seed; null counts as empty."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)))
 
-    No task sees a whole group: rows are ranked within slices of the digest's first two digits, and the slices before,
-    256 of a group at most, lift the ranks.
+
+def _ranked(df: DataFrame, digest: Column, key: str, groups: list[str], digits: int = 2) -> DataFrame:
+    """Adds _r, the rank by the digest within the groups, and _n, their size. The digest is of every row, never null.
+
+    No task sees a whole group: rows are ranked within slices of the digest's first digits, and the slices before,
+    16**digits of a group at most, lift the ranks.
     """
-    df = df.withColumn("_h", digest).withColumn("_s", F.substring("_h", 1, 2))
+    df = df.withColumn("_h", digest).withColumn("_s", F.substring("_h", 1, digits))
     slices = df.groupBy(*(F.col(g).alias(f"_group{i}") for i, g in enumerate(groups)), F.col("_s").alias("_t")).agg(F.count("*").alias("_c"))
     own = Window.partitionBy(*(f"_group{i}" for i in range(len(groups))))
     before = F.sum("_c").over(own.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
@@ -73,6 +78,15 @@ def _ranked(df: DataFrame, digest: Column, key: str, groups: list[str]) -> DataF
     return within.join(slices, same).withColumn("_r", F.col("_r") + F.col("_before")).select(*df.drop("_h", "_s").columns, "_r", "_n")
 
 
+def permuted(df: DataFrame, key: str, seed: str = "42", position: str = "position") -> DataFrame:
+    """Adds the place of each row, from 0 and without gaps, in a seeded permutation: by a digest of the key, then by the key.
+
+    Ranks are taken within 65,536 slices of the digest, each lifted by the rows of the slices before it, so that no task
+    numbers all rows. Rows of equal key are neighbours; which of them comes first is open.
+    """
+    return _ranked(df, _seeded(key, seed), key, [], digits=4).withColumn(position, (F.col("_r") - 1).cast("long")).select(*df.columns, position)
+
+
 def composite_key(instruction, *parts) -> Column:
     return F.concat_ws("|||", normalized(instruction), *(F.coalesce(col(p), F.lit("")) for p in parts))
 
@@ -80,11 +94,12 @@ def composite_key(instruction, *parts) -> Column:
 def stratified_split(df: DataFrame, key: str, category: str, seed: str = "42", test: float = 0.05, val: float = 0.10, order: str | None = None) -> DataFrame:
     """key, category and split: whole groups, per category in the order of a seeded digest.
 
-    A group's category is that of its first row by ``order``, or the least where no order is given.
+    A group's category is that of its first row by ``order``, or the least where no order is given. Rows without a key
+    are one group, groups without a category one category.
     """
     first = F.min_by(category, order) if order else F.min(category)
     groups = df.groupBy(key).agg(first.alias(category)) if category != key else df.select(key).distinct()
-    groups = _ranked(groups, F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key, [category])
+    groups = _ranked(groups, _seeded(key, seed), key, [category])
     n = F.col("_n")
     n_test = F.when(n >= 3, F.greatest(F.lit(1), F.bround(n * test))).otherwise(0)
     n_val = F.when(n >= 2, F.greatest(F.lit(1), F.bround(n * val))).otherwise(0)
@@ -95,7 +110,7 @@ def stratified_split(df: DataFrame, key: str, category: str, seed: str = "42", t
 def isolated_split(df: DataFrame, category: str, key: str, held_out: list[str], train_only: list[str], seed: str = "42", share: float = 0.8) -> DataFrame:
     """Adds split: held-out categories to val, train-only ones to train, of each other one the first share by a seeded digest."""
     other = ~F.col(category).isin(held_out + train_only) | F.col(category).isNull()
-    rest = _ranked(df.filter(other), F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key, [category])
+    rest = _ranked(df.filter(other), _seeded(key, seed), key, [category])
     rest = rest.withColumn("split", F.when(F.col("_r") <= F.floor(F.col("_n") * share), "train").otherwise("val"))
     fixed = df.filter(~other).withColumn("split", F.when(F.col(category).isin(held_out), "val").otherwise("train"))
     return fixed.select(*df.columns, "split").unionByName(rest.select(*df.columns, "split"))

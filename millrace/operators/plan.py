@@ -20,30 +20,45 @@ def work_list(items: DataFrame, item_key: str, variants: list[str]) -> DataFrame
     return items.withColumn("variant", F.explode(F.array(*map(F.lit, variants)))).withColumn("_source_key", F.concat_ws("_", item_key, "variant"))
 
 
+def evolution_list(items: DataFrame, place: str, evolutions: list[str]) -> DataFrame:
+    """Every item as it is, keyed base_<place>, and with every evolution, keyed evol_<place>_<name>; _evol_type names it."""
+    kinds = F.explode(F.array(F.lit("base"), *map(F.lit, evolutions)))
+    at = F.col(place).cast("string")
+    key = F.when(F.col("_evol_type") == "base", F.concat(F.lit("base_"), at)).otherwise(F.concat_ws("_", F.lit("evol"), at, "_evol_type"))
+    return items.withColumn("_evol_type", kinds).withColumn("_source_key", key)
+
+
 def resume(work: DataFrame, done: DataFrame, key: str = "_source_key") -> DataFrame:
     """The work that is not done."""
     return work.join(done.select(key).distinct(), key, "left_anti")
 
 
 def shard(work: DataFrame, order: str, shards: int, index: int) -> DataFrame:
-    """Every shards-th row in order, from index on, numbered after what was done is left out."""
-    # Numbers without one task for all rows: ranks within ranges of the order, each lifted by the rows before it.
-    spark, parts = work.sparkSession, int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The work is gone over several times, so it is worked out once.
-    work = work.persist()
-    if work.isEmpty():
-        return work
+    """Every shards-th row in order, from index on, numbered after what was done is left out. Null orders come last.
+
+    Numbers without one task for all rows: ranks within ranges of the order, each lifted by the rows of the ranges before
+    it. One job finds the ranges' ends, a value for each of spark.sql.shuffle.partitions.
+    """
+    parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(work.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
-    slot = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    slot = F.when(F.col(order).isNull(), len(cuts) + 1).otherwise(sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
     work = work.withColumn("_slot", slot)
-    sizes = {r["_slot"]: r["n"] for r in work.groupBy("_slot").agg(F.count("*").alias("n")).collect()}
-    before, upto = [], 0
-    for s in range(len(cuts) + 1):
-        before.append((s, upto))
-        upto += sizes.get(s, 0)
-    starts = F.broadcast(spark.createDataFrame(before, "_slot int, _start long"))
-    ranked = work.withColumn("_r", F.row_number().over(Window.partitionBy("_slot").orderBy(order)) - 1).join(starts, "_slot")
-    return ranked.filter((F.col("_r") + F.col("_start")) % shards == index).drop("_slot", "_r", "_start")
+    before = F.sum("_own").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    # As many rows as ranges.
+    starts = work.groupBy(F.col("_slot").alias("_at")).agg(F.count("*").alias("_own")).select("_at", F.coalesce(before, F.lit(0)).alias("_start"))
+    ranked = work.withColumn("_r", F.row_number().over(Window.partitionBy("_slot").orderBy(order)) - 1).join(F.broadcast(starts), F.col("_slot") == F.col("_at"))
+    return ranked.filter((F.col("_r") + F.col("_start")) % shards == index).drop("_slot", "_at", "_own", "_r", "_start")
+
+
+def progress(df: DataFrame, ok: Column, seconds: Column, total: int, groups: tuple = ()) -> DataFrame:
+    """done, failed, rate (rows a second) and eta_s, the seconds that what is left of ``total`` takes at that rate; 0 where none is known.
+
+    ``seconds`` is the time that all rows of a group took, an aggregate.
+    """
+    out = df.groupBy(*groups).agg(F.count_if(ok).alias("done"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"), seconds.alias("_s"))
+    n = F.col("done") + F.col("failed")
+    out = out.withColumn("rate", F.when(F.col("_s") > 0, n / F.col("_s")).otherwise(F.lit(0.0)))
+    return out.withColumn("eta_s", F.when(F.col("rate") > 0, F.greatest(F.lit(total) - n, F.lit(0)) / F.col("rate")).otherwise(F.lit(0.0))).drop("_s")
 
 
 def clean_variants(answer, most: int = 10) -> Column:

@@ -17,9 +17,14 @@ EVENT_TOKENS = ["onclick", "oninput", "onchange", "addEventListener", "setInterv
 JS_FUNCTION = r"function\s+\w+|=>\s*\{|const\s+\w+\s*=\s*\("
 
 
+def _page(html) -> Column:
+    """A page's text; a null page is an empty one."""
+    return F.coalesce(col(html), F.lit(""))
+
+
 def gate(html="html") -> Column:
     """OK, or the reason of the first check that fails."""
-    return once(strip(F.lower(col(html))), lambda low: _gate(low, F.length(col(html))))
+    return once(strip(F.lower(_page(html))), lambda low: _gate(low, F.length(_page(html))))
 
 
 def _gate(low: Column, n: Column) -> Column:
@@ -43,7 +48,7 @@ def gate_stats(df: DataFrame, verdict="reason", category="category") -> DataFram
 
 
 def structure_issues(html="html") -> Column:
-    return once(F.lower(strip(html)), _structure_issues)
+    return once(F.lower(strip(_page(html))), _structure_issues)
 
 
 def _structure_issues(low: Column) -> Column:
@@ -68,8 +73,9 @@ def _largest(low: Column, pattern: str) -> Column:
 
 def layers(df: DataFrame, html: str = "html") -> DataFrame:
     """Adds the scores mobile, visual, logic, size and their issues (arrays named *_issues)."""
-    c, low = F.col(html), F.lower(html)
-    df = df.withColumns({"_low": low, "_js": extract(html, SCRIPT)})
+    df = df.withColumn("_html", _page(html))
+    html, c = "_html", F.col("_html")
+    df = df.withColumns({"_low": F.lower(html), "_js": extract(html, SCRIPT)})
     df = df.withColumns({
         "_pad": _largest(F.col("_low"), r"padding\s*:\s*(\d+)"), "_radius": _largest(F.col("_low"), r"border-radius\s*:\s*(\d+)"),
         "_cjk": F.regexp_count(c, F.lit(r"[\x{4e00}-\x{9fff}]")), "_resp": hits(*(has("_low", t) for t in RESPONSIVE)),
@@ -92,7 +98,7 @@ def layers(df: DataFrame, html: str = "html") -> DataFrame:
         "logic_issues": F.when(blank, F.array(F.lit("缺少JavaScript逻辑"))).otherwise(issues((F.col("_text") <= 50, "JS代码过短"), (~func, "缺少函数定义"), (dom == 1, "DOM交互偏少"), (dom == 0, "缺少DOM交互"), (~F.col("_event"), "缺少事件处理"))),
         "size_issues": issues((n < 300, num("代码过短(%d字符)", n)), ((n >= 300) & (n < 500), num("代码偏短(%d字符)", n)), (n > 8000, num("代码过长(%d字符)", n)), ((n > 5000) & (n <= 8000), num("代码偏长(%d字符)", n))),
     })
-    return df.drop("_low", "_js", "_pad", "_radius", "_cjk", "_resp", "_dom", "_event", "_n", "_text")
+    return df.drop("_html", "_low", "_js", "_pad", "_radius", "_cjk", "_resp", "_dom", "_event", "_n", "_text")
 
 
 def validate(df: DataFrame, html: str = "html", least: int = 60) -> DataFrame:
@@ -108,17 +114,18 @@ def validate(df: DataFrame, html: str = "html", least: int = 60) -> DataFrame:
 
 def triad(html="html") -> Column:
     """What a page lacks of doctype, closing tag and viewport."""
-    return issues((~has(F.upper(col(html)), "<!DOCTYPE"), "DOCTYPE"), (~has(F.upper(col(html)), "</HTML>"), "</html>"), (~has(html, "viewport"), "viewport"))
+    page = _page(html)
+    return issues((~has(F.upper(page), "<!DOCTYPE"), "DOCTYPE"), (~has(F.upper(page), "</HTML>"), "</html>"), (~has(page, "viewport"), "viewport"))
 
 
 def accept_strict(html="html") -> Column:
-    low = F.lower(col(html))
+    low = F.lower(_page(html))
     return has(low, "<!doctype html") & has(low, "</html>") & has(low, "viewport") & has(low, "<style") & has(low, "<script")
 
 
 def accept_loose(html="html") -> Column:
-    low = F.lower(col(html))
-    return has(low, "<!doctype html") & has(low, "</html>") & has(html, "viewport")
+    low = F.lower(_page(html))
+    return has(low, "<!doctype html") & has(low, "</html>") & has(_page(html), "viewport")
 
 
 def request_ok(instruction, temperature, max_tokens, top_p) -> Column:

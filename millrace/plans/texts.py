@@ -166,53 +166,6 @@ def duplicate_issues(t):
     return d.select("doc_id", F.size("all_issues").alias("n_issues"), "passed", F.when(F.array_contains("all_issues", "指令重复"), F.element_at("all_issues", -1)).alias("last_issue"))
 
 
-# Items made by hand, one for each branch of the rules, with the category they must get.
-ITEMS = [
-    ("own", "multi", None, "随便", "multi"), ("none", "seed_multi_impl", None, "帮我做个秒表", "timer"), ("cross", "cross_category", "tracker_health", "秒表", "tracker"), ("unknown cross", "", "new_type", "秒表", "cross_category"),
-    ("empty cross", None, "", "做一个BMI工具", "calculator"), ("c3", "", None, "单位换算", "converter"), ("c4", "", None, "猜一猜", "game"), ("c5", "", None, "待办事项", "tracker"), ("c6", "", None, "血压表", "health"), ("c7", "", None, "今天吃什么", "lifestyle"),
-    ("c8", "", None, "GPA 工具", "education"), ("c9", "", None, "塔罗", "entertainment"), ("c10", "", None, "画板", "creative"), ("c11", "", None, "红包", "social"), ("c12", "", None, "复利", "finance"), ("c13", "", None, "宝宝", "parenting"),
-    ("c14", "", None, "课程表", "planner"), ("c15", "", None, "Markdown 编辑", "utility"), ("other", None, None, "没有", "other"), ("no text", None, None, None, "other"),
-]
-LEVELLED = [
-    ("倒计时", "计时器/秒表", "L1_简单"), ("掷骰子", "随机/骰子", "L1_简单"), ("百分比", "计算器", "L1_简单"), ("汇率", "换算工具", "L1_简单"), ("投票", "记分/投票", "L1_简单"), ("贪吃蛇", "猜数/游戏", "L3_挑战"), ("番茄", "番茄钟", "L2_中等"), ("打包", "待办/清单", "L2_中等"),
-    ("预算", "记账/理财", "L2_中等"), ("孕周", "日历/日期", "L2_中等"), ("做个markdown", "画板/创意", "L2_中等"), ("喝水", "记录/日记", "L2_中等"), ("白噪音", "音频/节拍", "L3_挑战"), ("视力", "打字/测试", "L3_挑战"), ("gpa", "教育/学习", "L2_中等"), ("aa", "生活工具", "L2_中等"),
-    ("塔罗", "社交/娱乐", "L2_中等"), ("宝宝", "育儿", "L2_中等"), ("座位", "团建/分组", "L2_中等"), ("没有", "其他", "L1_简单"), ("TIMER", "计时器/秒表", "L1_简单"),
-]
-
-
-def _values(rows, names: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else q(x) for x in r) + ")" for r in rows) + f") v({names})"
-
-
-def _relation(t, rows, names: list[str]):
-    """Rows given in the code as a frame."""
-    return t("region").sparkSession.createDataFrame(rows, ", ".join(f"{x} string" for x in names))
-
-
-@query(_values([(r[0], r[4]) for r in ITEMS], "name, category"))
-def item_categories(t):
-    from ..functions.rules import item_category
-
-    items = _relation(t, [r[:4] for r in ITEMS], ["name", "own", "cross_type", "instruction"])
-    return items.select("name", item_category("own", "cross_type", "instruction").alias("category"))
-
-
-@query(_values(LEVELLED, "instruction, category, level"))
-def instruction_levels(t):
-    from ..functions.rules import category_level, split_category
-
-    c = _relation(t, [r[:1] for r in LEVELLED], ["instruction"]).withColumn("category", split_category("instruction"))
-    return c.withColumn("level", category_level("category"))
-
-
-LABELS = [("html_structure", "HTML完整"), ("chinese_ui", "中文界面"), ("js_functional", "JS功能"), ("something", "something")]
-
-
-@query(_values(LABELS, "dimension, label"))
-def dimension_labels(t):
-    return _relation(t, [r[:1] for r in LABELS], ["dimension"]).withColumn("label", R.dimension_label("dimension"))
-
-
 @query("SELECT 0 AS part, page_id, 0 AS place, url AS instruction FROM pages UNION ALL SELECT 1, page_id, i, url || '?' || i FROM pages, (VALUES (1), (2)) v(i)")
 def plan_fan_out(t):
     seeds = t("pages").select("page_id", F.col("url").alias("instruction"), "html")
@@ -368,18 +321,6 @@ def plan_variants(t):
     return got.select("doc_id", F.size("v").cast("long").alias("n"), F.md5(F.array_join("v", "|")).alias("digest"))
 
 
-# Messages made by hand, one for each branch, with the class they must get.
-MESSAGES = [
-    ("Error: Insufficient Balance", "balance"), ("code insufficient_quota", "balance"), ("insufficient funds", "balance"), ("Payment Required", "balance"), ("balance not enough", "balance"), ("余额不足", "balance"), ("HTTP 402", "balance"), ("failed (402)", "balance"),
-    ("status 402", "balance"), ("status_code=402", "balance"), ("load balancer at port:4021 unavailable", "other"), ("port 4021", "balance"), ("your balance is fine", "other"), ("429 too many", "rate_limit"), ("Rate limit hit", "rate_limit"), ("timeout", "other"),
-]
-
-
-@query(_values(MESSAGES, "message, kind"))
-def error_messages(t):
-    return _relation(t, [m[:1] for m in MESSAGES], ["message"]).withColumn("kind", P.error_class("message"))
-
-
 @query("SELECT user_id, CASE WHEN regexp_matches(lower(props), 'insufficient balance|insufficient_quota|insufficient funds|payment required|balance not enough|余额不足| 402|\\(402|status 402|status_code=402') THEN 'balance' WHEN regexp_matches(lower(props), '429|rate limit') THEN 'rate_limit' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def error_classes(t):
     return t("events").groupBy("user_id", P.error_class(F.coalesce("props", F.lit(""))).alias("kind")).agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+START, END = "<|im_start|>", "<|im_end|>"
 MESSAGE = "struct<role: string, content: string>"
 CHAT = f"messages array<{MESSAGE}>, _source_key string, _style string, _category string, _evol_type string, _base_instr string, _cross_type string"
 
@@ -86,5 +87,22 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def render_chat(messages: str = "messages") -> Column:
     """The messages as one text with role marks."""
-    one = lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>"))
+    one = lambda m: F.concat(F.lit(START), F.coalesce(m["role"], F.lit("")), F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(END))
     return F.array_join(F.transform(messages, one), "\n")
+
+
+def reply_spans(messages: str = "messages", role: str = "assistant") -> Column:
+    """Where the replies of a role lie in the rendered chat, with their end marks: structs (start, end), in code points.
+
+    Training on replies alone takes these spans for its loss. A fold carries the offset from message to message.
+    """
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+
+    def step(acc, m):
+        begin = acc["at"] + len(START) + size(m["role"]) + 1
+        end = begin + size(m["content"]) + len(END)
+        own = F.array(F.struct(begin.alias("start"), end.alias("end")))
+        return F.struct((end + 1).alias("at"), F.when(m["role"] == role, F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
+
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, end: long>>").alias("spans"))
+    return F.aggregate(messages, nothing, step, lambda acc: acc["spans"])

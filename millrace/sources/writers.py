@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import exists
+
 
 def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
@@ -46,3 +48,25 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
 
 def page_files(df: DataFrame, path: str, html: str = "html", by: tuple[str, ...] = ("tag", "version")) -> None:
     df.select(F.col(html).alias("value"), *by).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def shards(df: DataFrame, path: str, order: list, by: str | None = None, files: int | None = None) -> None:
+    """JSON lines in files whose names and lines follow the order, in a folder for each value of ``by``."""
+    keys = [by, *order] if by else order
+    dealt = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    writer = dealt.sortWithinPartitions(*keys).write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).json(path)
+
+
+def append_new(df: DataFrame, path: str, key: str, run: str) -> None:
+    """Adds the rows whose key no other run has written, as run ``run``: a folder of the output for each run.
+
+    The output is its own ledger. A run that is repeated, or was cut off, writes its folder anew as a whole, and adds
+    nothing to what it has written already; a folder stands only when its run has ended. A null key is a key.
+    """
+    spark = df.sparkSession
+    new = df.withColumn("_run", F.lit(run))
+    if exists(spark, path.rstrip("/") + "/_run=*"):
+        held = spark.read.schema(new.schema).json(path).filter(F.col("_run") != run).select(F.col(key).alias("_key"))
+        new = new.join(held, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_run").json(path)
