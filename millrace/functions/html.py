@@ -84,6 +84,13 @@ def strip_fence(c) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```[a-zA-Z]*\n?", ""), r"\n?```$", ""))
 
 
+def strip_fence_line(c) -> Column:
+    """Without a leading line that begins with a fence, whatever else it holds, and a trailing fence."""
+    s = strip(c)
+    s = F.when(F.startswith(s, F.lit("```")), F.regexp_replace(s, r"^[^\n]*\n", "")).otherwise(s)
+    return strip(F.when(F.endswith(s, F.lit("```")), F.substring(s, F.lit(1), F.length(s) - 3)).otherwise(s))
+
+
 def js_depth(js="js") -> Column:
     """J of the five-dimension scorer."""
     funcs = sum((count(js, p) for p in FUNCTIONS[1:]), count(js, FUNCTIONS[0]))

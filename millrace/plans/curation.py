@@ -257,9 +257,9 @@ def complete_means(t):
 ATTEMPTS = "WITH a AS (SELECT conv_id, turn AS k, length(text) % 100 AS s, CASE WHEN role = 'system' OR turn >= 4 THEN 'greedy' ELSE 'sample' END AS mode FROM conversations WHERE text IS NOT NULL)"
 
 
-def _attempts(t):
+def _attempts(t, most: int = 100):
     mode = F.when((F.col("role") == "system") | (F.col("turn") >= 4), "greedy").otherwise("sample")
-    return t("conversations").filter("text IS NOT NULL").select("conv_id", F.struct(F.col("turn").alias("attempt"), (F.length("text") % 100).cast("long").alias("score"), mode.alias("mode")).alias("x"))
+    return t("conversations").filter("text IS NOT NULL").select("conv_id", F.struct(F.col("turn").alias("attempt"), (F.length("text") % most).cast("long").alias("score"), mode.alias("mode")).alias("x"))
 
 
 BEST = f"""{ATTEMPTS}, st AS (SELECT conv_id, min(k) AS m FROM a WHERE mode <> 'greedy' AND s >= 80 GROUP BY 1), g AS (SELECT conv_id, s AS gs, k AS gk FROM a WHERE mode = 'greedy' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, k) = 1),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 START, END = "<|im_start|>", "<|im_end|>"
 MESSAGE = "struct<role: string, content: string>"
 CHAT = f"messages array<{MESSAGE}>, _source_key string, _style string, _category string, _evol_type string, _base_instr string, _cross_type string"
@@ -61,6 +63,19 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.html?$", 1).alias("name"), F.col("value").alias("html"))
 
 
+def page_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """html (without white space at its ends) and the columns of ``schema``, by which the files' folders are named."""
+    return spark.read.schema("value string, " + schema).text(path, wholetext=True).select(strip("value").alias("html"), *(c.strip().split()[0] for c in schema.split(",")))
+
+
+def expected_pages(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Every expected row with its page, and there: false, with a null page, where none was written."""
+    own = found.select(*keys, "html").withColumn("there", F.lit(True))
+    same = [expected[k].eqNullSafe(own[k]) for k in keys]
+    joined = expected.join(own, same, "left")
+    return joined.select(*(expected[c] for c in expected.columns), own["html"], F.coalesce(own["there"], F.lit(False)).alias("there"))
+
+
 def json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 

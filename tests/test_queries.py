@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import curation, pages, texts  # noqa: F401
+from millrace.plans import curation, files, pages, texts  # noqa: F401
 from millrace.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
