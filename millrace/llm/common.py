@@ -65,7 +65,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(FILE_CLEANUP)
         else:
             spark.conf.set(FILE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``materialize`` has returned, once nothing that is still to be computed reads them."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._millrace_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(batches, rows: int = 256):

@@ -82,28 +82,44 @@ def write_avi(frames: list[bytes], width: int = SIDE, height: int = SIDE, fps: i
     return chunk(b"RIFF", b"AVI " + chunk(b"LIST", hdrl) + chunk(b"LIST", b"movi" + b"".join(movi)) + chunk(b"idx1", b"".join(index)))
 
 
+def _stream_headers(data: bytes, at: int, end: int):
+    """Where the streams' headers lie, in the order of the streams' numbers."""
+    while at + 8 <= end:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"LIST" and data[at + 8 : at + 12] == b"strl":
+            inner = at + 12
+            while inner + 8 <= at + 8 + size:
+                if data[inner : inner + 4] == b"strh":
+                    yield inner + 8
+                    break
+                more = struct.unpack_from("<I", data, inner + 4)[0]
+                inner += 8 + more + more % 2
+        at += 8 + size + size % 2
+
+
 def read_avi(data: bytes) -> tuple[float, list[bytes]]:
-    """(frames a second, the first video stream's frames in the order of the index)."""
+    """(frames a second, the first video stream's frames in the order of the index); other streams are passed over."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    fps, movi, index, at = 0.0, None, None, 12
+    fps, video, movi, index, at = 0.0, None, None, None, 12
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         kind = data[at + 8 : at + 12]
         if name == b"LIST" and kind == b"hdrl":
-            s = data.index(b"strh", at) + 8
-            scale, rate = struct.unpack_from("<II", data, s + 20)
-            fps = rate / scale
+            for number, s in enumerate(_stream_headers(data, at + 12, at + 8 + size)):
+                if video is None and data[s : s + 4] == b"vids":
+                    scale, rate = struct.unpack_from("<II", data, s + 20)
+                    fps, video = rate / scale, b"%02d" % number
         elif name == b"LIST" and kind == b"movi":
             movi = at + 8
         elif name == b"idx1":
             index = data[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    if movi is None or index is None:
-        raise ValueError("no index or no frames")
+    if movi is None or index is None or video is None:
+        raise ValueError("no index, no frames or no video stream")
     frames = []
     for name, _, offset, size in struct.iter_unpack("<4sIII", index):
-        if name[2:] in (b"dc", b"db"):
+        if name in (video + b"dc", video + b"db"):
             frames.append(data[movi + offset + 8 : movi + offset + 8 + size])
     return fps, frames
 

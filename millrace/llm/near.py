@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, ship, use_cache
+from .common import discard, materialize, release, ship, use_cache
 from .components import components
 
 SHINGLE = 5
@@ -173,10 +173,15 @@ def filter_of(wanted: DataFrame) -> bytes:
     return bytes(bits)
 
 
-def through(sieve, name: np.ndarray) -> np.ndarray:
-    """The places of the names that the filter (a broadcast) lets through, of equal names the first."""
+def passing(sieve, name: np.ndarray) -> np.ndarray:
+    """The places of the names that the filter (a broadcast) lets through."""
     bit, bits = name % FILTER_BITS, np.frombuffer(sieve.value, np.uint8)
-    own = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+    return np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+
+
+def through(sieve, name: np.ndarray) -> np.ndarray:
+    """The places of the names that the filter lets through, of equal names the first."""
+    own = passing(sieve, name)
     return own[np.unique(name[own], return_index=True)[1]]
 
 
@@ -299,10 +304,18 @@ def exact_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     links = materialize(ship(rows).mapInArrow(verify, "a long, b long"), "links")
     large = members.filter(F.col("size") > DEALT_MEMBERS)
     if large.isEmpty():
-        return components(links)
+        found = components(links)
+        discard(links)
+        return found
     trees = materialize(components(links).withColumnRenamed("node", "n"), "trees")
     large = materialize(large.join(trees, F.col("node") == F.col("n"), "left").select("band", "node", F.coalesce("component", "node").alias("tree")), "large")
     several = large.groupBy("band").agg(F.min("tree").alias("lo"), F.max("tree").alias("hi")).filter("lo <> hi").select("band")
     again = large.join(several, "band", "left_semi").join(sets, "node").select("band", "node", "set", "tree").repartition("band").sortWithinPartitions("band")
     more = materialize(ship(again).mapInArrow(verify, "a long, b long"), "links")
-    return trees.withColumnRenamed("n", "node") if more.isEmpty() else components(links.union(more))
+    discard(large)
+    if more.isEmpty():
+        discard(links, more)
+        return trees.withColumnRenamed("n", "node")
+    found = components(links.union(more))
+    discard(links, more, trees)
+    return found

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release, ship
-from .near import SHINGLE, exact_components, filter_of, firsts, grouped, mix, names_of, set_column, shingles_of, through, words_of
+from .common import discard, documents, materialize, release, ship
+from .near import SHINGLE, exact_components, filter_of, firsts, grouped, mix, names_of, passing, set_column, shingles_of, through, words_of
 
 REACH = 4
 PIECE, LINE = 0, 1
@@ -141,14 +141,31 @@ def classes(parts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """h, g, component: the names of lines that are near-equal to others, and their class; parts is the written table of ``units``."""
     # Each distinct line once: copies of a line, however many, are one row of its bands.
     lines = parts.filter(F.col(BAND_NAMES[0]).isNotNull()).groupBy("h", "g").agg(*(F.first(b).alias(b) for b in BAND_NAMES))
-    banded = materialize(lines.select("h", "g", F.explode(F.array(*BAND_NAMES)).alias("band")), "bands")
-    groups = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("h").alias("first"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("all"))
-    # Of bands that hold the same lines, one will do.
-    groups = groups.filter("size > 1").groupBy("size", "first", "all").agg(F.min("band").alias("band"))
-    members = materialize(banded.withColumnRenamed("h", "node").join(groups.select("band", "size", "first"), "band"), "members")
+    lines = materialize(lines, "distinct-lines")
+    # Bands are counted first; only those of several lines are joined back. Of bands that hold the same lines, one will do.
+    each = lines.select("h", F.explode(F.array(*BAND_NAMES)).alias("band"))
+    groups = each.groupBy("band").agg(F.count("*").alias("size"), F.min("h").alias("first"), F.bit_xor(F.xxhash64("h")).alias("all"), F.max("h").alias("last")).filter("size > 1")
+    groups = materialize(groups.groupBy("size", "first", "last", "all").agg(F.min("band").alias("band")).select("band", "size", "first"), "groups")
+    held = _of_bands(lines, groups)
+    members = materialize(held.join(groups, "band"), "members")
+    discard(lines, groups)
     sets = materialize(_sets(docs, members.select("node").distinct(), text), "sets")
     names = members.select("node", "g").distinct()
-    return exact_components(members, sets).join(names, "node").select(F.col("node").alias("h"), "g", "component")
+    found = materialize(exact_components(members, sets).join(names, "node").select(F.col("node").alias("h"), "g", "component"), "classes")
+    discard(members, sets)
+    return found
+
+
+def _of_bands(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, g, band of the lines' bands that may be in ``groups``; what is not is left out by a filter of fixed size."""
+    sieve = lines.sparkSession.sparkContext.broadcast(filter_of(groups.select("band")))
+
+    def run(batches):
+        for batch in batches:
+            own = pa.array(passing(sieve, np.asarray(batch.column(2))))
+            yield pa.RecordBatch.from_arrays([c.take(own) for c in batch.columns], ["node", "g", "band"])
+
+    return ship(lines).select("h", "g", F.explode(F.array(*BAND_NAMES)).alias("band")).mapInArrow(run, "node long, g int, band long")
 
 
 def _dealt_join(rows: DataFrame, per_class: DataFrame) -> DataFrame:
@@ -173,7 +190,7 @@ def _with_first(rows: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """key, id, start, end, n, class_id, n_docs and removed of every repeated paragraph."""
     parts = materialize(units(docs, doc_id, text), "paragraphs")
-    near = materialize(classes(parts, docs, text), "classes")
+    near = classes(parts, docs, text)
     # Two documents must hold a paragraph or one linked to it: a narrow aggregate finds these, and only their rows go on.
     spread = parts.groupBy("h", "g").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows"))
     spread = spread.join(near, ["h", "g"], "left").filter("lo <> hi or component is not null")
@@ -181,7 +198,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     spread = materialize(spread.select("h", "g", "lo", "hi", "rows", F.coalesce("component", "h").alias("class_id"), own_g.alias("class_g")), "spread")
     of_class = spread.groupBy("class_id", "class_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows")).filter("lo <> hi")
     labelled = spread.select("h", "g", "class_id", "class_g").join(of_class.select("class_id", "class_g", "rows"), ["class_id", "class_g"])
-    held = parts.drop(*BAND_NAMES).join(materialize(labelled, "repeated"), ["h", "g"])
+    labelled = materialize(labelled, "repeated")
+    discard(near, spread)
+    held = parts.drop(*BAND_NAMES).join(labelled, ["h", "g"])
     size = F.col("of").bitwiseAND(F.lit(2**32 - 1))
     columns = F.shiftrightunsigned("of", 32).alias("word"), F.shiftrightunsigned(size, 1).alias("n"), size.bitwiseAND(F.lit(1)).cast("int").alias("level")
     held = held.select("key", "id", "at", "class_id", "class_g", "rows", *columns)
@@ -195,6 +214,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     of_run = Window.partitionBy("key", "id", "_run")
     held = held.withColumn("_long", F.max(last).over(of_run) - F.min("word").over(of_run) >= RUN_WORDS).filter("_long")
     held = materialize(held.drop("_again", "_run", "_long"), "occurrences")
+    discard(parts, labelled)
     lines = _with_first(held.filter(F.col("level") == LINE).withColumn("cut", F.lit(False)))
     lines = materialize(lines.drop("cut"), "lines")
     # Pieces within a removed line go with it; those that overlap one may go, but do not stay for others.

@@ -86,7 +86,8 @@ def _searcher(block, k: int, scale: int, tile: int):
                     piece = part.slice(at, tile)
                     ids = np.asarray(piece.column(0))
                     v, _ = _matrix(piece.column(1), scale)
-                    _, once = np.unique(np.column_stack([ids.astype(np.float64), ids >> 32, v]), axis=0, return_index=True) if len(np.unique(ids)) < len(ids) else (0, slice(None))
+                    # Rows are compared by ids as integers and vectors by their bits; adding zero leaves one kind of zero.
+                    _, once = np.unique(np.column_stack([ids, (v + 0.0).view(np.int64)]), axis=0, return_index=True) if len(np.unique(ids)) < len(ids) else (0, slice(None))
                     ids, v = ids[once], v[once]
                     order = np.argsort(ids, kind="stable")
                     ids, v = ids[order], v[order]

@@ -122,3 +122,22 @@ def test_query_against_forward_backward_of_each_text(spark, monkeypatch):
         assert got[r["doc_id"]]["lang_pred"] == field.labels[int(total.argmax())] or np.sort(total)[-1] - np.sort(total)[-2] < 0.02 * len(words)
         assert abs(got[r["doc_id"]]["score"] - total.max() / total.sum()) < 0.02
     assert langid.identify(docs.limit(0), field).count() == 0
+
+
+def test_reader_takes_the_first_video_stream():
+    import struct
+
+    one = media.write_avi(media.encode_frames(b"abc" + b"\xff" * (2 * media.FRAME - 3)))
+    fps, frames = media.read_avi(one)
+    chunk = lambda name, data: name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    audio = chunk(b"LIST", b"strl" + chunk(b"strh", b"auds" + b"\0" * 16 + struct.pack("<II", 1, 44100) + b"\0" * 28) + chunk(b"strf", b"\1" * 17))
+    video = one[one.index(b"LIST", one.index(b"avih")) : one.index(b"LIST", one.index(b"strf"))]
+    other = video.replace(struct.pack("<I", media.FPS), struct.pack("<I", 99))
+    hdrl = chunk(b"LIST", b"hdrl" + chunk(b"avih", b"\0" * 56) + audio + video + other)
+    movi, index, at = [], [], 4
+    for name, data in [(b"00wb", b"sound")] + [x for f in frames for x in ((b"01dc", f), (b"02dc", b"other"), (b"00wb", b"more"))]:
+        movi.append(chunk(name, data))
+        index.append(struct.pack("<4sIII", name, 16, at, len(data)))
+        at += len(movi[-1])
+    file = chunk(b"RIFF", b"AVI " + hdrl + chunk(b"LIST", b"movi" + b"".join(movi)) + chunk(b"idx1", b"".join(index)))
+    assert media.read_avi(file) == (fps, frames) == (media.FPS, frames)

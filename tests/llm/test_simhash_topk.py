@@ -98,6 +98,13 @@ def slow_top(rows, k=5):
     return sorted(out)
 
 
+def test_topk_tells_large_ids_apart(spark):
+    rows = [(2**60, [1.0, 2.0]), (2**60 + 1, [1.0, 2.0]), (2**60 + 1, [1.0, 2.0]), (50, [0.0, 1.0]), (-(2**60), [0.0, -0.0]), (-(2**60), [0.0, 0.0]), (51, [-0.0, 0.5])]
+    v = topk.sound_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1))
+    got = sorted(map(tuple, topk.top_k(v, v.filter("vec_id = 50")).collect()))
+    assert got == [r for r in slow_top(rows) if r[0] == 50] and {r[2] for r in got} == {2**60, 2**60 + 1, -(2**60), 51}
+
+
 def test_topk(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
