@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 DROPPED = "，。！？、,.!? \t\n帮我做个一弄来搞"
 
 
+#: White space and the separators of files, groups, records and units.
+SPACES = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip(c) -> Column:
     """Removes all white space at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def count(c, pattern: str) -> Column:

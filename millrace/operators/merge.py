@@ -36,9 +36,10 @@ def first_of_each(df: DataFrame, keys: list, order: list, keep: list[str] | None
 def kept_of_sources(df: DataFrame, keys: list, source: str = "_source", rank: str = "_rank") -> DataFrame:
     """Each source's rows (n) and how many keys it is the first source of (kept)."""
     counts = df.groupBy(_digest(keys).alias("_k"), F.col(source).alias("s"), F.col(rank).alias("r")).agg(F.count("*").alias("n"))
-    kept = counts.groupBy("_k").agg(F.min_by("s", "r").alias("s")).groupBy("s").agg(F.count("*").alias("kept"))
-    total = counts.groupBy("s").agg(F.sum("n").alias("n"))
-    return total.join(kept, "s", "left").select(F.col("s").alias(source), "n", F.coalesce("kept", F.lit(0)).alias("kept"))
+    # A row for each key, with as many entries as there are sources: texts are read and digested once.
+    of_key = counts.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("r", "s", "n"))).alias("c"))
+    each = of_key.select(F.posexplode("c").alias("i", "c"))
+    return each.groupBy(F.col("c.s").alias(source)).agg(F.sum("c.n").alias("n"), F.count_if(F.col("i") == 0).alias("kept"))
 
 
 def duplicate_flag(df: DataFrame, keys: list, order: list) -> DataFrame:
