@@ -16,8 +16,6 @@ from millrace.llm.common import hold_batches, materialize
 
 #: A document's language is rejected below this share of its words.
 LEAST_SCORE = 0.3
-#: A document of which less than this share is left after repeated passages are cut is a copy.
-LEAST_LEFT = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages but for their first occurrence; drops documents that held little else."""
+    """Cuts repeated passages but for their first occurrence; drops documents of which nothing is left."""
     hold_batches(spark)
-    held = docs.withColumn("_millrace_n", F.length("text").cast("long"))
-    cut = passages.without(held, passages.repeated(docs))
-    left = F.length("text").cast("long")
-    return cut.filter((left > 0) & (left >= LEAST_LEFT * F.col("_millrace_n"))).withColumn("n_chars", left).select(*docs.columns)
+    cut = passages.without(docs, passages.repeated(docs))
+    return cut.filter(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
