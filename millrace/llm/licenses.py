@@ -1,7 +1,7 @@
 """Licence recognition by sentences, in DataFrame functions alone.
 
-A text is cut into sentences, twice: line by line, and with lines joined (for wrapped notices). Each sentence is
-normalised (lower case, words only) and mapped to the identifier of a known licence sentence. The identifiers of a text,
+A text is cut into sentences, twice: line by line, and with lines joined (for wrapped notices). A sentence that names
+another licence after an operator of an expression, or after "or the", is cut there too. Each sentence is normalised (lower case, words only) and mapped to the identifier of a known licence sentence. The identifiers of a text,
 in order, are then matched against ordered rules; each rule that matches names a licence and uses its identifiers up.
 Of the two readings the one with more identifiers counts, the line-wise one if equal. All of it happens within the row:
 no shuffle, and memory in proportion to one text. Texts that hold no cue, with any blanks or marks between its words, are
@@ -200,8 +200,18 @@ def _identify(sentence: Column) -> Column:
     return chain.when(norm.rlike(CUES), UNKNOWN)
 
 
+#: Where a sentence goes on with another licence, and what stands before that one as a sentence of its own: an operator of an
+#: expression before an identifier, or a licence after "or the".
+ALTERNATIVES = [
+    ("License-Identifier ", r"[ \t]+(?:OR|AND)[ \t]+\(?(MIT|ISC|Zlib|Unlicense|[A-Za-z]+-[A-Za-z.-]*[0-9][A-Za-z0-9.-]*)"),
+    ("", r"[ \t]+(?:or|and|and/or)[ \t]+(?:under[ \t]+)?the[ \t]+([A-Z][A-Za-z0-9.() \t-]{0,60}?[Ll]icen[cs]e)"),
+]
+
+
 def _ids(text: Column) -> Column:
     named = F.regexp_replace(text, "([Ii]dentifier|[Ll]icen[cs]e)[ \\t]*:[ \\t]*", "$1 ")
+    for lead, pattern in ALTERNATIVES:
+        named = F.regexp_replace(named, pattern, "\n" + lead + "$1")
     sentences = F.split(F.regexp_replace(named, "([.!?:;])[ \\t]+", "$1\n"), "\n+")
     return F.filter(F.transform(sentences, _identify), lambda x: x.isNotNull())
 
@@ -243,6 +253,8 @@ def oracle_sql() -> str:
 
     def read(text):
         named = f"regexp_replace({text}, '([Ii]dentifier|[Ll]icen[cs]e)[ \\t]*:[ \\t]*', '\\1 ', 'g')"
+        for lead, pattern in ALTERNATIVES:
+            named = f"regexp_replace({named}, {q(pattern)}, chr(10) || '{lead}\\1', 'g')"
         parts = f"string_split(regexp_replace({named}, '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
         return f"list_filter(list_transform(list_transform({parts}, lambda s: {norm}), lambda n: {chain}), lambda x: x IS NOT NULL)"
 

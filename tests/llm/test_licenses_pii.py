@@ -193,3 +193,17 @@ def test_bootstrap_against_brute_force(spark):
 
     got = {tuple(x) for x in pii.bootstrap(materialize(pii.scan(df), "spans"), df, confidence=pii.CONFIDENCE).collect()}
     assert got == known
+
+
+def test_several_licences_in_a_sentence(spark):
+    """Rows by hand; the SQL is not asked."""
+    want = {
+        "This project is licensed under the MIT license or the Apache License, Version 2.0": {"MIT", "Apache-2.0"},
+        "SPDX-License-Identifier: MIT OR Apache-2.0": {"MIT", "Apache-2.0"},
+        "// SPDX-License-Identifier: (Apache-2.0 OR MIT) AND BSD-3-Clause": {"Apache-2.0", "MIT", "BSD-3-Clause"},
+        "SPDX-License-Identifier: MIT": {"MIT"},
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. It is licensed under the MIT License': {"MIT"},
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["licenses"].split(",")) for r in licenses.recognise(df).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
