@@ -1,11 +1,13 @@
 """Licence recognition by sentences, in DataFrame functions alone.
 
-A text is cut into sentences, twice: line by line, and with lines joined (for wrapped notices). A sentence that names
-another licence after an operator of an expression, or after "or the", is cut there too. Each sentence is normalised (lower case, words only) and mapped to the identifier of a known licence sentence. The identifiers of a text,
-in order, are then matched against ordered rules; each rule that matches names a licence and uses its identifiers up.
-Of the two readings the one with more identifiers counts, the line-wise one if equal. All of it happens within the row:
-no shuffle, and memory in proportion to one text. Texts that hold no cue, with any blanks or marks between its words, are
-not cut up; as every known sentence holds one, none is lost (the query's SQL does without this).
+A text is cut into blocks, at blank lines and where a line ends with a sentence mark, and a block into sentences in three
+ways: with lines joined (for wrapped notices), with lines joined but before one that begins with a capital, and line by line.
+A sentence that names another licence after an operator of an expression, or after "or the", is cut there too. Each
+sentence is normalised (lower case, words only) and mapped to the identifier of a known licence sentence. Of a block's
+readings the one with the most identifiers counts; of equal ones the most precise, whose identifiers come first in SENTENCES,
+then the first named here. The identifiers of a text's blocks, in order, are matched against ordered rules; each rule that
+matches names a licence and uses its identifiers up. All of it happens within the row:
+no shuffle, and memory in proportion to one text. Texts that hold no cue, with any blanks or marks between its words, are not cut up; as every known sentence holds one, none is lost (the query's SQL does without this).
 
 Edge cases: a text that is null or empty, or has no known sentence, has no row; a sentence with a cue that is not known
 counts as unknown; identifiers that no rule takes stand alone as ``UnmatchedSentence``; of sentences that fit several
@@ -15,6 +17,7 @@ gives an empty result; other columns of the input, whatever their names, are not
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -208,6 +211,15 @@ ALTERNATIVES = [
 ]
 
 
+#: Sentence marks within one known sentence, and what stands for them.
+WITHIN = [(r";([ \t\n*#/]*)(either|without)", r",$1$2")]
+#: Where a block ends: after a line that ends with a sentence mark, and at a blank line (marks of comments aside).
+BLOCK_ENDS = [(r"([.!?:;][\"')]*)[ \t]*\n", "$1\x01"), (r"\n[ \t*#/]*\n", "\x01")]
+#: The readings of a block: which line breaks within it become blanks.
+READINGS = [(r"[ \t]*\n[ \t]*", " "), (r"[ \t]*\n([ \t*#/;-]*[a-z0-9(\"'])", " $1"), None]
+NAMES = [n for n, _ in SENTENCES]
+
+
 def _ids(text: Column) -> Column:
     named = F.regexp_replace(text, "([Ii]dentifier|[Ll]icen[cs]e)[ \\t]*:[ \\t]*", "$1 ")
     for lead, pattern in ALTERNATIVES:
@@ -216,12 +228,22 @@ def _ids(text: Column) -> Column:
     return F.filter(F.transform(sentences, _identify), lambda x: x.isNotNull())
 
 
+def _read(text: Column) -> Column:
+    """The identifiers of a text: of each block those of the reading that counts."""
+    names = F.array(*map(F.lit, NAMES))
+    known = lambda ids: F.filter(ids, lambda x: x != UNKNOWN)
+    late = lambda ids: F.aggregate(known(ids), F.lit(0), lambda acc, x: acc + F.array_position(names, x).cast("int"))
+    read = lambda block: F.array(*(_ids(F.regexp_replace(block, *r) if r else block) for r in READINGS))
+    graded = lambda block: F.transform(read(block), lambda ids, i: F.struct(F.size(known(ids)).alias("n"), (-late(ids)).alias("early"), (-i).alias("place"), ids.alias("ids")))
+    for pattern, new in WITHIN + BLOCK_ENDS:
+        text = F.regexp_replace(text, pattern, new)
+    return F.flatten(F.transform(F.split(text, "\x01"), lambda block: F.array_max(graded(block))["ids"]))
+
+
 def recognise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, licenses (names in order of the rules, joined), sentence_ids, n_sentences, n_unknown."""
-    known = lambda ids: F.size(F.filter(ids, lambda x: x != UNKNOWN))
     cued = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).filter(_may_hold(F.col("_t")))
-    read = cued.select("doc_id", _ids(F.col("_t")).alias("a"), _ids(F.regexp_replace("_t", "[ \\t]*\n[ \\t]*", " ")).alias("b"))
-    read = read.select("doc_id", F.when(known(F.col("b")) > known(F.col("a")), F.col("b")).otherwise(F.col("a")).alias("all"))
+    read = cued.select("doc_id", _read(F.col("_t")).alias("all"))
     read = read.select("doc_id", "all", F.filter("all", lambda x: x != UNKNOWN).alias("ids")).filter(F.size("ids") > 0)
     rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("rule")) for n, p in RULES))
     start = F.struct(F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("left"), F.array().cast("array<string>").alias("found"))
@@ -258,11 +280,21 @@ def oracle_sql() -> str:
         parts = f"string_split(regexp_replace({named}, '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
         return f"list_filter(list_transform(list_transform({parts}, lambda s: {norm}), lambda n: {chain}), lambda x: x IS NOT NULL)"
 
-    known = lambda c: f"len(list_filter({c}, lambda x: x <> '{UNKNOWN}'))"
-    out = f"WITH c AS (SELECT row_number() OVER () AS i, doc_id, text FROM documents), "
-    joined = "regexp_replace(text, '[ \\t]*' || chr(10) || '[ \\t]*', ' ', 'g')"
-    out += f"r AS (SELECT i, doc_id, {read('text')} AS a, {read(joined)} AS b FROM c), "
-    out += f"x AS (SELECT i, doc_id, CASE WHEN {known('b')} > {known('a')} THEN b ELSE a END AS every FROM r), "
+    def swapped(text, pattern, new):
+        new = " || ".join(f"chr({ord(x)})" if x < " " else q(x) for x in re.split("([\x00-\x1f])", new.replace("$", "\\")) if x)
+        return f"regexp_replace({text}, {q(pattern)}, {new}, 'g')"
+
+    text = "text"
+    for rule in WITHIN + BLOCK_ENDS:
+        text = swapped(text, *rule)
+    names = "[" + ", ".join(map(q, NAMES)) + "]"
+    readings = " UNION ALL ".join(f"SELECT i, b, {-k} AS place, {read(swapped('block', *r) if r else 'block')} AS ids FROM b" for k, r in enumerate(READINGS))
+    out = "WITH c AS (SELECT row_number() OVER () AS i, doc_id, text FROM documents), "
+    out += f"l AS (SELECT i, string_split({text}, chr(1)) AS blocks FROM c), b AS (SELECT i, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS b FROM l), "
+    out += f"k AS ({readings}), g AS (SELECT *, list_filter(ids, lambda x: x <> '{UNKNOWN}') AS known FROM k WHERE len(ids) > 0), "
+    out += f"o AS (SELECT i, b, place, ids, len(known) AS n, -coalesce(list_sum(list_transform(known, lambda x: list_position({names}, x))), 0) AS early FROM g), "
+    out += "w AS (SELECT i, b, ids FROM o QUALIFY row_number() OVER (PARTITION BY i, b ORDER BY n DESC, early DESC, place DESC) = 1), "
+    out += "x AS (SELECT i, doc_id, flatten(list(ids ORDER BY b)) AS every FROM w JOIN c USING (i) GROUP BY i, doc_id), "
     out += f"y AS (SELECT *, list_filter(every, lambda x: x <> '{UNKNOWN}') AS ids FROM x), "
     out += "m0 AS (SELECT *, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM y WHERE len(ids) > 0)"
     for k, (name, rule) in enumerate(RULES):

@@ -207,3 +207,46 @@ def test_several_licences_in_a_sentence(spark):
     df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
     got = {r["doc_id"]: set(r["licenses"].split(",")) for r in licenses.recognise(df).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions in the documentation."""
+
+
+def test_wrapped_notices_beside_lines(spark):
+    """Rows by hand; the SQL must read them alike."""
+    import duckdb
+    import pandas as pd
+
+    lines = "Released under the MIT License\nSPDX-License-Identifier: ISC\nApache License, Version 2.0\n"
+    want = [
+        (GPL, {"GPL-3.0-or-later"}),
+        ("\n".join(f" * {x}" for x in GPL.split("\n")), {"GPL-3.0-or-later"}),
+        (GPL.replace("version 3", "version 2").replace("; either", ";\neither"), {"GPL-2.0-or-later"}),
+        (lines + "\n" + BSD, {"MIT", "Apache-2.0", "BSD-2-Clause", "ISC"}),
+        (lines + BSD, {"MIT", "Apache-2.0", "BSD-2-Clause", "ISC"}),
+        (BSD + "\n" + GPL + "\n" + lines, {"BSD-2-Clause", "GPL-3.0-or-later", "MIT", "Apache-2.0", "ISC"}),
+        ("Dual licensed.\nReleased under the MIT License\nor the Apache License, Version 2.0", {"MIT", "Apache-2.0"}),
+        ("It is given to the\npublic domain\n\nLicensed under the\nGPLv3", {"PublicDomain", "GPL-3.0"}),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(want)] + [(90, None), (91, ""), (92, "\x01\n\n;\n"), (93, "licence\n" * 3000), (94, BSD), (94, BSD)]
+    found = licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: set(r["licenses"].split(",")) for r in found}
+    names = set().union(*(w for _, w in want))
+    assert [got[i] & names | {x for x in got[i] if x.startswith(("GPL", "BSD"))} for i in range(len(want))] == [w for _, w in want]
+    assert set(got) == {*range(len(want)), 94} and len(found) == len(want) + 2
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    assert sorted(duckdb.sql(licenses.oracle_sql()).fetchall()) == sorted(map(tuple, found))
