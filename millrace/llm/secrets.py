@@ -5,9 +5,11 @@ digits with letters. Each gets features of its own characters (length, entropy,
 classes, share covered by dictionary words), of its path and of the words around it; a random forest (Spark ML), trained
 from labelled findings, gives the probability that it is a secret.
 
-Labelled findings come as a table (before, value, after, path, label); where a corpus has none, ``labelled_findings``
+Labelled findings come as rows (before, value, after, path, label); where a corpus has none, ``labelled_findings``
 makes LABELLED of them, half secrets of the usual formats and half look-alikes: digests and ids, placeholders,
-identifiers, file names, numbers.
+identifiers, file names, numbers. Given documents, the dictionary is the corpus's own: the VOCABULARY most frequent of its
+words, counted over all texts; look-alikes are put together from these words, and what stands around the findings is taken
+from CONTEXTS places of the texts (a bounded sample, the same each time). Without documents a small fixed dictionary serves.
 
 Edge cases: null or empty text has no candidates; a null path counts as empty; overlapping candidates become one,
 specific formats and assigned values before other strings; a private key without its end mark reaches over the encoded
@@ -23,6 +25,7 @@ import math
 import random
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import documents, release, ship, small, use_cache
 
 LABELLED = 3000
+#: The words of the corpus's dictionary, and the places whose words stand around made-up findings.
+VOCABULARY, CONTEXTS = 20000, 400
+SHORTEST, LONGEST = 4, 12
 TREES, DEPTH = 30, 8
 THRESHOLD = 0.5
 AROUND = 40
@@ -69,17 +75,41 @@ DICTIONARY = frozenset(
 FEATURES = ["length", "entropy", "distinct", "digits", "upper", "symbols", "transitions", "repeats", "hex", "uuid", "dictionary", "placeholder", "format", "assigned", "before_for", "before_against", "after_against", "path_tests", "path_code"]
 
 
-def _coverage(value: str) -> float:
+class Sifter(NamedTuple):
+    """A trained forest and the dictionary that its features go by."""
+
+    forest: object
+    words: frozenset[str]
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
+    """The VOCABULARY most frequent words of SHORTEST to LONGEST letters, counted over all texts, most frequent first."""
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"(?<![a-z0-9])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z0-9])"), 0)
+    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+
+
+def contexts(docs: DataFrame, text: str = "text") -> list[list[str]]:
+    """The words without digits at a place of each of CONTEXTS texts, those of the least hashes."""
+    h = F.xxhash64(text)
+    at = F.pmod(h, F.greatest(F.length(text), F.lit(1))).cast("int") + 1
+    rows = docs.filter(F.length(text) > 0).select(h.alias("h"), F.col(text).substr(at, F.lit(120)).alias("t")).orderBy("h", "t").limit(CONTEXTS).collect()
+    # The first and last of a place's words may be cut.
+    words = ([w for w in r["t"].split()[1:-1] if not any(c.isdigit() for c in w)] for r in rows)
+    return [w for w in words if w]
+
+
+def _coverage(value: str, words: frozenset[str] = DICTIONARY) -> float:
     """The share of characters within dictionary words, longest first at each place."""
     t = value.lower()
     i = covered = 0
     while i < len(t):
-        n = next((n for n in range(min(10, len(t) - i), 2, -1) if t[i : i + n] in DICTIONARY), 0)
+        n = next((n for n in range(min(LONGEST, len(t) - i), 2, -1) if t[i : i + n] in words), 0)
         covered, i = covered + n, i + (n or 1)
     return covered / max(1, len(t))
 
 
-def features(kind: str, value: str, before: str, after: str, path: str) -> list[float]:
+def features(kind: str, value: str, before: str, after: str, path: str, words: frozenset[str] = DICTIONARY) -> list[float]:
     v = value
     counts = list(Counter(v).values())
     cls = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in v]
@@ -89,7 +119,7 @@ def features(kind: str, value: str, before: str, after: str, path: str) -> list[
         cls.count("d") / short, cls.count("u") / short, cls.count("s") / short,
         sum(a != b for a, b in zip(cls, cls[1:])) / short, sum(a == b for a, b in zip(v, v[1:])) / short,
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", v))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", v))),
-        _coverage(v), float(bool(PLACEHOLDER.search(v))), float(kind not in ("assigned", "generic")), float(kind == "assigned"),
+        _coverage(v, words), float(bool(PLACEHOLDER.search(v))), float(kind not in ("assigned", "generic")), float(kind == "assigned"),
         float(bool(FOR.search(before))), float(bool(AGAINST.search(before))), float(bool(AGAINST.search(after))),
         float(bool(TESTS.search(path))), float(bool(re.search(r"\.(py|js|ts|java|go|rb|env|ya?ml|json|ini|cfg|sh)$", path))),
     ]
@@ -144,13 +174,13 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(map(tuple, out), key=lambda c: c[1])
 
 
-def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
-    """(before, value, after, path, label): made-up findings, label 1 for secrets."""
+def labelled_findings(n: int = LABELLED, seed: int = SEED, words: list[str] | None = None, around: list[list[str]] | None = None) -> list[tuple[str, str, str, str, int]]:
+    """(before, value, after, path, label): made-up findings, label 1 for secrets, of ``words`` and in the places ``around``."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choices(chars, k=k))
     low, up, dig, hx = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
-    words = sorted(DICTIONARY)
-    filler = lambda: " ".join(r.choices(words, k=r.randint(1, 4))) + " "
+    words = words or sorted(DICTIONARY)
+    filler = lambda: " ".join((r.choice(around) if around else r.choices(words, k=4))[-r.randint(1, 4) :]) + " "
     real = [
         lambda: (filler(), "AKIA" + pick(up + dig, 16)),
         lambda: (filler(), "ghp_" + pick(low + up + dig, 36)),
@@ -159,7 +189,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
         lambda: (filler() + r.choice(["password=", "pwd: ", "secret = '", "PASSWORD=\""]), pick(low + up + dig + "!#%&", r.randint(8, 24))),
         lambda: (filler() + r.choice(["password=", "passwd=", "secret: "]), pick(hx, r.randint(12, 24))),
         lambda: (filler() + r.choice(["token = \"", "api_key=", "access_key: ", "auth="]), pick(hx, r.choice([32, 40, 64]))),
-        lambda: (filler() + r.choice(["key ", "credential ", "bearer "]), pick(low + up + dig + "+/", r.randint(28, 64))),
+        lambda: (filler() + r.choice(["key ", "credential ", "bearer ", "Bearer "]), pick(low + up + dig + "+/", r.randint(28, 64))),
     ]
     false = [
         lambda: (filler() + r.choice(["commit ", "sha1: ", "md5 ", "checksum=", "hash "]), pick(hx, r.choice([32, 40, 64]))),
@@ -171,6 +201,11 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
         lambda: (filler() + "version ", pick(dig, 8) + "-" + "-".join(r.choices(words, k=3))),
         lambda: (filler() + r.choice(["token: ", "auth = "]), ".".join(r.choices(words, k=3)) + "()"),
         lambda: (filler(), pick("ab1", 24)),
+        lambda: (filler() + r.choice(["integrity=", "integrity: ", "digest "]), r.choice(["sha256-", "sha384-", "sha512-"]) + pick(low + up + dig + "+/", r.choice([43, 64, 86]))),
+        lambda: (filler() + r.choice(["sha256: ", "SHA256 ", "sha512="]), pick(hx, r.choice([64, 128]))),
+        lambda: (filler(), "-".join(r.choices(words, k=r.randint(3, 5))) + "-" + pick(dig, r.randint(1, 4))),
+        lambda: (filler() + r.choice(["password: ", "secret=", "token: "]), r.choice(["your", "my", "the", "insert", "example"]) + r.choice(["_", "-"]) + r.choice(["_", "-"]).join(r.choices(words, k=2))),
+        lambda: (filler() + r.choice(["password=", "secret: ", "api_key="]), r.choice(["${", "{{", "<", "$("]) + "_".join(r.choices(words, k=2)).upper() + r.choice(["}", "}}", ">", ")"])),
     ]
     out = []
     for i in range(n):
@@ -180,27 +215,32 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
     return out
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None):
-    """A forest from labelled findings (LABELLED of them at most are used)."""
+def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None, docs: DataFrame | None = None, text: str = "text") -> Sifter:
+    """A forest from labelled findings (LABELLED of them at most are used), with the dictionary of ``docs``."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
+    own = vocabulary(docs, text) if docs is not None else []
+    words = frozenset(own) or DICTIONARY
+    if findings is None:
+        findings = labelled_findings(words=own, around=contexts(docs, text) if docs is not None else None)
     rows = []
-    for before, value, after, path, label in (findings or labelled_findings())[:LABELLED]:
-        text = before + value + after
-        spans = [c for c in candidates(text) if c[1] < len(before) + len(value) and c[2] > len(before)]
+    for before, value, after, path, label in findings[:LABELLED]:
+        whole = before + value + after
+        spans = [c for c in candidates(whole) if c[1] < len(before) + len(value) and c[2] > len(before)]
         kind, a, b = max(spans, key=lambda c: c[2] - c[1], default=("generic", len(before), len(before) + len(value)))
-        rows.append((features(kind, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path), float(label)))
+        rows.append((features(kind, whole[a:b], whole[max(0, a - AROUND) : a], whole[b : b + AROUND], path, words), float(label)))
     df = spark.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False)
-    return forest.fit(df.coalesce(1))
+    return Sifter(forest.fit(df.coalesce(1)), words)
 
 
-def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+def scan(docs: DataFrame, model: Sifter, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """key, id, kind, start, end, value_sha256, probability and is_secret of every candidate."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     kind_of_id = dict(docs.dtypes)[doc_id]
+    words = docs.sparkSession.sparkContext.broadcast(model.words)  # VOCABULARY words at most
 
     def run(batches):
         use_cache("none", dict)
@@ -210,7 +250,7 @@ def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", pat
                 for kind, a, b in candidates(t):
                     v = t[a:b]
                     at.append(i)
-                    rows.append((kind, a, b, hashlib.sha256(v.encode()).hexdigest(), features(kind, v, t[max(0, a - AROUND) : a], t[b : b + AROUND], p or "")))
+                    rows.append((kind, a, b, hashlib.sha256(v.encode()).hexdigest(), features(kind, v, t[max(0, a - AROUND) : a], t[b : b + AROUND], p or "", words.value)))
             of, cols = pa.array(at, pa.int64()), list(zip(*rows)) or [[]] * 5
             types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(c, k) for c, k in zip(cols, types))], ["key", "id", "kind", "start", "end", "value_sha256", "f"])
@@ -218,7 +258,7 @@ def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", pat
 
     keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path"))
     found = ship(keyed).mapInArrow(run, f"key long, id {kind_of_id}, kind string, start long, end long, value_sha256 string, f array<double>")
-    scored = model.transform(found.withColumn("features", array_to_vector("f")))
+    scored = model.forest.transform(found.withColumn("features", array_to_vector("f")))
     p = F.get(vector_to_array("probability"), 1)
     return scored.select("key", "id", "kind", "start", "end", "value_sha256", p.alias("probability")).withColumn("is_secret", F.col("probability") >= THRESHOLD)
 
@@ -238,4 +278,5 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", doc_id: st
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir), train(spark)).withColumnRenamed("id", "doc_id").drop("key")
+    docs = documents(spark, sf_dir)
+    return scan(docs, train(spark, docs=docs)).withColumnRenamed("id", "doc_id").drop("key")
