@@ -43,7 +43,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of each secret."""
     hold_batches(spark)
-    clean = secrets.redact(docs, secrets.scan(docs, secrets.train(spark)))
+    clean = secrets.redact(docs, secrets.scan(docs, secrets.train(spark, docs=docs)))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
