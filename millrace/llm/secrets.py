@@ -7,7 +7,7 @@ from labelled findings, gives the probability that it is a secret.
 
 Labelled findings come as rows (before, value, after, path, label); where a corpus has none, ``labelled_findings``
 makes LABELLED of them, half secrets of the usual formats and half look-alikes: digests and ids, placeholders,
-identifiers, file names, numbers. Given documents, the dictionary is the corpus's own: the VOCABULARY most frequent of its
+identifiers, file names, numbers. Given documents, the dictionary is the corpus's own: at most VOCABULARY most frequent of its
 words, counted over all texts; look-alikes are put together from these words, and what stands around the findings is taken
 from CONTEXTS places of the texts (a bounded sample, the same each time). Without documents a small fixed dictionary serves.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release, ship, small, use_cache
+from .common import discard, documents, materialize, release, ship, small, use_cache
 
 LABELLED = 3000
 #: The words of the corpus's dictionary, and the places whose words stand around made-up findings.
@@ -83,17 +83,31 @@ class Sifter(NamedTuple):
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The VOCABULARY most frequent words of SHORTEST to LONGEST letters, counted over all texts, most frequent first."""
+    """The most frequent words of SHORTEST to LONGEST letters, counted over all texts, most frequent first: all above the
+    least of the counts 2^(k/8) that at most VOCABULARY words reach."""
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"(?<![a-z0-9])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z0-9])"), 0)
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    counts = materialize(counts.withColumn("step", F.floor(8 * F.log2("n"))), "secret-words")
+    # A few hundred steps reach the driver, then the words of those that fit.
+    total, least = 0, None
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > VOCABULARY:
+            break
+        least = r["step"]
+    rows = counts.filter(F.col("step") >= least).select("word", "n").collect() if least is not None else []
+    discard(counts)
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
 
 
 def contexts(docs: DataFrame, text: str = "text") -> list[list[str]]:
-    """The words without digits at a place of each of CONTEXTS texts, those of the least hashes."""
+    """The words without digits at a place of each of at most CONTEXTS different texts, those of the least hashes."""
     h = F.xxhash64(text)
     at = F.pmod(h, F.greatest(F.length(text), F.lit(1))).cast("int") + 1
-    rows = docs.filter(F.length(text) > 0).select(h.alias("h"), F.col(text).substr(at, F.lit(120)).alias("t")).orderBy("h", "t").limit(CONTEXTS).collect()
+    # A share of the hashes is enough for four times as many texts, so that few rows of each task are sorted.
+    least = -(2**63) + min(2**64 - 1, 4 * CONTEXTS * 2**64 // max(1, docs.count()))
+    rows = docs.filter(F.length(text) > 0).select(h.alias("h"), F.col(text).substr(at, F.lit(120)).alias("t"))
+    rows = rows.filter(F.col("h") <= least).dropDuplicates(["h", "t"]).orderBy("h", "t").limit(CONTEXTS).collect()
     # The first and last of a place's words may be cut.
     words = ([w for w in r["t"].split()[1:-1] if not any(c.isdigit() for c in w)] for r in rows)
     return [w for w in words if w]
