@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip
+from .shared import full_uri, key_folder, open_folder, ship
 
 START, END = "<|im_start|>", "<|im_end|>"
 MESSAGE = "struct<role: string, content: string>"
 CHAT = f"messages array<{MESSAGE}>, _source_key string, _style string, _category string, _evol_type string, _base_instr string, _cross_type string"
+#: The name of a page's file in the folder of its key.
+PAGE = "page.html"
+#: Bytes of pages, about, and rows that a batch holds.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -63,17 +70,37 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.html?$", 1).alias("name"), F.col("value").alias("html"))
 
 
-def page_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """html (without white space at its ends) and the columns of ``schema``, by which the files' folders are named."""
-    return spark.read.schema("value string, " + schema).text(path, wholetext=True).select(strip("value").alias("html"), *(c.strip().split()[0] for c in schema.split(",")))
+def expected_pages(expected: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Every expected row with its page (without white space at its ends), and there: false, with a null page, where none was written.
 
-
-def expected_pages(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Every expected row with its page, and there: false, with a null page, where none was written."""
-    own = found.select(*keys, "html").withColumn("there", F.lit(True))
-    same = [expected[k].eqNullSafe(own[k]) for k in keys]
-    joined = expected.join(own, same, "left")
-    return joined.select(*(expected[c] for c in expected.columns), own["html"], F.coalesce(own["there"], F.lit(False)).alias("there"))
+    The files are those of ``writers.page_files``. A row's key names its file, which the task opens: no folder is listed.
+    """
+    uri = full_uri(expected.sparkSession, path)
+
+    def page(files, name):
+        try:
+            with files.open_input_stream(name) as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    def get(batches):
+        files, root = open_folder(uri)
+        for batch in batches:
+            named, rows = batch.column(batch.num_columns - 1).to_pylist(), batch.drop_columns(["_keys"])
+            at, size, found = 0, 0, []
+            for i, values in enumerate(named, 1):
+                found.append(page(files, f"{root}/{key_folder(keys, values)}/{PAGE}"))
+                size += len(found[-1] or b"")
+                if size >= BATCH_BYTES or len(found) == BATCH_ROWS or i == len(named):
+                    there = pa.array([x is not None for x in found])
+                    part = rows.slice(at, len(found))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x or None for x in found], pa.binary()), there], [*part.schema.names, "_page", "_there"])
+                    at, size, found = i, 0, []
+
+    rows = expected.select("*", F.array(*(F.col(k).cast("string") for k in keys)).alias("_keys"))
+    schema = T.StructType([*expected.schema.fields, T.StructField("_page", T.BinaryType()), T.StructField("_there", T.BooleanType())])
+    return ship(rows).mapInArrow(get, schema).select(*expected.columns, strip(F.col("_page").cast("string")).alias("html"), F.col("_there").alias("there"))
 
 
 def json_document(spark: SparkSession, path: str) -> DataFrame:

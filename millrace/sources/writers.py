@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readers import exists
+from .readers import PAGE, exists
+from .shared import full_uri, key_folder, open_folder, ship
 
 
 def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -47,7 +51,39 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
 
 
 def page_files(df: DataFrame, path: str, html: str = "html", by: tuple[str, ...] = ("tag", "version")) -> None:
-    df.select(F.col(html).alias("value"), *by).write.mode("overwrite").partitionBy(*by).text(path)
+    """A file for each page, in a folder named by its key; keys differ from row to row.
+
+    Tasks write the files themselves, so that neither a job's commit nor the driver handles each of them. A file gets its
+    name when it is whole. A page ends with a line end; a null page is an empty file.
+    """
+    spark, keys = df.sparkSession, list(by)
+    uri = full_uri(spark, path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop.delete(folder, True)
+    hadoop.mkdirs(folder)
+
+    def put(batches):
+        files, root = open_folder(uri)
+        for batch in batches:
+            for values, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = f"{root}/{key_folder(keys, values)}"
+                files.create_dir(own)
+                name = f"{own}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(name, buffer_size=None) as out:
+                    if page.is_valid:
+                        out.write(page.as_py() + b"\n")
+                try:
+                    files.move(name, f"{own}/{PAGE}")
+                except OSError:
+                    # Some file systems keep the file that another attempt at this task has written.
+                    if not files.get_file_info(f"{own}/{PAGE}").is_file:
+                        raise
+                    files.delete_file(name)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = df.select(F.array(*(F.col(k).cast("string") for k in keys)).alias("keys"), F.col(html).cast("binary").alias("page"))
+    ship(rows).mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
 
 
 def shards(df: DataFrame, path: str, order: list, by: str | None = None, files: int | None = None) -> None:

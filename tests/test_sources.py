@@ -36,3 +36,29 @@ def test_writers(spark, tmp_path):
     assert json.loads(writers.json_report(df.limit(1)))["t"] == "做" and writers.markdown(df.orderBy("i")).splitlines()[2] == "| 1 | 做 | True |"
     writers.page_files(df.select(F.lit("<p>").alias("html"), F.lit("c1").alias("tag"), F.lit("v1").alias("version")).limit(1), str(tmp_path / "pages"))
     assert readers.pages(spark, str(tmp_path / "pages" / "tag=c1" / "version=v1")).first()["html"].strip() == "<p>"
+
+
+def test_page_files(spark, tmp_path):
+    """Keys of any text, pages of several lines and null ones; tasks write the files, so no job's commit moves each of them."""
+    pages = [("a/b", "v=1", " <p>\n做\r\n</p>\n\n"), ("", "%", "x"), (None, "v", "y"), ("__none", "v", None), ("empty", "v", ""), ("é 1", None, "z" * 100000)]
+    df = spark.createDataFrame([(*p, i) for i, p in enumerate(pages)], "tag string, version string, body string, i long")
+    path = str(tmp_path / "pages%20 é")
+    writers.page_files(df.limit(1), path, "body")
+    writers.page_files(df.filter("i > 0"), path, "body")
+    assert len(list((tmp_path / "pages%20 é").rglob("*.html"))) == 5 and not list((tmp_path / "pages%20 é").rglob("*.crc"))
+    expected = df.select("i", "tag", "version").unionByName(spark.createDataFrame([(9, "a", "b")], "i long, tag string, version string"))
+    got = readers.expected_pages(expected, path, ["tag", "version"])
+    assert got.columns == ["i", "tag", "version", "html", "there"] and expected.columns == ["i", "tag", "version"]
+    want = {(0, None, False), (1, "x", True), (2, "y", True), (3, None, True), (4, "", True), (5, "z" * 100000, True), (9, None, False)}
+    assert {(r["i"], r["html"], r["there"]) for r in got.collect()} == want
+    writers.page_files(df, path, "body")
+    assert readers.expected_pages(expected, path, ["tag", "version"]).filter("i = 0").first()["html"] == "<p>\n做\r\n</p>"
+
+
+def test_page_files_are_neither_listed_nor_committed(spark, tmp_path):
+    """The jobs of a thousand pages are as few as those of one; no folder of theirs is listed."""
+    path = str(tmp_path / "many")
+    writers.page_files(spark.range(1000).select(F.col("id").alias("tag"), F.lit("v").alias("version"), F.lit("<p>").alias("html")), path)
+    got = readers.expected_pages(spark.range(1001).select(F.col("id").alias("tag"), F.lit("v").alias("version")), path, ["tag", "version"])
+    assert got.inputFiles() == [] and "Join" not in got._jdf.queryExecution().toString()
+    assert got.filter("there").count() == 1000
