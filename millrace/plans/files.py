@@ -53,12 +53,16 @@ def read_sources(t):
     return rows.groupBy(F.col("_source").alias("part"), F.col("_rank").cast("long").alias("rank")).agg(F.count("*").alias("n"), F.sum(F.col("_source_key").cast("long")).alias("ids"))
 
 
+#: Folders that hold page files.
+PAGE_FOLDERS = 256
+
+
 @query(f"SELECT page_id AS tag, 'v' || page_id % 2 AS version, page_id % 5 <> 0 AS there, CASE WHEN page_id % 5 <> 0 THEN md5({STRIP.format('html')}) END AS html_md5 FROM pages")
 def read_expected_pages(t):
     p = t("pages").select(F.col("page_id").alias("tag"), F.concat(F.lit("v"), (F.col("page_id") % 2).cast("string")).alias("version"), "html")
     path = shared.scratch(p.sparkSession, "pages")
-    writers.page_files(p.filter("tag % 5 <> 0"), path)
-    got = readers.expected_pages(p.select("tag", "version"), path, ["tag", "version"])
+    writers.page_files(p.filter("tag % 5 <> 0"), path, folders=PAGE_FOLDERS)
+    got = readers.expected_pages(p.select("tag", "version"), path, ["tag", "version"], PAGE_FOLDERS)
     return got.select("tag", "version", "there", F.md5("html").alias("html_md5"))
 
 

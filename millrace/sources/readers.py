@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
-from .shared import full_uri, key_folder, open_folder, ship
+from .shared import full_uri, key_file, open_folder, ship
 
 START, END = "<|im_start|>", "<|im_end|>"
 MESSAGE = "struct<role: string, content: string>"
 CHAT = f"messages array<{MESSAGE}>, _source_key string, _style string, _category string, _evol_type string, _base_instr string, _cross_type string"
-#: The name of a page's file in the folder of its key.
-PAGE = "page.html"
 #: Bytes of pages, about, and rows that a batch holds.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
@@ -70,10 +68,10 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.html?$", 1).alias("name"), F.col("value").alias("html"))
 
 
-def expected_pages(expected: DataFrame, path: str, keys: list[str]) -> DataFrame:
+def expected_pages(expected: DataFrame, path: str, keys: list[str], folders: int = 0) -> DataFrame:
     """Every expected row with its page (without white space at its ends), and there: false, with a null page, where none was written.
 
-    The files are those of ``writers.page_files``. A row's key names its file, which the task opens: no folder is listed.
+    The files are those of ``writers.page_files``, in as many folders. A row's key names its file, which the task opens: no folder is listed.
     """
     uri = full_uri(expected.sparkSession, path)
 
@@ -90,7 +88,7 @@ def expected_pages(expected: DataFrame, path: str, keys: list[str]) -> DataFrame
             named, rows = batch.column(batch.num_columns - 1).to_pylist(), batch.drop_columns(["_keys"])
             at, size, found = 0, 0, []
             for i, values in enumerate(named, 1):
-                found.append(page(files, f"{root}/{key_folder(keys, values)}/{PAGE}"))
+                found.append(page(files, f"{root}/{key_file(keys, values, folders)}"))
                 size += len(found[-1] or b"")
                 if size >= BATCH_BYTES or len(found) == BATCH_ROWS or i == len(named):
                     there = pa.array([x is not None for x in found])

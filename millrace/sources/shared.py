@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+import zlib
 from pathlib import Path
 from urllib.parse import quote
 
@@ -57,7 +58,12 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 _SPECIAL = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{[\]^]""")
 
 
-def key_folder(keys: list[str], values: list[str | None]) -> str:
-    """The folder of a key, named as Spark names those of partitions; an empty value, which Spark takes for null, is %."""
+def key_file(keys: list[str], values: list[str | None], folders: int = 0) -> str:
+    """The file of a key: page.html in folders named as Spark names those of partitions, or, given a number of folders,
+    one of so many folders by a hash, and the key in the file's name. An empty value, which Spark takes for null, is %."""
     name = lambda v: "__HIVE_DEFAULT_PARTITION__" if v is None else _SPECIAL.sub(lambda m: f"%{ord(m[0]):02X}", v) or "%"
-    return "/".join(f"{k}={name(v)}" for k, v in zip(keys, values))
+    parts = [f"{k}={name(v)}" for k, v in zip(keys, values)]
+    if not folders:
+        return "/".join([*parts, "page.html"])
+    own = ",".join(parts)
+    return f"{zlib.crc32(own.encode()) % folders}/{own}.html"

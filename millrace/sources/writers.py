@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readers import PAGE, exists
-from .shared import full_uri, key_folder, open_folder, ship
+from .readers import exists
+from .shared import full_uri, key_file, open_folder, ship
 
 
 def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -50,8 +50,10 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
 
-def page_files(df: DataFrame, path: str, html: str = "html", by: tuple[str, ...] = ("tag", "version")) -> None:
-    """A file for each page, in a folder named by its key; keys differ from row to row.
+def page_files(df: DataFrame, path: str, html: str = "html", by: tuple[str, ...] = ("tag", "version"), folders: int = 0) -> None:
+    """A file for each page, named by its key, in a folder of its own or in so many folders; keys differ from row to row.
+
+    Folders take as much disk as short pages: with many pages, give a number.
 
     Tasks write the files themselves, so that neither a job's commit nor the driver handles each of them. A file gets its
     name when it is whole. A page ends with a line end; a null page is an empty file.
@@ -65,19 +67,24 @@ def page_files(df: DataFrame, path: str, html: str = "html", by: tuple[str, ...]
 
     def put(batches):
         files, root = open_folder(uri)
+        made = set()
         for batch in batches:
             for values, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = f"{root}/{key_folder(keys, values)}"
-                files.create_dir(own)
-                name = f"{own}/_{uuid.uuid4().hex}"
+                own = f"{root}/{key_file(keys, values, folders)}"
+                parent = own.rsplit("/", 1)[0]
+                if parent not in made:
+                    files.create_dir(parent)
+                    if folders:
+                        made.add(parent)
+                name = f"{parent}/_{uuid.uuid4().hex}"
                 with files.open_output_stream(name, buffer_size=None) as out:
                     if page.is_valid:
                         out.write(page.as_py() + b"\n")
                 try:
-                    files.move(name, f"{own}/{PAGE}")
+                    files.move(name, own)
                 except OSError:
                     # Some file systems keep the file that another attempt at this task has written.
-                    if not files.get_file_info(f"{own}/{PAGE}").is_file:
+                    if not files.get_file_info(own).is_file:
                         raise
                     files.delete_file(name)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])

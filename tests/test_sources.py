@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.sources import readers, writers
@@ -38,21 +39,24 @@ def test_writers(spark, tmp_path):
     assert readers.pages(spark, str(tmp_path / "pages" / "tag=c1" / "version=v1")).first()["html"].strip() == "<p>"
 
 
-def test_page_files(spark, tmp_path):
+@pytest.mark.parametrize("folders", [0, 2])
+def test_page_files(spark, tmp_path, folders):
     """Keys of any text, pages of several lines and null ones; tasks write the files, so no job's commit moves each of them."""
     pages = [("a/b", "v=1", " <p>\n做\r\n</p>\n\n"), ("", "%", "x"), (None, "v", "y"), ("__none", "v", None), ("empty", "v", ""), ("é 1", None, "z" * 100000)]
     df = spark.createDataFrame([(*p, i) for i, p in enumerate(pages)], "tag string, version string, body string, i long")
     path = str(tmp_path / "pages%20 é")
-    writers.page_files(df.limit(1), path, "body")
-    writers.page_files(df.filter("i > 0"), path, "body")
+    writers.page_files(df.limit(1), path, "body", folders=folders)
+    writers.page_files(df.filter("i > 0"), path, "body", folders=folders)
     assert len(list((tmp_path / "pages%20 é").rglob("*.html"))) == 5 and not list((tmp_path / "pages%20 é").rglob("*.crc"))
+    if folders:
+        assert len([p for p in (tmp_path / "pages%20 é").rglob("*") if p.is_dir()]) <= 2
     expected = df.select("i", "tag", "version").unionByName(spark.createDataFrame([(9, "a", "b")], "i long, tag string, version string"))
-    got = readers.expected_pages(expected, path, ["tag", "version"])
+    got = readers.expected_pages(expected, path, ["tag", "version"], folders)
     assert got.columns == ["i", "tag", "version", "html", "there"] and expected.columns == ["i", "tag", "version"]
     want = {(0, None, False), (1, "x", True), (2, "y", True), (3, None, True), (4, "", True), (5, "z" * 100000, True), (9, None, False)}
     assert {(r["i"], r["html"], r["there"]) for r in got.collect()} == want
-    writers.page_files(df, path, "body")
-    assert readers.expected_pages(expected, path, ["tag", "version"]).filter("i = 0").first()["html"] == "<p>\n做\r\n</p>"
+    writers.page_files(df, path, "body", folders=folders)
+    assert readers.expected_pages(expected, path, ["tag", "version"], folders).filter("i = 0").first()["html"] == "<p>\n做\r\n</p>"
 
 
 def test_page_files_are_neither_listed_nor_committed(spark, tmp_path):
