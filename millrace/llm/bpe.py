@@ -27,6 +27,7 @@ import math
 import os
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -143,7 +144,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _ids_bytes(ids) -> bytes:
-    return pa.array(ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(ids)] if len(ids) else b""
+    return array("I", ids).tobytes()
 
 
 def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:

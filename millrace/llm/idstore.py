@@ -36,6 +36,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import full_uri, open_folder
 from .bpe import _ids_bytes, default_tokenizer, vocabulary
 from .common import documents, materialize, release, shared_dir, ship, small
 from .packing import _begin, encoder
@@ -49,15 +50,10 @@ GAMMA, LEVELS = 2.0, 64
 MAGIC = b"MPHIDX01"
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, as a full URI."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+    uri = full_uri(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     files, root = open_folder(uri)
     files.create_dir(root)
     return uri

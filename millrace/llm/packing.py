@@ -29,33 +29,30 @@ END_ID = 1
 CACHE_WORDS = 300_000
 BUCKETS, BUCKET_ROWS = 512, 1_000_000
 
-_cache: dict[str, tuple[dict[str, bytes], object]] = {}
+_cache: dict[str, _Ids] = {}
+
+
+class _Ids(dict):
+    """word -> ids as bytes. The first CACHE_WORDS words are remembered; others are merged anew."""
+
+    def __init__(self, tokenizer: str):
+        v = vocabulary(tokenizer)
+        super().__init__((k, _ids_bytes([i])) for k, i in v.special.items())
+        self.merge = v.merger()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = _ids_bytes(self.merge(word.encode()))
+        if len(self) < CACHE_WORDS:
+            self[word] = ids
+        return ids
 
 
 def encoder(tokenizer: str):
-    """text -> ids as bytes. A worker remembers the ids of the first CACHE_WORDS distinct words; others are merged anew."""
+    """text -> ids as bytes, by what a worker remembers of words."""
     if tokenizer not in _cache:
-        v = vocabulary(tokenizer)
-        _cache[tokenizer] = ({k: _ids_bytes([i]) for k, i in v.special.items()}, v.merger())
-    known, merge = _cache[tokenizer]
-    split = vocabulary(tokenizer).splitter
-
-    def encode(text: str) -> bytes:
-        parts = []
-        for words in split.runs(text):
-            try:
-                parts.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                for w in words:
-                    got = known.get(w)
-                    if got is None:
-                        got = _ids_bytes(merge(w.encode()))
-                        if len(known) < CACHE_WORDS:
-                            known[w] = got
-                    parts.append(got)
-        return b"".join(parts)
-
-    return encode
+        _cache[tokenizer] = _Ids(tokenizer)
+    get, split = _cache[tokenizer].__getitem__, vocabulary(tokenizer).splitter
+    return lambda text: b"".join([b"".join(map(get, words)) for words in split.runs(text)])
 
 
 def _begin() -> None:

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -59,6 +60,26 @@ def test_local_encoder(text):
     assert np.frombuffer(packing.encoder(PATH)(text), "<u4").tolist() == reference([text])[0][0]
 
 
+def test_encoder_beyond_its_memory(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    monkeypatch.setattr(packing, "_cache", {})
+    text = " ".join(f"word{i} é{i}<|endoftext|>" for i in range(100))
+    encode = packing.encoder(PATH)
+    for _ in range(2):
+        assert np.frombuffer(encode(text), "<u4").tolist() == reference([text])[0][0]
+    assert len(packing._cache[PATH]) <= 20
+
+
+def test_bytes_of_few_ids_cost_little():
+    """A new word has few ids: an Arrow array for each cost more than the merging (13 microseconds a word)."""
+    lists = [[i, 7, 50000][: i % 4] for i in range(20000)]
+    begin = time.process_time()
+    got = [bpe._ids_bytes(x) for x in lists]
+    assert time.process_time() - begin < 4e-6 * len(lists)
+    assert got == [np.array(x, "<u4").tobytes() for x in lists]
+
+
+
 def test_runs(monkeypatch):
     monkeypatch.setattr(bpe, "RUN_CHARS", 10)
     text = "ab  cd ef, \n gh ij  kl mnopqrstuvwxyz " * 5
